@@ -12,6 +12,11 @@ import pandas as pd
 #: Parts that a worker's cache holds before it starts anew.
 CACHE = 400_000
 ODD = re.compile(r" \s| $|<\|")
+#: Signs that may end a part; each is a token of its own there.
+SIGNS = ".,;:!?"
+#: Byte-level vocabularies write each byte as a character: printable ones as themselves, the others from 256 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+CHARACTERS = {b: chr(b) for b in _SHOWN} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in set(_SHOWN))}
 
 
 class Encoder:
@@ -29,19 +34,39 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.lead = " " if keeps_spaces else ""
         self.known: dict[str, bytes] = {}
+        self.signs = dict(zip(SIGNS, self._whole(list(SIGNS))))
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _word(self, word: str) -> bytes:
+        """Ids of a part of Latin-1 letters: one word for the vocabulary's merges, without the steps before them."""
+        shown = (self.lead + word if self.lead else word.lower()).encode().decode("latin-1").translate(CHARACTERS)
+        return np.array([t.id for t in self.tokenizer.model.tokenize(shown)], "<u4").tobytes()
+
+    def _learn(self, parts: set[str]) -> None:
+        known, rest = self.known, []
+        for p in parts:
+            sign = self.signs.get(p[-1:])
+            word = p[:-1] if sign else p
+            if not (word.isalpha() and max(word) < "\u0100"):
+                rest.append(p)
+                continue
+            ids = known.get(word)
+            if ids is None:
+                ids = known[word] = self._word(word)
+            if sign:
+                known[p] = ids + sign
+        for at in range(0, len(rest), 4096):
+            part = rest[at : at + 4096]
+            known.update(zip(part, self._whole([self.lead + p for p in part])))
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         known = self.known
         if len(known) > CACHE:
             known.clear()
         split = [None if ODD.search(t) else t.split(" ") for t in (t or "" for t in texts)]
-        new = list({p for parts in split if parts for p in parts[bool(self.lead) :]} - known.keys())
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            known.update(zip(part, self._whole([self.lead + p for p in part])))
+        self._learn({p for parts in split if parts for p in parts[bool(self.lead) :]} - known.keys())
         out = []
         for text, parts in zip(texts, split):
             if parts is None:
