@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -12,19 +13,31 @@ import pandas as pd
 #: Parts that a worker's cache holds before it starts anew.
 CACHE = 400_000
 ODD = re.compile(r" \s| $|<\|")
-#: Signs that may end a part; each is a token of its own there.
-SIGNS = ".,;:!?"
+#: Signs whose run may end a part; the run is a word of its own there. No apostrophe: it may begin a suffix.
+SIGNS = '.,;:!?#$%&*"-'
 #: Byte-level vocabularies write each byte as a character: printable ones as themselves, the others from 256 on.
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 CHARACTERS = {b: chr(b) for b in _SHOWN} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in set(_SHOWN))}
 
 
+class _Parts(dict):
+    """Ids of parts, found when first asked for."""
+
+    def __init__(self, find):
+        self.find = find
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self[part] = self.find(part)
+        return ids
+
+
 class Encoder:
     """Ids as little-endian unsigned 32-bit bytes. Strings of special tokens in a text are ordinary text.
 
     keeps_spaces: a word's id includes the space before it, as in byte-level vocabularies; otherwise white space is
     dropped. A space that stands before another character always starts a new word in both kinds, so the parts between
-    such spaces can be encoded one by one. A text with another white space after a space is encoded as a whole."""
+    such spaces can be encoded one by one. A text with another white space after a space is encoded as a whole. Where
+    white space is dropped, parts end at line ends too, and empty parts have no ids."""
 
     def __init__(self, path: str, keeps_spaces: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -32,50 +45,38 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.merges = self.tokenizer.model
         self.lead = " " if keeps_spaces else ""
-        self.known: dict[str, bytes] = {}
-        self.signs = dict(zip(SIGNS, self._whole(list(SIGNS))))
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _word(self, word: str) -> bytes:
-        """Ids of a part of Latin-1 letters: one word for the vocabulary's merges, without the steps before them."""
+        self.known, self.runs = _Parts(self._part), _Parts(self._whole)
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _part(self, part: str) -> bytes:
+        """Letters of Latin-1 are one word for the vocabulary's merges, without the steps before them."""
+        word = part.rstrip(SIGNS)
+        if not (word.isalpha() and max(word) < "\u0100"):
+            return self._whole(self.lead + part)
+        if len(word) < len(part):
+            return self.known[word] + self.runs[part[len(word) :]]
         shown = (self.lead + word if self.lead else word.lower()).encode().decode("latin-1").translate(CHARACTERS)
-        return np.array([t.id for t in self.tokenizer.model.tokenize(shown)], "<u4").tobytes()
-
-    def _learn(self, parts: set[str]) -> None:
-        known, rest = self.known, []
-        for p in parts:
-            sign = self.signs.get(p[-1:])
-            word = p[:-1] if sign else p
-            if not (word.isalpha() and max(word) < "\u0100"):
-                rest.append(p)
-                continue
-            ids = known.get(word)
-            if ids is None:
-                ids = known[word] = self._word(word)
-            if sign:
-                known[p] = ids + sign
-        for at in range(0, len(rest), 4096):
-            part = rest[at : at + 4096]
-            known.update(zip(part, self._whole([self.lead + p for p in part])))
+        ids = [t.id for t in self.merges.tokenize(shown)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def _text(self, text: str) -> bytes:
         known = self.known
         if len(known) > CACHE:
             known.clear()
-        split = [None if ODD.search(t) else t.split(" ") for t in (t or "" for t in texts)]
-        self._learn({p for parts in split if parts for p in parts[bool(self.lead) :]} - known.keys())
-        out = []
-        for text, parts in zip(texts, split):
-            if parts is None:
-                out += self._whole([text])
-            elif self.lead:
-                out.append(b"".join([*self._whole([parts[0]]), *map(known.__getitem__, parts[1:])]))
-            else:
-                out.append(b"".join(map(known.__getitem__, parts)))
-        return out
+            self.runs.clear()
+        if not self.lead:
+            return self._whole(text) if "<|" in text else b"".join(map(known.__getitem__, text.replace("\n", " ").split(" ")))
+        if ODD.search(text):
+            return self._whole(text)
+        first, *parts = text.split(" ")
+        return b"".join([self._whole(first), *map(known.__getitem__, parts)])
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        return [self._text(t or "") for t in texts]
 
 
 @lru_cache(4)
