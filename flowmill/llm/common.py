@@ -50,3 +50,9 @@ def part_offsets(parts: DataFrame, *sums: str) -> DataFrame:
     return parts.select("_part", *(F.coalesce(F.sum(c).over(w), F.lit(0)).cast("long").alias(f"before_{c}") for c in sums))
 
 
+def smallest_hashes(df: DataFrame, n: int, *then: str) -> DataFrame:
+    """The n rows of df with the smallest hash of doc_id, ties by the columns in then. The nth hash is found first, from
+    hashes alone, so that no task sends n whole rows to be merged; rows beyond it are left out before they are sorted."""
+    h = F.xxhash64("doc_id")
+    last = df.select(h.alias("h")).orderBy("h").limit(n).agg(F.max("h")).first()[0]
+    return df.where(h <= F.lit(last).cast("long")).orderBy(h, *then).limit(n)

@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowmill.llm.common import part_offsets
+from flowmill.llm.common import part_offsets, smallest_hashes
 from flowmill.llm.tokens import Encoder, encoder, in_blocks, texts_of
 
 #: Documents the dictionary is trained on, at most; none of them longer than so many characters.
@@ -25,7 +25,7 @@ SHARDS = "part int, shard int, first_doc long, last_doc long, part_start long, d
 def train_dictionary(docs: DataFrame, path: str, end_id: int) -> bytes:
     """A zstandard dictionary from the id arrays of a bounded sample of documents: those with the smallest hash of
     their id. Empty where the sample is too small to train on."""
-    sample = docs.where(F.length("text") <= SAMPLE_CHARS).orderBy(F.xxhash64("doc_id")).select("text").limit(SAMPLE_DOCS)
+    sample = smallest_hashes(docs.where(F.length("text") <= SAMPLE_CHARS), SAMPLE_DOCS, "text").select("text")
     ids = [i + end_id.to_bytes(4, "little") for i in Encoder(path, False).encode([r[0] for r in sample.collect()])]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, ids).as_bytes()
@@ -115,5 +115,3 @@ def read_store(spark: SparkSession, where: str, wanted: list[int] | None = None)
 
     out = shards.mapInPandas(run, "doc_id long, _part int, start long, n_tokens long, ids binary")
     return out.join(F.broadcast(before), "_part").select("doc_id", (F.col("start") + F.col("before_n")).alias("start"), "n_tokens", "ids")
-
-

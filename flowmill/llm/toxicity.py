@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowmill.llm.common import smallest_hashes
 from flowmill.llm.tokens import in_blocks, texts_of
 
 #: Labelled texts the model is fitted on: so many of each label at most, none longer than so many characters.
@@ -146,7 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     both = short.join(marked, "doc_id")
     rows = []
     for toxic, most in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN)):
-        rows += both.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id", "text").select("text", "toxic").limit(most).collect()
+        rows += smallest_hashes(both.where(F.col("toxic") == toxic), most, "doc_id", "text").select("text", "toxic").collect()
     return train([r["text"] for r in rows], [r["toxic"] for r in rows])
 
 
