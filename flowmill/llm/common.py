@@ -56,3 +56,16 @@ def smallest_hashes(df: DataFrame, n: int, *then: str) -> DataFrame:
     h = F.xxhash64("doc_id")
     last = df.select(h.alias("h")).orderBy("h").limit(n).agg(F.max("h")).first()[0]
     return df.where(h <= F.lit(last).cast("long")).orderBy(h, *then).limit(n)
+
+
+def join_split(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int, share: int = 1000) -> DataFrame:
+    """rows joined with table, which has one row for each key and in weight the number of rows that have it; total is
+    the sum of weight. The result has rows' columns and those of table but for weight. Keys with over 1/share of all
+    rows, of which there are fewer than share, are broadcast, so their rows stay where they are; the other keys are
+    shuffled, and none of them is hot. Null keys join with nothing."""
+    extra = [c for c in table.columns if c not in (key, weight)]
+    hot = F.col(weight) * share > total
+    few = table.where(hot).select(F.col(key).alias("_hot"), F.struct(*extra).alias("_extra"))
+    marked = rows.join(F.broadcast(few), F.col(key) == F.col("_hot"), "left")
+    here = marked.where("_hot is not null").select(*rows.columns, "_extra.*")
+    return here.unionByName(marked.where("_hot is null").select(*rows.columns).join(table.where(~hot).drop(weight), key))

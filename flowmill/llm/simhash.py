@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowmill.llm.common import cut
+from flowmill.llm.common import cut, join_split
 from flowmill.llm.components import components
 
 #: Takes the place of a null id while the smallest id is looked for.
@@ -94,14 +94,15 @@ def near_groups(docs: DataFrame, distance: int = 3, segments: int = 2, width: in
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), fingerprint(F.col(text_col), width, seed).alias("fp"))
     rows = cut(rows, "fingerprints")
     first = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.col("text_hash").alias("h"))
-    prints = cut(rows.groupBy("fp").agg(F.min(first).alias("least")), "prints")
+    prints = cut(rows.groupBy("fp").agg(F.min(first).alias("least"), F.count("*").alias("n")), "prints")
     roots = components(hamming_links(prints.select("fp"), distance, segments))
-    member = prints.join(roots, prints.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    member = prints.join(roots, prints.fp == roots.node, "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root"))
     member = cut(member, "members")
-    least = member.groupBy("root").agg(F.min("least").alias("least"))
-    named = member.select("fp", "root").join(least, "root").select("fp", "least")
+    least = member.groupBy("root").agg(F.min("least").alias("least"), F.count("*").alias("prints"))
+    n_rows, n_prints = member.agg(F.sum("n"), F.count("*")).first()
+    named = join_split(member.select("fp", "n", "root"), least, "root", "prints", n_prints).select("fp", "n", "least")
     kept = (F.coalesce("doc_id", F.lit(NO_ID)) == F.col("least.id")) & (F.col("text_hash") == F.col("least.h"))
-    return rows.join(named, "fp").select("doc_id", "text_hash", "fp", F.nullif("least.id", F.lit(NO_ID)).alias("component_id"), kept.alias("kept"))
+    return join_split(rows, named, "fp", "n", n_rows or 0).select("doc_id", "text_hash", "fp", F.nullif("least.id", F.lit(NO_ID)).alias("component_id"), kept.alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, **how) -> DataFrame:
