@@ -31,12 +31,12 @@ def components(edges: DataFrame) -> DataFrame:
     node that links reach. Self-edges and repeated edges do not matter; null ends are dropped; no edges give no rows.
 
     Each round joins edges with the minimum of a node's neighbours, so a node with very many neighbours is only summed
-    up before the shuffle, and its edges are joined where they lie, never gathered (join_split). A round's edges are written to the shared folder."""
+    up before the shuffle, and its edges are joined where they lie, never gathered (join_split). The edges of each star are written to the shared folder."""
     a, b = edges.columns[:2]
     now = cut(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct(), "edges")
     state = _state(now)
     while state[0]:
-        now = cut(_small_star(_large_star(now, state[0]), state[0]), "edges")
+        now = cut(_small_star(cut(_large_star(now, state[0]), "edges"), state[0]), "edges")
         state, last = _state(now), state
         if state == last:
             break

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowmill.llm.common import cut
+from flowmill.llm.common import cut, join_split
 from flowmill.llm.components import components
 
 #: Share of the pairs at the threshold itself that no table brings together; closer pairs are missed far less often.
@@ -197,9 +197,10 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, seed: int = 11, id
     # each node's component, then its ids: the node of an id is the smallest id of its vector
     known = nodes.join(counts.withColumnRenamed("node", "_c"), F.col("node") == F.col("_c"), "left").join(roots.withColumnRenamed("node", "_r"), F.col("node") == F.col("_r"), "left")
     known = known.select("node", "m", "v", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("root", "node").alias("component_id"))
-    same = known.where("m > 1").select(F.col("v").alias("_v"), F.col("n_links"), F.col("component_id"))
+    same = known.where("m > 1").select("v", "m", "n_links", "component_id")
+    total = nodes.agg(F.sum("m")).first()[0] or 0
     single = known.where("m = 1").select(F.col("node").alias("vec_id"), "n_links", "component_id")
-    copies = rows.where("v is not null").join(same, F.col("v") == F.col("_v")).select("vec_id", "n_links", "component_id")
+    copies = join_split(rows.where("v is not null"), same, "v", "m", total).select("vec_id", "n_links", "component_id")
     missing = vectors.where(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component_id"))
     out = single.union(copies).union(missing)
     return out.select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
