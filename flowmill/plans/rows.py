@@ -8,6 +8,8 @@ from flowmill.functions.columns import folded
 from flowmill.operators import assess as a
 from flowmill.operators import dataset as ds
 from flowmill.operators import records as rc
+from flowmill.operators import rules as ru
+from flowmill.operators.flows import flow_summary, sequence_health
 from flowmill.plans.views import C, K, P, evidence, findings, packets, table
 
 QUERIES, SQL = {}, {}
@@ -252,6 +254,33 @@ def rule_findings(spark, d):
     return findings(spark, d)
 
 
+def _facts(spark, d):
+    """Facts of each capture of P: IKE packets stand for offers, by SPI and length; a third of the days has no config."""
+    p = packets(spark, d)
+    flows = flow_summary(p).join(sequence_health(p), ["capture_id", "spi_int"]).groupBy("capture_id")
+    flows = flows.agg(F.collect_set(F.lpad(F.lower(F.hex("spi_int")), 8, "0")).alias("spis"), F.count("*").alias("flows"), F.count_if("udp_encapsulated").alias("encapsulated"), F.sum("sequence_gaps").alias("gaps"), F.sum("sequence_replays").alias("replays"), F.count_if(~F.col("sequence_monotonic")).alias("disordered"))
+
+    def offered(names, every):
+        name = F.get(F.array(*map(F.lit, names)), (F.col("spi_int") % len(names)).cast("int"))
+        return F.collect_set(F.when((F.col("proto") == "IKE") & (F.col("length") % every == 0), name))
+
+    kinds = (list(ru.ENCRYPTION), list(ru.INTEGRITY), list(ru.PRF), list(ru.GROUPS))
+    lists = {f"ike_{n}": offered(k, 2 + i) for i, (n, k) in enumerate(zip(("encryption", "integrity", "prf", "groups"), kinds))}
+    lists |= {f"child_{n}": offered(k[::-1], 5 + i) for i, (n, k) in enumerate(zip(("encryption", "integrity", "groups"), (kinds[0], kinds[1], kinds[3])))}
+    own = p.groupBy("capture_id").agg(*(v.alias(k) for k, v in lists.items()), F.count_if(F.col("proto") == "IKE").alias("ike_packets"), F.count_if(F.col("proto") == "ESP").alias("esp_packets"))
+    return own.join(flows, "capture_id", "left").withColumn("dd", F.substring("capture_id", 9, 2).cast("int")).selectExpr(
+        "*", "ike_packets proposals", "dd%4=0 selection_observable", "get(array('OBSERVED','DISABLED','NOT_VERIFIABLE'), dd%3) pfs_status",
+        "array(named_struct('exchange','IKE_AUTH','version',1+dd%2,'payloads',array(dd%6),'encrypted',dd%5<>0)) exchanges", "array(1+dd%2) ike_versions",
+        "case when dd%3<>1 then named_struct('encryption','ENCR_3DES','integrity','AUTH_HMAC_SHA1_96','prf','PRF_HMAC_SHA1','dh_group','MODP_1024','pfs',dd%2=0,'child_group','ECP_256','ike_version',2,'replay_protection',dd%4<>0,'ike_lifetime',dd*40000L,'child_lifetime',dd*900L) end config",
+        "named_struct('confidence',flows/10D,'complete',dd%2=0,'unknown',dd%5=0) predicted",
+    )
+
+
+@query()
+def rule_catalogue(spark, d):
+    return ru.rule_verdicts(_facts(spark, d))
+
+
 @query(f"with {_PR} select * from pr")
 def price_findings(spark, d):
     return a.price(findings(spark, d))
