@@ -1,6 +1,7 @@
 """The pipeline against its stages' plain versions, on documents that hold each case."""
 
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -53,3 +54,30 @@ def test_stages(spark, sf_dir):
             check_packed(rows, 2048)
     assert corpus_pipeline.run(spark, sf_dir).count() == len(rows)
     assert os.path.basename(corpus_pipeline.__file__) == "corpus_pipeline.py"
+
+
+def test_near_copies_by_five_word_similarity(spark):
+    """Sets of one, two and six changed words in 120: near at 0.8 though many simhash bits apart; a chain is one group."""
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(500)]
+    texts = []
+    for _ in range(25):
+        words = rng.choices(vocabulary, k=rng.randint(40, 160))
+        texts.append(" ".join(words))
+        for _ in range(4):
+            words = list(words)
+            for k in rng.sample(range(len(words)), rng.choice([1, 2, 6])):
+                words[k] = rng.choice(vocabulary)
+            texts.append(" ".join(words))
+    texts += ["a b", "a b c", "A  B", "", None, texts[0].upper()]
+    grams = lambda t: {tuple(w[k : k + 5]) for w in [(t or "").lower().split()] for k in range(max(1, len(w) - 4))}
+    sets = [grams(t) for t in texts]
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert any((plain_simhash(texts[i]) ^ plain_simhash(texts[j])).bit_count() > 3 for i, j in near)
+    roots = links_to_roots(range(len(texts)), near)
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    kept = corpus_pipeline.drop_near_copies(spark, docs.union(docs.where("doc_id = 4")), "").collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(roots.values())) and all(r.text == texts[r.doc_id] for r in kept)
+    assert corpus_pipeline.drop_near_copies(spark, docs.limit(0), "").count() == 0
+    nulls = spark.createDataFrame([(None, "x y z"), (None, None), (7, "x y z")], "doc_id long, text string")
+    assert {(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, nulls, "").collect()} == {(None, None), (7, "x y z")}
