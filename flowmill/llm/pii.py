@@ -60,10 +60,15 @@ chapter 20 verse 7946 and 0958 of 1042 and 53 00
 SPAN = re.compile(r"\[(email|ip|card|phone):((?:[^\[\]]|\[at\])+)\]")
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 TRIM = ".,;:!?\"'<>*|"
+SIGN = re.compile(r"[0-9@]")
+LETTERS = re.compile(r"[A-Za-z]+")
+FOR_SIGNS = ("at", "dot", "[at]", "(at)")
 LABELS = ["O"] + [f"{b}-{k}" for k in KINDS for b in "BI"]
 EPOCHS, RATE, PENALTY = 150, 0.3, 0.002
-#: Words on either side of a word with a digit or an at sign that are decoded with it.
-AROUND = 4
+#: Words that are decoded at once, and how many at an edge inside the text are left to the window beside.
+WINDOW, MARGIN = 200, 25
+#: Words whose rows are kept.
+KNOWN = 200_000
 
 
 def luhn(digits: str) -> bool:
@@ -108,7 +113,7 @@ def shapes(token: str) -> list[str]:
     digits = sum(c.isdigit() for c in core)
     out = [f"shape={kind[:24]}", f"digits={min(digits, 5) if digits < 8 else 8 if digits < 12 else 12}", f"dots={min(core.count('.'), 4)}", f"tail={token[-1:] if not token[-1:].isalnum() else ''}"]
     low = core.lower()
-    if low in ("at", "dot", "[at]", "(at)"):
+    if low in FOR_SIGNS:
         out.append(f"sign={low}")
     if "@" in core:
         out.append(f"mail={bool(_emails(core))}")
@@ -121,6 +126,15 @@ def shapes(token: str) -> list[str]:
     return out
 
 
+def alike(token: str) -> str:
+    """A word with the same shapes, letters being x: itself if it has digits or an at sign, or is written for a sign."""
+    if token.isalpha():
+        return token if token.lower() in FOR_SIGNS else "x"
+    if not token.isascii() or SIGN.search(token) or token.strip(TRIM).lower() in FOR_SIGNS:
+        return token
+    return LETTERS.sub("x", token)
+
+
 def labelled(lines: str = LINES) -> list[tuple[list[str], list[int]]]:
     """Words and labels of the lines."""
     out = []
@@ -147,39 +161,57 @@ class Crf:
     emit: list[dict[str, np.ndarray]]
     move: np.ndarray
     first: np.ndarray
-    known: dict = field(default_factory=dict)
+    at: dict = field(default_factory=dict)
+    used: int = 0
+    table: np.ndarray = field(default_factory=lambda: np.zeros((1024, 3, len(LABELS))))
 
     def rows(self, token: str) -> np.ndarray:
         """The three rows that a word adds: to its own label, to the next word's and to the one before."""
-        if token not in self.known:
-            if len(self.known) > 200_000:
-                self.known.clear()
-            zero = np.zeros(len(LABELS))
-            self.known[token] = np.stack([sum((e[f] for f in shapes(token) if f in e), zero) for e in self.emit])
-        return self.known[token]
+        zero = np.zeros(len(LABELS))
+        return np.stack([sum((e[f] for f in shapes(token) if f in e), zero) for e in self.emit])
+
+    def places(self, words: list[str]) -> list[int]:
+        """Where the rows of words stand in table, which grows by those that are new. Words alike share their rows."""
+        for w in set(words).difference(self.at):
+            key = alike(w)
+            if key not in self.at:
+                if self.used == len(self.table):
+                    self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+                self.table[self.used] = self.rows(key)
+                self.at[key] = self.used
+                self.used += 1
+            self.at[w] = self.at[key]
+        return [*map(self.at.__getitem__, words)]
 
     def decode(self, sequences: list[list[str]]) -> list[np.ndarray]:
         """The best labels of each sequence, by Viterbi over all of them at once."""
         if not sequences:
             return []
+        if len(self.at) > KNOWN:
+            self.at.clear()
+            self.used = 0
         n, t = len(sequences), max(map(len, sequences))
-        score = np.zeros((n, t, len(LABELS)))
+        score = np.zeros((t, n, len(LABELS)))
         for k, words in enumerate(sequences):
-            r = np.stack([self.rows(w) for w in words])
-            score[k, : len(words)] = r[:, 0]
-            score[k, 1 : len(words)] += r[:-1, 1]
-            score[k, : len(words) - 1] += r[1:, 2]
+            at = self.places(words)
+            r = self.table[at]
+            score[: len(words), k] = r[:, 0]
+            score[1 : len(words), k] += r[:-1, 1]
+            score[: len(words) - 1, k] += r[1:, 2]
         size = np.array([len(s) for s in sequences])
-        best, back = self.first + score[:, 0], np.zeros((n, t, len(LABELS)), np.int64)
+        best, back = self.first + score[0], np.zeros((t, n, len(LABELS)), np.int8)
         for k in range(1, t):
-            step = best[:, :, None] + self.move
-            back[:, k] = step.argmax(1)
-            best = np.where((k < size)[:, None], step.max(1) + score[:, k], best)
+            top = best[:, :1] + self.move[0]
+            for f in range(1, len(LABELS)):
+                x = best[:, f : f + 1] + self.move[f]
+                back[k][x > top] = f
+                np.maximum(top, x, out=top)
+            best = np.where((k < size)[:, None], top + score[k], best)
         out = np.zeros((n, t), np.int64)
         label = best.argmax(1)
         for k in range(t - 1, -1, -1):
             out[:, k] = label
-            label = np.where((k < size) & (k > 0), back[np.arange(n), k, label], label)
+            label = np.where((k < size) & (k > 0), back[k, np.arange(n), label], label)
         return [out[k, :s] for k, s in enumerate(size)]
 
 
@@ -237,45 +269,41 @@ def train(table: Iterable[tuple[list[str], list[int]]] | None = None) -> Crf:
 
 
 def find_all(texts: list[str | None], crf: Crf) -> list[tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]]:
-    """For each text its base spans, and those that the random field adds: spans that touch no base span. Words with a
-    digit or an at sign, the words at, dot and their like, and AROUND words on either side of them are decoded; all
-    other words are plain and not personal."""
-    base, windows, where = [], [], []
+    """For each text its base spans, and those that the random field adds: spans that touch no base span. All words are
+    decoded, in windows of up to WINDOW words; a label counts where it is MARGIN words from a window's edge at least, or
+    from the text's."""
+    labels: list[np.ndarray] = []
+    waiting: list[tuple[int, int, int, int, list[str]]] = []
+
+    def flush():
+        waiting.sort(key=lambda w: len(w[4]))
+        for (i, lo, begin, end, _), got in zip(waiting, crf.decode([w[4] for w in waiting])):
+            labels[i][begin:end] = got[begin - lo : end - lo]
+        waiting.clear()
+
     for i, text in enumerate(texts):
-        base.append(base_spans(text or ""))
-        if not text or not (SIGNS.search(text)):
-            continue
-        tokens = list(TOKEN.finditer(text))
-        hot = [k for k, m in enumerate(tokens) if SIGN.search(m[0])]
-        at = 0
-        while at < len(hot):
-            lo, hi = max(0, hot[at] - AROUND), hot[at] + AROUND
-            while at < len(hot) and hot[at] - AROUND <= hi and hot[at] < lo + 200:
-                hi = hot[at] + AROUND
-                at += 1
-            part = tokens[lo : hi + 1]
-            windows.append([m[0] for m in part])
-            where.append((i, part))
-    added: list[list] = [[] for _ in texts]
-    order = sorted(range(len(windows)), key=lambda k: len(windows[k]))
-    for at in range(0, len(order), 512):
-        lot = order[at : at + 512]
-        for k, labels in zip(lot, crf.decode([windows[k] for k in lot])):
-            i, part = where[k]
-            for lo, hi, kind in _runs(labels):
-                begin, end = part[lo].start(), part[hi].end()
-                text = texts[i]
-                while end > begin and text[end - 1] in TRIM:
-                    end -= 1
-                while begin < end and text[begin] in TRIM:
-                    begin += 1
-                if begin < end and not any(s < end and begin < e for s, _, e in base[i]) and not any(s < end and begin < e for s, _, e in added[i]):
-                    added[i].append((begin, kind, end))
-    return list(zip(base, map(sorted, added)))
-
-
-SIGN = re.compile(r"[0-9@]|^[(\[]at[)\]]$")
-SIGNS = re.compile(r"[0-9@]|[(\[]at[)\]]")
+        words = TOKEN.findall(text or "")
+        labels.append(np.zeros(len(words), np.int8))
+        for lo in range(0, max(1, len(words) - 2 * MARGIN), WINDOW - 2 * MARGIN) if words else ():
+            hi = min(lo + WINDOW, len(words))
+            waiting.append((i, lo, lo + MARGIN if lo else 0, hi - MARGIN if hi < len(words) else hi, words[lo:hi]))
+            if len(waiting) == 512:
+                flush()
+    flush()
+    out = []
+    for text, found in zip(texts, labels):
+        base, added = base_spans(text or ""), []
+        places = [(m.start(), m.end()) for m in TOKEN.finditer(text)] if found.any() else []
+        for lo, hi, kind in _runs(found):
+            begin, end = places[lo][0], places[hi][1]
+            while end > begin and text[end - 1] in TRIM:
+                end -= 1
+            while begin < end and text[begin] in TRIM:
+                begin += 1
+            if begin < end and not any(s < end and begin < e for s, _, e in base):
+                added.append((begin, kind, end))
+        out.append((base, added))
+    return out
 
 
 def _runs(labels: np.ndarray):

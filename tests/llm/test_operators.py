@@ -382,3 +382,17 @@ def test_separator_scan(spark, block):
     empty = shared_path(spark, "t")
     separator_scan.write_flat(docs.limit(0), empty, WORDS)
     assert separator_scan.count_tokens(spark, empty).count() == 0
+
+
+def test_random_field_reads_all_words():
+    crf = pii.train()
+    text = "reach jo dot lee at mail dot org if it fails"
+    (base, more), = pii.find_all([text], crf)
+    assert base == [] and [text[s:e] for s, _, e in more] == ["jo dot lee at mail dot org"]
+    # across the edges of windows
+    plain = ["word"] * 137
+    words = (plain + text.split()) * 12
+    (_, more), = pii.find_all([long := " ".join(words)], crf)
+    assert [long[s:e] for s, _, e in more] == ["jo dot lee at mail dot org"] * 12
+    for w in ["Abc", "étude", "at", "At.", "(at)", "a.b", "x_y", "²", "a²", "don't!", "Straße", "%%%", "a@b", "a1", "re%%%", "[DOT]", "<p>ab</p>"]:
+        assert pii.shapes(pii.alike(w)) == pii.shapes(w)
