@@ -189,9 +189,9 @@ def stream_sequence_health(spark, d):
     return sf.run_updates(sf.sequence_state(_stream(spark, d)), ["capture_id", "spi_int"], sf.shared_folder(spark))
 
 
-# models: all rows of embeddings, split by their id
+# models: all rows and components of embeddings, split by their id
 
-_F = [f"f{k}" for k in range(16)]
+_F = [f"f{k}" for k in range(64)]
 
 
 def _rows(spark, d):
@@ -215,12 +215,12 @@ def train_candidates(spark, d):
 
 @query()
 def ablation(spark, d):
-    return tr.ablation(_rows(spark, d).persist(), {"all": _F, "first": _F[:8], "last": _F[8:]}, "vec_id", _logistic())
+    return tr.ablation(_rows(spark, d).persist(), {"all": _F, "first": _F[:32], "last": _F[32:]}, "vec_id", _logistic())
 
 
 @query()
 def importance_groups(spark, d):
-    return tr.importances(tr.fit(_rows(spark, d), _F, _models()["forest"][1]), _F, {f: "first" if k < 8 else "last" for k, f in enumerate(_F)})
+    return tr.importances(tr.fit(_rows(spark, d), _F, _models()["forest"][1]), _F, {f: "first" if k < 32 else "last" for k, f in enumerate(_F)})
 
 
 @query()
