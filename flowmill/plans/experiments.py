@@ -200,7 +200,7 @@ def _rows(spark, d):
 
 
 def _models():
-    return {k: v for k, v in tr.candidates(20, 5).items() if k != "boosted"}
+    return tr.candidates()
 
 
 def _logistic():

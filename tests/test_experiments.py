@@ -13,3 +13,12 @@ def test_all_components_are_features(spark):
     rows = ex._rows(spark, DATA).select("vec_id", F.array(*ex._F).alias("all")).collect()
     assert {r.vec_id: r["all"] for r in rows} == {r.vec_id: r.e for r in e.select("vec_id", F.col("embedding").cast("array<double>").alias("e")).collect()}
     assert sum(r.features for r in ex.importance_groups(spark, DATA).collect()) == len(rows[0]["all"])
+
+
+def test_all_candidates_in_full_size_are_compared(spark):
+    models = ex._models()
+    assert list(models) == ["logistic", "tree", "forest", "boosted"]
+    assert models["forest"][1].getNumTrees() == 300 and models["boosted"][1].getClassifier().getMaxIter() == 200
+    rows = ex._rows(spark, DATA).withColumn("label", F.col("label") % 2).persist()
+    got = tr.compare(rows, ex._F[:4], "vec_id", tr.candidates(2, 1)).collect()
+    assert [r.name for r in got] == list(models) and all(r.score is not None for r in got)
