@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from flowmill.functions.columns import reasons
@@ -93,6 +94,10 @@ def pfs_verdict(spark, d):
     return dc.pfs_verdict(dc.explode_ike(x.select("capture_id", "kind", "body")), x.where("kind = 'ESP'").select("capture_id"))
 
 
+#: A capture file holds frames of so many frame numbers at most, some 15 MB.
+FILE_FRAMES = 100_000
+
+
 @query(f"with {P} select capture_id path, (row_number() over (partition by capture_id order by frame_index)-1)::bigint frame_index, case when proto='IKE' then {20 + 8 + 28 + len(_SA) // 2} when udp_encapsulated then 40 else 32 end + 14 + case when frame_index%3=0 then 4 else 0 end::bigint incl_len, 1::int linktype from p")
 def src_capture_frames(spark, d):
     def build(key, pdf):
@@ -101,10 +106,14 @@ def src_capture_frames(spark, d):
         head = struct.pack(order + "IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1)
         parts = [struct.pack(order + "4I", int(t), int(t % 1 * 1e6), len(f), len(f)) + f for t, f in zip(pdf.ts_s, map(bytes, pdf.frame))]
         content = b"".join([head, *parts, b"cut"])
-        return pd.DataFrame([(key[0], len(content), content)], columns=["path", "length", "content"])
-
-    files = _frames(spark, d).groupBy("capture_id").applyInPandas(build, "path string, length long, content binary")
-    return src.frames(files).select("path", "frame_index", "incl_len", "linktype")
+        return pd.DataFrame([(f"{key[0]}/{key[1]}", len(content), content)], columns=["path", "length", "content"])
+
+    frames = _frames(spark, d).withColumn("part", F.floor(F.col("frame_index") / FILE_FRAMES))
+    files = frames.groupBy("capture_id", "part").applyInPandas(build, "path string, length long, content binary")
+    sizes = frames.groupBy("capture_id", "part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("capture_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    first = sizes.select(F.concat_ws("/", "capture_id", "part").alias("path"), "capture_id", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    return src.frames(files).join(first, "path").select(F.col("capture_id").alias("path"), (F.col("frame_index") + F.col("first")).alias("frame_index"), "incl_len", "linktype")
 
 
 @query("select doc_id, lang, source, n_chars from documents")

@@ -22,3 +22,12 @@ def test_all_candidates_in_full_size_are_compared(spark):
     rows = ex._rows(spark, DATA).withColumn("label", F.col("label") % 2).persist()
     got = tr.compare(rows, ex._F[:4], "vec_id", tr.candidates(2, 1)).collect()
     assert [r.name for r in got] == list(models) and all(r.score is not None for r in got)
+
+
+def test_a_capture_is_read_from_several_files(spark, monkeypatch):
+    whole = sorted(map(tuple, ex.src_capture_frames(spark, DATA).collect()))
+    seen, frames = [], ex.src.frames
+    monkeypatch.setattr(ex.src, "frames", lambda files: seen.append(files.count()) or frames(files))
+    monkeypatch.setattr(ex, "FILE_FRAMES", 7)
+    assert sorted(map(tuple, ex.src_capture_frames(spark, DATA).collect())) == whole
+    assert seen[0] > len({r[0] for r in whole})
