@@ -17,15 +17,29 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share: spark.checkpoint.dir. Only where that is unset (a local
-    session, as in tests) a temporary folder is taken and put into the session's setting."""
+    """A new path in the folder that all executors share: spark.checkpoint.dir. Where that is unset, a local session (as in
+    tests) takes a temporary folder and puts it into the setting; on a cluster, whose machines have folders of their
+    own, it is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def fresh(taken, *names: str) -> list[str]:
+    """The names, made longer where one is taken already (by a column of the caller, in whatever case)."""
+    used, out = {c.lower() for c in taken}, []
+    for n in names:
+        while n.lower() in used:
+            n += "_"
+        used.add(n.lower())
+        out.append(n)
+    return out
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: later stages do not recompute it when executors are lost."""
     spark = df.sparkSession

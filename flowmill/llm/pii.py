@@ -68,7 +68,7 @@ EPOCHS, RATE, PENALTY = 150, 0.3, 0.002
 #: Words that are decoded at once, and how many at an edge inside the text are left to the window beside.
 WINDOW, MARGIN = 200, 25
 #: Words whose rows are kept.
-KNOWN = 200_000
+KNOWN = 50_000
 
 
 def luhn(digits: str) -> bool:

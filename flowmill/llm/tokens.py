@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import struct
@@ -9,10 +10,11 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 
-#: Parts that a worker's cache holds before it starts anew.
-CACHE = 400_000
-ODD = re.compile(r" \s| $|<\|")
+#: Parts that a worker's cache takes up before it keeps them aside and starts anew; it holds twice as many at most, some
+#: 40 MB.
+CACHE = 75_000
 #: Signs whose run may end a part; the run is a word of its own there. No apostrophe: it may begin a suffix.
 SIGNS = '.,;:!?#$%&*"-'
 #: Byte-level vocabularies write each byte as a character: printable ones as themselves, the others from 256 on.
@@ -21,31 +23,40 @@ CHARACTERS = {b: chr(b) for b in _SHOWN} | {b: chr(256 + k) for k, b in enumerat
 
 
 class _Parts(dict):
-    """Ids of parts, found when first asked for."""
+    """Ids of parts, found when first asked for, or among those kept aside."""
 
     def __init__(self, find):
-        self.find = find
+        self.find, self.aside = find, {}
 
     def __missing__(self, part: str) -> bytes:
-        ids = self[part] = self.find(part)
+        ids = self[part] = self.aside.get(part) or self.find(part)
         return ids
 
+    def bound(self) -> None:
+        if len(self) > CACHE:
+            self.aside = dict(self)
+            self.clear()
+
 
 class Encoder:
-    """Ids as little-endian unsigned 32-bit bytes. Strings of special tokens in a text are ordinary text.
+    """Ids as little-endian unsigned 32-bit bytes, as encode(text, add_special_tokens=False) of the library gives them. A
+    special token's string in a text becomes that token, which is the library's default; with plain it is ordinary text.
 
     keeps_spaces: a word's id includes the space before it, as in byte-level vocabularies; otherwise white space is
     dropped. A space that stands before another character always starts a new word in both kinds, so the parts between
-    such spaces can be encoded one by one. A text with another white space after a space is encoded as a whole. Where
-    white space is dropped, parts end at line ends too, and empty parts have no ids."""
+    such spaces can be encoded one by one. A text with another white space after a space is encoded as a whole, and so
+    is one that holds the first two characters of an added token. Where white space is dropped, parts end at line ends
+    too, and empty parts have no ids."""
 
-    def __init__(self, path: str, keeps_spaces: bool):
+    def __init__(self, path: str, keeps_spaces: bool, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain
         self.merges = self.tokenizer.model
+        self.marks = sorted({t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()})
+        self.odd = re.compile("|".join([r" \s", " $", *map(re.escape, self.marks)]))
         self.lead = " " if keeps_spaces else ""
         self.known, self.runs = _Parts(self._part), _Parts(self._whole)
 
@@ -65,12 +76,12 @@ class Encoder:
 
     def _text(self, text: str) -> bytes:
         known = self.known
-        if len(known) > CACHE:
-            known.clear()
-            self.runs.clear()
+        known.bound()
+        self.runs.bound()
         if not self.lead:
-            return self._whole(text) if "<|" in text else b"".join(map(known.__getitem__, text.replace("\n", " ").split(" ")))
-        if ODD.search(text):
+            odd = any(m in text for m in self.marks)
+            return self._whole(text) if odd else b"".join(map(known.__getitem__, text.replace("\n", " ").split(" ")))
+        if self.odd.search(text):
             return self._whole(text)
         first, *parts = text.split(" ")
         return b"".join([self._whole(first), *map(known.__getitem__, parts)])
@@ -79,17 +90,27 @@ class Encoder:
         return [self._text(t or "") for t in texts]
 
 
-@lru_cache(4)
+@lru_cache(2)
 def encoder(path: str, keeps_spaces: bool) -> Encoder:
     """One for each worker process, kept between tasks."""
     return Encoder(path, keeps_spaces)
 
 
+def trim() -> None:
+    """Gives freed memory back to the system: worker processes outlive their tasks, and each would keep its peak."""
+    pa.default_memory_pool().release_unused()
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give is not None:
+        give(0)
+
+
 def in_blocks(frames, rows: int = 256):
     """Smaller frames, so that what a step holds besides its input stays small."""
     for pdf in frames:
         for at in range(0, len(pdf), rows):
             yield pdf.iloc[at : at + rows]
+        pdf = None
+        trim()
 
 
 def texts_of(column: pd.Series) -> list[str | None]:

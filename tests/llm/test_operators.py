@@ -24,9 +24,7 @@ TEXTS = ["", None, "one", "one two", "A b c d e", "a  b\n c ", "x " * 3000, "The
 
 
 def library(path):
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(path)
 
 
 def docs_of(spark, texts, sources=None):
@@ -212,6 +210,29 @@ def test_packing(spark):
     assert packing.pack_documents(docs.limit(0), BYTES).count() == 0
 
 
+def test_packing_keeps_columns_and_refuses_lengths(spark):
+    rows = [(i, 1 + i % 7, None if i % 2 else 2**60 + 1, "x", 5, i) for i in range(50)]
+    pieces = spark.createDataFrame(rows, "id int, length int, _nth long, _part string, offset int, _at long").repartition(3)
+    got = packing.pack(pieces, 10).collect()
+    assert {(r.id, r.length, r["_nth"], r["_part"], r["_at"]) for r in got} == {(*x[:4], x[5]) for x in rows}
+    check_packed(got, 10)
+    for bad in (0, 11, None):
+        with pytest.raises(Exception, match="lengths must"):
+            packing.pack(spark.createDataFrame([(bad,)], "length int"), 10).collect()
+
+
+def test_sums_are_indexed():
+    rng = np.random.default_rng(8)
+    lengths = sorted(set(rng.integers(1, 60, 25).tolist()))
+    free = np.zeros(101, np.int64)
+    free[lengths] = rng.integers(0, 3, len(lengths))
+    index, have = packing.SumIndex(lengths, 100), [n for n in lengths if free[n]]
+    for total in range(101):
+        assert index.pairs(free, total) == sorted(((a, b) for a in have for b in have if a >= b and a + b == total), reverse=True)
+        assert list(index.triples(free, total)) == sorted(((a, b, c) for a in have for b in have for c in have if a >= b >= c and a + b + c == total), reverse=True)
+        assert index.singles(free, total) == [(n,) for n in have if n == total]
+
+
 def test_plans_use_every_piece_once_and_leave_little():
     rng = np.random.default_rng(3)
     for most in (2048, 700, 60):
