@@ -72,14 +72,32 @@ def smallest_hashes(df: DataFrame, n: int, *then: str) -> DataFrame:
     return df.where(h <= F.lit(last).cast("long")).orderBy(h, *then).limit(n)
 
 
-def join_split(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int, share: int = 1000) -> DataFrame:
+def join_split(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int, share: int = 1000, listed: bool = False) -> DataFrame:
     """rows joined with table, which has one row for each key and in weight the number of rows that have it; total is
     the sum of weight. The result has rows' columns and those of table but for weight. Keys with over 1/share of all
     rows, of which there are fewer than share, are broadcast, so their rows stay where they are; the other keys are
-    shuffled, and none of them is hot. Null keys join with nothing."""
+    shuffled, and none of them is hot. Null keys join with nothing.
+
+    listed: the hot keys themselves come to the driver and part the rows, so no join passes over all of them; for tables
+    that are written already and keys of a simple type."""
     extra = [c for c in table.columns if c not in (key, weight)]
     hot = F.col(weight) * share > total
-    few = table.where(hot).select(F.col(key).alias("_hot"), F.struct(*extra).alias("_extra"))
-    marked = rows.join(F.broadcast(few), F.col(key) == F.col("_hot"), "left")
-    here = marked.where("_hot is not null").select(*rows.columns, "_extra.*")
-    return here.unionByName(marked.where("_hot is null").select(*rows.columns).join(table.where(~hot).drop(weight), key))
+    if listed:
+        keys = [r[0] for r in table.where(hot).select(key).collect()]
+        rest = rows.join(table.drop(weight), key) if not keys else rows.where(~F.col(key).isin(keys)).join(table.where(~hot).drop(weight), key)
+        if keys:
+            rest = rest.unionByName(rows.where(F.col(key).isin(keys)).join(F.broadcast(table.where(hot).drop(weight)), key))
+        return rest.select(*rows.columns, *extra)
+    mark, rest = fresh([*rows.columns, *extra], "_hot", "_extra")
+    few = table.where(hot).select(F.col(key).alias(mark), F.struct(*extra).alias(rest))
+    marked = rows.join(F.broadcast(few), F.col(key) == F.col(mark), "left")
+    here = marked.where(F.col(mark).isNotNull()).select(*rows.columns, f"{rest}.*")
+    return here.unionByName(marked.where(F.col(mark).isNull()).select(*rows.columns).join(table.where(~hot).drop(weight), key))
+
+
+def one_of_each(docs: DataFrame, who, keep: DataFrame) -> DataFrame:
+    """One row of docs, as it is, for each value in keep, whose only column holds values of the column who without repeats
+    or nulls. Rows that share a value may differ in other columns; one of them stays."""
+    mine, (theirs,) = fresh([*docs.columns, *keep.columns], "_who")[0], keep.columns
+    kept = docs.withColumn(mine, who).join(keep, F.col(mine) == F.col(theirs), "left_semi")
+    return kept.dropDuplicates([mine]).drop(mine)

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowmill.llm.common import cut, join_split
+from flowmill.llm.common import cut, join_split, one_of_each
 from flowmill.llm.components import components
 
 #: Takes the place of a null id while the smallest id is looked for.
@@ -106,9 +106,8 @@ def near_groups(docs: DataFrame, distance: int = 3, segments: int = 2, width: in
 
 
 def drop_near_copies(docs: DataFrame, **how) -> DataFrame:
-    """docs without all rows but one of each group of near copies (see near_groups); all columns stay as they are."""
-    id_col, text_col = how.get("id_col", "doc_id"), how.get("text_col", "text")
-    keep = near_groups(docs, **how).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    rows = docs.withColumn("_hash2", F.xxhash64(F.col(text_col)))
-    rows = rows.join(keep, rows[id_col].cast("long").eqNullSafe(keep["_id"]) & (rows["_hash2"] == keep["_hash"]), "left_semi")
-    return rows.dropDuplicates([id_col, "_hash2"]).drop("_hash2")
+    """docs without all rows but one of each group of near copies (see near_groups); all columns stay as they are, whatever
+    their names."""
+    who = lambda i, h: F.struct(F.coalesce(F.col(i).cast("long"), F.lit(NO_ID)).alias("id"), h.alias("h"))
+    keep = near_groups(docs, **how).where("kept").select(who("doc_id", F.col("text_hash")).alias("_keep")).distinct()
+    return one_of_each(docs, who(how.get("id_col", "doc_id"), F.xxhash64(F.col(how.get("text_col", "text")))), keep)

@@ -16,7 +16,9 @@ from flowmill.llm.tokens import in_blocks, texts_of
 
 #: Labelled texts the model is fitted on: so many of each label at most, none longer than so many characters.
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 1500, 2500, 5000
-BITS, DIMS, EPOCHS, GUESSED, RATE = 17, 8, 50, 15, 0.3
+BITS, DIMS, EPOCHS, WHOLE, RATE = 17, 8, 45, 5, 0.3
+#: Words of a window; a text of fewer words is one window.
+WINDOW = 3
 #: Lengths of the character n-grams of a word with a mark at either end.
 GRAMS = (3, 4, 5)
 THRESHOLD = 0.7
@@ -53,6 +55,20 @@ def n_grams(length: np.ndarray) -> np.ndarray:
     return sum(np.maximum(length + 3 - g, 0) for g in GRAMS)
 
 
+def windows(first: np.ndarray, words: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """first: where each text's words begin in one row of words, and where the last text's end. Begin and end of every
+    window (words neighbours within a text; a shorter text is one window) and where each text's windows begin."""
+    n = np.diff(first)
+    many = np.where(n > 0, np.maximum(n - words, 0) + 1, 0)
+    start = np.cumsum(many) - many
+    begin = np.arange(many.sum()) - np.repeat(start, many) + np.repeat(first[:-1], many)
+    return begin, np.minimum(begin + words, np.repeat(first[1:], many)), start
+
+
+def _before(x: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0.0], np.cumsum(x)])
+
+
 @dataclass
 class Model:
     """The weight of each bucket in the difference of the two softmax inputs, and of the biases: all that scores need."""
@@ -60,78 +76,101 @@ class Model:
     weights: np.ndarray
     bias: float
 
-    def words(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Begins of the words and the mean weight of each one's n-grams."""
+    def words(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Begins of the words, the sum of each one's n-grams' weights, and how many n-grams it has."""
         begin, length, points, buckets, valids = words_of(text)
         at = np.zeros(len(points))
         for b, v in zip(buckets, valids):
             at[1 : len(b) + 1] += np.where(v, self.weights[b], 0)
-        return begin, np.add.reduceat(at, begin) / n_grams(length) if len(begin) else np.zeros(0)
+        return begin, np.add.reduceat(at, begin) if len(begin) else np.zeros(0), n_grams(length)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        """The probability that each text's most toxic word makes it toxic; 0 words: that of the bias alone."""
+        """The probability of the softmax over the mean of a window's n-grams, for each text's most toxic window; without
+        words that of the bias alone."""
         texts = [(t or "").lower() for t in texts]
-        begin, value = self.words(" ".join(texts))
+        begin, value, size = self.words(" ".join(texts))
         start = np.cumsum([1] + [len(t) + 1 for t in texts])
         first = np.searchsorted(begin, start)
+        lo, hi, at = windows(first)
         z = np.zeros(len(texts))
         has = first[1:] > first[:-1]
         if has.any():
-            z[has] = np.maximum.reduceat(value, first[:-1][has])
+            value, size = _before(value), _before(size)
+            z[has] = np.maximum.reduceat((value[hi] - value[lo]) / (size[hi] - size[lo]), at[has])
         return 1 / (1 + np.exp(-np.clip(z + self.bias, -500, 500)))
 
 
-def train(texts: list[str], labels: Iterable[int], seed: int = 3) -> Model:
-    """Embeddings of subwords and a linear softmax over their mean in a word, fitted together by Adagrad. A text stands
-    for its most toxic word: at first the one whose texts are toxic most often, later the one the model names. So a few
-    words in 20,000 weigh as much as in ten. Without both labels the model says 0.5 to everything."""
-    y = np.asarray(list(labels), np.int64)
-    if len(set(y.tolist())) < 2:
-        return Model(np.zeros(1 << BITS, np.float32), 0.0)
-    known: dict[str, int] = {"": 0}
-    found = []
+def _bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' words in one row, as numbers of distinct words, and where each text's begin; the buckets of all distinct
+    words' n-grams in one row, where each word's begin, and how many it has."""
+    known: dict[str, int] = {}
+    found, first = [], [0]
     for text in texts:
         low = text.lower()
         begin, length, *_ = words_of(low)
-        found.append(np.array(sorted({known.setdefault(low[b - 1 : b - 1 + n], len(known)) for b, n in zip(begin, length)} or {0}), np.int64))
-    begin, length, _, buckets, valids = words_of(" ".join(list(known)[1:]))
+        found += [known.setdefault(low[b - 1 : b - 1 + n], len(known)) for b, n in zip(begin.tolist(), length.tolist())]
+        first.append(len(found))
+    begin, length, _, buckets, valids = words_of(" ".join(known))
     owner_of = np.zeros(int(begin[-1] + length[-1]) + 6 if len(begin) else 6, np.int64)
     owner_of[begin] = 1
-    owner_of = np.cumsum(owner_of)
-    grams, owner = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)]
-    for b, v in zip(buckets, valids):
-        at = np.flatnonzero(v)
-        grams.append(b[at].astype(np.int64))
-        owner.append(owner_of[at + 1])
-    grams, owner = np.concatenate(grams), np.concatenate(owner)
+    owner_of = np.cumsum(owner_of) - 1
+    at = [np.flatnonzero(v) for v in valids]
+    grams = np.concatenate([b[i].astype(np.int64) for b, i in zip(buckets, at)])
+    owner = np.concatenate([owner_of[i + 1] for i in at])
     order = np.argsort(owner, kind="stable")
-    grams, size = grams[order], np.bincount(owner, minlength=len(known))
-    start = np.cumsum(size) - size
-    stream, ends = np.concatenate(found), np.cumsum([len(f) for f in found])
-    begins, doc_of = ends - [len(f) for f in found], np.repeat(np.arange(len(y)), [len(f) for f in found])
-    rate_of = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
-    seen = [np.bincount(stream[y[doc_of] == k], minlength=len(known)) for k in (0, 1)]
-    guess = np.log((seen[1] + 0.1) * (y == 0).sum() / (seen[0] + 0.1) / (y == 1).sum()) * np.minimum(seen[0] + seen[1], 5)
+    size = np.bincount(owner, minlength=len(known))
+    return np.array(found, np.int64), np.array(first), grams[order], np.cumsum(size) - size, size
+
+
+def _added(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """n rows: the sums of rows with the same number in at."""
+    return np.stack([np.bincount(at, r, minlength=n) for r in rows.T], 1)
+
+
+def train(texts: list[str], labels: Iterable[int], seed: int = 3) -> Model:
+    """Embeddings of subwords and a linear softmax over their mean, fitted together by Adagrad. In the first epochs the mean
+    is over the n-grams of a whole text; then over those of the window that the model itself finds most toxic, so that a
+    few words in 20,000 weigh as much as in ten. Texts without words are left out. Without both labels the model says
+    0.5 to everything."""
+    y = np.asarray(list(labels), np.int64)
+    stream, first, grams, start, size = _bags(texts)
+    has = np.diff(first) > 0
+    if len(set(y[has].tolist())) < 2:
+        return Model(np.zeros(1 << BITS, np.float32), 0.0)
+    y, first = y[has], np.append(first[:-1][has], first[-1])
+    lo, hi, at = windows(first)
+    cost = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
     rng = np.random.default_rng(seed)
     e = rng.uniform(-1 / DIMS, 1 / DIMS, (1 << BITS, DIMS))
     w, bias = np.zeros((DIMS, 2)), np.zeros(2)
     held = [np.full(x.shape, 1e-6) for x in (e, w, bias)]
+    count = _before(size[stream])
+    of_window = np.repeat(np.arange(len(y)), np.diff(np.append(at, len(lo))))
+    pairs, times = np.unique(np.repeat(np.arange(len(y)), np.diff(first)) * len(size) + stream[first[0] :], return_counts=True)
     for epoch in range(EPOCHS):
-        value = guess if epoch < GUESSED else np.add.reduceat((e @ (w[:, 1] - w[:, 0]))[grams], start) / size
-        value = value[stream]
-        top = np.maximum.reduceat(value, begins)
-        hit = np.flatnonzero(value == top[doc_of])
-        word = stream[hit[np.searchsorted(doc_of[hit], np.arange(len(y)))]]
-        many = size[word]
-        doc = np.repeat(np.arange(len(y)), many)
-        part = grams[np.repeat(start[word] - np.cumsum(many) + many, many) + np.arange(many.sum())]
-        mean = np.zeros((len(y), DIMS))
-        np.add.at(mean, doc, e[part] / many[doc][:, None])
+        if epoch < WHOLE:
+            begin, end = first[:-1], first[1:]
+            doc, word, of = pairs // len(size), pairs % len(size), times[:, None]
+        else:
+            value = _before(np.add.reduceat((e @ (w[:, 1] - w[:, 0]))[grams], start)[stream])
+            value = (value[hi] - value[lo]) / (count[hi] - count[lo])
+            hit = np.flatnonzero(value == np.maximum.reduceat(value, at)[of_window])
+            best = hit[np.searchsorted(of_window[hit], np.arange(len(y)))]
+            begin, end = lo[best], hi[best]
+            many = end - begin
+            doc, of = np.repeat(np.arange(len(y)), many), 1
+            word = stream[np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(begin, many)]
+        used, word = np.unique(word, return_inverse=True)
+        n = size[used]
+        own = np.cumsum(n) - n
+        gram = grams[np.arange(n.sum()) - np.repeat(own, n) + np.repeat(start[used], n)]
+        share = 1 / (count[end] - count[begin])
+        mean = _added(doc, np.add.reduceat(e[gram], own)[word] * of, len(y)) * share[:, None]
         z = mean @ w + bias
         p = np.exp(z - z.max(1, keepdims=True))
-        d = (p / p.sum(1, keepdims=True) - np.eye(2)[y]) * rate_of[:, None]
-        de = np.zeros_like(e)
-        np.add.at(de, part, (d @ w.T / many[:, None])[doc])
+        d = (p / p.sum(1, keepdims=True) - np.eye(2)[y]) * cost[:, None]
+        by_word = _added(word, (d @ w.T * share[:, None])[doc] * of, len(used))
+        de = _added(gram, by_word[np.repeat(np.arange(len(used)), n)], len(e))
         for x, grad, sums in zip((e, w, bias), (de, mean.T @ d, d.sum(0)), held):
             sums += grad * grad
             x -= RATE * grad / np.sqrt(sums)
@@ -152,7 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def toxicity_score(spark, model: Model, text) -> F.Column:
-    """The score of a column of texts: that of each text's most toxic word; of null and empty texts, the bias alone."""
+    """The score of a column of texts: that of each text's most toxic window; of null and empty texts, the bias alone."""
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

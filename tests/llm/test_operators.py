@@ -270,6 +270,51 @@ def test_toxicity():
     assert toxicity.train(["a"], [1]).scores(["x"])[0] == 0.5
 
 
+def plain_score(model, text):
+    """The softmax over the mean weight of all n-grams of each window of three words; the highest."""
+    best = None
+    words = [f" {w} " for w in re.findall(r"[^\W_]+", (text or "").lower())]
+    for i in range(max(1, len(words) - toxicity.WINDOW + 1)):
+        weights = []
+        for w in words[i : i + toxicity.WINDOW]:
+            for n in toxicity.GRAMS:
+                for k in range(len(w) - n + 1):
+                    h = 0
+                    for c in w[k : k + n]:
+                        h = (h * 0x01000193 + ord(c)) % 2**32
+                    weights.append(float(model.weights[((h ^ (n - 1)) * 0x9E3779B1 % 2**32) >> (32 - toxicity.BITS)]))
+        z = sum(weights) / len(weights) if weights else 0.0
+        best = z if best is None else max(best, z)
+    return 1 / (1 + math.exp(-(best + model.bias)))
+
+
+def test_toxicity_scores_equal_a_plain_version():
+    rng = np.random.default_rng(7)
+    model = toxicity.Model(rng.standard_normal(1 << toxicity.BITS).astype(np.float32), -0.5)
+    texts = [t for t in TEXTS if "Σ" not in (t or "")] + [" ".join("".join(rng.choice(list("abcé1,."), rng.integers(1, 9))) for _ in range(n)) for n in (0, 1, 2, 3, 4, 50)]
+    for got in (model.scores(texts), np.concatenate([model.scores([t]) for t in texts])):
+        assert np.allclose(got, [plain_score(model, t) for t in texts], atol=1e-5)
+    first = np.array([0, 2, 2, 7])
+    lo, hi, at = toxicity.windows(first, 3)
+    assert list(zip(lo.tolist(), hi.tolist())) == [(0, 2), (2, 5), (3, 6), (4, 7)] and at.tolist() == [0, 1, 1]
+
+
+def test_toxicity_is_learnt_from_more_than_one_word():
+    """Labels that depend on two words side by side, each of which is harmless alone."""
+    rng = np.random.default_rng(9)
+    clean = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(60)]
+    texts, labels = [], []
+    for i in range(400):
+        words = list(rng.choice(clean, 12))
+        at = int(rng.integers(10))
+        words[at : at + 2] = ["zap", "zog"] if i % 2 else ["zap", clean[0]] if i % 4 else [clean[1], "zog"]
+        texts.append(" ".join(words))
+        labels.append(i % 2)
+    score = toxicity.train(texts[:300], labels[:300]).scores(texts[300:])
+    y = np.array(labels[300:])
+    assert score[y == 1].min() > score[y == 0].max()
+
+
 def test_toxicity_on_tables(spark):
     texts = ["you idiot " + str(i) if i % 2 else "fine day " + str(i) for i in range(60)] + [None, ""]
     docs = docs_of(spark, texts)
