@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowmill.llm.common import WORD, cut, part_offsets, put_in_order
+from flowmill.llm.common import WORD, cut, join_split, part_offsets, put_in_order
 
 #: A document is never emitted more often than this, so a source's target stops at this times its size.
 MOST = 3
@@ -20,19 +20,19 @@ def n_words(text) -> F.Column:
 
 
 def source_targets(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """docs: source, size. One row per source: source, source_size, weight, target.
+    """docs: source, size. One row per source: source, source_size, rows, weight, target.
 
     Sources are ordered by code point, null last, and given the weights in turn. Targets share the sum of all sizes by
     weight; those above most times their source's size stop there and the excess is shared anew among the others until
     none is above. Only sums over sources reach the driver, once a round, and every round but the last stops a source."""
-    sums = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
+    sums = docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     sums = sums.withColumn("_null", F.col("source").isNull())
     ordered = put_in_order(sums, "_null", "source", name="sources")
     before = part_offsets(ordered.groupBy("_part").agg(F.count("*").alias("n")), "n")
     nth = F.col("before_n") + F.row_number().over(Window.partitionBy("_part").orderBy("_null", "source")) - 1
     cycle = F.array(*map(F.lit, weights))
     out = ordered.join(F.broadcast(before), "_part").withColumn("weight", F.get(cycle, (nth % len(weights)).cast("int")).cast("long"))
-    out = cut(out.select("source", "source_size", "weight"), "weighted")
+    out = cut(out.select("source", "source_size", "rows", "weight"), "weighted")
     total = out.agg(F.sum("source_size")).first()[0] or 0
     left, shared, stopped = total, None, 0
     while True:
@@ -51,23 +51,24 @@ def coin(key, seed: int) -> F.Column:
     return F.conv(digits, 16, 10).cast("long").cast("double") / F.lit(float(16**DIGITS))
 
 
-def plan_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 7, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of docs: doc_id, source, the columns in keep, _size, _source_size, _target, _copies.
+def plan_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 7) -> DataFrame:
+    """One row per row of docs: row (all its columns), size, source_size, target, copies.
 
     A document is to be emitted floor(target / source size) times and once more if its coin falls below the fraction.
     Null and empty texts have size 0; a source of size 0 emits nothing; a null source is a source of its own. Rows that
-    repeat a doc_id share its coin. An empty table gives an empty one."""
-    sized = docs.select("doc_id", "source", *keep, n_words(F.col("text")).alias("_size"))
-    targets = source_targets(sized.select("source", F.col("_size").alias("size")), weights, most)
-    targets = targets.select(F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
-    rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(0.0)
-    copies = F.floor(rate) + (coin("doc_id", seed) < rate - F.floor(rate)).cast("long")
-    joined = sized.join(targets, sized["source"].eqNullSafe(targets["_source"])).drop("_source")
-    return joined.withColumn("_copies", F.least(copies, F.lit(most)).cast("long"))
+    repeat a doc_id share its coin. An empty table gives an empty one. Sources with many rows stay where they are when
+    the targets are joined."""
+    sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), n_words(F.col("text")).alias("size"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("key"))
+    targets = source_targets(docs.select("source", n_words(F.col("text")).alias("size")), weights, most)
+    targets = cut(targets.select(F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("key"), "source_size", "target", "rows"), "targets")
+    total = targets.agg(F.sum("rows")).first()[0] or 0
+    joined = join_split(sized, targets, "key", "rows", total, share=100, listed=True)
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    copies = F.floor(rate) + (coin("row.doc_id", seed) < rate - F.floor(rate)).cast("long")
+    return joined.select("row", "size", "source_size", "target", F.least(copies, F.lit(most)).cast("long").alias("copies"))
 
 
 def mix_sources(docs: DataFrame, **how) -> DataFrame:
-    """Each document as often as plan_mix says, with the columns of docs."""
-    rest = tuple(c for c in docs.columns if c not in ("doc_id", "source"))
-    planned = plan_mix(docs, keep=rest, **how)
-    return planned.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    """Each document as often as plan_mix says, with the columns of docs, whatever their names."""
+    planned = plan_mix(docs, **how).where("copies > 0")
+    return planned.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

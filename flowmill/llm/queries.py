@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from flowmill.llm import compaction, embed_dedup, mixing, packing, pii, separator_scan, simhash, token_store, topk, toxicity
-from flowmill.llm.common import documents, shared_path
+from flowmill.llm.common import documents, fresh, shared_path
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 #: Arrivals that op4 appends before it compacts, and the size of its files. Production files are larger.
@@ -15,7 +15,7 @@ ARRIVALS = 8
 
 def op1_mix_sources(spark, sf_dir):
     mix = mixing.plan_mix(documents(spark, sf_dir))
-    return mix.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"))
+    return mix.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def op2_embedding_dedup(spark, sf_dir):
@@ -29,9 +29,10 @@ def op3_topk_search(spark, sf_dir):
 def op4_compaction(spark, sf_dir):
     docs = documents(spark, sf_dir)
     store = compaction.ShardStore(spark, shared_path(spark, "shards"))
-    store.append(docs.withColumn("_arrival", F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS))), by="_arrival")
+    (arrival,) = fresh(docs.columns, "arrival")
+    store.append(docs.withColumn(arrival, F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS))), by=arrival)
     version = store.compact()
-    store.vacuum()
+    store.vacuum(0)  # nobody else knows of this store
     return store.read(version).select("doc_id", F.lit(version).cast("long").alias("version"), F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
 
 

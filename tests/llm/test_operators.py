@@ -74,12 +74,12 @@ def _library(path):
 def test_mixing(spark):
     texts = TEXTS + ["w " * (n % 17) for n in range(300)]
     docs = docs_of(spark, texts, ["a", "B", None, "é", "a", "a", "a"])
-    rows = {r.doc_id: r for r in mixing.plan_mix(docs).collect()}
+    rows = {r.row.doc_id: r for r in mixing.plan_mix(docs).collect()}
     size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in enumerate(texts)}
-    assert {i: r._size for i, r in rows.items()} == size
+    assert {i: r.size for i, r in rows.items()} == size
     sums = defaultdict(int)
     for i, r in rows.items():
-        sums[r.source] += size[i]
+        sums[r.row.source] += size[i]
     weight = dict(zip(sorted(sums, key=lambda s: (s is None, s)), [5, 2, 1, 5]))
     stopped = set()
     while True:
@@ -89,15 +89,28 @@ def test_mixing(spark):
             break
         stopped |= more
     for r in rows.values():
-        want = 3.0 * sums[r.source] if r.source in stopped else weight[r.source] * rest / w
-        assert math.isclose(r._target, want) and r._source_size == sums[r.source]
-        rate = want / sums[r.source] if sums[r.source] else 0
-        assert r._copies in (math.floor(rate), math.ceil(rate)) and r._copies <= 3
-    assert mixing.mix_sources(docs).count() == sum(r._copies for r in rows.values())
-    assert mixing.mix_sources(docs).columns == docs.columns
+        s = r.row.source
+        want = 3.0 * sums[s] if s in stopped else weight[s] * rest / w
+        assert math.isclose(r.target, want) and r.source_size == sums[s]
+        rate = want / sums[s] if sums[s] else 0
+        assert r.copies in (math.floor(rate), math.ceil(rate)) and r.copies <= 3
     assert mixing.mix_sources(docs.limit(0)).count() == 0
 
 
+def test_mixing_keeps_columns_comes_near_targets_and_repeats_itself(spark):
+    odd = "doc_id long, text string, source string, size long, row string, copies long, _size long, _source string, _target double, _copies long, _copy int, key string, `a.b` int"
+    rows = [(i, "w " * (1 + i % 23), f"s{i % 4}", -i, f"r{i}", i + 7, 1, "q", 2.5, i, 3, "k", i % 5) for i in range(6000)]
+    docs = spark.createDataFrame(rows, odd)
+    plan = mixing.plan_mix(docs)
+    for r in plan.groupBy("row.source").agg(F.first("target").alias("target"), F.sum(F.col("size") * F.col("copies")).alias("taken")).collect():
+        assert abs(r.taken / r.target - 1) < 0.06
+    mixed = mixing.mix_sources(docs)
+    assert mixed.columns == docs.columns
+    got = sorted(map(tuple, mixed.collect()))
+    copies = {r.row.doc_id: r.copies for r in plan.collect()}
+    assert got == sorted(r for r in rows for _ in range(copies[r[0]])) == sorted(map(tuple, mixing.mix_sources(docs.repartition(7)).collect()))
+
+
 def test_embedding_links(spark, monkeypatch):
     monkeypatch.setattr(embed_dedup, "GROUP", 64)
     rng = np.random.default_rng(5)
@@ -175,10 +188,57 @@ def test_compaction(spark):
     rows = store.read().groupBy("doc_id", "text").count().collect()
     assert len(rows) == 4 * len(TEXTS) and all(r["count"] == 3 for r in rows)
     assert [r.rows for r in store.manifest().collect()] == [12 * len(TEXTS)]
-    store.vacuum()
+    store.vacuum(0)
     assert store.read().count() == 12 * len(TEXTS)
 
 
+def test_compaction_commits_each_version_once(spark):
+    """Two writers make the same version at the same time: one gets FileExistsError, and readers see the other's."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    docs = docs_of(spark, TEXTS)
+    store = compaction.ShardStore(spark, shared_path(spark, "t"), fanout=3)
+    store.append(docs)
+    listed = store.manifest(1).collect()
+    rows = [[(f"{w}", 0, 1, 1, 1, listed[0].schema)] for w in range(6)]
+
+    def write(k):
+        try:
+            store.commit(spark.createDataFrame(rows[k], compaction.MANIFEST), 2)
+            return k
+        except FileExistsError:
+            return None
+
+    with ThreadPoolExecutor(6) as pool:
+        won = [k for k in pool.map(write, range(6)) if k is not None]
+    assert len(won) == 1 and [r.run for r in store.manifest(2).collect()] == [str(won[0])]
+    # appends at the same time all arrive
+    other = compaction.ShardStore(spark, shared_path(spark, "t"))
+    with ThreadPoolExecutor(4) as pool:
+        versions = list(pool.map(lambda _: other.append(docs), range(4)))
+    assert sorted(versions) == [1, 2, 3, 4] and other.read().count() == 4 * len(TEXTS)
+    before = other.read(1).count()
+    other.vacuum()  # nothing is old enough to go
+    assert other.read(1).count() == before == len(TEXTS)
+
+
+def test_compaction_of_odd_columns_and_values(spark):
+    store = compaction.ShardStore(spark, shared_path(spark, "t"), fanout=2)
+    rows = [(1, "a b", "x"), (2, "a:b", "y"), (3, None, "z"), (4, "null", "w"), (5, "a/b=c", None), (6, "", "v"), (6, "", "v")]
+    first = spark.createDataFrame(rows, "run long, kind string, __run string")
+    assert store.append(first, by="kind") == 1 and store.manifest().count() == 6
+    assert store.append(spark.createDataFrame([(7, "u", 1.5)], "run long, `__run` string, `new one` double")) == 2
+    want = sorted([(r, x, None) for r, _, x in rows] + [(7, "u", 1.5)], key=repr)
+    for _ in range(2):
+        got = store.read()
+        assert sorted([(r["run"], r["__run"], r["new one"]) for r in got.collect()], key=repr) == want
+        store.compact()
+    assert store.manifest().count() == 1
+    with pytest.raises(ValueError, match="column run"):
+        store.append(spark.createDataFrame([("x",)], "run string"))
+    assert sorted(map(repr, (tuple(r) for r in store.read(1).select("run", "__run").collect()))) == sorted(repr((r, x)) for r, _, x in rows)
+
+
 def check_packed(rows, size):
     by = defaultdict(list)
     for r in rows:
