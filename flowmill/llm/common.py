@@ -98,6 +98,6 @@ def join_split(rows: DataFrame, table: DataFrame, key: str, weight: str, total:
 def one_of_each(docs: DataFrame, who, keep: DataFrame) -> DataFrame:
     """One row of docs, as it is, for each value in keep, whose only column holds values of the column who without repeats
     or nulls. Rows that share a value may differ in other columns; one of them stays."""
-    mine, (theirs,) = fresh([*docs.columns, *keep.columns], "_who")[0], keep.columns
-    kept = docs.withColumn(mine, who).join(keep, F.col(mine) == F.col(theirs), "left_semi")
+    mine, theirs = fresh(docs.columns, "_who", "_keep")
+    kept = docs.withColumn(mine, who).join(keep.toDF(theirs), F.col(mine) == F.col(theirs), "left_semi")
     return kept.dropDuplicates([mine]).drop(mine)

@@ -15,6 +15,8 @@ from flowmill.llm.components import components
 
 #: Takes the place of a null id while the smallest id is looked for.
 NO_ID = (1 << 63) - 1
+#: Fingerprints of a key of the table that may be paired by a plain join; also of a block.
+HOT = 512
 #: Shingles that are in memory at once, whatever the length of the text.
 BLOCK = 1 << 16
 
@@ -59,6 +61,13 @@ def hamming_links(prints: DataFrame, distance: int = 3, segments: int = 2) -> Da
     differing bit looks the other up, and a pair counts in the first segment that finds it."""
     if segments < 2:
         raise ValueError("at least two segments are needed")
+    probe, table, close = _filed(prints, distance, segments)
+    near = probe.join(table, ["seg", "key"]).where(close)
+    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _filed(prints: DataFrame, distance: int, segments: int) -> tuple[DataFrame, DataFrame, str]:
+    """What each fingerprint looks up (seg, key, a), under what it is filed (seg, key, b), and SQL for a match that counts."""
     edges = np.linspace(0, 64, segments + 1).astype(int)
     parts = [(int(lo), int(hi - lo)) for lo, hi in zip(edges, edges[1:])]
     radius = distance // segments
@@ -79,8 +88,54 @@ def hamming_links(prints: DataFrame, distance: int = 3, segments: int = 2) -> Da
     own = [f"({seg('a', k)} ^ {seg('b', k)})" for k in range(segments)]
     first = " + ".join(f"case when seg > {k} and bit_count({own[k]}) <= {radius} then 1 else 0 end" for k in range(segments))
     same = "case seg " + " ".join(f"when {k} then {own[k]} = 0" for k in range(segments)) + " end"
-    near = probe.join(table, ["seg", "key"]).where(f"bit_count(a ^ b) <= {distance} and a <> b and ({first}) = 0 and (a < b or not {same})")
-    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return probe, table, f"bit_count(a ^ b) <= {distance} and a <> b and ({first}) = 0 and (a < b or not {same})"
+
+
+def _forest(a: np.ndarray, b: np.ndarray, distance: int) -> list[tuple[int, int]]:
+    """Links that join all of a and b that pairs (one of a, one of b) within the distance join, fewer than there are
+    fingerprints. Rounds of minima: every node takes the smallest label among its neighbours and its own."""
+    nodes = np.unique(np.concatenate([a, b]))
+    x, y = np.searchsorted(nodes, np.unique(a)), np.searchsorted(nodes, np.unique(b))
+    near = np.bitwise_count(nodes.view(np.uint64)[x][:, None] ^ nodes.view(np.uint64)[y][None, :]) <= distance
+    label, far = np.arange(len(nodes)), len(nodes)
+    while True:
+        now = label.copy()
+        np.minimum.at(now, x, np.where(near, label[y][None, :], far).min(1))
+        np.minimum.at(now, y, np.where(near, label[x][:, None], far).min(0))
+        now = now[now]
+        if np.array_equal(now, label):
+            break
+        label = now
+    return [(int(nodes[k]), int(nodes[r])) for k, r in enumerate(label) if k != r]
+
+
+def group_links(prints: DataFrame, distance: int = 3, segments: int = 2) -> DataFrame:
+    """prints: distinct longs in fp. Links (a, b) whose components are those of all links of hamming_links. Where a key of
+    the table has over HOT fingerprints, their pairs are not emitted: its fingerprints, and those that look it up, are
+    dealt over blocks, each pair of blocks is compared by itself, and passes on one link for each fingerprint at most."""
+    if segments < 2:
+        raise ValueError("at least two segments are needed")
+    probe, table, close = _filed(prints, distance, segments)
+    at = F.concat_ws(":", "seg", "key")
+    big = cut(table.groupBy(at.alias("at")).agg(F.count("*").alias("n")).where(F.col("n") > HOT), "hot_keys")
+    if big.isEmpty():
+        return probe.join(table, ["seg", "key"]).where(close).select("a", "b")
+    rest = table.withColumn("at", at).join(big.select("at"), "at", "left_anti").drop("at")
+    usual = probe.join(rest, ["seg", "key"]).where(close).select("a", "b")
+    asked = probe.withColumn("at", at)
+    asks = cut(asked.join(big.select("at"), "at", "left_semi").groupBy("at").agg(F.count("*").alias("p")), "hot_asked")
+    size = cut(big.join(asks, "at").select("at", F.ceil(F.col("n") / HOT).cast("int").alias("i"), F.ceil(F.col("p") / HOT).cast("int").alias("j"), (F.col("n") + F.col("p")).alias("w")), "hot_sizes")
+    total = size.agg(F.sum("w")).first()[0] or 0
+    block = lambda fp, n: F.pmod(F.xxhash64(fp, F.lit(5)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = join_split(table.withColumn("at", at).select("at", "b"), size, "at", "w", total, listed=True).select("at", F.lit(True).alias("filed"), F.col("b").alias("fp"), block("b", "i").alias("x"), every("j").alias("y"))
+    right = join_split(asked.select("at", "a"), size, "at", "w", total, listed=True).select("at", F.lit(False), F.col("a"), every("i").alias("x"), block("a", "j").alias("y"))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        fp = pdf.fp.to_numpy(np.int64)
+        return pd.DataFrame(_forest(fp[pdf.filed.to_numpy(bool)], fp[~pdf.filed.to_numpy(bool)], distance), columns=["a", "b"])
+
+    return usual.union(left.union(right).groupBy("at", "x", "y").applyInPandas(compare, "a long, b long"))
 
 
 def near_groups(docs: DataFrame, distance: int = 3, segments: int = 2, width: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -95,7 +150,7 @@ def near_groups(docs: DataFrame, distance: int = 3, segments: int = 2, width: in
     rows = cut(rows, "fingerprints")
     first = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.col("text_hash").alias("h"))
     prints = cut(rows.groupBy("fp").agg(F.min(first).alias("least"), F.count("*").alias("n")), "prints")
-    roots = components(hamming_links(prints.select("fp"), distance, segments))
+    roots = components(group_links(prints.select("fp"), distance, segments))
     member = prints.join(roots, prints.fp == roots.node, "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root"))
     member = cut(member, "members")
     least = member.groupBy("root").agg(F.min("least").alias("least"), F.count("*").alias("prints"))

@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from flowmill.llm import compaction, embed_dedup, mixing, packing, pii, separator_scan, simhash, token_store, topk, toxicity
+from flowmill.llm import compaction, embed_dedup, mixing, packing, pii, separator_scan, shingle_dedup, simhash, token_store, topk, toxicity
 from flowmill.llm.common import shared_path
 from flowmill.llm.tokens import Encoder
 
@@ -492,8 +492,31 @@ def test_hamming_links_lose_and_repeat_nothing(spark, distance, segments):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_hot_keys_are_compared_in_blocks(spark, monkeypatch):
+    """Fingerprints that all share half of their bits, near and far from each other, beside others."""
+    monkeypatch.setattr(simhash, "HOT", 8)
+    rng = np.random.default_rng(4)
+    high, low = int(rng.integers(1, 1 << 31)) << 32, int(rng.integers(1, 1 << 32))
+    prints = {high | low ^ sum(1 << int(b) for b in rng.choice(32, rng.integers(0, 9), replace=False)) for _ in range(120)}
+    prints |= {(high ^ 1 << 40) | low ^ 1 << k for k in range(12)} | {int(x) for x in rng.integers(-(1 << 63), 1 << 63, 40)}
+    pairs = [(a, b) for a in prints for b in prints if a < b and ((a ^ b) % (1 << 64)).bit_count() <= 3]
+    df = spark.createDataFrame([(p,) for p in prints], "fp long")
+    got = [(r.a, r.b) for r in simhash.group_links(df).collect()]
+    assert all((a, b) in set(pairs) or (b, a) in set(pairs) or links_to_roots(prints, pairs)[a] == links_to_roots(prints, pairs)[b] for a, b in got)
+    assert links_to_roots(prints, got) == links_to_roots(prints, pairs)
+
+
+def test_columns_of_any_name_stay(spark):
+    texts = ["a b c d e f", "a b c d e f", "q r s t u v", None, ""]
+    docs = spark.createDataFrame([(i, t, i * 2, "h", 1.5, "k") for i, t in enumerate(texts)], "doc_id long, text string, _hash2 long, _who string, _keep double, _id string")
+    for drop in (simhash.drop_near_copies, shingle_dedup.drop_near_copies):
+        kept = drop(docs)
+        assert kept.columns == docs.columns and sorted(tuple(r) for r in kept.collect()) == [(i, texts[i], i * 2, "h", 1.5, "k") for i in (0, 2, 3)]
+
+
 @pytest.mark.parametrize("block", [1, 3, 1000])
-def test_separator_scan(spark, block):
+def test_separator_scan(spark, monkeypatch, block):
+    monkeypatch.setattr(separator_scan, "FILE_DOCS", 5)
     texts = TEXTS + ["a b c " * i for i in range(40)]
     docs = docs_of(spark, texts).repartition(3).cache()
     where = shared_path(spark, "t")
@@ -505,6 +528,15 @@ def test_separator_scan(spark, block):
     for r in sorted(got.values(), key=lambda r: r.start):
         assert r.start == at
         at += r.n_tokens
+    order = iter([False, True])  # a source that gives its rows in another order the second time
+    shown = docs.orderBy("doc_id").coalesce(1)
+
+    class Turned:
+        def select(self, *columns):
+            return (shown.orderBy(F.desc("doc_id")).coalesce(1) if next(order) else shown).select(*columns)
+
+    with pytest.raises(ValueError, match="another order"):
+        separator_scan.write_flat(Turned(), shared_path(spark, "t"), WORDS)
     empty = shared_path(spark, "t")
     separator_scan.write_flat(docs.limit(0), empty, WORDS)
     assert separator_scan.count_tokens(spark, empty).count() == 0
