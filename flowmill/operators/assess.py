@@ -15,6 +15,29 @@ CATEGORY_WEIGHTS = {"CRYPTOGRAPHY": 0.28, "KEY_EXCHANGE": 0.24, "SA_SECURITY": 0
 RISK_BANDS = ((85.0, "LOW"), (70.0, "MODERATE"), (50.0, "HIGH"), (0.0, "CRITICAL"))
 STRENGTH = {"FAIL": 3, "WARNING": 2, "PASS": 1, "NOT_VERIFIABLE": 0}
 TIER_RANK = {"FORBIDDEN": 4, "DEPRECATED": 3, "UNKNOWN": 2, "ACCEPTABLE": 1, "RECOMMENDED": 0}
+EVIDENCE_RANK = {"OBSERVED": 0, "CONFIGURED": 1, "INFERRED": 2, "NOT_VERIFIABLE": 3}
+THREATS = (  # id, category, likelihood, impact, rules, whether rules that could not verify their property confirm it
+    ("T-IKE-CIPHER", "CRYPTOGRAPHY", "HIGH", "HIGH", ("CRYPTO-001",), False),
+    ("T-IKE-INTEGRITY", "CRYPTOGRAPHY", "MEDIUM", "HIGH", ("CRYPTO-002",), False),
+    ("T-PRF-WEAK", "CRYPTOGRAPHY", "MEDIUM", "HIGH", ("CRYPTO-003",), False),
+    ("T-TUNNEL-CIPHER", "CRYPTOGRAPHY", "HIGH", "HIGH", ("CRYPTO-004",), False),
+    ("T-TUNNEL-INTEGRITY", "CRYPTOGRAPHY", "MEDIUM", "HIGH", ("CRYPTO-005",), False),
+    ("T-DH-WEAK", "KEY_EXCHANGE", "MEDIUM", "HIGH", ("KEYX-001", "KEYX-002"), False),
+    ("T-NO-FORWARD-SECRECY", "KEY_EXCHANGE", "MEDIUM", "HIGH", ("KEYX-003", "KEYX-004"), False),
+    ("T-KEY-EXPOSURE", "KEY_EXCHANGE", "MEDIUM", "MEDIUM", ("KEYX-005", "KEYX-006"), False),
+    ("T-IDENTITY-UNVERIFIED", "KEY_EXCHANGE", "MEDIUM", "HIGH", ("KEYX-007",), True),
+    ("T-IKE-VERSION", "KEY_EXCHANGE", "HIGH", "MEDIUM", ("KEYX-008",), False),
+    ("T-DOWNGRADE", "CONFIGURATION", "MEDIUM", "HIGH", ("CONFIG-002",), False),
+    ("T-CONFIG-DRIFT", "CONFIGURATION", "MEDIUM", "MEDIUM", ("CONFIG-003",), False),
+    ("T-PLAINTEXT-TRAFFIC", "SA_SECURITY", "HIGH", "HIGH", ("SA-001",), False),
+    ("T-SPI-GUESS", "SA_SECURITY", "MEDIUM", "MEDIUM", ("SA-002",), False),
+    ("T-NAT-BINDING", "SA_SECURITY", "MEDIUM", "LOW", ("SA-003",), False),
+    ("T-SEQUENCE-REUSE", "REPLAY_PROTECTION", "MEDIUM", "MEDIUM", ("REPLAY-001",), False),
+    ("T-REPLAY-WINDOW-UNKNOWN", "REPLAY_PROTECTION", "MEDIUM", "MEDIUM", ("REPLAY-002", "REPLAY-003", "REPLAY-004"), True),
+    ("T-SPI-VISIBILITY", "METADATA_PRIVACY", "HIGH", "LOW", ("META-001",), False),
+    ("T-VOLUME-EXPOSURE", "METADATA_PRIVACY", "HIGH", "LOW", ("META-002",), False),
+    ("T-CLASS-INFERENCE", "METADATA_PRIVACY", "MEDIUM", "MEDIUM", ("META-003",), False),
+)
 IKE_LIFETIME = (28800, 86400, 604800)
 CHILD_LIFETIME = (1800, 3600, 86400)
 
@@ -31,7 +54,7 @@ def dimension(spark: SparkSession, table: dict, key: str, value: str) -> DataFra
 
 def registry_names(rows: DataFrame, registry: DataFrame, key: str, name: str, unknown: str) -> DataFrame:
     """rows with the name of a number; a number that the registry lacks is named after itself."""
-    return rows.join(F.broadcast(registry), key, "left").withColumn(name, F.coalesce(F.col(name), F.concat(F.lit(unknown), F.col(key).cast("string"))))
+    return rows.join(registry, key, "left").withColumn(name, F.coalesce(F.col(name), F.concat(F.lit(unknown), F.col(key).cast("string"))))
 
 
 def lifetime_tier(seconds, ceilings: tuple[int, int, int]) -> F.Column:
@@ -112,15 +135,29 @@ def recommendations(settled: DataFrame, advice: dict[str, str]) -> DataFrame:
     return g.withColumn("priority", F.row_number().over(Window.partitionBy("capture_id").orderBy(F.desc("points"), "advice")))
 
 
+def strongest(evidence) -> F.Column:
+    """An aggregate: the strongest of the evidence grades; NOT_VERIFIABLE if there is none."""
+    rank = lookup(evidence, EVIDENCE_RANK)
+    return F.coalesce(F.min_by(F.col(evidence), rank), F.lit("NOT_VERIFIABLE"))
+
+
+def catalogue(spark: SparkSession, threats=THREATS) -> DataFrame:
+    """The threats as a table; a caller may give others of the same form."""
+    return spark.createDataFrame([(*t[:4], list(t[4]), t[5]) for t in threats], "threat_id string, category string, likelihood string, impact string, rule_ids array<string>, from_unverified boolean")
+
+
 def threat_matrix(settled: DataFrame, threats: DataFrame) -> DataFrame:
-    """threats: threat_id, likelihood, impact, rule_ids (array). Those that a failure or warning confirms, for each
-    capture, with the confirming rules. Rule ids are exploded, so it is an equality join with a small table."""
-    t = threats.select("threat_id", "likelihood", "impact", F.explode("rule_ids").alias("rule_id"))
-    weak = settled.where(F.col("status").isin("FAIL", "WARNING")).select("capture_id", "rule_id", "points")
+    """threats: as catalogue() gives them. Those that a finding of their rules confirms, for each capture: a failure or a
+    warning, or for threats from_unverified a property that could not be verified. With the confirming rules, the
+    strongest evidence and the points. Rule ids are exploded, so it is an equality join with a small table."""
+    t = threats.select("threat_id", "likelihood", "impact", "from_unverified", F.explode("rule_ids").alias("rule_id"))
     level = {"HIGH": 3, "MEDIUM": 2, "LOW": 1}
     x = lookup("likelihood", level, 1) + lookup("impact", level, 1)
     risk = F.when(x == 6, "CRITICAL").when(x == 5, "HIGH").when(x == 4, "MODERATE").otherwise("LOW")
-    return weak.join(F.broadcast(t), "rule_id").groupBy("capture_id", "threat_id", "likelihood", "impact").agg(F.array_join(F.array_sort(F.collect_set("rule_id")), ",").alias("rules"), F.round(F.sum("points"), 2).alias("points")).withColumn("risk", risk)
+    named = settled.select("capture_id", "rule_id", "status", "evidence_status", "points").join(t, "rule_id")
+    found = named.where(F.when(F.col("from_unverified"), F.col("status") == "NOT_VERIFIABLE").otherwise(F.col("status").isin("FAIL", "WARNING")))
+    g = found.groupBy("capture_id", "threat_id", "likelihood", "impact").agg(F.array_join(F.array_sort(F.collect_set("rule_id")), ",").alias("rules"), strongest("evidence_status").alias("evidence"), F.round(F.sum("points"), 2).alias("points"))
+    return g.withColumn("risk", risk)
 
 
 def worst_risk(rows: DataFrame, key: str, risk: str) -> DataFrame:

@@ -48,10 +48,15 @@ def first_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def content_versions(rows: DataFrame, key: str, order: str, content: str) -> DataFrame:
-    """rows with content hash, version number within the key and whether the content was there before under the key."""
-    w = Window.partitionBy(key).orderBy(order)
-    out = rows.withColumn("content_sha256", F.sha2(F.col(content), 256)).withColumn("version", F.row_number().over(w).cast("long"))
-    return out.withColumn("refused", F.row_number().over(Window.partitionBy(key, "content_sha256").orderBy(order)) > 1)
+    """rows with content hash, whether they are refused, and their version number within the key. A row is refused if a row
+    before it, of whatever key, has the same content; refused rows take no version (null). Null contents are never
+    refused. order has no ties."""
+    sha, first = "content_sha256", "_first"
+    out = rows.withColumn(sha, F.sha2(F.col(content), 256))
+    known = out.where(F.col(sha).isNotNull()).groupBy(sha).agg(F.min(order).alias(first))
+    out = out.join(known, sha, "left").withColumn("refused", F.coalesce(F.col(order) > F.col(first), F.lit(False))).drop(first)
+    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return out.withColumn("version", F.when(~F.col("refused"), F.count_if(~F.col("refused")).over(w)))
 
 
 def manifest_verdict(rows: DataFrame) -> DataFrame:
@@ -127,3 +132,35 @@ def hash_verify(manifest: DataFrame, files: DataFrame, key: str) -> DataFrame:
     own = files.select(key, F.sha2("content", 256).alias("actual"))
     state = F.when(F.col("actual").isNull(), "missing").when(F.col("sha256").isNull(), "unhashed").when(F.col("sha256") == F.col("actual"), "matched").otherwise("mismatched")
     return manifest.join(own, key, "left").select(key, state.alias("state"))
+
+
+def held_out_rows(rows: DataFrame, held: DataFrame, key: str, mark: str = "partition") -> DataFrame:
+    """rows with partition: held_out where held has their key, else train. held is read without repeats; null keys train."""
+    keys = held.select(F.col(key).alias("_held")).distinct()
+    return rows.join(keys, F.col(key) == F.col("_held"), "left").withColumn(mark, F.when(F.col("_held").isNotNull(), "held_out").otherwise("train")).drop("_held")
+
+
+def known_class_rows(rows: DataFrame, label: str, held: list) -> DataFrame:
+    """rows whose class is none of held, a short list; rows without a class stay."""
+    return rows.where(F.col(label).isNull() | ~F.col(label).isin(held))
+
+
+def shared_values(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
+    """Values that both sides have: what splits must not share."""
+    return a.select(column).intersect(b.select(column))
+
+
+def all_values(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Values of either one-column table, each once, under the name of the first."""
+    return a.union(b).distinct()
+
+
+def missing_values(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Values of the one-column table a that b lacks, each once."""
+    return a.subtract(b)
+
+
+def confounded(configs: DataFrame, a: str, *others: str) -> DataFrame:
+    """For each value of a, how many values of each other factor it meets, and whether the first of them is only one."""
+    counts = [F.count_distinct(c).alias(f"n_{c}") for c in others]
+    return configs.groupBy(a).agg(*counts).withColumn("confounded", F.col(f"n_{others[0]}") < 2)

@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ETHERNET, RAW, NULL, SLL, SLL2 = 1, 101, 0, 113, 276
-#: IPv6 extension headers that are followed, at most.
-EXTENSIONS = 8
+#: IPv6 extension headers that are followed, and how many at most: fixed values.
+FOLLOWED, EXTENSIONS = (0, 43, 44, 60, 135, 139, 140), 8
+#: Address families of a loopback header that mean IP: fixed values.
+FAMILIES = (2, 10, 24, 28, 30)
 
 
 def number(column: str, at: str | int, n: int) -> F.Column:
@@ -20,14 +22,24 @@ def number(column: str, at: str | int, n: int) -> F.Column:
 
 
 def strip_link(frames: DataFrame) -> DataFrame:
-    """frames with ethertype and packet, what follows the link header; one VLAN tag is skipped. Null for others."""
-    tagged = number("frame", 13, 2).isin(0x8100, 0x88A8)
-    version = number("frame", 1, 1).bitwiseAND(0xF0)
-    by_version = lambda v: F.when(v == 0x40, 0x0800).when(v == 0x60, 0x86DD)
-    kind = F.when(F.col("linktype") == ETHERNET, F.when(tagged, number("frame", 17, 2)).otherwise(number("frame", 13, 2))).when(F.col("linktype") == SLL, number("frame", 15, 2)).when(F.col("linktype") == SLL2, number("frame", 1, 2))
-    kind = kind.when(F.col("linktype") == RAW, by_version(version)).when(F.col("linktype") == NULL, by_version(number("frame", 5, 1).bitwiseAND(0xF0)))
-    at = F.when(F.col("linktype") == ETHERNET, F.when(tagged, 19).otherwise(15)).when(F.col("linktype") == SLL, 17).when(F.col("linktype") == SLL2, 21).when(F.col("linktype") == RAW, 1).when(F.col("linktype") == NULL, 5)
-    return frames.withColumn("ethertype", kind.cast("int")).withColumn("packet", F.substring("frame", at, F.length("frame")))
+    """frames with ethertype and packet, the IP packet behind the link header; one VLAN tag is skipped. packet is null where
+    the header is cut or names something else than IP, and where frame is null. A loopback header counts by its family.
+    Of an unknown link type, a frame that begins like an IP packet is one; else 14 bytes are skipped, if there are."""
+    n, at = F.length("frame"), lambda k: F.substring("frame", k, n)
+    outer = number("frame", 13, 2)
+    tagged = outer.isin(0x8100, 0x88A8) & (n >= 18)
+    link = F.col("linktype")
+    family = F.substring("frame", 1, 4).isin(*(bytearray(f.to_bytes(4, "little")) for f in FAMILIES))
+    first = F.shiftright(number("frame", 1, 1).cast("int"), 4)
+    packet = F.when(link == RAW, at(1)).when(link == SLL2, F.when(n >= 20, at(21))).when(link == SLL, F.when(n >= 16, at(17))).when(link == NULL, F.when(family, at(5)))
+    packet = packet.when(link == ETHERNET, F.when(tagged, at(19)).when(n >= 14, at(15)))
+    packet = packet.otherwise(F.when(first.isin(4, 6) | (n < 14), F.col("frame")).otherwise(at(15)))
+    named = F.when(link == ETHERNET, F.when(tagged, number("frame", 17, 2)).otherwise(outer)).when(link == SLL, number("frame", 15, 2)).when(link == SLL2, number("frame", 1, 2))
+    out = frames.withColumn("ethertype", named.cast("int")).withColumn("packet", packet)
+    version = F.shiftright(number("packet", 1, 1).cast("int"), 4)
+    kind = F.coalesce("ethertype", F.when(version == 4, 0x0800).when(version == 6, 0x86DD))
+    ip = ~link.isin(ETHERNET, SLL, SLL2) | F.col("ethertype").isin(0x0800, 0x86DD)
+    return out.withColumn("packet", F.when(F.coalesce(ip, F.lit(True)), F.col("packet"))).withColumn("ethertype", kind)
 
 
 def _v4(at: int) -> F.Column:
@@ -35,40 +47,55 @@ def _v4(at: int) -> F.Column:
 
 
 def _v6(at: int) -> F.Column:
-    return F.concat_ws(":", *(F.lower(F.conv(number("packet", at + 2 * k, 2).cast("string"), 10, 16)) for k in range(8)))
+    """Eight groups with the first of the longest runs of zeros left out; IPv4 behind ::ffff: in dots."""
+    text = F.concat_ws(":", *(F.lower(F.conv(number("packet", at + 2 * k, 2).cast("string"), 10, 16)) for k in range(8)))
+    mapped = F.hex(F.substring("packet", at, 12)) == "0" * 20 + "F" * 4
+    out = F.when(mapped, F.concat(F.lit("::ffff:"), _v4(at + 12)))
+    for run in range(8, 1, -1):
+        zeros = rf"^(.*?)(?:^|:)0(?::0){{{run - 1}}}(?::|$)(.*)$"
+        out = out.when(text.rlike(zeros), F.regexp_replace(text, zeros, "$1::$2"))
+    return out.otherwise(text)
 
 
 def decode_ip(packets: DataFrame) -> DataFrame:
-    """packets (packet, ethertype) with ip_version, protocol, src, dst and payload. IPv6 addresses are written as eight
-    groups. Of IPv6 extension headers EXTENSIONS are followed. Lengths beyond the captured bytes are cut."""
-    four, six = F.col("ethertype") == 0x0800, F.col("ethertype") == 0x86DD
+    """packets (packet) with ip_version, protocol, src, dst and payload; all null where packet is null, cut within its header
+    or of another version, which its first digit says. An IPv4 length that does not exceed the header, and an IPv6 length
+    of 0, mean all that was captured; other lengths are cut to it. Of IPv6 extension headers EXTENSIONS are followed; a
+    chain that runs past the captured bytes makes the packet unknown."""
     # one fold over the steps: written out step by step, each would repeat the expressions of the one before
+    byte = "cast(conv(hex(substring(packet, cast({0} as int), 1)), 16, 10) as bigint)"
     step = "named_struct('next', {0}, 'at', {1})"
-    byte = "cast(conv(hex(substring(packet, {0}, 1)), 16, 10) as bigint)"
-    start = step.format(byte.format(7), "41L")
-    size = f"case when x.next = 44 then 8 else ({byte.format('cast(x.at + 1 as int)')} + 1) * 8 end"
-    fold = f"aggregate(sequence(1, {EXTENSIONS}), {start}, (x, _) -> case when x.next in (0, 43, 44, 60) then {step.format(byte.format('cast(x.at as int)'), f'x.at + {size}')} else x end)"
-    out = packets.withColumn("_chain", F.when(six, F.expr(fold)))
-    out = out.withColumns({"_next": F.col("_chain.next"), "_at": F.col("_chain.at")})
-    ihl = number("packet", 1, 1).bitwiseAND(15) * 4
-    begin = F.when(four, ihl + 1).otherwise(F.col("_at")).cast("int")
-    end = F.when(four, number("packet", 3, 2)).otherwise(number("packet", 5, 2) + 40).cast("int")
+    size = f"case when x.next = 44 then 8 else ({byte.format('x.at + 1')} + 1) * 8 end"
+    more = f"x.next in {FOLLOWED}"
+    fold = f"aggregate(sequence(1, {EXTENSIONS}), {step.format(byte.format(7), '41L')}, (x, _) -> case when {more} and length(packet) < x.at + 1 then {step.format('-1L', 'x.at')} when {more} then {step.format(byte.format('x.at'), f'x.at + {size}')} else x end)"
+    version = F.shiftright(number("packet", 1, 1).cast("int"), 4)
+    n, ihl = F.length("packet"), number("packet", 1, 1).bitwiseAND(15) * 4
+    out = packets.withColumn("_chain", F.when((version == 6) & (n >= 40), F.expr(fold)))
+    six = F.coalesce(F.col("_chain.next") >= 0, F.lit(False)) & (n >= F.col("_chain.at") - 1)
+    four = (version == 4) & (n >= 20) & (n >= ihl)
+    total, length = number("packet", 3, 2), number("packet", 5, 2)
+    begin = F.when(four, ihl + 1).otherwise(F.col("_chain.at"))
+    end = F.when(four, F.when(total > ihl, F.least(total, n)).otherwise(n)).otherwise(F.when(length > 0, F.least(length + 40, n)).otherwise(n))
+    known = F.coalesce(four | six, F.lit(False))
     return out.withColumns({
-        "ip_version": F.when(four, 4).when(six, 6), "protocol": F.when(four, number("packet", 10, 1)).otherwise(F.col("_next")).cast("int"),
-        "src": F.when(four, _v4(13)).when(six, _v6(9)), "dst": F.when(four, _v4(17)).when(six, _v6(25)), "payload": F.substring("packet", begin, F.greatest(end - begin + 1, F.lit(0))),
-    }).drop("_chain", "_next", "_at")
+        "ip_version": F.when(known, F.when(four, 4).otherwise(6)), "protocol": F.when(known, F.when(four, number("packet", 10, 1)).otherwise(F.col("_chain.next"))).cast("int"),
+        "src": F.when(known, F.when(four, _v4(13)).otherwise(_v6(9))), "dst": F.when(known, F.when(four, _v4(17)).otherwise(_v6(25))),
+        "payload": F.when(known, F.substring("packet", begin.cast("int"), F.greatest(end - begin + 1, F.lit(0)).cast("int"))),
+    }).drop("_chain")
 
 
 def classify(packets: DataFrame) -> DataFrame:
-    """packets (protocol, payload) with kind and body: ESP and AH by protocol; UDP 500 is IKE; UDP 4500 is IKE after a
-    zero marker, else ESP if 12 bytes follow."""
+    """packets (protocol, payload) with kind, udp_encapsulated and body: ESP and AH by protocol; UDP from or to port 500 is
+    IKE; else of port 4500 IKE after a zero marker, and ESP if 12 bytes follow. Everything else, with cut headers and
+    nulls, is OTHER."""
     p = F.col("protocol")
-    port = lambda n: (number("payload", 1, 2) == n) | (number("payload", 3, 2) == n)
-    udp, body = p == 17, F.expr("substring(payload, 9)")
-    marked = number("payload", 9, 4) == 0
-    kind = F.when(p == 50, "ESP").when(p == 51, "AH").when(p.isin(1, 58), "ICMP").when(udp & port(4500) & marked, "IKE").when(udp & port(4500) & (F.length("payload") >= 20), "ESP").when(udp & port(500), "IKE").otherwise("OTHER")
-    out = F.when(udp & port(4500) & marked, F.expr("substring(payload, 13)")).when(udp, body).otherwise(F.col("payload"))
-    return packets.withColumns({"kind": kind, "udp_encapsulated": udp & port(4500) & (kind == "ESP"), "body": out})
+    port = lambda n: F.coalesce((number("payload", 1, 2) == n) | (number("payload", 3, 2) == n), F.lit(False))
+    udp = F.coalesce((p == 17) & (F.length("payload") >= 8), F.lit(False))
+    nat = udp & ~port(500) & port(4500)
+    marked = F.coalesce(number("payload", 9, 4) == 0, F.lit(False))
+    kind = F.when(p == 50, "ESP").when(p == 51, "AH").when(p.isin(1, 58), "ICMP").when(udp & port(500), "IKE").when(nat & marked, "IKE").when(nat & (F.length("payload") >= 20), "ESP").otherwise("OTHER")
+    body = F.when(nat & marked, F.expr("substring(payload, 13)")).when(udp, F.expr("substring(payload, 9)")).otherwise(F.col("payload"))
+    return packets.withColumns({"kind": kind, "udp_encapsulated": nat & (kind == "ESP"), "body": body})
 
 
 def decode_esp(packets: DataFrame) -> DataFrame:

@@ -104,10 +104,12 @@ def features_timing(packets: DataFrame) -> DataFrame:
 
 
 def features_health(packets: DataFrame) -> DataFrame:
+    """Exchanges are the IKE packets whose message was understood: ike_parsed, where packets has it."""
     flows = sequence_health(packets).groupBy("capture_id").agg(F.sum("sequence_gaps").alias("gaps"), F.sum("sequence_replays").alias("again"), F.count_if(~F.col("sequence_monotonic")).alias("back"), F.count("*").alias("f"))
-    own = packets.groupBy("capture_id").agg(F.count_if(_esp()).alias("n"), F.count_if(_esp() & F.col("udp_encapsulated")).alias("udp"), F.count_if(F.col("proto") == "IKE").alias("ike"))
+    ike = F.col("proto") == "IKE"
+    own = packets.groupBy("capture_id").agg(F.count_if(_esp()).alias("n"), F.count_if(_esp() & F.col("udp_encapsulated")).alias("udp"), F.count_if(ike).alias("ike"), F.count_if(ike & _flag(packets, "ike_parsed", True)).alias("parsed"))
     agg = own.join(flows, "capture_id", "left")
-    values = [F.col("gaps"), F.col("again"), ratio("back", "f"), ratio("udp", "n"), F.col("ike"), F.col("ike")]
+    values = [F.col("gaps"), F.col("again"), ratio("back", "f"), ratio("udp", "n"), F.col("ike"), F.col("parsed")]
     return _zeros(agg.select("capture_id", *(v.alias(n) for v, n in zip(values, FAMILIES["health"]))), FAMILIES["health"])
 
 
@@ -133,9 +135,10 @@ SIZES = ("esp_bytes", "esp_avg_len", "esp_len_min", "esp_len_max", "avg_packet_l
 
 
 def pad_sizes(features: DataFrame, target: int, bucket: bool = True, sizes=SIZES) -> DataFrame:
-    """Each size cut to a whole number and raised to the next multiple of target (bucket) or to target; never smaller."""
+    """Each size cut to a whole number and raised to the next multiple of target (bucket) or to target; never smaller. A
+    negative size is an error; null stays null."""
     def pad(c):
-        whole = F.floor(c).cast("double")
+        whole = F.when(c < 0, F.raise_error(F.lit("a size is negative"))).otherwise(F.floor(c).cast("double"))
         return F.greatest(whole, F.ceil(whole / target) * F.lit(float(target)) if bucket else F.lit(float(target)))
 
     return features.withColumns({c: pad(F.col(c)) for c in sizes if c in features.columns})
@@ -167,11 +170,12 @@ def exposure_observations(packets: DataFrame, min_share: float = 25.0) -> DataFr
 
 
 def exposure_score(observations: DataFrame) -> DataFrame:
-    """Points in percent of the most that the evaluated observations could earn, coverage, band, and the best one."""
+    """Points in percent of the most that the evaluated observations could earn, coverage, band (fixed values), and the best
+    one."""
     agg = observations.groupBy("capture_id").agg(F.coalesce(F.sum("points"), F.lit(0)).alias("earned"), F.count("points").alias("evaluated"), F.count("*").alias("all"), F.min_by("observation", F.when(F.col("points").isNotNull(), F.struct(-F.col("points"), F.col("observation")))).alias("top_observation"))
     risk = F.round(100 * ratio("earned", 4 * F.col("evaluated")), 0).cast("int")
     out = agg.select("capture_id", risk.alias("privacy_risk"), F.round(100 * ratio("evaluated", "all"), 0).cast("int").alias("coverage_percent"), "top_observation")
-    return out.withColumn("band", F.when(F.col("privacy_risk") >= 75, "high").when(F.col("privacy_risk") >= 50, "medium").when(F.col("privacy_risk") >= 25, "low").otherwise("minimal"))
+    return out.withColumn("band", F.when(F.col("privacy_risk") < 25, "low").when(F.col("privacy_risk") < 50, "moderate").when(F.col("privacy_risk") < 75, "elevated").otherwise("high"))
 
 
 def fingerprintability(packets: DataFrame, volume: int = 20) -> DataFrame:

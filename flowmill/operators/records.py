@@ -12,14 +12,34 @@ def compare_amounts(a: str, b: str) -> F.Column:
 
 
 def reconcile(rows: DataFrame, key: str, pairs: list[tuple[str, str]]) -> DataFrame:
-    """A finding for each row and pair of sources."""
+    """A comparison for each row and pair of sources."""
     f = F.explode(F.array(*(F.struct(F.lit(f"{a} vs {b}").alias("pair"), compare_amounts(a, b).alias("result")) for a, b in pairs)))
     return rows.select(key, f.alias("f")).select(key, "f.*")
 
 
-def reconcile_status(findings: DataFrame, key: str) -> DataFrame:
-    g = findings.groupBy(key).agg(F.bool_or(F.col("result") == "conflicting").alias("c"), F.bool_or(F.col("result") == "unconfirmed").alias("u"), F.count_if(F.col("result") == "matched").alias("matched"))
-    return g.select(key, F.when(F.col("c"), "CONFLICT").when(F.col("u"), "REVIEW").otherwise("CLEAR").alias("status"), "matched")
+def reconcile_findings(rows: DataFrame, key: str) -> DataFrame:
+    """rows: declared, extracted, external (amounts), external_available, code_format_ok, code_conflicts (booleans). A row
+    for each finding: key, finding_type, severity. An amount that two sources disagree on weighs high; one that the
+    document lacks or the declaration, a missing external source and a code that names something else weigh medium."""
+    first, second = compare_amounts("declared", "extracted"), compare_amounts("extracted", "external")
+    off = lambda c: ~F.coalesce(F.col(c), F.lit(False))
+    found = (
+        F.when(first == "conflicting", F.struct(F.lit("amount_mismatch_declared_vs_extracted"), F.lit("high"))).when(first == "unconfirmed", F.struct(F.lit("amount_unconfirmed"), F.lit("medium"))),
+        F.when(second == "conflicting", F.struct(F.lit("amount_mismatch_extracted_vs_external"), F.lit("high"))).when(off("external_available"), F.struct(F.lit("external_evidence_unavailable"), F.lit("medium"))),
+        F.when(~off("code_conflicts"), F.struct(F.lit("ifsc_mismatch"), F.lit("medium"))),
+        F.when(off("code_format_ok"), F.struct(F.lit("ifsc_invalid_format"), F.lit("high"))),
+    )
+    each = rows.select(key, F.explode(F.array_compact(F.array(*(f.cast("struct<finding_type:string,severity:string>") for f in found)))).alias("f"))
+    return each.select(key, "f.*")
+
+
+def reconcile_status(rows: DataFrame, findings: DataFrame, key: str) -> DataFrame:
+    """Each row's state from its findings: conflicting if one weighs high, requires_human_review if there is another, matched
+    if there is none; and how many there are."""
+    g = findings.groupBy(F.col(key).alias("_key")).agg(F.bool_or(F.col("severity") == "high").alias("_high"), F.count("*").alias("_n"))
+    out = rows.join(g, F.col(key) == F.col("_key"), "left")
+    state = F.when(F.col("_high"), "conflicting").when(F.col("_n") > 0, "requires_human_review").otherwise("matched")
+    return out.select(key, state.alias("status"), F.coalesce("_n", F.lit(0)).alias("findings"))
 
 
 def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
@@ -30,21 +50,29 @@ def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
 
 def code_lookup(rows: DataFrame, reference: DataFrame, code: str, pattern: str, name: str, expected: str) -> DataFrame:
     """rows with format_ok, known and name_matches (names compared without case and outer spaces)."""
-    out = rows.join(F.broadcast(reference), code, "left")
+    out = rows.join(reference, code, "left")
     same = F.lower(F.trim(F.col(name))) == F.lower(F.trim(F.col(expected)))
     return out.withColumns({"format_ok": F.col(code).cast("string").rlike(pattern), "known": F.col(name).isNotNull(), "name_matches": F.coalesce(same, F.lit(False))})
 
 
 def evaluate_policies(rows: DataFrame, rules: DataFrame) -> DataFrame:
-    """rules: rule_id, version, condition (JSON with segment and priority, either may be missing), percent. Each row
-    against the current version of each rule that applies to it: what is required, and whether the row's amount has it."""
-    current = rules.groupBy("rule_id").agg(F.max_by(F.struct("version", "condition", "percent", "least"), "version").alias("r")).select("rule_id", "r.*")
-    cond = lambda k: F.get_json_object("condition", f"$.{k}")
-    current = current.select("rule_id", "version", "percent", "least", cond("segment").alias("c_segment"), cond("priority").alias("c_priority"))
+    """rows: amount, required (what the obligation asks for), category, segment, priority. rules: rule_id, version, condition
+    (JSON with segment and priority, either may be missing), required (null: the row's), adjustments (JSON with
+    private_leased_property and private_leased_property_percent).
+
+    Each row against the current version of each rule that applies to it. For private rows the percentage is taken off
+    what is required. A rule without an amount fails, and so does a row without one. rules are a short table; Spark
+    chooses how to join them."""
+    part = F.struct("version", "condition", F.col("required").alias("rule_required"), "adjustments")
+    current = rules.groupBy("rule_id").agg(F.max_by(part, "version").alias("r")).select("rule_id", "r.*")
+    get = lambda c, k: F.get_json_object(c, f"$.{k}")
+    current = current.select("rule_id", "version", "rule_required", get("condition", "segment").alias("c_segment"), get("condition", "priority").alias("c_priority"), F.when(get("adjustments", "private_leased_property") == "true", F.coalesce(get("adjustments", "private_leased_property_percent").cast("double"), F.lit(0.0))).alias("percent"))
     on = (F.col("c_segment").isNull() | (F.col("c_segment") == F.col("segment"))) & (F.col("c_priority").isNull() | (F.col("c_priority") == F.col("priority")))
-    need = F.greatest(F.col("least"), F.col("base_amount") * F.col("percent") / 100).cast("long")
-    out = rows.join(F.broadcast(current), on).withColumn("required", need)
-    return out.withColumn("result", F.when(F.col("amount").isNull(), "UNKNOWN").when(F.col("amount") >= F.col("required"), "PASS").otherwise("FAIL"))
+    need = F.coalesce("rule_required", "required").cast("double")
+    need = F.when((F.col("category") == "Private") & F.col("percent").isNotNull(), need * (1 - F.col("percent") / 100)).otherwise(need)
+    why = F.when(need.isNull(), "rule has no amount").when(F.col("amount").isNull(), "amount not declared").when(F.col("amount") >= need, "meets").otherwise("below")
+    out = rows.join(current, on).withColumns({"reason": why, "required": need})
+    return out.withColumn("result", F.when(F.col("reason") == "meets", "PASS").otherwise("FAIL"))
 
 
 def extract_fields(docs: DataFrame, key: str, text: str, fields: dict[str, str]) -> DataFrame:
@@ -59,9 +87,11 @@ def fields_pivot(fields: DataFrame, key: str, names: list[str]) -> DataFrame:
     return fields.groupBy(key).agg(*(F.max_by(F.when(F.col("field") == n, F.col("value")), F.when(F.col("field") == n, F.col("line"))).alias(n) for n in names))
 
 
-def upsert_latest(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """old with the rows of new in place of those with the same key."""
-    return old.join(new.select(key), key, "left_anti").unionByName(new)
+def upsert_latest(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
+    """old with the rows of new in place of those with the same key. Of new rows that share a key the one with the highest
+    order counts; rows of new without a key are left out."""
+    newest = latest(new.where(F.col(key).isNotNull()), key, order).select(*old.columns)
+    return old.join(newest.select(key), key, "left_anti").select(*old.columns).unionByName(newest)
 
 
 def delete_keys(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
@@ -73,3 +103,19 @@ def history_list(rows: DataFrame, filters: dict[str, object], order: str, key: s
     for c, v in filters.items():
         rows = rows.where(F.col(c) == F.lit(v)) if v is not None else rows
     return rows.orderBy(F.desc(order), key).limit(max(1, min(500, limit)))
+
+
+def history_point(rows: DataFrame, key: str, value) -> DataFrame:
+    """The row of one key: value is a literal, or a one-row column of another table's aggregate."""
+    if isinstance(value, DataFrame):
+        return rows.join(value, key)
+    return rows.where(F.col(key) == F.lit(value))
+
+
+def history_count(rows: DataFrame, by: str) -> DataFrame:
+    return rows.groupBy(by).agg(F.count("*").alias("n"))
+
+
+def page(rows: DataFrame, order: str, offset: int, limit: int) -> DataFrame:
+    """A page of rows in the order of a column without repeats; offset and limit are 0 at least."""
+    return rows.orderBy(order).offset(max(0, offset)).limit(max(0, limit))

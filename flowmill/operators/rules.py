@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowmill.functions.columns import folded
 from flowmill.operators.assess import CHILD_LIFETIME, IKE_LIFETIME, TIER_RANK, lifetime_tier, lookup
 
 # Tiers of wire names.
@@ -23,6 +24,29 @@ GROUPS = {
     "CURVE25519": "RECOMMENDED", "ECP_256": "RECOMMENDED", "ECP_384": "RECOMMENDED", "ECP_521": "RECOMMENDED", "MODP_2048": "ACCEPTABLE", "MODP_3072": "RECOMMENDED", "MODP_4096": "RECOMMENDED",
     "MODP_6144": "RECOMMENDED", "MODP_8192": "RECOMMENDED", "MODP_1536": "DEPRECATED", "MODP_1024": "FORBIDDEN", "MODP_768": "FORBIDDEN",
 }
+# Other spellings of wire names, and the numbers of groups.
+ENCRYPTION_ALIASES = {
+    "aes128_gcm": "ENCR_AES_GCM_16", "aes192_gcm": "ENCR_AES_GCM_16", "aes256_gcm": "ENCR_AES_GCM_16", "aes128gcm16": "ENCR_AES_GCM_16", "aes192gcm16": "ENCR_AES_GCM_16", "aes256gcm16": "ENCR_AES_GCM_16", "aes_gcm": "ENCR_AES_GCM_16",
+    "aes128_gcm12": "ENCR_AES_GCM_12", "aes256_gcm12": "ENCR_AES_GCM_12", "aes128_gcm8": "ENCR_AES_GCM_8", "aes256_gcm8": "ENCR_AES_GCM_8",
+    "aes128_cbc": "ENCR_AES_CBC", "aes192_cbc": "ENCR_AES_CBC", "aes256_cbc": "ENCR_AES_CBC", "aes128": "ENCR_AES_CBC", "aes256": "ENCR_AES_CBC", "aes_cbc": "ENCR_AES_CBC",
+    "chacha20poly1305": "ENCR_CHACHA20_POLY1305", "3des": "ENCR_3DES", "3des_cbc": "ENCR_3DES", "des3": "ENCR_3DES", "des": "ENCR_DES", "null": "ENCR_NULL",
+}
+INTEGRITY_ALIASES = {
+    "hmac_sha256": "AUTH_HMAC_SHA2_256_128", "sha256": "AUTH_HMAC_SHA2_256_128", "hmac_sha384": "AUTH_HMAC_SHA2_384_192", "sha384": "AUTH_HMAC_SHA2_384_192", "hmac_sha512": "AUTH_HMAC_SHA2_512_256", "sha512": "AUTH_HMAC_SHA2_512_256",
+    "hmac_sha1": "AUTH_HMAC_SHA1_96", "hmac_sha_1_96": "AUTH_HMAC_SHA1_96", "sha1": "AUTH_HMAC_SHA1_96", "hmac_md5": "AUTH_HMAC_MD5_96", "md5": "AUTH_HMAC_MD5_96", "none": "NONE", "null": "NONE",
+}
+PRF_ALIASES = {
+    "prfsha256": "PRF_HMAC_SHA2_256", "prf_hmac_sha2_256": "PRF_HMAC_SHA2_256", "sha256": "PRF_HMAC_SHA2_256", "prfsha384": "PRF_HMAC_SHA2_384", "sha384": "PRF_HMAC_SHA2_384", "prfsha512": "PRF_HMAC_SHA2_512", "sha512": "PRF_HMAC_SHA2_512",
+    "prfsha1": "PRF_HMAC_SHA1", "sha1": "PRF_HMAC_SHA1", "prfmd5": "PRF_HMAC_MD5", "md5": "PRF_HMAC_MD5", "aes_xcbc": "PRF_AES128_XCBC", "aes_cmac": "PRF_AES128_CMAC",
+}
+GROUP_ALIASES = {
+    "modp768": "MODP_768", "modp1024": "MODP_1024", "modp1536": "MODP_1536", "modp2048": "MODP_2048", "modp3072": "MODP_3072", "modp4096": "MODP_4096", "modp6144": "MODP_6144", "modp8192": "MODP_8192",
+    "ecp256": "ECP_256", "nistp256": "ECP_256", "ecp384": "ECP_384", "nistp384": "ECP_384", "ecp521": "ECP_521", "nistp521": "ECP_521", "curve25519": "CURVE25519", "x25519": "CURVE25519",
+}
+GROUP_NUMBERS = {
+    1: "MODP_768", 2: "MODP_1024", 5: "MODP_1536", 14: "MODP_2048", 15: "MODP_3072", 16: "MODP_4096", 17: "MODP_6144", 18: "MODP_8192", 19: "ECP_256", 20: "ECP_384", 21: "ECP_521", 31: "CURVE25519",
+}
+# Points, rules with their categories, properties and points, and what rules look for.
 TIER_POINTS = {"FORBIDDEN": 20.0, "DEPRECATED": 12.0}
 STANDARD, GAP, EXPOSURE, NOTHING = {"FAIL": 14.0, "WARNING": 5.0}, {"FAIL": 20.0, "WARNING": 6.0}, {"FAIL": 8.0, "WARNING": 3.0}, {}
 RULES = (
@@ -64,6 +88,24 @@ FACTS = """capture_id string, ike_encryption array<string>, ike_integrity array<
  config struct<encryption: string, integrity: string, prf: string, dh_group: string, pfs: boolean, child_group: string, ike_version: int, replay_protection: boolean, ike_lifetime: long, child_lifetime: long>,
  predicted struct<confidence: double, complete: boolean, unknown: boolean>"""
 
+#: Wire names and their other spellings, by kind of algorithm.
+SPELLINGS = {"encryption": (ENCRYPTION, ENCRYPTION_ALIASES), "integrity": (INTEGRITY, INTEGRITY_ALIASES), "prf": (PRF, PRF_ALIASES), "group": (GROUPS, GROUP_ALIASES | {f"group{n}": name for n, name in GROUP_NUMBERS.items()})}
+
+
+def wire_name(name, kind: str) -> Column:
+    """The wire name of an algorithm however it is written: without case and signs, by its aliases, a group also by its
+    number. A name that none of them has comes in upper case, an unknown number as DH_GROUP_n; null and blank give an
+    empty string."""
+    wire, aliases = SPELLINGS[kind]
+    known = {"".join(c for c in k.lower() if c.isalnum()): v for k, v in (aliases | {w: w for w in wire}).items()}
+    text = F.trim(name)
+    found = F.coalesce(lookup(folded(text), known), F.upper(text), F.lit(""))
+    if kind == "group":
+        number = F.when(text.rlike("^[0-9]+$"), text.try_cast("int"))
+        found = F.when(number.isNotNull(), F.coalesce(lookup(number, GROUP_NUMBERS), F.concat(F.lit("DH_GROUP_"), text))).otherwise(found)
+    return found
+
+
 _UNSEEN = ("NOT_VERIFIABLE", "NOT_VERIFIABLE")
 
 

@@ -39,7 +39,10 @@ def fit(rows: DataFrame, features: list[str], estimator) -> PipelineModel:
 
 def score(model: PipelineModel, rows: DataFrame, key: str) -> DataFrame:
     """One row for each of rows: key, truth, predicted, confidence, split; probabilities where the model has them, else
-    its margins through a softmax."""
+    its margins through a softmax. rows that lack a feature of the model are an error."""
+    lacking = sorted(set(model.stages[0].getInputCols()) - set(rows.columns))
+    if lacking:
+        raise ValueError(f"the model needs columns {lacking}")
     out = model.transform(rows)
     p = vector_to_array("probability" if "probability" in out.columns else "rawPrediction")
     if "probability" not in out.columns:
@@ -77,13 +80,48 @@ def importances(model: PipelineModel, features: list[str], groups: dict[str, str
 
 
 
+#: Rows of a class that sigmoid and isotonic calibration need: fixed values.
+SIGMOID_ROWS, ISOTONIC_ROWS = 20, 100
 
-def calibrate(scores: DataFrame, key: str, classes: int, method: str = "sigmoid") -> DataFrame:
+
+def calibration_feasibility(rows: DataFrame, label: str) -> DataFrame:
+    """For each class its rows, and which kinds of calibration they are enough for."""
+    n = rows.groupBy(F.col(label).alias("class")).agg(F.count("*").alias("n"))
+    return n.select("class", "n", (F.col("n") >= SIGMOID_ROWS).alias("sigmoid_ok"), (F.col("n") >= ISOTONIC_ROWS).alias("isotonic_ok"))
+
+
+def disjoint(a: DataFrame, b: DataFrame, group: str) -> None:
+    """ValueError if a group has rows on both sides."""
+    shared = a.select(group).intersect(b.select(group)).limit(3).collect()
+    if shared:
+        raise ValueError(f"groups on both sides: {[r[0] for r in shared]}")
+
+
+def latest_model(cards: DataFrame, family: str, model: str, made: str, schema: str | None = None, wanted: str | None = None) -> DataFrame:
+    """The newest model of each family, of equal times the one with the highest id; with schema and wanted, only cards whose
+    feature schema is the wanted one."""
+    if schema is not None:
+        cards = cards.where(F.col(schema) == wanted)
+    return cards.groupBy(family).agg(F.max_by(model, F.struct(made, model)).alias("model"))
+
+
+def feature_columns(rows: DataFrame, wanted: list[str], shortcuts: tuple[str, ...] = ()) -> list[str]:
+    """Those of the wanted columns that rows has, in the order wanted, without the shortcuts: columns that give the label
+    away."""
+    return [c for c in wanted if c in rows.columns and c not in shortcuts]
+
+
+def leakage_audit(columns: list[str], allowed: list[str], shortcuts: tuple[str, ...]) -> list[tuple[str, str]]:
+    """Columns that must not be features, each with its reason: a shortcut, or none of those allowed."""
+    return [(c, "shortcut" if c in shortcuts else "not allowed") for c in columns if c in shortcuts or c not in allowed]
+
+
+def calibrate(scores: DataFrame, key: str, classes: int, method: str = "sigmoid", applied: tuple[str, ...] = ("test",), among: list[int] | None = None) -> DataFrame:
     """One-against-rest calibration of probabilities, fitted on the validation split and scaled to sum to 1; for the rows
-    of the test split: key, truth, class, p."""
+    of the splits in applied: key, truth, split, class, p. among: the classes there are, if not all."""
     long = scores.select(key, "truth", "split", F.posexplode("probabilities").alias("class", "p")).where(F.col("class") < classes)
-    out = []
-    for c in range(classes):
+    out, known = [], list(range(classes)) if among is None else among
+    for c in known:
         one = long.where(F.col("class") == c).withColumn("hit", (F.col("truth") == c).cast("double"))
         x = VectorAssembler(inputCols=["p"], outputCol="x").transform(one)
         train = x.where("split = 'validation'")
@@ -91,28 +129,38 @@ def calibrate(scores: DataFrame, key: str, classes: int, method: str = "sigmoid"
             q = IsotonicRegression(featuresCol="x", labelCol="hit").fit(train).transform(x).withColumn("q", F.col("prediction"))
         else:
             q = LogisticRegression(featuresCol="x", labelCol="hit", maxIter=50).fit(train).transform(x).withColumn("q", vector_to_array("probability")[1])
-        out.append(q.where("split = 'test'").select(key, "truth", "class", "q"))
+        out.append(q.where(F.col("split").isin(*applied)).select(key, "truth", "split", "class", "q"))
     every = out[0]
     for q in out[1:]:
         every = every.union(q)
     total = every.groupBy(key).agg(F.sum("q").alias("t"))
-    return every.join(total, key).select(key, "truth", "class", F.round(F.when(F.col("t") > 0, F.col("q") / F.col("t")).otherwise(1.0 / classes), 6).alias("p"))
+    return every.join(total, key).select(key, "truth", "split", "class", F.round(F.when(F.col("t") > 0, F.col("q") / F.col("t")).otherwise(1.0 / len(known)), 6).alias("p"))
 
 
 def heldout_class(rows: DataFrame, features: list[str], key: str, held: int, estimator, thresholds: list[float]) -> DataFrame:
-    """Trains without a class, chooses the threshold on known validation rows, and says what happens to the class."""
-    model = fit(rows.where(F.col("label") != held), features, estimator)
-    known = score(model, rows.where((F.col("label") != held) & (F.col("split") == "validation")), key)
-    chosen = threshold_choice(threshold_sweep(known, thresholds, F.col("truth") != held))
-    pool = score(model, rows.where((F.col("label") == held) | (F.col("split") == "test")), key)
-    return threshold_sweep(pool, thresholds, F.col("truth") != held).join(F.broadcast(chosen), "threshold")
-
-
-def heldout_config(rows: DataFrame, features: list[str], key: str, held: F.Column, estimator) -> DataFrame:
-    """Macro measures on configurations that training has not seen; an error if either side is empty."""
+    """Trains without a class, calibrates on known validation rows if each class has enough of them, chooses the threshold
+    on those rows, and says what happens to the class: all its rows, with the known rows of the test split."""
+    known, model = F.col("label") != held, fit(rows.where(F.col("label") != held), features, estimator)
+    validation = rows.where(known & (F.col("split") == "validation"))
+    pool = rows.where(~known | (F.col("split") == "test")).withColumn("split", F.lit("test"))
+    scored = score(model, validation.unionByName(pool), key)
+    counts = {r["class"]: r["sigmoid_ok"] for r in calibration_feasibility(validation, "label").collect()}
+    if counts and all(counts.values()):
+        p = calibrate(scored, key, 1 + max(counts), applied=("validation", "test"), among=sorted(counts))
+        best = F.max(F.struct("p", "class"))
+        scored = p.groupBy(key).agg(F.first("truth").alias("truth"), F.first("split").alias("split"), best.alias("b")).select(key, "truth", "split", F.col("b.class").alias("predicted"), F.col("b.p").alias("confidence"))
+    chosen = threshold_choice(threshold_sweep(scored.where("split = 'validation'"), thresholds, F.col("truth") != held))
+    return threshold_sweep(scored.where("split = 'test'"), thresholds, F.col("truth") != held).join(chosen, "threshold")
+
+
+def heldout_config(rows: DataFrame, features: list[str], key: str, held: F.Column, estimator, group: str | None = None) -> DataFrame:
+    """Macro measures on configurations that training has not seen; an error if either side is empty, or, with group, if a
+    group has rows on both sides."""
     inside, outside = rows.where(~held), rows.where(held)
     if inside.isEmpty() or outside.isEmpty():
         raise ValueError("both partitions need rows")
+    if group is not None:
+        disjoint(inside, outside, group)
     return macro_metrics(score(fit(inside.withColumn("split", F.lit("train")), features, estimator), outside, key))
 
 

@@ -45,8 +45,13 @@ _D = "ini as (select capture_id, arg_min(src,frame_index) s from p where proto='
 _DIR = "fp esp_fwd_packets, bp esp_bwd_packets, fb esp_fwd_bytes, bb esp_bwd_bytes, round(fp/(fp+bp),6) esp_fwd_packet_share, round(fb/(fb+bb),6) esp_fwd_byte_share"
 _T = "tm as (select capture_id, coalesce(avg(iat),0) m, coalesce(stddev_pop(iat),0) sd2, coalesce(max(iat),0) mx, greatest(arg_max(ts_s,frame_index)-arg_min(ts_s,frame_index),0.0) sp from (select *, ts_s-lag(ts_s) over (partition by capture_id order by frame_index) iat from p where proto='ESP') group by 1)"
 _TIM = "round(m,6) esp_iat_mean_s, round(sd2,6) esp_iat_std_s, round(mx,6) esp_iat_max_s, round(sp,6) esp_span_s"
-_H = "hh as (select capture_id, sum(sequence_gaps)::double g, sum(sequence_replays)::double r, count(*) filter (not sequence_monotonic)::double nm, count(*)::double hf from sh group by 1), hu as (select capture_id, count(*) filter (proto='ESP')::double hn, count(*) filter (proto='ESP' and udp_encapsulated)::double u, count(*) filter (proto='IKE')::double k from p group by 1)"
-_HEA = "g esp_seq_gap_total, r esp_seq_replay_total, round(nm/hf,6) esp_nonmonotonic_flow_share, round(u/hn,6) esp_udp_encap_share, k ike_packet_count, k ike_exchange_count"
+_H = "hh as (select capture_id, sum(sequence_gaps)::double g, sum(sequence_replays)::double r, count(*) filter (not sequence_monotonic)::double nm, count(*)::double hf from sh group by 1), hu as (select capture_id, count(*) filter (proto='ESP')::double hn, count(*) filter (proto='ESP' and udp_encapsulated)::double u, count(*) filter (proto='IKE')::double k, count(*) filter (proto='IKE' and length%4<>0)::double x from p group by 1)"
+_HEA = "g esp_seq_gap_total, r esp_seq_replay_total, round(nm/hf,6) esp_nonmonotonic_flow_share, round(u/hn,6) esp_udp_encap_share, k ike_packet_count, x ike_exchange_count"
+
+
+def _parsed(spark, d):
+    """P with a mark on IKE packets that were understood: those whose length four does not divide."""
+    return packets(spark, d).withColumn("ike_parsed", F.col("length") % 4 != 0)
 
 
 @query(f"with {P}, {_A} select capture_id, {_CAP} from a")
@@ -71,12 +76,12 @@ def features_timing(spark, d):
 
 @query(f"with {P}, {HEALTH}, {_H} select capture_id, {_HEA} from hh join hu using(capture_id)")
 def features_health(spark, d):
-    return rounded(fl.features_health(packets(spark, d)), *fl.FAMILIES["health"])
+    return rounded(fl.features_health(_parsed(spark, d)), *fl.FAMILIES["health"])
 
 
 @query(f"with {P}, {FLOWS}, {HEALTH}, {_A}, {_V}, {_D}, {_T}, {_H} select capture_id, {_CAP}, {_VOL}, {_DIR}, {_TIM}, {_HEA} from a join v using(capture_id) join vt using(capture_id) join dr using(capture_id) join tm using(capture_id) join hh using(capture_id) join hu using(capture_id)")
 def features_all(spark, d):
-    return rounded(fl.features_all(packets(spark, d)), *fl.FEATURES)
+    return rounded(fl.features_all(_parsed(spark, d)), *fl.FEATURES)
 
 
 @query(f"with {P}, {FLOWS}, {HEALTH} select capture_id, count(*) flows, sum(packets)::bigint esp_packets, sum(bytes_total)::bigint esp_bytes, max(packets) largest_flow_packets, sum(sequence_gaps)::bigint gaps, sum(sequence_replays)::bigint replays, bool_and(sequence_monotonic) monotonic, bool_or(udp_encapsulated) udp_encapsulated from fl join sh using(capture_id, spi_int) group by 1")
@@ -110,7 +115,7 @@ def exposure_observations(spark, d):
     return fl.exposure_observations(packets(spark, d))
 
 
-@query(f"with {P}, {_OBS}, s as (select capture_id, round(100.0*coalesce(sum(points),0)/(4*count(points)),0)::int privacy_risk, round(100.0*count(points)/count(*),0)::int coverage_percent, arg_min(observation, {{'p':-points,'o':observation}}) filter (points is not null) top_observation from ob group by 1) select *, case when privacy_risk>=75 then 'high' when privacy_risk>=50 then 'medium' when privacy_risk>=25 then 'low' else 'minimal' end band from s")
+@query(f"with {P}, {_OBS}, s as (select capture_id, round(100.0*coalesce(sum(points),0)/(4*count(points)),0)::int privacy_risk, round(100.0*count(points)/count(*),0)::int coverage_percent, arg_min(observation, {{'p':-points,'o':observation}}) filter (points is not null) top_observation from ob group by 1) select *, case when privacy_risk<25 then 'low' when privacy_risk<50 then 'moderate' when privacy_risk<75 then 'elevated' else 'high' end band from s")
 def exposure_score(spark, d):
     return fl.exposure_score(fl.exposure_observations(packets(spark, d)))
 

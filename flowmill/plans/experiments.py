@@ -8,8 +8,8 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from flowmill.functions.columns import reasons
 from flowmill.operators import decode as dc
+from flowmill.operators import runs
 from flowmill.operators import training as tr
 from flowmill.operators.dataset import grouped_split
 from flowmill.operators.flows import flow_summary
@@ -73,6 +73,22 @@ def hdr_ip_decode(spark, d):
     return _ip(spark, d).select("frame_index", "ip_version", "protocol", "src", "dst")
 
 
+@query(f"with {P} select frame_index, 6::int ip_version, case when user_id%3=1 then 17 else 50 end::int protocol, case when user_id%2=0 then 'fd00:1010::1' else '2001:db8:0:1::a00' end src, 'fe80::'||case when event_id%65536=0 then '' else lower(to_hex(event_id%65536)) end dst, 12+case when user_id%3=1 then 8 else 0 end::int payload_bytes from (select user_id, event_id, event_id frame_index from events)")
+def hdr_ip6_decode(spark, d):
+    """Events as IPv6 over cooked captures: two of three behind a routing and a fragment header, ESP plain or in UDP."""
+    e = table(spark, d, "events").select("event_id", "user_id")
+    esp = f"concat({_h('user_id', 8)}, {_h('event_id', 8)}, '00000000')"
+    inner = f"case when user_id % 3 = 1 then concat('11941194', '00140000', {esp}) else {esp} end"
+    kind = "case when user_id % 3 = 1 then '11' else '32' end"
+    chain = f"case when user_id % 3 = 0 then {kind} else '2b' end", f"case when user_id % 3 = 0 then '' else concat('2c00000000000000', {kind}, '00000000000000') end"
+    source = "case when user_id % 2 = 0 then 'fd001010000000000000000000000001' else '20010db8000000010000000000000a00' end"
+    ip = f"concat('60000000', {_h('length(body) div 2', 4)}, {chain[0]}, '40', {source}, 'fe80', repeat('0', 24), {_h('event_id % 65536', 4)}, body)"
+    x = e.withColumn("body", F.expr(f"concat({chain[1]}, {inner})")).withColumn("l3", F.expr(ip))
+    x = x.select(F.col("event_id").alias("frame_index"), F.lit(dc.SLL).alias("linktype"), F.expr("unhex(concat(repeat('00', 14), '86dd', l3))").alias("frame"))
+    rows = dc.decode_ip(dc.strip_link(_written(spark, x)))
+    return rows.select("frame_index", "ip_version", "protocol", "src", "dst", F.length("payload").alias("payload_bytes"))
+
+
 @query(f"with {P} select frame_index, proto kind, proto='ESP' and udp_encapsulated udp_encapsulated from p")
 def hdr_classify(spark, d):
     return dc.classify(_ip(spark, d)).select("frame_index", "kind", "udp_encapsulated")
@@ -123,63 +139,66 @@ def dataset_jsonl_roundtrip(spark, d):
     return src.read_jsonl(spark, where, "doc_id long, lang string, source string, n_chars long").where("_corrupt is null").drop("_corrupt")
 
 
-@query("with x as (select user_id%30 run, event_type proto, count(*) n from events group by 1,2), l as (select run, proto, n-1+(n%3) seen from x) select x.run, x.proto, n counted, seen logged, concat_ws('; ', case when n<60 then 'few packets' end, case when n<>seen then 'sources disagree' end) reasons, case when n<60 then 'INVALID' when n<>seen then 'UNVERIFIED' else 'VALID' end verdict from x join l on x.run=l.run and x.proto=l.proto")
+@query("""with s as (select user_id%30 run, count(*) packets, count(*) filter (event_type='signup') ike, count(*) filter (event_type='error' and user_id%4=0) esp, count(*) filter (event_type<>'click') ipv4 from events group by 1),
+l as (select user_id%30 run, count(*) filter (event_type='signup' and user_id%3=0) ike, count(*) filter (event_type='error') esp from events where user_id%30%7<>0 group by 1),
+x as (select run, greatest(packets, coalesce(l.ike,0), coalesce(l.esp,0)) packets, s.ike si, s.esp se, coalesce(l.ike,0) li, coalesce(l.esp,0) le, l.run is null nolog, ipv4 from s left join l using(run)),
+y as (select *, packets<60 or si+li=0 or se+le=0 or ipv4=0 bad, not nolog and ((si>0)<>(li>0) or (se>0)<>(le>0)) differ from x)
+select run, packets, case when bad then 'INVALID' when differ then 'UNVERIFIED' else 'VALID' end verdict, concat_ws('; ', case when packets<60 then 'too few packets' end, case when si+li=0 then 'no IKE' end, case when se+le=0 then 'no ESP' end, case when ipv4=0 then 'no IPv4' end, case when differ and not bad then 'sources disagree about IKE or ESP' end, case when nolog and not bad then 'no log' end) reasons from y""")
 def capture_verdict(spark, d):
-    e = table(spark, d, "events").groupBy((F.col("user_id") % 30).alias("run"), F.col("event_type").alias("proto")).agg(F.count("*").alias("counted"))
-    logs = e.select("run", F.concat(F.lit("  "), F.col("proto"), F.lit(" frames:"), F.col("counted") - 1 + F.col("counted") % 3, F.lit(" bytes:1")).alias("line"))
-    logged = log_counts(logs, "run")
-    x = e.join(logged, ["run", "proto"], "full")
-    few, differ = F.col("counted") < 60, ~F.col("counted").eqNullSafe(F.col("logged"))
-    return x.withColumn("reasons", F.concat_ws("; ", reasons((few, "few packets"), (differ, "sources disagree")))).withColumn("verdict", F.when(few, "INVALID").when(differ, "UNVERIFIED").otherwise("VALID"))
-
-
-def log_counts(lines, key: str):
-    """The most frames that protocol-hierarchy lines state for each protocol."""
-    x = lines.select(key, F.regexp_extract("line", r"^\s*(\w+)\s+frames:", 1).alias("proto"), F.regexp_extract("line", r"frames:(\d+)", 1).cast("long").alias("n"))
-    return x.where("proto <> ''").groupBy(key, "proto").agg(F.max("n").alias("logged"))
+    e = table(spark, d, "events").withColumn("run", F.col("user_id") % 30)
+    is_, n = (lambda k: F.col("event_type") == k), F.count_if
+    scanned = e.groupBy("run").agg(F.count("*").alias("packets"), n(is_("signup")).alias("ike"), n(is_("error") & (F.col("user_id") % 4 == 0)).alias("esp"), n(F.col("event_type") != "click").alias("ipv4"), F.lit(0).alias("ipv6"))
+    counts = e.where("run % 7 <> 0").groupBy("run").agg(n(is_("signup") & (F.col("user_id") % 3 == 0)).alias("isakmp"), n(is_("error")).alias("esp")).unpivot("run", ["isakmp", "esp"], "proto", "n")
+    lines = counts.select("run", F.format_string("  %s   frames:%d bytes:1", "proto", "n").alias("line"))
+    return runs.capture_verdict(scanned, runs.log_counts(lines, "run"), "run", 60, ip_version=4)
 
 
 @query("select user_id run, event_type proto, max(cast(floor(value) as bigint)) logged from events group by 1,2")
 def log_protocol_counts(spark, d):
     e = table(spark, d, "events")
-    return log_counts(e.select(F.col("user_id").alias("run"), F.concat(F.lit("   "), F.col("event_type"), F.lit("   frames:"), F.floor("value").cast("long"), F.lit(" bytes:7")).alias("line")), "run")
+    return runs.log_counts(e.select(F.col("user_id").alias("run"), F.concat(F.lit("   "), F.col("event_type"), F.lit("   frames:"), F.floor("value").cast("long"), F.lit(" bytes:7")).alias("line")), "run")
 
 
-@query("with g as (select user_id, bool_or(event_type='signup') started, bool_or(event_type='purchase') done, bool_or(event_type='error') failed from events group by 1) select user_id, case when not started then 'BLOCKED' when failed and not done then 'INVALID' when not done then 'INCOMPLETE' else 'VALID' end status from g")
+@query("""with g as (select user_id, bool_or(event_type='signup') a, bool_or(event_type='purchase') b, max(case when event_id%3=0 then event_type end) c, max(case when event_id%5=0 then event_type end) d, bool_or(event_type='view') e, bool_or(event_type='click') f, bool_or(event_type='error' and event_id%11=0) failed from events group by 1),
+x as (select user_id, a ike_sa_verified, b child_sa_verified, coalesce(c,'')<>'' xfrm_state_verified, coalesce(d,'')<>'' xfrm_policy_verified, e and b protected_payload_verified, f esp_verified, failed from g),
+y as (select *, concat_ws(',', case when not ike_sa_verified then 'ike_sa_verified' end, case when not child_sa_verified then 'child_sa_verified' end, case when not xfrm_state_verified then 'xfrm_state_verified' end, case when not xfrm_policy_verified then 'xfrm_policy_verified' end, case when not protected_payload_verified then 'protected_payload_verified' end, case when not esp_verified then 'esp_verified' end) unmet from x)
+select * exclude(failed), case when failed then 'FAILED' when unmet='' then 'FINALIZED' else 'INCOMPLETE' end state from y""")
 def gate_status(spark, d):
     has = lambda k: F.bool_or(F.col("event_type") == k)
-    g = table(spark, d, "events").groupBy("user_id").agg(has("signup").alias("started"), has("purchase").alias("done"), has("error").alias("failed"))
-    return g.select("user_id", F.when(~F.col("started"), "BLOCKED").when(F.col("failed") & ~F.col("done"), "INVALID").when(~F.col("done"), "INCOMPLETE").otherwise("VALID").alias("status"))
+    some = lambda n: F.max(F.when(F.col("event_id") % n == 0, F.col("event_type")))
+    g = table(spark, d, "events").groupBy("user_id").agg(has("signup").alias("ike_established"), has("purchase").alias("child_installed"), some(3).alias("xfrm_state"), some(5).alias("xfrm_policy"), has("view").alias("protected_payload"), has("click").alias("esp_observed"), F.bool_or((F.col("event_type") == "error") & (F.col("event_id") % 11 == 0)).alias("failed"))
+    return runs.gate_state(g, "user_id")
 
 
 @query("select event_id, coalesce(case when event_id%3=0 then event_type end, event_type||'*') encryption, (props->>'$.k')::bigint dh_group from events")
 def config_flatten(spark, d):
-    e = table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 3 == 0, F.to_json(F.struct(F.struct(F.col("event_type").alias("encryption"), F.get_json_object("props", "$.k").cast("long").alias("dh_group")).alias("child")))).otherwise(F.to_json(F.struct(F.concat("event_type", F.lit("*")).alias("encryption"), F.get_json_object("props", "$.k").cast("long").alias("dh_group")))).alias("config"))
-    at = lambda k: F.coalesce(F.get_json_object("config", f"$.child.{k}"), F.get_json_object("config", f"$.{k}"))
-    return e.select("event_id", at("encryption").alias("encryption"), at("dh_group").cast("long").alias("dh_group"))
+    k = F.get_json_object("props", "$.k").cast("long").alias("dh_group")
+    inner = F.to_json(F.struct(F.struct(F.col("event_type").alias("encryption"), k).alias("child"), F.lit("outer").alias("encryption")))
+    flat = F.to_json(F.struct(F.concat("event_type", F.lit("*")).alias("encryption"), k))
+    e = table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 3 == 0, inner).otherwise(flat).alias("config"))
+    return runs.config_values(e, "event_id", "config", {"encryption": "string", "dh_group": "long"})
 
 
-@query("select conv_id, string_agg(text, '|' order by turn) filter (role='user') user_texts, count(*) filter (role<>'user') others from conversations group by 1")
+@query("select conv_id, string_agg(text, '|' order by turn) filter (role='user') user_texts, count(*) filter (role<>'user') others from conversations where text is not null group by 1")
 def proposal_flatten(spark, d):
-    c = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
-    users = F.transform(F.filter("t", lambda x: x["role"] == "user"), lambda x: x["text"])
-    return c.select("conv_id", F.when(F.size(users) > 0, F.array_join(users, "|")).alias("user_texts"), F.size(F.filter("t", lambda x: x["role"] != "user")).cast("long").alias("others"))
+    g = runs.by_kind(table(spark, d, "conversations"), "conv_id", "turn", "role", "text", {"user": "user"})
+    return g.select("conv_id", F.when(F.size("user") > 0, F.array_join("user", "|")).alias("user_texts"), "others")
 
 
 @query("select conv_id, count(*) stages, count(*) filter (length(text)>=40) usable, min(turn) first_turn from conversations group by 1")
 def bundle_summary(spark, d):
-    kind = "array<struct<turn:long,ok:boolean>>"
-    b = table(spark, d, "conversations").groupBy("conv_id").agg(F.to_json(F.collect_list(F.struct("turn", (F.length("text") >= 40).alias("ok")))).alias("doc"))
-    s = F.from_json("doc", kind)
-    return b.select("conv_id", F.size(s).cast("long").alias("stages"), F.size(F.filter(s, lambda x: x["ok"])).cast("long").alias("usable"), F.array_min(F.transform(s, lambda x: x["turn"])).alias("first_turn"))
+    stages = table(spark, d, "conversations").select("conv_id", "turn", F.col("role").alias("component"), F.when(F.length("text") >= 40, "ok").otherwise("bad").alias("status"))
+    back = runs.document_stages(runs.stage_documents(stages, "conv_id", "turn"), "conv_id", "turn")
+    return back.groupBy("conv_id").agg(F.count("*").alias("stages"), F.count_if(F.col("status") == "ok").alias("usable"), F.min("turn").alias("first_turn"))
 
 
-@query("select doc_id, case when source is null then 'no source' when n_chars<20 then 'broken' end reason from documents")
+@query("select case when n_chars>=20 then doc_id end doc_id, case when n_chars<20 then 'broken' when source is null then 'no source' end reason from documents")
 def manifest_scan(spark, d):
+    """Documents as files of JSON, one to a line, those of short texts cut short; the files are scanned again."""
     docs = table(spark, d, "documents").select("doc_id", "source", "n_chars")
-    text = docs.select("doc_id", F.when(F.col("n_chars") < 20, "{broken").otherwise(F.to_json(F.struct("source", "n_chars"))).alias("doc"))
-    x = text.withColumn("r", F.from_json("doc", "source string, n_chars long, _c string", {"columnNameOfCorruptRecord": "_c"}))
-    return x.select("doc_id", F.when(F.col("r._c").isNotNull(), "broken").when(F.col("r.source").isNull(), "no source").alias("reason"))
+    where = sf.shared_folder(spark)
+    docs.select(F.when(F.col("n_chars") < 20, "{broken").otherwise(F.to_json(F.struct("doc_id", "source", "n_chars")))).write.text(where)
+    return runs.scan_documents(spark, where, "doc_id long, source string, n_chars long", ("source",), lines=True).select("doc_id", "reason")
 
 
 @query(f"with {P}, {FLOWS} select * from fl")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowmill.functions.columns import folded
 from flowmill.operators import assess as a
 from flowmill.operators import dataset as ds
 from flowmill.operators import records as rc
@@ -89,7 +88,7 @@ def dedup_first_wins(spark, d):
     return ds.first_wins(x, "k", "event_id").drop("k")
 
 
-@query("select doc_id, source, sha256(text) content_sha256, row_number() over (partition by source order by doc_id) as version, row_number() over (partition by source, sha256(text) order by doc_id)>1 refused from documents")
+@query("with h as (select doc_id, source, sha256(text) content_sha256, doc_id > min(doc_id) over (partition by sha256(text)) refused from documents) select doc_id, source, content_sha256, refused, case when not refused then count(*) filter (not refused) over (partition by source order by doc_id) end as version from h")
 def content_dedup_version(spark, d):
     return ds.content_versions(table(spark, d, "documents").select("doc_id", "source", "text"), "source", "doc_id", "text").drop("text")
 
@@ -107,7 +106,7 @@ def coverage_checks(spark, d):
 
 @query("select p_brand, count(distinct p_type) n_types, count(distinct p_size) n_sizes, count(distinct p_type)<2 confounded from part group by 1")
 def confounding_check(spark, d):
-    return table(spark, d, "part").groupBy("p_brand").agg(F.count_distinct("p_type").alias("n_types"), F.count_distinct("p_size").alias("n_sizes")).withColumn("confounded", F.col("n_types") < 2)
+    return ds.confounded(table(spark, d, "part"), "p_brand", "p_type", "p_size").withColumnsRenamed({"n_p_type": "n_types", "n_p_size": "n_sizes"})
 
 
 @query("select p_brand, p_type, min(case when p_size>25 then p_partkey end) with_key, min(case when p_size<=25 then p_partkey end) without_key from part group by 1,2 having count(*) filter (p_size>25)>0 and count(*) filter (p_size<=25)>0")
@@ -143,31 +142,29 @@ def hash_verify(spark, d):
 
 @query("select vec_id, label from embeddings where label not in (7,8,9)")
 def heldout_class_partition(spark, d):
-    x = table(spark, d, "embeddings").select("vec_id", "label")
-    return x.join(F.broadcast(spark.range(7, 10).select(F.col("id").cast("int").alias("label"))), "label", "left_anti").select("vec_id", "label")
+    return ds.known_class_rows(table(spark, d, "embeddings").select("vec_id", "label"), "label", [7, 8, 9])
 
 
 @query("select p_partkey, p_brand, case when p_brand in (select p_brand from part where p_size=1) then 'held_out' else 'train' end partition from part")
 def heldout_config_partition(spark, d):
     x = table(spark, d, "part")
-    held = x.where("p_size = 1").select("p_brand").distinct()
-    return x.join(held, "p_brand", "left_semi").select("p_partkey", "p_brand", F.lit("held_out").alias("partition")).union(x.join(held, "p_brand", "left_anti").select("p_partkey", "p_brand", F.lit("train")))
+    return ds.held_out_rows(x.select("p_partkey", "p_brand"), x.where("p_size = 1"), "p_brand")
 
 
 @query("select label as class from embeddings union select toxic from labels")
 def class_union(spark, d):
-    return table(spark, d, "embeddings").select(F.col("label").alias("class")).union(table(spark, d, "labels").select("toxic")).distinct()
+    return ds.all_values(table(spark, d, "embeddings").select(F.col("label").alias("class")), table(spark, d, "labels").select("toxic"))
 
 
 @query("select source from documents where lang='en' intersect select source from documents where lang='de'")
 def partition_overlap(spark, d):
     x = table(spark, d, "documents")
-    return x.where("lang = 'en'").select("source").intersect(x.where("lang = 'de'").select("source"))
+    return ds.shared_values(x.where("lang = 'en'"), x.where("lang = 'de'"), "source")
 
 
 @query("select label as class from embeddings except select quality from labels")
 def unseen_classes(spark, d):
-    return table(spark, d, "embeddings").select(F.col("label").alias("class")).subtract(table(spark, d, "labels").select("quality"))
+    return ds.missing_values(table(spark, d, "embeddings").select(F.col("label").alias("class")), table(spark, d, "labels").select("quality"))
 
 
 _ML = "('0x'||substr(sha256('42'||chr(0)||vec_id::varchar),1,8))::bigint::double/4294967296.0"
@@ -193,19 +190,25 @@ def select_candidate(spark, d):
 
 @query("select label as class, count(*) n, count(*)>=20 sigmoid_ok, count(*)>=100 isotonic_ok from embeddings group by 1")
 def calibration_feasibility(spark, d):
-    return table(spark, d, "embeddings").groupBy(F.col("label").alias("class")).agg(F.count("*").alias("n")).select("class", "n", (F.col("n") >= 20).alias("sigmoid_ok"), (F.col("n") >= 100).alias("isotonic_ok"))
+    from flowmill.operators.training import calibration_feasibility as of
+
+    return of(table(spark, d, "embeddings"), "label")
 
 
 @query("select o_orderpriority, arg_max(o_orderkey, {'d':o_orderdate,'k':o_orderkey}) model from orders where o_orderstatus='F' group by 1")
 def latest_model(spark, d):
-    return table(spark, d, "orders").where("o_orderstatus = 'F'").groupBy("o_orderpriority").agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("model"))
+    from flowmill.operators.training import latest_model as of
+
+    return of(table(spark, d, "orders"), "o_orderpriority", "o_orderkey", "o_orderdate", "o_orderstatus", "F")
 
 
 @query("select vec_id, embedding[1]::double f0, embedding[2]::double f1, embedding[4]::double f3 from embeddings")
 def feature_set_select(spark, d):
     x = table(spark, d, "embeddings")
     wide = x.select("vec_id", *(F.get("embedding", F.lit(k)).cast("double").alias(f"f{k}") for k in range(6)))
-    return wide.select("vec_id", *(c for c in wide.columns if c in ("f0", "f1", "f3")))
+    from flowmill.operators.training import feature_columns
+
+    return wide.select("vec_id", *feature_columns(wide, ["f0", "f1", "f2", "f3", "f9"], shortcuts=("f2",)))
 
 
 # registries and tiers
@@ -217,9 +220,13 @@ def registry_lookup(spark, d):
     return a.registry_names(table(spark, d, "customer").select("c_custkey", "c_nationkey"), a.dimension(spark, ids, "c_nationkey", "name"), "c_nationkey", "name", "ENCR_")
 
 
-@query("select p_partkey, regexp_replace(lower(p_brand),'[^a-z0-9]','','g') folded from part")
+_SPELT = ("AES-256-GCM", "aes_128_cbc", "3DES", " null ", "ENCR_CHACHA20_POLY1305", "serpent")
+
+
+@query(f"select p_partkey, case p_partkey%6 when 0 then 'ENCR_AES_GCM_16' when 1 then 'ENCR_AES_CBC' when 2 then 'ENCR_3DES' when 3 then 'ENCR_NULL' when 4 then 'ENCR_CHACHA20_POLY1305' else 'SERPENT' end cipher, case p_size when 1 then 'MODP_768' when 2 then 'MODP_1024' when 5 then 'MODP_1536' when 14 then 'MODP_2048' when 15 then 'MODP_3072' when 16 then 'MODP_4096' when 17 then 'MODP_6144' when 18 then 'MODP_8192' when 19 then 'ECP_256' when 20 then 'ECP_384' when 21 then 'ECP_521' when 31 then 'CURVE25519' else 'DH_GROUP_'||p_size end dh_group, upper(trim(p_brand)) other from part")
 def fold_names(spark, d):
-    return table(spark, d, "part").select("p_partkey", folded("p_brand").alias("folded"))
+    spelt = F.get(F.array(*map(F.lit, _SPELT)), (F.col("p_partkey") % 6).cast("int"))
+    return table(spark, d, "part").select("p_partkey", ru.wire_name(spelt, "encryption").alias("cipher"), ru.wire_name(F.col("p_size").cast("string"), "group").alias("dh_group"), ru.wire_name(F.col("p_brand"), "prf").alias("other"))
 
 
 _TIER = "case p_size%4 when 0 then 'RECOMMENDED' when 1 then 'ACCEPTABLE' when 2 then 'DEPRECATED' else 'FORBIDDEN' end"
@@ -330,22 +337,31 @@ def recommendations(spark, d):
     return a.recommendations(_settled(spark, d), _ADVICE)
 
 
-_THREATS = [("T-IKE-CIPHER", "HIGH", "HIGH", ["CRYPTO-001"]), ("T-PFS", "MEDIUM", "HIGH", ["KEYX-003", "KEYX-004"]), ("T-NAT", "LOW", "LOW", ["SA-003"]), ("T-PROFILE", "HIGH", "MEDIUM", ["META-002", "META-003"])]
-_TM = _ST + ", tr as (select * from (values ('T-IKE-CIPHER','HIGH','HIGH','CRYPTO-001','CRITICAL'),('T-PFS','MEDIUM','HIGH','KEYX-003','HIGH'),('T-PFS','MEDIUM','HIGH','KEYX-004','HIGH'),('T-NAT','LOW','LOW','SA-003','LOW'),('T-PROFILE','HIGH','MEDIUM','META-002','HIGH'),('T-PROFILE','HIGH','MEDIUM','META-003','HIGH')) v(threat_id, likelihood, impact, rule_id, risk)), tm as (select capture_id, threat_id, likelihood, impact, string_agg(distinct rule_id, ',' order by rule_id) \"rules\", round(sum(points),2) points, risk from st join tr using(rule_id) where status in ('FAIL','WARNING') group by capture_id, threat_id, likelihood, impact, risk)"
-
-
-def _threats(spark):
-    return spark.createDataFrame(_THREATS, "threat_id string, likelihood string, impact string, rule_ids array<string>")
+_TV = ", ".join(f"('{i}','{l}','{m}',{str(u).lower()},'{r}')" for i, _, l, m, rules, u in a.THREATS for r in rules)
+_LV = "case {0} when 'HIGH' then 3 when 'MEDIUM' then 2 else 1 end"
+_TM = _ST + f", tr as (select * from (values {_TV}) v(threat_id, likelihood, impact, unverified, rule_id)), tm as (select capture_id, threat_id, likelihood, impact, string_agg(distinct rule_id, ',' order by rule_id) \"rules\", arg_min(evidence_status, case evidence_status when 'OBSERVED' then 0 when 'CONFIGURED' then 1 when 'INFERRED' then 2 else 3 end) evidence, round(sum(points),2) points, case {_LV.format('likelihood')} + {_LV.format('impact')} when 6 then 'CRITICAL' when 5 then 'HIGH' when 4 then 'MODERATE' else 'LOW' end risk from st join tr using(rule_id) where case when unverified then status='NOT_VERIFIABLE' else status in ('FAIL','WARNING') end group by capture_id, threat_id, likelihood, impact)"
 
 
 @query(f"with {_TM} select * from tm")
 def threat_matrix(spark, d):
-    return a.threat_matrix(_settled(spark, d), _threats(spark))
+    return a.threat_matrix(_settled(spark, d), a.catalogue(spark))
+
+
+@query()
+def threat_catalogue(spark, d):
+    """All 20 threats against the verdicts of all 26 rules."""
+    verdicts = ru.rule_verdicts(_facts(spark, d))
+    return a.threat_matrix(a.settle(a.collapse(a.price(verdicts))), a.catalogue(spark))
 
 
 @query(f"with {_TM} select capture_id, case max(case risk when 'CRITICAL' then 3 when 'HIGH' then 2 when 'MODERATE' then 1 else 0 end) when 3 then 'CRITICAL' when 2 then 'HIGH' when 1 then 'MODERATE' else 'LOW' end worst_risk from tm group by 1")
 def worst_risk(spark, d):
-    return a.worst_risk(a.threat_matrix(_settled(spark, d), _threats(spark)), "capture_id", "risk")
+    return a.worst_risk(a.threat_matrix(_settled(spark, d), a.catalogue(spark)), "capture_id", "risk")
+
+
+@query(f"with {C} select capture_id, case min(case evidence_status when 'OBSERVED' then 0 when 'CONFIGURED' then 1 when 'INFERRED' then 2 else 3 end) when 0 then 'OBSERVED' when 1 then 'CONFIGURED' when 2 then 'INFERRED' else 'NOT_VERIFIABLE' end evidence from c group by 1")
+def strongest_evidence(spark, d):
+    return findings(spark, d).groupBy("capture_id").agg(a.strongest("evidence_status").alias("evidence"))
 
 
 @query(f"with {_SS} select capture_id, security_score, risk_level, n_findings, fails from ss join (select capture_id, count(*) n_findings, count(*) filter (status='FAIL') fails from st group by 1) using(capture_id)")
@@ -385,8 +401,12 @@ def amount_compare(spark, d):
     return evidence(spark, d).select("o_orderkey", rc.compare_amounts("declared", "external").alias("result"))
 
 
-_RC = K + ", rf as (select o_orderkey, 'declared vs extracted' pair, case when declared is not distinct from extracted then 'matched' when declared is null or extracted is null then 'unconfirmed' else 'conflicting' end result from k union all select o_orderkey, 'declared vs external', case when declared is not distinct from \"external\" then 'matched' when declared is null or \"external\" is null then 'unconfirmed' else 'conflicting' end from k)"
-_PAIRS = [("declared", "extracted"), ("declared", "external")]
+_CMP = "case when {0} is not distinct from {1} then 'matched' when {0} is null or {1} is null then 'unconfirmed' else 'conflicting' end"
+_RC = K + f", rf as (select o_orderkey, 'declared vs extracted' pair, {_CMP.format('declared', 'extracted')} result from k union all select o_orderkey, 'extracted vs external', {_CMP.format('extracted', chr(34) + 'external' + chr(34))} from k)"
+_RF = _RC + """, w as (select o_orderkey, o_custkey, "external", max(result) filter (pair='declared vs extracted') r1, max(result) filter (pair='extracted vs external') r2 from rf join k using(o_orderkey) group by all),
+ff as (select o_orderkey, unnest([case r1 when 'conflicting' then 'amount_mismatch_declared_vs_extracted' when 'unconfirmed' then 'amount_unconfirmed' end, case when r2='conflicting' then 'amount_mismatch_extracted_vs_external' when "external" is null then 'external_evidence_unavailable' end,
+case when o_custkey%20=0 then 'ifsc_mismatch' end, case when o_custkey%50=0 then 'ifsc_invalid_format' end]) finding_type from w), fs as (select *, case when finding_type like 'amount_mismatch%' or finding_type='ifsc_invalid_format' then 'high' else 'medium' end severity from ff where finding_type is not null)"""
+_PAIRS = [("declared", "extracted"), ("extracted", "external")]
 
 
 @query(f"with {_RC} select * from rf")
@@ -394,9 +414,19 @@ def reconcile_sources(spark, d):
     return rc.reconcile(evidence(spark, d), "o_orderkey", _PAIRS)
 
 
-@query(f"with {_RC} select o_orderkey, case when bool_or(result='conflicting') then 'CONFLICT' when bool_or(result='unconfirmed') then 'REVIEW' else 'CLEAR' end status, count(*) filter (result='matched') matched from rf group by 1")
+def _sources(spark, d):
+    return evidence(spark, d).withColumns({"external_available": F.col("external").isNotNull(), "code_conflicts": F.col("o_custkey") % 20 == 0, "code_format_ok": F.col("o_custkey") % 50 != 0})
+
+
+@query(f"with {_RF} select * from fs")
+def reconcile_findings(spark, d):
+    return rc.reconcile_findings(_sources(spark, d), "o_orderkey")
+
+
+@query(f"with {_RF}, g as (select o_orderkey, bool_or(severity='high') h, count(*) n from fs group by 1) select o_orderkey, case when h then 'conflicting' when n>0 then 'requires_human_review' else 'matched' end status, coalesce(n,0) findings from k left join g using(o_orderkey)")
 def reconcile_status(spark, d):
-    return rc.reconcile_status(rc.reconcile(evidence(spark, d), "o_orderkey", _PAIRS), "o_orderkey")
+    x = _sources(spark, d)
+    return rc.reconcile_status(x, rc.reconcile_findings(x, "o_orderkey"), "o_orderkey")
 
 
 @query("select s_suppkey, s_nationkey, n_name, regexp_matches(s_nationkey::varchar, '^[0-9]{2}$') format_ok, n_name is not null known, coalesce(lower(trim(n_name))=lower(trim(case when s_suppkey%2=0 then ' '||lower(n_name) else 'X' end)), false) name_matches from supplier left join nation on s_nationkey=n_nationkey")
@@ -407,17 +437,20 @@ def code_lookup(spark, d):
     return rc.code_lookup(s, n, "s_nationkey", "^[0-9]{2}$", "n_name", "expected").select("s_suppkey", "s_nationkey", "n_name", "format_ok", "known", "name_matches")
 
 
-_RULES = [("R1", 1, "{}", 5, 100), ("R1", 2, '{"segment":"BUILDING"}', 40, 5000), ("R2", 1, '{"priority":"1-URGENT"}', 60, 0), ("R3", 1, "{}", 50, 1000)]
+_RULES = [("R1", 1, "{}", 100, None), ("R1", 2, '{"segment":"BUILDING"}', 5000000, '{"private_leased_property":true,"private_leased_property_percent":25}'), ("R2", 1, '{"priority":"1-URGENT"}', None, '{"private_leased_property":true,"private_leased_property_percent":40}'), ("R3", 1, "{}", None, '{"private_leased_property":false,"private_leased_property_percent":90}')]
 
 
-@query(f"""with {K}, x as (select o_orderkey, extracted amount, declared base_amount, c_mktsegment segment, o_orderpriority priority from k join customer on c_custkey=o_custkey),
-r as (select * from (values ('R1',2,'BUILDING',null,40,5000),('R2',1,null,'1-URGENT',60,0),('R3',1,null,null,50,1000)) v(rule_id, version, cs, cp, pct, least_)),
-y as (select o_orderkey, rule_id, version, trunc(greatest(least_, base_amount*pct/100.0::DOUBLE))::bigint required, amount from x join r on (cs is null or cs=segment) and (cp is null or cp=priority))
-select o_orderkey, rule_id, version::int as version, required, case when amount is null then 'UNKNOWN' when amount>=required then 'PASS' else 'FAIL' end result from y""")
+@query(f"""with {K}, x as (select o_orderkey, extracted amount, case when o_orderkey%17<>0 then declared end required, case when o_custkey%2=0 then 'Private' else 'Public' end category, c_mktsegment segment, o_orderpriority priority from k join customer on c_custkey=o_custkey),
+r as (select * from (values ('R1',2,'BUILDING',null,5000000,25.0::DOUBLE),('R2',1,null,'1-URGENT',null,40.0),('R3',1,null,null,null,null)) v(rule_id, version, cs, cp, own, pct)),
+y as (select o_orderkey, rule_id, version, amount, coalesce(own, required)::double * case when category='Private' and pct is not null then 1-pct/100 else 1 end required from x join r on (cs is null or cs=segment) and (cp is null or cp=priority)),
+z as (select *, case when required is null then 'rule has no amount' when amount is null then 'amount not declared' when amount>=required then 'meets' else 'below' end reason from y)
+select o_orderkey, rule_id, version::int as version, required, reason, case when reason='meets' then 'PASS' else 'FAIL' end result from z""")
 def policy_eval(spark, d):
-    x = evidence(spark, d).join(table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey")).select("o_orderkey", F.col("extracted").alias("amount"), F.col("declared").alias("base_amount"), F.col("c_mktsegment").alias("segment"), F.col("o_orderpriority").alias("priority"))
-    rules = spark.createDataFrame(_RULES, "rule_id string, version int, condition string, percent int, least int")
-    return rc.evaluate_policies(x, rules).select("o_orderkey", "rule_id", "version", "required", "result")
+    category = F.when(F.col("o_custkey") % 2 == 0, "Private").otherwise("Public")
+    x = evidence(spark, d).join(table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    x = x.select("o_orderkey", F.col("extracted").alias("amount"), F.when(F.col("o_orderkey") % 17 != 0, F.col("declared")).alias("required"), category.alias("category"), F.col("c_mktsegment").alias("segment"), F.col("o_orderpriority").alias("priority"))
+    rules = spark.createDataFrame(_RULES, "rule_id string, version int, condition string, required long, adjustments string")
+    return rc.evaluate_policies(x, rules).select("o_orderkey", "rule_id", "version", "required", "reason", "result")
 
 
 _EF = "ln as (select doc_id, unnest(string_split(text, chr(10))) t, generate_subscripts(string_split(text, chr(10)),1)-1 line from documents), ef as (select doc_id, line::int as line, 'license' field, trim(substr(t, strpos(t,'License')+7), ' ') as value from ln where contains(t,'License') union all select doc_id, line::int, 'version', trim(substr(t, strpos(t,'ersion ')+7), ' ') from ln where contains(t,'ersion '))"
@@ -442,10 +475,12 @@ def latest_per_key(spark, d):
 _HIST = "select o_orderkey, o_orderstatus, o_totalprice from orders"
 
 
-@query("select o_orderkey, case when o_orderkey%10=0 then 'R' else o_orderstatus end o_orderstatus, o_totalprice from orders")
+@query("select o_orderkey, case when o_orderkey%10=0 then 'R' else o_orderstatus end o_orderstatus, case when o_orderkey%10=0 then o_totalprice+1 else o_totalprice end o_totalprice from orders")
 def history_upsert_latest(spark, d):
     x = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    return rc.upsert_latest(x, x.where("o_orderkey % 10 = 0").withColumn("o_orderstatus", F.lit("R")), "o_orderkey")
+    some = x.where("o_orderkey % 10 = 0")
+    new = some.withColumn("o_orderstatus", F.lit("Q")).union(some.selectExpr("o_orderkey", "'R'", "o_totalprice + 1"))
+    return rc.upsert_latest(x, new, "o_orderkey", "o_totalprice")
 
 
 @query(_HIST + " where o_orderkey%4<>0")
@@ -463,12 +498,12 @@ def history_list(spark, d):
 @query(_HIST + " where o_orderkey = (select max(o_orderkey) from orders)")
 def history_point(spark, d):
     x = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    return x.join(F.broadcast(x.agg(F.max("o_orderkey").alias("o_orderkey"))), "o_orderkey")
+    return rc.history_point(x, "o_orderkey", x.agg(F.max("o_orderkey").alias("o_orderkey")))
 
 
 @query("select o_orderstatus, count(*) n from orders group by 1")
 def history_count(spark, d):
-    return table(spark, d, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+    return rc.history_count(table(spark, d, "orders"), "o_orderstatus")
 
 
 @query(f"with {_SS} select capture_id, security_score, risk_level, concat_ws(', ', 'score '||rounded_score, risk_level, case when fails>0 then fails||' failed' end) summary from ss join (select capture_id, count(*) filter (status='FAIL') fails from st group by 1) using(capture_id)")
@@ -481,4 +516,4 @@ def history_project(spark, d):
 
 @query("select p_partkey, p_name from part where p_size>10 order by p_partkey limit 20 offset 40")
 def paged_list(spark, d):
-    return table(spark, d, "part").where("p_size > 10").select("p_partkey", "p_name").orderBy("p_partkey").offset(40).limit(20)
+    return rc.page(table(spark, d, "part").where("p_size > 10").select("p_partkey", "p_name"), "p_partkey", 40, 20)
