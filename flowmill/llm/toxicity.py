@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowmill.llm.common import smallest_hashes
-from flowmill.llm.tokens import in_blocks, texts_of
+from flowmill.llm.tokens import in_blocks, texts_of, trim
 
 #: Labelled texts the model is fitted on: so many of each label at most, none longer than so many characters.
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 1500, 2500, 5000
@@ -104,27 +104,27 @@ def _bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     """The texts' words in one row, as numbers of distinct words, and where each text's begin; the buckets of all distinct
     words' n-grams in one row, where each word's begin, and how many it has."""
     known: dict[str, int] = {}
-    found, first = [], [0]
+    found = []
     for text in texts:
         low = text.lower()
         begin, length, *_ = words_of(low)
-        found += [known.setdefault(low[b - 1 : b - 1 + n], len(known)) for b, n in zip(begin.tolist(), length.tolist())]
-        first.append(len(found))
+        found.append(np.fromiter((known.setdefault(low[b - 1 : b - 1 + n], len(known)) for b, n in zip(begin.tolist(), length.tolist())), np.int32, len(begin)))
+    first = np.cumsum([0] + [len(f) for f in found])
     begin, length, _, buckets, valids = words_of(" ".join(known))
-    owner_of = np.zeros(int(begin[-1] + length[-1]) + 6 if len(begin) else 6, np.int64)
+    size = n_grams(length)
+    owner_of = np.zeros(int(begin[-1] + length[-1]) + 6 if len(begin) else 6, np.int32)
     owner_of[begin] = 1
-    owner_of = np.cumsum(owner_of) - 1
+    owner_of = np.cumsum(owner_of, dtype=np.int32) - 1
     at = [np.flatnonzero(v) for v in valids]
-    grams = np.concatenate([b[i].astype(np.int64) for b, i in zip(buckets, at)])
-    owner = np.concatenate([owner_of[i + 1] for i in at])
-    order = np.argsort(owner, kind="stable")
-    size = np.bincount(owner, minlength=len(known))
-    return np.array(found, np.int64), np.array(first), grams[order], np.cumsum(size) - size, size
+    grams = np.concatenate([b[i].astype(np.int32) for b, i in zip(buckets, at)])
+    order = np.argsort(np.concatenate([owner_of[i + 1] for i in at]), kind="stable")
+    return np.concatenate([*found, np.zeros(0, np.int32)]), first, grams[order], np.cumsum(size) - size, size
 
 
-def _added(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """n rows: the sums of rows with the same number in at."""
-    return np.stack([np.bincount(at, r, minlength=n) for r in rows.T], 1)
+def _by_dimension(values) -> np.ndarray:
+    """The columns that values gives for each dimension: one at a time, so that memory holds no more than one of them for all
+    n-grams."""
+    return np.stack([values(k) for k in range(DIMS)], 1)
 
 
 def train(texts: list[str], labels: Iterable[int], seed: int = 3) -> Model:
@@ -145,12 +145,12 @@ def train(texts: list[str], labels: Iterable[int], seed: int = 3) -> Model:
     w, bias = np.zeros((DIMS, 2)), np.zeros(2)
     held = [np.full(x.shape, 1e-6) for x in (e, w, bias)]
     count = _before(size[stream])
-    of_window = np.repeat(np.arange(len(y)), np.diff(np.append(at, len(lo))))
+    of_window = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(np.append(at, len(lo))))
     pairs, times = np.unique(np.repeat(np.arange(len(y)), np.diff(first)) * len(size) + stream[first[0] :], return_counts=True)
     for epoch in range(EPOCHS):
         if epoch < WHOLE:
             begin, end = first[:-1], first[1:]
-            doc, word, of = pairs // len(size), pairs % len(size), times[:, None]
+            doc, word, of = pairs // len(size), pairs % len(size), times
         else:
             value = _before(np.add.reduceat((e @ (w[:, 1] - w[:, 0]))[grams], start)[stream])
             value = (value[hi] - value[lo]) / (count[hi] - count[lo])
@@ -160,17 +160,23 @@ def train(texts: list[str], labels: Iterable[int], seed: int = 3) -> Model:
             many = end - begin
             doc, of = np.repeat(np.arange(len(y)), many), 1
             word = stream[np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(begin, many)]
-        used, word = np.unique(word, return_inverse=True)
-        n = size[used]
-        own = np.cumsum(n) - n
-        gram = grams[np.arange(n.sum()) - np.repeat(own, n) + np.repeat(start[used], n)]
+        if epoch < WHOLE:
+            n, own, gram = size, start, grams
+        else:
+            used, word = np.unique(word, return_inverse=True)
+            n = size[used]
+            own = np.cumsum(n) - n
+            gram = grams[np.arange(n.sum()) - np.repeat(own - start[used], n)]
         share = 1 / (count[end] - count[begin])
-        mean = _added(doc, np.add.reduceat(e[gram], own)[word] * of, len(y)) * share[:, None]
+        bag = _by_dimension(lambda k: np.add.reduceat(e[gram, k], own))
+        mean = _by_dimension(lambda k: np.bincount(doc, bag[word, k] * of, len(y))) * share[:, None]
         z = mean @ w + bias
         p = np.exp(z - z.max(1, keepdims=True))
         d = (p / p.sum(1, keepdims=True) - np.eye(2)[y]) * cost[:, None]
-        by_word = _added(word, (d @ w.T * share[:, None])[doc] * of, len(used))
-        de = _added(gram, by_word[np.repeat(np.arange(len(used)), n)], len(e))
+        back = d @ w.T * share[:, None]
+        by_word = _by_dimension(lambda k: np.bincount(word, back[doc, k] * of, len(n)))
+        of_gram = np.repeat(np.arange(len(n), dtype=np.int32), n)
+        de = _by_dimension(lambda k: np.bincount(gram, by_word[of_gram, k], len(e)))
         for x, grad, sums in zip((e, w, bias), (de, mean.T @ d, d.sum(0)), held):
             sums += grad * grad
             x -= RATE * grad / np.sqrt(sums)
@@ -187,7 +193,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     rows = []
     for toxic, most in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN)):
         rows += smallest_hashes(both.where(F.col("toxic") == toxic), most, "doc_id", "text").select("text", "toxic").collect()
-    return train([r["text"] for r in rows], [r["toxic"] for r in rows])
+    model = train([r["text"] for r in rows], [r["toxic"] for r in rows])
+    trim()
+    return model
 
 
 def toxicity_score(spark, model: Model, text) -> F.Column:
