@@ -3,11 +3,12 @@
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from flowmill.llm import pii
+from flowmill.llm import pii, shingle_dedup
 from flowmill.llm.common import shared_path
 from tests.llm.test_operators import check_packed, links_to_roots, plain_simhash
 
@@ -56,8 +57,11 @@ def test_stages(spark, sf_dir):
     assert os.path.basename(corpus_pipeline.__file__) == "corpus_pipeline.py"
 
 
-def test_near_copies_by_five_word_similarity(spark):
+@pytest.mark.parametrize("small,members,some", [(24, 256, 1 << 20), (0, 3, 1 << 20), (2, 256, 150)])
+def test_near_copies_by_five_word_similarity(spark, monkeypatch, small, members, some):
     """Sets of one, two and six changed words in 120: near at 0.8 though many simhash bits apart; a chain is one group."""
+    for name, value in (("SMALL", small), ("BLOCK_MEMBERS", members), ("BLOCK_SHINGLES", some)):
+        monkeypatch.setattr(shingle_dedup, name, value)
     rng = random.Random(3)
     vocabulary = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(500)]
     texts = []
@@ -81,3 +85,12 @@ def test_near_copies_by_five_word_similarity(spark):
     assert corpus_pipeline.drop_near_copies(spark, docs.limit(0), "").count() == 0
     nulls = spark.createDataFrame([(None, "x y z"), (None, None), (7, "x y z")], "doc_id long, text string")
     assert {(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, nulls, "").collect()} == {(None, None), (7, "x y z")}
+
+
+def test_similar_sets():
+    rng = np.random.default_rng(2)
+    base = rng.choice(10_000, 300, replace=False)
+    found = [np.unique(np.concatenate([base[: int(k)], rng.integers(10_000, 11_000, int(x))])) for k, x in zip(rng.integers(200, 300, 40), rng.integers(0, 30, 40))]
+    want = [[len(set(a) & set(b)) >= 0.8 * len(set(a) | set(b)) for b in found] for a in found]
+    for width in (7, 4096):
+        assert shingle_dedup.similar(found, width).tolist() == want
