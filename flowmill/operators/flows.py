@@ -47,78 +47,152 @@ def flow_summary(packets: DataFrame) -> DataFrame:
     )
 
 
+#: Frame numbers of a range: a long flow or capture is sorted in so many at a time.
+RANGE = 1 << 16
+
+
+def _ranges(packets: DataFrame, keys: tuple[str, ...], value: str) -> DataFrame:
+    """The steps of value between neighbours in frame order, summed up by ranges of frame numbers, so that no task sorts a
+    whole key: keys, part, n (rows), first and last (value at either end), and of the steps that are known inside the
+    range: steps (count), mean, square (sum of squared distances from the mean), top, back (below 0), gap (what those
+    above 1 exceed it by). Rows that share a frame number are in the order of their values, nulls first."""
+    w = Window.partitionBy(*keys, "_part").orderBy("frame_index", value)
+    rows = packets.select(*keys, "frame_index", value, F.floor(F.col("frame_index") / RANGE).alias("_part"))
+    step = F.col("_step")
+    place = F.struct("frame_index", F.col(value).alias("v"))
+    return rows.withColumn("_step", F.col(value) - F.lag(value).over(w)).groupBy(*keys, "_part").agg(
+        F.count("*").alias("n"), F.min(place)["v"].alias("first"), F.max(place)["v"].alias("last"), F.count(step).alias("steps"), F.avg(step).alias("mean"),
+        (F.var_pop(step) * F.count(step)).alias("square"), F.max(step).alias("top"), F.count_if(step < 0).alias("back"), F.coalesce(F.sum(F.when(step > 1, step - 1)), F.lit(0)).alias("gap"),
+    )
+
+
+def _between(ranges: DataFrame, keys: tuple[str, ...], order: str = "_part") -> DataFrame:
+    """ranges with across: the step from the range before."""
+    return ranges.withColumn("across", F.col("first") - F.lag("last").over(Window.partitionBy(*keys).orderBy(order)))
+
+
+def joined_health(ranges: DataFrame, keys: tuple[str, ...], order: str = "_part") -> DataFrame:
+    """Gaps and steps back of each key, from its ranges in order."""
+    across = F.col("across")
+    return _between(ranges, keys, order).groupBy(*keys).agg(
+        (F.sum("gap") + F.coalesce(F.sum(F.when(across > 1, across - 1)), F.lit(0))).alias("sequence_gaps"), (F.sum("back") + F.count_if(across < 0)).alias("steps_back"), F.sum("n").alias("packets")
+    )
+
+
+def sequence_ranges(packets: DataFrame) -> DataFrame:
+    """The ranges of each ESP flow, for joined_health."""
+    return _ranges(packets.where(_esp()), ("capture_id", "spi_int"), "seq").select("capture_id", "spi_int", "_part", "n", "first", "last", "gap", "back")
+
+
 def sequence_health(packets: DataFrame) -> DataFrame:
     """Per flow in frame order: numbers missed between neighbours, repeats of a number, and whether none goes back.
-    Gaps count from the number seen last, so a step back makes later gaps count again."""
-    w = Window.partitionBy("capture_id", "spi_int").orderBy("frame_index")
-    step = F.col("seq") - F.lag("seq").over(w)
-    rows = packets.where(_esp()).select("capture_id", "spi_int", "seq", step.alias("step"))
-    return rows.groupBy("capture_id", "spi_int").agg(
-        F.coalesce(F.sum(F.when(F.col("step") > 1, F.col("step") - 1)), F.lit(0)).alias("sequence_gaps"),
-        (F.count("seq") - F.count_distinct("seq")).alias("sequence_replays"),
-        (F.count_if(F.col("step") < 0) == 0).alias("sequence_monotonic"),
-    )
+    Gaps count from the number seen last, so a step back makes later gaps count again. A null number has no step to
+    either side and repeats nothing. A large flow is spread over ranges of frames and over its numbers."""
+    keys = ("capture_id", "spi_int")
+    steps = joined_health(sequence_ranges(packets), keys)
+    numbers = packets.where(_esp()).groupBy(*keys, "seq").agg(F.count("seq").alias("_n")).groupBy(*keys)
+    again = numbers.agg(F.sum(F.greatest(F.col("_n") - 1, F.lit(0))).alias("sequence_replays")).select(*(F.col(k).alias(f"_{k}") for k in keys), "sequence_replays")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return steps.join(again, same).select(*keys, "sequence_gaps", "sequence_replays", (F.col("steps_back") == 0).alias("sequence_monotonic"))
 
 
 def _zeros(df: DataFrame, names) -> DataFrame:
     return df.select("capture_id", *(F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias(n) for n in names))
 
 
-def features_capture(packets: DataFrame) -> DataFrame:
+def _sums(packets: DataFrame) -> DataFrame:
+    """Packets summed by flow and sender: one pass over them, from which all features follow but those of order."""
+    esp, ike, size = _esp(), F.col("proto") == "IKE", F.col("length")
+    n, place = F.count_if, F.struct("frame_index", "ts_s")
     version = _flag(packets, "ip_version", 4)
-    agg = packets.groupBy("capture_id").agg(
-        F.count("*").alias("n"), F.sum("length").alias("b"), F.greatest(F.max_by("ts_s", "frame_index") - F.min_by("ts_s", "frame_index"), F.lit(0.0)).alias("d"),
-        F.count_if(_esp()).alias("esp"), F.count_if(F.col("proto") == "IKE").alias("ike"), F.count_if(F.col("proto") == "ICMP").alias("icmp"), F.count_if(version == 6).alias("v6"), F.count_if(_flag(packets, "truncated", False)).alias("cut"),
+    return packets.groupBy("capture_id", esp.alias("esp"), F.when(esp, F.col("spi_int")).alias("spi"), F.when(esp, F.col("src")).alias("src")).agg(
+        F.count("*").alias("n"), F.sum(size).alias("b"), F.sum((size * size).cast("decimal(38,0)")).alias("q"), F.min(size).alias("lo"), F.max(size).alias("hi"), F.min("frame_index").alias("f"), F.min(place).alias("begin"), F.max(place).alias("end"),
+        n("udp_encapsulated").alias("udp"), n(ike).alias("ike"), n(ike & _flag(packets, "ike_parsed", True)).alias("parsed"), n(F.col("proto") == "ICMP").alias("icmp"), n(version == 6).alias("v6"), n(_flag(packets, "truncated", False)).alias("cut"),
     )
-    values = [F.col("n"), F.col("b"), F.col("d"), ratio("n", "d"), ratio("b", "d"), ratio("b", "n"), *(ratio(c, "n") for c in ("esp", "ike", "icmp", "v6", "cut"))]
-    return _zeros(agg.select("capture_id", *(v.alias(n) for v, n in zip(values, FAMILIES["capture"]))), FAMILIES["capture"])
+
+
+def _capture_values(packets: DataFrame) -> DataFrame:
+    """A row for each capture with the features that need no order. The sums by flow and sender are summed again by flow and
+    by sender at once; forward is the direction of the sender with the smallest first frame. The deviation is taken
+    from whole numbers, which cancel exactly."""
+    esp = F.col("esp")
+    # grouping: 1 by flow (sender left out), 2 by sender
+    sides = _sums(packets).groupingSets([["capture_id", "esp", "spi"], ["capture_id", "esp", "src"]], "capture_id", "esp", "spi", "src").agg(
+        F.grouping_id().alias("g"), *(F.sum(c).alias(c) for c in ("n", "b", "q", "udp", "ike", "parsed", "icmp", "v6", "cut")), *(F.min(c).alias(c) for c in ("lo", "f", "begin")), *(F.max(c).alias(c) for c in ("hi", "end"))
+    )
+    flow, sender = F.col("g") == 1, F.col("g") == 2
+    every = {c: F.sum(F.when(flow, F.col(c))).alias(c) for c in ("n", "b", "ike", "parsed", "icmp", "v6", "cut")}
+    own = {f"e{c}": F.coalesce(F.sum(F.when(flow & esp, F.col(c))), F.lit(0)).alias(f"e{c}") for c in ("n", "b", "q", "udp")}
+    agg = sides.groupBy("capture_id").agg(
+        *every.values(), *own.values(), F.count_if(flow & esp).alias("flows"), F.min(F.when(flow & esp, F.col("lo"))).alias("lo"), F.max(F.when(flow & esp, F.col("hi"))).alias("hi"), F.max(F.when(flow & esp, F.col("n"))).alias("top"),
+        F.min(F.when(flow, F.col("begin")))["ts_s"].alias("begin"), F.max(F.when(flow, F.col("end")))["ts_s"].alias("end"), F.min(F.when(sender & esp, F.struct("f", "n", "b"))).alias("x"),
+    )
+    d = F.greatest(F.col("end") - F.col("begin"), F.lit(0.0))
+    whole = lambda c: F.col(c).cast("decimal(38,0)")
+    std = ratio(F.sqrt((whole("eq") * whole("en") - whole("eb") * whole("eb")).cast("double")), "en")
+    values = {
+        "capture": [F.col("n"), F.col("b"), d, ratio("n", d), ratio("b", d), ratio("b", "n"), ratio("en", "n"), *(ratio(c, "n") for c in ("ike", "icmp", "v6", "cut"))],
+        "volume": [F.col("en"), F.col("eb"), F.col("flows"), ratio("eb", "en"), F.col("lo"), F.col("hi"), std, ratio("en", "flows"), ratio("eb", "flows"), ratio("top", "en")],
+        "direction": [F.col("x.n"), F.col("en") - F.col("x.n"), F.col("x.b"), F.col("eb") - F.col("x.b"), ratio("x.n", "en"), ratio("x.b", "eb")],
+        "health": [ratio("eudp", "en"), F.col("ike"), F.col("parsed")],
+    }
+    named = [v.alias(n) for k, vs in values.items() for v, n in zip(vs, FAMILIES[k][-len(vs) :])]
+    return agg.select("capture_id", *named)
+
+
+def _timing_values(packets: DataFrame) -> DataFrame:
+    """Captures with ESP: mean, deviation and maximum of the times between their packets, and their span."""
+    ranges = _between(_ranges(packets.where(_esp()), ("capture_id",), "ts_s"), ("capture_id",))
+    w = Window.partitionBy("capture_id")
+    inner = F.coalesce(F.col("mean") * F.col("steps"), F.lit(0.0))
+    known = F.col("steps") + F.col("across").isNotNull().cast("int")
+    rows = ranges.withColumns({"_all": F.sum(known).over(w), "_mean": ratio(F.sum(inner + F.coalesce("across", F.lit(0.0))).over(w), F.sum(known).over(w))})
+    far = lambda x: F.coalesce((F.col(x) - F.col("_mean")) * (F.col(x) - F.col("_mean")), F.lit(0.0))
+    square = F.coalesce("square", F.lit(0.0)) + F.col("steps") * far("mean") + far("across")
+    agg = rows.groupBy("capture_id").agg(
+        F.max("_mean").alias("mean"), F.sqrt(ratio(F.sum(square), F.max("_all"))).alias("std"), F.greatest(F.max("top"), F.max("across")).alias("max"), F.greatest(F.max_by("last", "_part") - F.min_by("first", "_part"), F.lit(0.0)).alias("span")
+    )
+    return agg.select("capture_id", *(F.col(c).alias(n) for c, n in zip(("mean", "std", "max", "span"), FAMILIES["timing"])))
+
+
+def _health_values(packets: DataFrame) -> DataFrame:
+    """Captures with ESP: gaps and repeats of their flows, and the share of flows that go back."""
+    g = sequence_health(packets).groupBy("capture_id").agg(F.sum("sequence_gaps").alias("gaps"), F.sum("sequence_replays").alias("again"), ratio(F.count_if(~F.col("sequence_monotonic")), F.count("*")).alias("back"))
+    return g.select("capture_id", *(F.col(c).alias(n) for c, n in zip(("gaps", "again", "back"), FAMILIES["health"])))
+
+
+def features_capture(packets: DataFrame) -> DataFrame:
+    return _zeros(_capture_values(packets), FAMILIES["capture"])
 
 
 def features_volume(packets: DataFrame) -> DataFrame:
     """By flow first, then by capture: a capture's packets are never gathered."""
-    flows = packets.groupBy("capture_id", F.when(_esp(), F.col("spi_int")).alias("spi")).agg(
-        F.count_if(_esp()).alias("n"), F.sum(F.when(_esp(), F.col("length"))).alias("b"), F.sum(F.when(_esp(), F.col("length").cast("double") * F.col("length"))).alias("q"), F.min(F.when(_esp(), F.col("length"))).alias("lo"), F.max(F.when(_esp(), F.col("length"))).alias("hi"),
-    )
-    agg = flows.groupBy("capture_id").agg(F.sum("n").alias("n"), F.sum("b").alias("b"), F.sum("q").alias("q"), F.count_if(F.col("n") > 0).alias("f"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("n").alias("top"))
-    std = F.sqrt(F.greatest(ratio("q", "n") - F.pow(ratio("b", "n"), 2), F.lit(0.0)))
-    values = [F.col("n"), F.col("b"), F.col("f"), ratio("b", "n"), F.col("lo"), F.col("hi"), std, ratio("n", "f"), ratio("b", "f"), ratio("top", "n")]
-    return _zeros(agg.select("capture_id", *(v.alias(n) for v, n in zip(values, FAMILIES["volume"]))), FAMILIES["volume"])
+    return _zeros(_capture_values(packets), FAMILIES["volume"])
 
 
 def features_direction(packets: DataFrame) -> DataFrame:
-    """Forward is the direction of the capture's first ESP sender. Sums are by sender; the first sender is the one with
-    the smallest first frame, so no packet is joined with anything."""
-    by_src = packets.groupBy("capture_id", F.when(_esp(), F.col("src")).alias("src")).agg(F.count_if(_esp()).alias("n"), F.sum(F.when(_esp(), F.col("length"))).alias("b"), F.min(F.when(_esp(), F.col("frame_index"))).alias("f"))
-    agg = by_src.groupBy("capture_id").agg(F.sum("n").alias("n"), F.sum("b").alias("b"), F.min(F.when(F.col("f").isNotNull(), F.struct("f", "n", "b"))).alias("x"))
-    values = [F.col("x.n"), F.col("n") - F.col("x.n"), F.col("x.b"), F.col("b") - F.col("x.b"), ratio("x.n", "n"), ratio("x.b", "b")]
-    return _zeros(agg.select("capture_id", *(v.alias(n) for v, n in zip(values, FAMILIES["direction"]))), FAMILIES["direction"])
+    """Forward is the direction of the capture's first ESP sender."""
+    return _zeros(_capture_values(packets), FAMILIES["direction"])
 
 
 def features_timing(packets: DataFrame) -> DataFrame:
-    """Times between ESP packets in frame order. The one feature family that needs a capture's packets in order."""
-    w = Window.partitionBy("capture_id").orderBy("frame_index")
-    rows = packets.where(_esp()).select("capture_id", "frame_index", "ts_s", (F.col("ts_s") - F.lag("ts_s").over(w)).alias("iat"))
-    agg = rows.groupBy("capture_id").agg(F.avg("iat").alias("mean"), F.stddev_pop("iat").alias("std"), F.max("iat").alias("max"), F.greatest(F.max_by("ts_s", "frame_index") - F.min_by("ts_s", "frame_index"), F.lit(0.0)).alias("span"))
-    every = packets.select("capture_id").distinct().join(agg, "capture_id", "left")
-    return _zeros(every.select("capture_id", *(F.col(c).alias(n) for c, n in zip(("mean", "std", "max", "span"), FAMILIES["timing"]))), FAMILIES["timing"])
+    """Times between ESP packets in frame order, by ranges of frames that are then joined end to end."""
+    return _zeros(packets.select("capture_id").distinct().join(_timing_values(packets), "capture_id", "left"), FAMILIES["timing"])
 
 
 def features_health(packets: DataFrame) -> DataFrame:
     """Exchanges are the IKE packets whose message was understood: ike_parsed, where packets has it."""
-    flows = sequence_health(packets).groupBy("capture_id").agg(F.sum("sequence_gaps").alias("gaps"), F.sum("sequence_replays").alias("again"), F.count_if(~F.col("sequence_monotonic")).alias("back"), F.count("*").alias("f"))
-    ike = F.col("proto") == "IKE"
-    own = packets.groupBy("capture_id").agg(F.count_if(_esp()).alias("n"), F.count_if(_esp() & F.col("udp_encapsulated")).alias("udp"), F.count_if(ike).alias("ike"), F.count_if(ike & _flag(packets, "ike_parsed", True)).alias("parsed"))
-    agg = own.join(flows, "capture_id", "left")
-    values = [F.col("gaps"), F.col("again"), ratio("back", "f"), ratio("udp", "n"), F.col("ike"), F.col("parsed")]
-    return _zeros(agg.select("capture_id", *(v.alias(n) for v, n in zip(values, FAMILIES["health"]))), FAMILIES["health"])
+    return _zeros(_capture_values(packets).join(_health_values(packets), "capture_id", "left"), FAMILIES["health"])
 
 
 def features_all(packets: DataFrame) -> DataFrame:
-    """The 37 features of each capture, in the order of FEATURES; 0, never null, where a side is empty."""
-    out = features_capture(packets)
-    for family in (features_volume, features_direction, features_timing, features_health):
-        out = out.join(family(packets), "capture_id")
-    return out.select("capture_id", *FEATURES)
+    """The 37 features of each capture, in the order of FEATURES; 0, never null, where a side is empty. Packets are read
+    for the sums, for the times and for the flows' numbers; what is joined is a row for each capture. Packets without a
+    capture are left out of times and numbers."""
+    out = _capture_values(packets).join(_timing_values(packets), "capture_id", "left").join(_health_values(packets), "capture_id", "left")
+    return _zeros(out, FEATURES)
 
 
 def metadata_summary(packets: DataFrame) -> DataFrame:

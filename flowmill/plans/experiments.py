@@ -212,9 +212,9 @@ def _stream(spark, d):
     return e.selectExpr("date_format(ts,'yyyy-MM-dd') capture_id", "event_id frame_index", "case when event_type='signup' then 'IKE' else 'ESP' end proto", "user_id%8 spi_int", "case when user_id%2=0 then 'A' else 'B' end src", "cast(floor(value) as bigint)+64 length", "cast(get_json_object(props,'$.k') as bigint) seq", "event_type='error' udp_encapsulated")
 
 
-@query(f"with {P} select capture_id, spi_int, coalesce(sum(case when s>1 then s-1 end),0)::bigint gaps, count(*) filter (s<0) steps_back, count(*) packets from (select *, seq-lag(seq) over (partition by capture_id, spi_int order by frame_index) s from p where proto='ESP') group by 1,2")
+@query(f"with {P} select capture_id, spi_int, coalesce(sum(case when s>1 then s-1 end),0)::bigint gaps, count(*) filter (s<0) steps_back, count(seq)-count(distinct seq) repeats, count(*) packets from (select *, seq-lag(seq) over (partition by capture_id, spi_int order by frame_index) s from p where proto='ESP') group by 1,2")
 def stream_sequence_health(spark, d):
-    return sf.run_updates(sf.sequence_state(_stream(spark, d)), ["capture_id", "spi_int"], sf.shared_folder(spark))
+    return sf.stream_sequence_health(_stream(spark, d), sf.shared_folder(spark))
 
 
 # models: all rows and components of embeddings, split by their id

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from flowmill.operators.flows import flow_summary
+from flowmill.operators.flows import flow_summary, joined_health, sequence_ranges
 
 
 def run_updates(stream: DataFrame, keys: list[str], where: str) -> DataFrame:
@@ -34,21 +33,31 @@ def windowed_volume(packets: DataFrame, delay: str = "10 minutes", width: str =
     return packets.withWatermark("ts", delay).groupBy("capture_id", F.window("ts", width)).agg(F.count("*").alias("packets"), F.sum("length").alias("bytes"))
 
 
-def sequence_state(packets: DataFrame) -> DataFrame:
-    """Running gaps and steps back of each flow: the state is the last frame's number and the sums, so it does not grow.
-    Packets of a flow must arrive in frame order between batches; within one they are sorted."""
+def stream_sequence_health(packets: DataFrame, where: str) -> DataFrame:
+    """Gaps, steps back, repeats and packets of each ESP flow of a stream, over all that has arrived; equal to the batch
+    result. Frames of a later batch come after those of the batches before it; within a batch they need no order.
 
-    def step(key, batches, state):
-        last, gaps, back, n = state.get if state.exists else (None, 0, 0, 0)
-        rows = pd.concat(list(batches)).sort_values("frame_index")
-        for seq in rows.seq.tolist():
-            if last is not None:
-                gaps, back = gaps + max(0, seq - last - 1), back + (seq < last)
-            last, n = seq, n + 1
-        state.update((last, gaps, back, n))
-        yield pd.DataFrame([(*key, gaps, back, n)], columns=["capture_id", "spi_int", "gaps", "steps_back", "packets"])
+    A batch leaves a row for each range of frames of a flow, with the numbers at either end, and how often each number
+    came; a batch that is run again overwrites its own. The rows are joined end to end when they are read, so no worker
+    holds a flow and no state is kept between batches but these tables. Null numbers repeat nothing."""
+    keys = ("capture_id", "spi_int")
 
-    return packets.where("proto = 'ESP'").groupBy("capture_id", "spi_int").applyInPandasWithState(step, "capture_id string, spi_int long, gaps long, steps_back long, packets long", "last long, gaps long, back long, n long", "update", "NoTimeout")
+    def put(batch: DataFrame, number: int) -> None:
+        sequence_ranges(batch).write.mode("overwrite").parquet(f"{where}/ranges/batch={number}")
+        counts = batch.where("proto = 'ESP' and seq is not null").groupBy(*keys, "seq").agg(F.count("*").alias("times"))
+        counts.write.mode("overwrite").parquet(f"{where}/numbers/batch={number}")
+
+    packets.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{where}/checkpoint").foreachBatch(put).start().awaitTermination()
+    spark, field = packets.sparkSession, packets.schema
+    key_types = ", ".join(f"{k} {field[k].dataType.simpleString()}" for k in keys)
+    number = field["seq"].dataType.simpleString()
+    ranges = spark.read.schema(f"{key_types}, _part long, n long, first {number}, last {number}, gap long, back long, batch int").parquet(f"{where}/ranges")
+    numbers = spark.read.schema(f"{key_types}, seq {number}, times long").parquet(f"{where}/numbers")
+    again = numbers.groupBy(*keys, "seq").agg(F.sum("times").alias("times")).groupBy(*keys).agg(F.sum(F.col("times") - 1).alias("repeats"))
+    again = again.select(*(F.col(k).alias(f"_{k}") for k in keys), "repeats")
+    health = joined_health(ranges.withColumn("_place", F.struct("batch", "_part")), keys, "_place")
+    same = F.col(keys[0]).eqNullSafe(F.col(f"_{keys[0]}")) & F.col(keys[1]).eqNullSafe(F.col(f"_{keys[1]}"))
+    return health.join(again, same, "left").select(*keys, F.col("sequence_gaps").alias("gaps"), "steps_back", F.coalesce("repeats", F.lit(0)).alias("repeats"), "packets")
 
 
 def shared_folder(spark: SparkSession) -> str:
