@@ -13,6 +13,9 @@ from flowmill.llm.common import cut
 CELLS = 256
 #: Vectors of a block.
 BLOCK = 2048
+#: So many rows that a block's cells leave open are passed on for each query and result; where there are more, the block's
+#: exact vectors are fetched instead, and k rows are passed on.
+OPEN = 8
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -22,37 +25,33 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ((x - low) // step).astype(np.uint8), low, step
 
 
-def block_top(queries: np.ndarray, own: np.ndarray, ids: np.ndarray, exact: np.ndarray, cells: np.ndarray, low: np.ndarray, step: np.ndarray, k: int):
-    """For each query, positions and scores of its k best rows of exact, ties to the smaller id; own is left out.
-
-    A row's cell bounds its score from both sides. Rows are read in the order of their upper bounds until the kth score
-    found exceeds every bound that is left."""
-    centre = low + step * cells + (step - 1) / 2
-    middle = queries.astype(float) @ centre.T
-    slack = np.abs(queries).astype(float) @ ((step - 1) / 2)
-    exact, queries = exact.astype(np.int64), queries.astype(np.int64)
-    found = []
-    for q, mid, s, me in zip(queries, middle, slack, own):
-        s += 1e-9 * (1 + np.abs(mid).max())
-        other = np.flatnonzero(ids != me)
-        if not len(other):
-            found.append((other, np.zeros(0, np.int64)))
-            continue
-        upper = mid[other] + s
-        if len(other) > k:
-            least = np.partition(mid[other], len(other) - k)[len(other) - k] - s
-            other, upper = other[upper >= least], upper[upper >= least]
-        order = np.argsort(-upper, kind="stable")
-        rows, scores, at = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
-        while at < len(order):
-            if len(scores) >= k and upper[order[at]] < scores[k - 1]:
-                break
-            part = other[order[at : at + 64]]
-            rows, scores = np.concatenate([rows, part]), np.concatenate([scores, exact[part] @ q])
-            best = np.lexsort((ids[rows], -scores))
-            rows, scores, at = rows[best][:k], scores[best][:k], at + 64
-        found.append((rows, scores))
-    return found
+def block_bounds(queries: np.ndarray, cells: np.ndarray, low: np.ndarray, step: np.ndarray, k: int):
+    """Of a block's rows those that its cells can't exclude from a query's k best: positions of query and row, and the bound
+    above the score. A row is excluded if k others of the block are certain to score more. Products are in single
+    precision, and the bound holds what that may err by."""
+    half = (step - 1) / 2
+    wide = queries * step.astype(float)
+    middle = (wide.astype(np.float32) @ cells.astype(np.float32).T).astype(float) + (queries @ (low + half))[:, None]
+    err = (queries.shape[1] + 4) * 2.0**-23 * (np.abs(wide) @ cells.max(0).astype(float)) + 1e-9 * (1 + np.abs(queries) @ np.abs(low + half))
+    slack = np.abs(queries) @ half + err
+    least = np.full(len(queries), -np.inf)
+    if cells.shape[0] > k:
+        least = np.partition(middle, len(cells) - k, axis=1)[:, len(cells) - k] - 2 * slack
+    q, row = np.nonzero(middle >= least[:, None])
+    return q, row, middle[q, row] + slack[q]
+
+
+def read_in_order(query: np.ndarray, rows: np.ndarray, upper: np.ndarray, ids: np.ndarray, exact: np.ndarray, k: int):
+    """The k best of rows and their scores, ties to the smaller id: exact vectors are read in the order of the bounds until
+    the kth score found exceeds every bound that is left."""
+    order = np.argsort(-upper, kind="stable")
+    found, scores, at = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+    while at < len(order) and not (len(scores) >= k and upper[order[at]] < scores[k - 1]):
+        part = rows[order[at : at + 64]]
+        found, scores = np.concatenate([found, part]), np.concatenate([scores, exact[part].astype(np.int64) @ query])
+        best = np.lexsort((ids[found], -scores))[:k]
+        found, scores, at = found[best], scores[best], at + 64
+    return found, scores
 
 
 def whole_numbers(vectors: DataFrame, scale: int, id_col: str, vector_col: str) -> DataFrame:
@@ -69,43 +68,81 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, id_col: st
     product of floor(scale * x), all if there are fewer; ties to the smaller id. Exact. Vectors of other lengths are not
     candidates. Components must stay below 2**24 in size, else the query fails: scores would not be exact.
 
-    Vectors are packed into blocks of candidates, each with its cells and its exact values, and into blocks of queries;
-    each pair of blocks is one row of work that gives k rows for each query, and the best of these win. is_query is SQL
-    about vec_id, so that a query block holds nothing else."""
+    Equal vectors are one candidate with its k + 1 smallest ids, which are all that can matter. Candidates are packed into
+    blocks with one byte for each component, and queries into blocks of their own; each pair of blocks is one row of
+    work, which gives bounds of those rows that may be among a query's k best. Exact vectors are then read in the order
+    of the bounds: those of the 2k highest ones first, then those whose bound still reaches the kth score; of the others
+    none can. Where a block's cells leave too many rows open for that, its exact vectors are fetched for the queries
+    concerned. is_query is SQL about vec_id, so that a query block holds nothing else."""
     rows = whole_numbers(vectors, scale, id_col, vector_col)
     large = F.exists("v", lambda c: F.abs(c) > float(1 << 24))
     rows = rows.withColumn("v", F.when(large, F.raise_error(F.lit("components of 2**24 and more are not supported"))).otherwise(F.col("v")))
     rows = cut(rows.withColumn("dims", F.size("v")), "vectors")
-    n = rows.count()
-    bins = max(1, -(-n // BLOCK))
+    few = rows.withColumn("_n", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("_n") <= k + 1)
+    nodes = cut(few.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).select(F.col("ids")[0].alias("node"), "ids", "v", F.size("v").alias("dims")), "nodes")
+    bins = max(1, -(-nodes.count() // BLOCK))
 
-    def packed(df: DataFrame, with_cells: bool) -> DataFrame:
+    def packed(df: DataFrame, who: str, cells: bool, bins: int) -> DataFrame:
         def pack(key, pdf):
             x = np.stack(pdf.v.to_numpy()).astype(np.int32)
-            parts = [pdf.vec_id.to_numpy(np.int64).tobytes(), x.tobytes()]
-            if with_cells:
-                parts += [y.tobytes() for y in quantise(x)]
-            return pd.DataFrame([[key[0], parts]], columns=["dims", "parts"])
+            parts = [y.tobytes() for y in quantise(x)] if cells else []
+            return pd.DataFrame([[key[0], pdf[who].to_numpy(np.int64).tobytes(), parts, x.tobytes()]], columns=["dims", "who", "parts", "exact"])
 
-        return df.groupBy("dims", F.pmod(F.xxhash64("vec_id"), F.lit(bins if with_cells else max(1, bins // 8))).alias("bin")).applyInPandas(pack, "dims int, parts array<binary>")
+        return df.groupBy("dims", F.pmod(F.xxhash64(who), F.lit(bins)).alias("bin")).applyInPandas(pack, "dims int, who binary, parts array<binary>, exact binary")
 
-    candidates = cut(packed(rows, True).withColumn("cand", F.monotonically_increasing_id()), "candidates")
-    queries = cut(packed(rows.where(is_query), False).withColumn("asker", F.monotonically_increasing_id()), "queries")
+    candidates = cut(packed(nodes, "node", True, bins).withColumn("cand", F.monotonically_increasing_id()), "candidates")
+    queries = cut(packed(rows.where(is_query), "vec_id", False, max(1, bins // 8)).withColumn("asker", F.monotonically_increasing_id()), "queries")
+    asked = queries.select("asker", F.col("who").alias("qid"), F.col("exact").alias("q"))
     # the grid of blocks: each block of candidates meets each block of queries, and every meeting is dealt out by itself
     grid = candidates.select("dims", "cand").join(queries.select("dims", "asker"), "dims").select("cand", "asker")
-    left = candidates.join(grid, "cand").select("cand", "asker", "dims", "parts")
-    right = queries.select("asker", F.col("parts").alias("asked")).join(grid, "asker").select("cand", "asker", "asked")
-    work = left.join(right, ["cand", "asker"]).select("dims", "parts", "asked")
+    work = candidates.select("cand", "dims", "who", "parts").join(grid, "cand").join(asked.join(grid, "asker"), ["cand", "asker"])
+
+    def read(r):
+        one = lambda b, kind: np.frombuffer(b, kind)
+        x = one(r.q, np.int32).reshape(-1, r.dims).astype(float)
+        return one(r.qid, np.int64), x, one(r.who, np.int64), (one(r.parts[0], np.uint8).reshape(-1, r.dims), one(r.parts[1], np.int32), one(r.parts[2], np.float64))
 
     def search(frames):
         for pdf in frames:
-            for dims, parts, asked in zip(pdf.dims, pdf.parts, pdf.asked):
-                qid, q = np.frombuffer(asked[0], np.int64), np.frombuffer(asked[1], np.int32).reshape(-1, dims)
-                ids, exact = np.frombuffer(parts[0], np.int64), np.frombuffer(parts[1], np.int32).reshape(-1, dims)
-                cells, low, step = np.frombuffer(parts[2], np.uint8).reshape(-1, dims), np.frombuffer(parts[3], np.int32), np.frombuffer(parts[4], np.float64)
-                found = block_top(q, qid, ids, exact, cells, low, step, k)
-                yield pd.DataFrame({"query_id": np.repeat(qid, [len(r) for r, _ in found]), "vec_id": np.concatenate([ids[r] for r, _ in found]), "score": np.concatenate([s for _, s in found])})
-
-    best = work.mapInPandas(search, "query_id long, vec_id long, score long")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            for r in pdf.itertuples():
+                qid, x, ids, cells = read(r)
+                q, row, upper = block_bounds(x, *cells, k + 1)
+                many = np.bincount(q, minlength=len(qid)) > OPEN * (k + 1)
+                fine = ~many[q]
+                yield pd.DataFrame({"query_id": qid[q[fine]], "node": ids[row[fine]], "upper": upper[fine], "cand": r.cand, "asker": r.asker})
+                yield pd.DataFrame({"query_id": qid[many], "node": None, "upper": 0.0, "cand": r.cand, "asker": r.asker})
+
+    bounds = cut(work.mapInPandas(search, "query_id long, node long, upper double, cand long, asker long"), "bounds")
+    crowded = bounds.where("node is null").groupBy("cand", "asker").agg(F.collect_list("query_id").alias("only"))  # a block's queries at most
+    crowded = crowded.join(candidates.select("cand", "dims", "who", "parts", "exact"), "cand").join(asked, "asker")
+
+    def search_exact(frames):
+        for pdf in frames:
+            for r in pdf.itertuples():
+                qid, x, ids, cells = read(r)
+                exact = np.frombuffer(r.exact, np.int32).reshape(-1, r.dims)
+                for at in np.flatnonzero(np.isin(qid, r.only)):
+                    _, row, upper = block_bounds(x[at : at + 1], *cells, k + 1)
+                    found, score = read_in_order(x[at].astype(np.int64), row, upper, ids, exact, k + 1)
+                    yield pd.DataFrame({"query_id": qid[at], "node": ids[found], "score": score})
+
+    def exact(pairs: DataFrame) -> DataFrame:
+        """pairs (query_id, node) with their scores."""
+        c = nodes.select(F.col("node").alias("_c"), F.col("v").alias("_cv"))
+        q = rows.where(is_query).select(F.col("vec_id").alias("_q"), F.col("v").alias("_qv"))
+        both = pairs.join(c, F.col("node") == F.col("_c")).join(q, F.col("query_id") == F.col("_q"))
+        product = F.zip_with("_cv", "_qv", lambda a, b: a.cast("long") * b.cast("long"))
+        return both.select("query_id", "node", F.aggregate(product, F.lit(0).cast("long"), lambda a, b: a + b).alias("score"))
+
+    def best(df: DataFrame, n: int, *order) -> DataFrame:
+        return df.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= n)
+
+    free, place = bounds.where("node is not null").select("query_id", "node", "upper"), F.struct("upper", -F.col("node"))
+    first = cut(best(free, 2 * (k + 1), F.desc("upper"), "node").drop("rank"), "first")
+    known = cut(exact(first).union(crowded.mapInPandas(search_exact, "query_id long, node long, score long")), "read")
+    kth = best(known, k + 1, F.desc("score"), "node").groupBy("query_id").agg(F.min("score").alias("_kth"), F.count("*").alias("_n"))
+    last = first.groupBy("query_id").agg(F.min(place).alias("_last"))
+    rest = free.join(kth.where(F.col("_n") > k).join(last, "query_id"), "query_id").where((place < F.col("_last")) & (F.col("upper") >= F.col("_kth")))
+    top = best(known.union(exact(rest)), k + 1, F.desc("score"), "node").join(nodes.select("node", "ids"), "node")
+    every = top.select("query_id", F.explode("ids").alias("vec_id"), "score").where("query_id <> vec_id")
+    return best(every, k, F.desc("score"), "vec_id").select("query_id", "rank", "vec_id", "score")

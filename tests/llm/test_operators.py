@@ -153,11 +153,15 @@ def test_code_estimates_are_unbiased_and_bounded():
     assert abs(error.mean()) < 0.01 and np.abs(error).max() < bound.max()
 
 
-def test_top_k(spark, monkeypatch):
+@pytest.mark.parametrize("open_rows", [0, 8])
+def test_top_k(spark, monkeypatch, open_rows):
+    """Without open rows every meeting of blocks fetches exact vectors."""
     monkeypatch.setattr(topk, "BLOCK", 128)
+    monkeypatch.setattr(topk, "OPEN", open_rows)
     rng = np.random.default_rng(2)
     x = rng.standard_normal((700, 16)).round(2)
     x[300:400] = x[300]  # ties
+    x[400:500] = x[300] + 0.01 * rng.standard_normal((100, 16))  # nearly equal ones
     odd = [None, [], [float("inf")] * 16, [None] * 16, [1.0] * 3]
     rows = [(i, [float(c) for c in v], 1) for i, v in enumerate(x)] + [(700 + i, v, 1) for i, v in enumerate(odd)] + [(5, [float(c) for c in x[5]], 1), (None, [1.0] * 16, 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, dims int")
