@@ -14,6 +14,7 @@ COVERAGE_WEIGHTS = {"OBSERVED": 1.0, "CONFIGURED": 0.75, "INFERRED": 0.5, "NOT_V
 CATEGORY_WEIGHTS = {"CRYPTOGRAPHY": 0.28, "KEY_EXCHANGE": 0.24, "SA_SECURITY": 0.14, "REPLAY_PROTECTION": 0.12, "CONFIGURATION": 0.12, "METADATA_PRIVACY": 0.10}
 RISK_BANDS = ((85.0, "LOW"), (70.0, "MODERATE"), (50.0, "HIGH"), (0.0, "CRITICAL"))
 STRENGTH = {"FAIL": 3, "WARNING": 2, "PASS": 1, "NOT_VERIFIABLE": 0}
+SEVERITY_RANK = {"INFO": 0, "LOW": 1, "MEDIUM": 2, "HIGH": 3, "CRITICAL": 4}
 TIER_RANK = {"FORBIDDEN": 4, "DEPRECATED": 3, "UNKNOWN": 2, "ACCEPTABLE": 1, "RECOMMENDED": 0}
 EVIDENCE_RANK = {"OBSERVED": 0, "CONFIGURED": 1, "INFERRED": 2, "NOT_VERIFIABLE": 3}
 THREATS = (  # id, category, likelihood, impact, rules, whether rules that could not verify their property confirm it
@@ -76,7 +77,9 @@ def price(findings: DataFrame) -> DataFrame:
 
 
 def collapse(priced: DataFrame, keys: tuple[str, ...] = ("capture_id", "rule_id")) -> DataFrame:
-    """The dearest finding of each rule and key; of equal ones the first."""
+    """The dearest finding of each rule and subject; of equal ones the first. The subject is in dedup_key, where findings have
+    that column: a rule that names several subjects keeps one finding for each, null being a subject too."""
+    keys = (*keys, "dedup_key") if "dedup_key" in priced.columns and "dedup_key" not in keys else keys
     w = Window.partitionBy(*keys).orderBy(F.desc("points"), "ordinal")
     return priced.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
@@ -122,17 +125,22 @@ def evidence_tally(findings: DataFrame) -> DataFrame:
 
 
 def worst_first(settled: DataFrame) -> DataFrame:
-    """settled with position: by status from the worst, then points, then rule."""
-    w = Window.partitionBy("capture_id").orderBy(F.desc(lookup("status", STRENGTH, 0)), F.desc("points"), "rule_id")
+    """settled (with severity and title) with position: by status from the worst, then severity, then title; ties by rule.
+    Unknown statuses and severities come last."""
+    w = Window.partitionBy("capture_id").orderBy(F.desc(lookup("status", STRENGTH, -1)), F.desc(lookup("severity", SEVERITY_RANK, -1)), F.coalesce("title", F.lit("")), "rule_id")
     return settled.withColumn("position", F.row_number().over(w))
 
 
 def recommendations(settled: DataFrame, advice: dict[str, str]) -> DataFrame:
-    """Each advice once for each capture: priority by the highest points, then the text; the rules that ask for it and the
-    one with the highest points. Only failures and warnings ask."""
+    """Each advice once for each capture: priority by the highest severity, then the highest points, then the text; the rules
+    that ask for it, the highest severity and the rule that leads, by severity and points, of equal ones the first.
+    Only failures and warnings ask. settled needs severity."""
     weak = settled.where(F.col("status").isin("FAIL", "WARNING")).withColumn("advice", lookup("rule_id", advice, None)).where("advice is not null")
-    g = weak.groupBy("capture_id", "advice").agg(F.max("points").alias("points"), F.max_by("rule_id", F.struct("points", -F.col("ordinal"))).alias("lead_rule"), F.array_join(F.array_sort(F.collect_set("rule_id")), ",").alias("rules"))
-    return g.withColumn("priority", F.row_number().over(Window.partitionBy("capture_id").orderBy(F.desc("points"), "advice")))
+    rank = lookup("severity", SEVERITY_RANK, -1)
+    g = weak.groupBy("capture_id", "advice").agg(
+        F.max("points").alias("points"), F.max(rank).alias("_rank"), F.max_by("severity", rank).alias("severity"), F.max_by("rule_id", F.struct(rank, "points", -F.col("ordinal"))).alias("lead_rule"), F.array_join(F.array_sort(F.collect_set("rule_id")), ",").alias("rules")
+    )
+    return g.withColumn("priority", F.row_number().over(Window.partitionBy("capture_id").orderBy(F.desc("_rank"), F.desc("points"), "advice"))).drop("_rank")
 
 
 def strongest(evidence) -> F.Column:

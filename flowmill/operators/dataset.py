@@ -59,10 +59,16 @@ def content_versions(rows: DataFrame, key: str, order: str, content: str) -> Dat
     return out.withColumn("version", F.when(~F.col("refused"), F.count_if(~F.col("refused")).over(w)))
 
 
-def manifest_verdict(rows: DataFrame) -> DataFrame:
-    """The first reason to reject a run, or null. rows: any with the columns of the checks."""
-    why = first_reason((F.col("doc_id").isNull(), "no id"), (F.coalesce(F.col("n_chars"), F.lit(0)) < 50, "too short"), (F.col("toxic") == 1, "flagged"), (F.col("quality").isNull(), "not validated"), (F.col("quality") == 0, "invalid"))
-    return rows.withColumn("reason", why)
+def manifest_verdict(runs: DataFrame) -> DataFrame:
+    """runs with reason: the first that keeps a run out of the manifest, or null. runs: experiment_id, pcap_path,
+    valid_capture, error_code, reasons (array of texts), dry_run, file_found. Nulls count as empty or false; validity
+    comes before the file, since a missing file is part of an invalid run."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    code = F.when(text("error_code") == "", "capture was not validated").otherwise(text("error_code"))
+    invalid = F.concat(F.lit("not valid: "), code, F.when(F.size(F.coalesce("reasons", F.array().cast("array<string>"))) > 0, F.concat(F.lit(": "), F.array_join("reasons", "; "))).otherwise(""))
+    why = F.when(text("experiment_id") == "", "no experiment_id").when(text("pcap_path") == "", "no capture path").when(~yes("valid_capture"), invalid).when(yes("dry_run"), "dry run").when(~yes("file_found"), "capture file is missing")
+    return runs.withColumn("reason", why)
 
 
 def dataset_summary(rows: DataFrame, split: str, label: str, key: str) -> DataFrame:
@@ -93,6 +99,35 @@ def dataset_audit(rows: DataFrame, split: str, label: str, key: str, min_rows: i
     return agg.withColumn("problems", F.concat_ws("; ", hard)).withColumn("shortages", F.concat_ws("; ", reasons((F.col("rows") < min_rows, "few rows"))))
 
 
+#: Rows that training, its classes and the other splits need for rates to mean something: fixed values.
+TRAIN_ROWS, CLASS_ROWS, OTHER_ROWS = 8, 2, 4
+
+
+def audit_findings(rows: DataFrame, split: str, label: str, key: str, numbers: tuple[str, ...] = ()) -> DataFrame:
+    """What is wrong with a dataset for training: kind (problem: it can't be trained on; shortage: its measures say little)
+    and reason; no rows if all is well. Splits are train, validation and test; numbers are columns that must be finite;
+    null labels are no class, null keys no group. All of it comes from counts by split and label, and by group."""
+    finite = F.lit(True)
+    for c in numbers:
+        x = F.col(c).cast("double")
+        finite = finite & x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
+    by = rows.groupBy(F.col(split).alias("s"), F.col(label).cast("string").alias("c")).agg(F.count("*").alias("n"), F.count_if(~finite).alias("odd"))
+    of = lambda name: F.coalesce(F.sum(F.when(F.col("s") == name, F.col("n"))), F.lit(0)).alias(name)
+    classes = lambda cond: F.array_sort(F.collect_set(F.when(cond, F.col("c"))))
+    train = F.col("s") == "train"
+    a = by.agg(of("train"), of("validation"), of("test"), F.coalesce(F.sum("odd"), F.lit(0)).alias("odd"), classes(train).alias("seen"), classes(F.lit(True)).alias("every"), classes(train & (F.col("n") < CLASS_ROWS)).alias("thin"))
+    groups = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.bool_or(F.col(split) == "train").alias("t"), (F.count_distinct(split) > 1).alias("m"))
+    b = groups.agg(F.count_if("t").alias("groups"), F.coalesce(F.bool_or("m"), F.lit(False)).alias("shared"))
+    few, unseen = F.array_join("thin", ", "), F.array_except("every", "seen")
+    found = (
+        (F.col("odd") > 0, "problem", F.lit("a feature value is not finite")), *((F.col(s) == 0, "problem", F.lit(f"the {s} split is empty")) for s in ("train", "validation", "test")), (F.size("seen") < 2, "problem", F.lit("fewer than two training classes")),
+        (F.size(unseen) > 0, "problem", F.concat(F.lit("classes never seen in training: "), F.array_join(unseen, ", "))), (F.col("shared"), "problem", F.lit("groups in several splits")), (F.col("train") < TRAIN_ROWS, "shortage", F.lit("few training rows")),
+        ((F.col("validation") < OTHER_ROWS) | (F.col("test") < OTHER_ROWS), "shortage", F.lit("few validation or test rows")), (F.col("groups") < 2, "shortage", F.lit("a single training group")), (few != "", "shortage", F.concat(F.lit("classes with few training rows: "), few)),
+    )
+    each = F.array_compact(F.array(*(F.when(bad, F.struct(F.lit(kind).alias("kind"), text.alias("reason"))) for bad, kind, text in found)))
+    return a.crossJoin(b).select(F.explode(each).alias("r")).select("r.*")
+
+
 def coverage_checks(configs: DataFrame, a: str, b: str) -> DataFrame:
     """One row per check of a design: enough values of either factor, and no factor that decides the other."""
     x = configs.agg(F.count_distinct(a).alias("n_a"), F.count_distinct(b).alias("n_b"))

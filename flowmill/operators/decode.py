@@ -152,6 +152,12 @@ def explode_ike(packets: DataFrame) -> DataFrame:
     return p.select(*rest, F.col("p.number").alias("proposal"), F.col("p.protocol").alias("protocol_id"), F.explode_outer("p.transforms").alias("t")).select(*rest, "proposal", "protocol_id", F.col("t.type").alias("transform_type"), F.col("t.id").alias("transform_id"), "t.key_bits")
 
 
+def dh_groups(transforms: DataFrame) -> DataFrame:
+    """Per capture with IKE: the DH groups offered for the IKE association and for child ones (ESP and AH), ascending."""
+    of = lambda *protocols: F.array_join(F.array_sort(F.collect_set(F.when(F.col("protocol_id").isin(*protocols) & (F.col("transform_type") == 4), F.col("transform_id")))), ",")
+    return transforms.groupBy("capture_id").agg(of(1).alias("ike_groups"), of(2, 3).alias("child_groups"))
+
+
 def pfs_verdict(transforms: DataFrame, flows: DataFrame) -> DataFrame:
     """Per capture: DH groups of ESP and AH proposals, and what they say about PFS."""
     child = F.col("protocol_id").isin(2, 3)

@@ -61,16 +61,20 @@ def calibration_compare(before: DataFrame, after: DataFrame) -> DataFrame:
     return rows(before, "before").join(rows(after, "after"), "measure").withColumn("delta", F.round(F.col("after") - F.col("before"), 6))
 
 
-def confusion_matrix(labels: DataFrame) -> DataFrame:
-    """labels: truth, predicted. Every pair of classes that occur, also those that never meet."""
+def confusion_matrix(labels: DataFrame, declared: list | None = None) -> DataFrame:
+    """labels: truth, predicted. Every pair of the declared classes (of those that occur, if none are declared), also those
+    that never meet; rows with another class are not counted. Classes are few."""
     classes = labels.select(F.col("truth").alias("c")).union(labels.select("predicted")).distinct()
+    if declared is not None:
+        kind = labels.schema["truth"].dataType.simpleString()
+        classes = labels.sparkSession.createDataFrame([(c,) for c in dict.fromkeys(declared)], f"c {kind}")
     grid = classes.select(F.col("c").alias("truth")).crossJoin(F.broadcast(classes.select(F.col("c").alias("predicted"))))
     return grid.join(labels.groupBy("truth", "predicted").agg(F.count("*").alias("n")), ["truth", "predicted"], "left").fillna(0, ["n"])
 
 
-def _per_class(labels: DataFrame) -> DataFrame:
+def _per_class(labels: DataFrame, declared: list | None = None) -> DataFrame:
     """From the counts of pairs, so labels are read once."""
-    m = confusion_matrix(labels)
+    m = confusion_matrix(labels, declared)
     hit = F.sum(F.when(F.col("truth") == F.col("predicted"), F.col("n")).otherwise(0))
     by_truth = m.groupBy(F.col("truth").alias("class")).agg(hit.alias("tp"), F.sum("n").alias("support"))
     by_pred = m.groupBy(F.col("predicted").alias("class")).agg(F.sum("n").alias("called"))
@@ -79,13 +83,15 @@ def _per_class(labels: DataFrame) -> DataFrame:
     return x.select("class", F.col("p").alias("precision"), F.col("r").alias("recall"), f1.alias("f1"), "support")
 
 
-def per_class_metrics(labels: DataFrame) -> DataFrame:
-    """Precision, recall, F1 and support of every class that occurs; 0 where a class is never predicted."""
-    return rounded(_per_class(labels), "precision", "recall", "f1")
+def per_class_metrics(labels: DataFrame, declared: list | None = None) -> DataFrame:
+    """Precision, recall, F1 and support of every declared class, else of every class that occurs; 0 where a class is never
+    predicted."""
+    return rounded(_per_class(labels, declared), "precision", "recall", "f1")
 
 
-def macro_metrics(labels: DataFrame) -> DataFrame:
-    m = _per_class(labels).agg(*(F.round(F.avg(c), 6).alias(f"macro_{c}") for c in ("precision", "recall", "f1")))
+def macro_metrics(labels: DataFrame, declared: list | None = None) -> DataFrame:
+    """Means over the declared classes, else over those that occur; the accuracy is over all rows."""
+    m = _per_class(labels, declared).agg(*(F.round(F.avg(c), 6).alias(f"macro_{c}") for c in ("precision", "recall", "f1")))
     return m.crossJoin(labels.agg(F.round(F.avg((F.col("truth") == F.col("predicted")).cast("double")), 6).alias("accuracy"), F.count("*").alias("rows")))
 
 
@@ -102,16 +108,17 @@ def open_world_decide(scores: DataFrame, confidence: float = 0.16, margin: float
 
 def _selective(known, accepted, hit) -> list:
     n = lambda c: F.count_if(c)
-    rate = lambda a, b: F.round(F.try_divide(a.cast("double"), b.cast("double")), 6)
+    share = lambda a, b: F.try_divide(a.cast("double"), b.cast("double"))
+    taken = F.coalesce(share(n(known & accepted), n(known)), F.lit(0.0))
     return [
-        rate(n(accepted), F.count("*")).alias("coverage"), rate(n(known & accepted), n(known)).alias("known_acceptance"), rate(n(known & ~accepted), n(known)).alias("false_rejection"),
-        rate(n(known & accepted & hit), n(known & accepted)).alias("accuracy_when_accepted"), rate(n(~known & ~accepted), n(~known)).alias("unknown_rejection"),
+        F.round(share(n(accepted), F.count("*")), 6).alias("coverage"), F.round(taken, 6).alias("known_acceptance"), F.round(1 - taken, 6).alias("false_rejection"),
+        F.round(F.coalesce(share(n(known & accepted & hit), n(known & accepted)), F.lit(0.0)), 6).alias("accuracy_when_accepted"), F.round(share(n(~known & ~accepted), n(~known)), 6).alias("unknown_rejection"),
     ]
 
 
 def open_world_metrics(decisions: DataFrame, known) -> DataFrame:
-    """Rates over decisions (truth, predicted, decision); known tells a row's truth is a class of the model. Null where
-    a side is empty."""
+    """Rates over decisions (truth, predicted, decision); known tells a row's truth is a class of the model. Without
+    known rows acceptance and accuracy are 0; without unknown ones their rate is null."""
     return decisions.agg(*_selective(known, F.col("decision") == "KNOWN", F.col("truth") == F.col("predicted")))
 
 

@@ -204,6 +204,8 @@ def metadata_summary(packets: DataFrame) -> DataFrame:
     )
 
 
+#: Confidence of a prediction from which it is a high exposure, and from which it is reported: fixed values.
+CONFIDENT, REPORTED = 0.8, 0.6
 #: Sizes that padding changes.
 SIZES = ("esp_bytes", "esp_avg_len", "esp_len_min", "esp_len_max", "avg_packet_len")
 
@@ -224,11 +226,17 @@ def pad_overhead(before: DataFrame, after: DataFrame, column: str = "esp_avg_len
     return a.crossJoin(b).select(F.round("mean_before", 6).alias("mean_before"), F.round("mean_after", 6).alias("mean_after"), F.round(100 * ratio(F.col("mean_after") - F.col("mean_before"), "mean_before"), 6).alias("overhead_percent"))
 
 
-def exposure_observations(packets: DataFrame, min_share: float = 25.0) -> DataFrame:
-    """Six observations per capture with their exposure (none, low, medium, high, unknown) and points of 4."""
+def exposure_observations(packets: DataFrame, min_share: float = 25.0, predictions: DataFrame | None = None) -> DataFrame:
+    """Six observations per capture with their exposure (none, low, medium, high, unknown) and points of 4. predictions
+    (capture_id, confidence; a row for each capture at most) tell how well its traffic can be classified; without one
+    that is unknown, and a null confidence counts as 0."""
     own = capture_counters(packets)
     flows = flow_summary(packets).groupBy("capture_id").agg(F.count("*").alias("flows"), F.count("src").alias("ends"))
     x = own.join(flows, "capture_id", "left").withColumn("flows", F.coalesce("flows", F.lit(0)))
+    inferred = F.lit("unknown")
+    if predictions is not None:
+        x = x.join(predictions.select(F.col("capture_id").alias("_capture"), "confidence"), F.col("capture_id") == F.col("_capture"), "left")
+        inferred = F.when(F.col("_capture").isNull(), "unknown").when(F.col("confidence") >= CONFIDENT, "high").otherwise("medium")
     outside = F.greatest(F.col("packets") - F.col("esp_packets") - F.col("ah_packets"), F.lit(0))
     levels = {
         "endpoint-identity": F.when(F.coalesce("ends", F.lit(0)) > 0, "high").otherwise("unknown"),
@@ -236,7 +244,7 @@ def exposure_observations(packets: DataFrame, min_share: float = 25.0) -> DataFr
         "negotiation-disclosure": F.when(F.col("ike_packets") > 0, "medium").otherwise("unknown"),
         "volume-profile": F.when(F.col("flows") > 1, "medium").when(F.col("flows") == 1, "low").otherwise("unknown"),
         "cleartext-context": F.when(ratio(outside, "packets") * 100 >= min_share, "high").when(outside > 0, "medium").otherwise("none"),
-        "class-inference": F.lit("unknown"),
+        "class-inference": inferred,
     }
     rows = F.explode(F.array(*(F.struct(F.lit(k).alias("observation"), v.alias("exposure")) for k, v in levels.items())))
     points = F.when(F.col("exposure") == "none", 1).when(F.col("exposure") == "low", 2).when(F.col("exposure") == "medium", 3).when(F.col("exposure") == "high", 4)
@@ -252,10 +260,23 @@ def exposure_score(observations: DataFrame) -> DataFrame:
     return out.withColumn("band", F.when(F.col("privacy_risk") < 25, "low").when(F.col("privacy_risk") < 50, "moderate").when(F.col("privacy_risk") < 75, "elevated").otherwise("high"))
 
 
-def fingerprintability(packets: DataFrame, volume: int = 20) -> DataFrame:
-    """Dimensions that an observer can measure in each capture, how many, and their band."""
-    flows = flow_summary(packets).groupBy("capture_id").agg(F.count("*").alias("flows"), F.sum("packets").alias("n"), F.count("src").alias("ends"), F.bool_or("udp_encapsulated").alias("udp"))
-    checks = (("association_split", F.col("flows") > 1), ("volume", F.col("n") >= volume), ("peer_addresses", F.col("ends") > 0), ("nat_binding", F.col("udp")), ("payload_sizes", F.col("n") > 0), ("timing", F.col("n") > 1))
+def fingerprintability(packets: DataFrame, volume: int = 20, predictions: DataFrame | None = None) -> DataFrame:
+    """Dimensions that an observer can measure in each capture with ESP, how many, their band, and the risk that metadata
+    tell what the traffic is. predictions: capture_id, confidence, model_id, model_version, feature_schema, a row for
+    each capture at most. A prediction counts if all of it is known; then its confidence decides, else the dimensions."""
+    end = F.col("src").isNotNull() & (F.col("dst").isNotNull() if "dst" in packets.columns else F.lit(True))
+    by = packets.where(_esp()).groupBy("capture_id", "spi_int").agg(F.count("*").alias("n"), F.bool_or(end).alias("ends"), F.bool_or("udp_encapsulated").alias("udp"))
+    flows = by.groupBy("capture_id").agg(F.count("*").alias("flows"), F.sum("n").alias("n"), F.bool_or("ends").alias("ends"), F.bool_or("udp").alias("udp"))
+    checks = (("association_split", F.col("flows") > 1), ("volume", F.col("n") >= volume), ("peer_addresses", F.col("ends")), ("nat_binding", F.col("udp")), ("payload_sizes", F.col("n") > 0), ("timing", F.col("n") > 1))
     seen = F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in checks)))
-    out = flows.select("capture_id", F.concat_ws(",", seen).alias("dimensions"), F.size(seen).cast("long").alias("n_dimensions"))
+    known = F.lit(False)
+    if predictions is not None:
+        parts = ("confidence", "model_id", "model_version", "feature_schema")
+        flows = flows.join(predictions.select(F.col("capture_id").alias("_capture"), *parts), F.col("capture_id") == F.col("_capture"), "left")
+        for c in parts:
+            known = (known if c != "confidence" else F.lit(True)) & F.col(c).isNotNull()
+    size = F.size(seen).cast("long")
+    sure = F.when(known, F.col("confidence")) if predictions is not None else F.lit(None).cast("double")
+    risk = F.when(sure >= CONFIDENT, "HIGH").when(sure >= REPORTED, "MODERATE").when(sure.isNotNull(), "LOW").when(size >= 4, "MODERATE").otherwise("LOW")
+    out = flows.select("capture_id", F.concat_ws(",", seen).alias("dimensions"), size.alias("n_dimensions"), risk.alias("inference_risk"), known.alias("ml_available"), sure.alias("ml_confidence"))
     return out.withColumn("band", F.when(F.col("n_dimensions") >= 4, "HIGH").when(F.col("n_dimensions") >= 2, "MODERATE").when(F.col("n_dimensions") > 0, "LOW").otherwise("not_assessed"))

@@ -75,11 +75,14 @@ def evaluate_policies(rows: DataFrame, rules: DataFrame) -> DataFrame:
     return out.withColumn("result", F.when(F.col("reason") == "meets", "PASS").otherwise("FAIL"))
 
 
-def extract_fields(docs: DataFrame, key: str, text: str, fields: dict[str, str]) -> DataFrame:
-    """The value after the first mark of each field in each line that has it: key, line, field, value."""
-    lines = docs.select(key, F.posexplode(F.split(text, "\n")).alias("line", "t"))
-    f = F.explode(F.array_compact(F.array(*(F.when(F.contains("t", F.lit(mark)), F.struct(F.lit(n).alias("field"), F.trim(F.substring_index(F.expr(f"substring(t, instr(t, '{mark}') + {len(mark)})"), "\n", 1)).alias("value"))) for n, mark in fields.items()))))
-    return lines.select(key, "line", f.alias("f")).select(key, "line", "f.*")
+def extract_fields(docs: DataFrame, key: str, text: str, fields: dict[str, tuple[str, bool]]) -> DataFrame:
+    """fields: name to a mark and whether its values are put in capitals. For each line that has a colon and the mark, in
+    whatever case: key, line, field, value (what follows the first colon, without outer blanks; it may be empty) and
+    normalized. A line may give several fields."""
+    lines = docs.select(key, F.posexplode(F.split(text, "\r?\n")).alias("line", "_t")).where(F.contains("_t", F.lit(":")))
+    value = F.trim(F.expr("substring(_t, instr(_t, ':') + 1)"))
+    each = (F.when(F.contains(F.lower("_t"), F.lit(mark.lower())), F.struct(F.lit(n).alias("field"), value.alias("value"), (F.upper(value) if capitals else value).alias("normalized"))) for n, (mark, capitals) in fields.items())
+    return lines.select(key, "line", F.explode(F.array_compact(F.array(*each))).alias("_f")).select(key, "line", "_f.*")
 
 
 def fields_pivot(fields: DataFrame, key: str, names: list[str]) -> DataFrame:

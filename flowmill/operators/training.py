@@ -164,11 +164,20 @@ def heldout_config(rows: DataFrame, features: list[str], key: str, held: F.Colum
     return macro_metrics(score(fit(inside.withColumn("split", F.lit("train")), features, estimator), outside, key))
 
 
-def mitigation(rows: DataFrame, features: list[str], key: str, estimator, change) -> DataFrame:
-    """Accuracy of an attacker on plain data, of the same on changed data, and of one trained on changed data."""
+def mitigation(rows: DataFrame, features: list[str], key: str, estimator, change, measured: bool = False, claim: bool = False) -> DataFrame:
+    """Accuracy and macro F1 of an attacker on plain data, of the same on changed data, and of one trained on changed data;
+    and how many rows the change touched. measured: change stands for what was captured, not for a computation on
+    features; a result is claimed as an experiment (claim) only then, else it is an error."""
+    if claim and not measured:
+        raise ValueError("a simulated change gives no experimental evidence")
     changed = change(rows)
+    told = changed.select(F.col(key).alias("_key"), F.struct(*features).alias("_new"))
+    touched = rows.join(told, F.col(key) == F.col("_key")).where(~F.struct(*features).eqNullSafe(F.col("_new"))).count()
     plain, again = fit(rows, features, estimator), fit(changed, features, estimator)
-    table = [(n, macro_metrics(score(m, r.where("split = 'test'"), key)).first()["accuracy"]) for n, m, r in (("baseline", plain, rows), ("frozen", plain, changed), ("retrained", again, changed))]
-    return rows.sparkSession.createDataFrame([(n, v, round(v - table[0][1], 6)) for n, v in table], "attacker string, accuracy double, delta double")
-
-
+    table = []
+    for n, m, r in (("baseline", plain, rows), ("frozen", plain, changed), ("retrained", again, changed)):
+        x = macro_metrics(score(m, r.where("split = 'test'"), key)).first()
+        table.append((n, x["accuracy"], x["macro_f1"]))
+    first = table[0]
+    out = [(n, v, round(v - first[1], 6), f, round(f - first[2], 6), touched, "measured" if measured else "simulated") for n, v, f in table]
+    return rows.sparkSession.createDataFrame(out, "attacker string, accuracy double, delta double, macro_f1 double, macro_f1_delta double, changed_rows long, provenance string")

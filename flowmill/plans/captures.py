@@ -104,25 +104,31 @@ def pad_overhead(spark, d):
     return fl.pad_overhead(x, fl.pad_sizes(x, 64))
 
 
+def _predictions(spark, d):
+    """A prediction for two of three captures, by the day of the month; every fifth day's model is not known."""
+    x = packets(spark, d).select("capture_id").distinct().withColumn("dd", F.substring("capture_id", 9, 2).cast("int")).where("dd % 3 <> 0")
+    return x.select("capture_id", (F.col("dd") % 10 / 10).alias("confidence"), F.when(F.col("dd") % 5 != 0, F.lit("m")).alias("model_id"), F.lit("1").alias("model_version"), F.lit("s").alias("feature_schema"))
+
+
 _OBS = """ob as (select capture_id, observation, exposure, case exposure when 'none' then 1 when 'low' then 2 when 'medium' then 3 when 'high' then 4 end points from (select capture_id, u.o observation, u.e exposure from (
 select capture_id, unnest([{'o':'endpoint-identity','e':case when flows>0 then 'high' else 'unknown' end},{'o':'sa-identifiers','e':case when flows>0 then 'medium' else 'unknown' end},{'o':'negotiation-disclosure','e':case when ike>0 then 'medium' else 'unknown' end},
-{'o':'volume-profile','e':case when flows>1 then 'medium' when flows=1 then 'low' else 'unknown' end},{'o':'cleartext-context','e':case when 100.0*(n-esp)/n>=25 then 'high' when n>esp then 'medium' else 'none' end},{'o':'class-inference','e':'unknown'}]) u
-from (select capture_id, count(*) n, count(*) filter (proto='ESP') esp, count(*) filter (proto='IKE') ike, count(distinct spi_int) filter (proto='ESP') flows from p group by 1))))"""
+{'o':'volume-profile','e':case when flows>1 then 'medium' when flows=1 then 'low' else 'unknown' end},{'o':'cleartext-context','e':case when 100.0*(n-esp)/n>=25 then 'high' when n>esp then 'medium' else 'none' end},{'o':'class-inference','e':case when dd%3=0 then 'unknown' when (dd%10)/10.0>=0.8 then 'high' else 'medium' end}]) u
+from (select capture_id, substr(capture_id,9,2)::int dd, count(*) n, count(*) filter (proto='ESP') esp, count(*) filter (proto='IKE') ike, count(distinct spi_int) filter (proto='ESP') flows from p group by 1))))"""
 
 
 @query(f"with {P}, {_OBS} select * from ob")
 def exposure_observations(spark, d):
-    return fl.exposure_observations(packets(spark, d))
+    return fl.exposure_observations(packets(spark, d), predictions=_predictions(spark, d))
 
 
 @query(f"with {P}, {_OBS}, s as (select capture_id, round(100.0*coalesce(sum(points),0)/(4*count(points)),0)::int privacy_risk, round(100.0*count(points)/count(*),0)::int coverage_percent, arg_min(observation, {{'p':-points,'o':observation}}) filter (points is not null) top_observation from ob group by 1) select *, case when privacy_risk<25 then 'low' when privacy_risk<50 then 'moderate' when privacy_risk<75 then 'elevated' else 'high' end band from s")
 def exposure_score(spark, d):
-    return fl.exposure_score(fl.exposure_observations(packets(spark, d)))
+    return fl.exposure_score(fl.exposure_observations(packets(spark, d), predictions=_predictions(spark, d)))
 
 
-@query(f"with {P}, {FLOWS}, x as (select capture_id, count(*) f, sum(packets) n, count(src) e, bool_or(udp_encapsulated) u from fl group by 1), y as (select capture_id, concat_ws(',', case when f>1 then 'association_split' end, case when n>=20 then 'volume' end, case when e>0 then 'peer_addresses' end, case when u then 'nat_binding' end, case when n>0 then 'payload_sizes' end, case when n>1 then 'timing' end) dimensions from x) select capture_id, dimensions, len(string_split(dimensions,',')) n_dimensions, case when len(string_split(dimensions,','))>=4 then 'HIGH' when len(string_split(dimensions,','))>=2 then 'MODERATE' else 'LOW' end band from y")
+@query(f"with {P}, {FLOWS}, x as (select capture_id, count(*) f, sum(packets) n, count(src) e, bool_or(udp_encapsulated) u from fl group by 1), y as (select capture_id, concat_ws(',', case when f>1 then 'association_split' end, case when n>=20 then 'volume' end, case when e>0 then 'peer_addresses' end, case when u then 'nat_binding' end, case when n>0 then 'payload_sizes' end, case when n>1 then 'timing' end) dimensions, substr(capture_id,9,2)::int dd from x), z as (select *, dd%3<>0 and dd%5<>0 ok, case when dd%3<>0 and dd%5<>0 then (dd%10)/10.0::double end cf from y) select capture_id, ok ml_available, cf ml_confidence, case when cf>=0.8 then 'HIGH' when cf>=0.6 then 'MODERATE' when cf is not null then 'LOW' when len(string_split(dimensions,','))>=4 then 'MODERATE' else 'LOW' end inference_risk, dimensions, len(string_split(dimensions,',')) n_dimensions, case when len(string_split(dimensions,','))>=4 then 'HIGH' when len(string_split(dimensions,','))>=2 then 'MODERATE' else 'LOW' end band from z")
 def fingerprintability(spark, d):
-    return fl.fingerprintability(packets(spark, d))
+    return fl.fingerprintability(packets(spark, d), predictions=_predictions(spark, d))
 
 
 @query(f"with {T}, {TOP} select * from tl")
@@ -201,7 +207,7 @@ def macro_metrics(spark, d):
 
 
 _OW = "ow as (select row_id, truth, top1 predicted, p1 confidence, concat_ws(',', case when p1<0.16 then 'low_confidence' end, case when margin<0.01 then 'small_margin' end, case when entropy>3.2 then 'high_entropy' end) reasons from rk join en using(row_id)), od as (select *, case when reasons='' then 'KNOWN' else 'UNKNOWN' end decision from ow)"
-_RATES = "round(count(*) filter (a)/count(*)::double,6) coverage, round(count(*) filter (k and a)/nullif(count(*) filter (k),0)::double,6) known_acceptance, round(count(*) filter (k and not a)/nullif(count(*) filter (k),0)::double,6) false_rejection, round(count(*) filter (k and a and h)/nullif(count(*) filter (k and a),0)::double,6) accuracy_when_accepted, round(count(*) filter (not k and not a)/nullif(count(*) filter (not k),0)::double,6) unknown_rejection"
+_RATES = "round(count(*) filter (a)/count(*)::double,6) coverage, round(coalesce(count(*) filter (k and a)/nullif(count(*) filter (k),0)::double,0),6) known_acceptance, round(1-coalesce(count(*) filter (k and a)/nullif(count(*) filter (k),0)::double,0),6) false_rejection, round(coalesce(count(*) filter (k and a and h)/nullif(count(*) filter (k and a),0)::double,0),6) accuracy_when_accepted, round(count(*) filter (not k and not a)/nullif(count(*) filter (not k),0)::double,6) unknown_rejection"
 def _known():
     return F.col("truth") < 8
 

@@ -110,6 +110,11 @@ def pfs_verdict(spark, d):
     return dc.pfs_verdict(dc.explode_ike(x.select("capture_id", "kind", "body")), x.where("kind = 'ESP'").select("capture_id"))
 
 
+@query(f"with {P} select capture_id, '' ike_groups, '14' child_groups from p where proto='IKE' group by 1")
+def dh_groups_by_scope(spark, d):
+    return dc.dh_groups(dc.explode_ike(dc.classify(_ip(spark, d)).select("capture_id", "kind", "body")))
+
+
 #: A capture file holds frames of so many frame numbers at most, some 15 MB.
 FILE_FRAMES = 100_000
 

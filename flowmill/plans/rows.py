@@ -93,10 +93,24 @@ def content_dedup_version(spark, d):
     return ds.content_versions(table(spark, d, "documents").select("doc_id", "source", "text"), "source", "doc_id", "text").drop("text")
 
 
-@query("select doc_id, case when n_chars<50 then 'too short' when toxic=1 then 'flagged' when quality is null then 'not validated' when quality=0 then 'invalid' end reason from documents left join labels using(doc_id)")
+@query("""with x as (select case o_orderstatus when 'F' then 'train' when 'O' then 'test' else 'validation' end split, case o_orderstatus when 'P' then 'only ' else '' end||o_orderpriority label, o_custkey key, case when o_orderkey%1000=7 then 'nan'::double else o_totalprice::double end v from orders),
+c as (select * from (select split, label, count(*) n from x group by 1,2)), t as (select * from c where split='train'), s as (select (select coalesce(sum(n),0) from t) tr, (select coalesce(sum(n),0) from c where split='validation') va, (select coalesce(sum(n),0) from c where split='test') te, (select count(*) from t) k, (select string_agg(distinct label, ', ' order by label) from c where label not in (select label from t)) unseen, (select string_agg(label, ', ' order by label) from t where n<2) thin, (select count(distinct key) from x where split='train') g, exists(select 1 from x group by key having count(distinct split)>1) shared, exists(select 1 from x where not isfinite(v)) odd)
+select 'problem' kind, 'a feature value is not finite' reason from s where odd union all select 'problem', 'the train split is empty' from s where tr=0 union all select 'problem', 'the validation split is empty' from s where va=0 union all select 'problem', 'the test split is empty' from s where te=0 union all select 'problem', 'fewer than two training classes' from s where k<2
+union all select 'problem', 'classes never seen in training: '||unseen from s where unseen is not null union all select 'problem', 'groups in several splits' from s where shared union all select 'shortage', 'few training rows' from s where tr<8 union all select 'shortage', 'few validation or test rows' from s where va<4 or te<4 union all select 'shortage', 'a single training group' from s where g<2 union all select 'shortage', 'classes with few training rows: '||thin from s where thin is not null""")
+def dataset_audit_findings(spark, d):
+    v = F.when(F.col("o_orderkey") % 1000 == 7, F.lit(float("nan"))).otherwise(F.col("o_totalprice").cast("double"))
+    status = F.col("o_orderstatus")
+    split = F.when(status == "F", "train").when(status == "O", "test").otherwise("validation")
+    x = table(spark, d, "orders").select(split.alias("split"), F.concat(F.when(status == "P", "only ").otherwise(""), "o_orderpriority").alias("label"), F.col("o_custkey").alias("key"), v.alias("v"))
+    return ds.audit_findings(x, "split", "label", "key", ("v",))
+
+
+@query("""select doc_id, case when doc_id is null then 'no experiment_id' when n_chars<50 then 'no capture path' when coalesce(toxic,1)<>0 then 'not valid: '||coalesce(case when doc_id%3=0 then lang end,'capture was not validated')||case when doc_id%2=0 then ': '||source||'; '||lang else '' end when quality=0 then 'dry run' when doc_id%7=0 then 'capture file is missing' end reason from documents left join labels using(doc_id)""")
 def manifest_verdict(spark, d):
-    x = table(spark, d, "documents").select("doc_id", "n_chars").join(table(spark, d, "labels"), "doc_id", "left")
-    return ds.manifest_verdict(x).select("doc_id", "reason")
+    x = table(spark, d, "documents").select("doc_id", "n_chars", "source", "lang").join(table(spark, d, "labels").select("doc_id", "toxic", "quality"), "doc_id", "left")
+    even, third = F.col("doc_id") % 2 == 0, F.col("doc_id") % 3 == 0
+    runs = x.select("doc_id", F.col("doc_id").alias("experiment_id"), F.when(F.col("n_chars") >= 50, F.col("source")).alias("pcap_path"), (F.col("toxic") == 0).alias("valid_capture"), F.when(third, F.col("lang")).alias("error_code"), F.when(even, F.array("source", "lang")).alias("reasons"), (F.col("quality") == 0).alias("dry_run"), (F.col("doc_id") % 7 != 0).alias("file_found"))
+    return ds.manifest_verdict(runs).select("doc_id", "reason")
 
 
 @query("select unnest(['p_brand has several values','p_size has several values','every p_brand has several p_size','every p_size has several p_brand']) as name, unnest([(select count(distinct p_brand)>1 from part),(select count(distinct p_size)>1 from part),(select min(n)>1 from (select count(distinct p_size) n from part group by p_brand)),(select min(n)>1 from (select count(distinct p_brand) n from part group by p_size))]) holds")
@@ -293,9 +307,12 @@ def price_findings(spark, d):
     return a.price(findings(spark, d))
 
 
-@query(f"with {_PR} select * exclude(k) from (select *, row_number() over (partition by capture_id, category order by points desc, ordinal) k from pr) where k=1")
+@query(f"with {_PR}, x as (select pr.* replace (points-0.25*k as points, ordinal*3+k::int as ordinal), case when category='METADATA_PRIVACY' then 'spi-'||k end dedup_key from pr, range(0,3) r(k)) select * exclude(n) from (select *, row_number() over (partition by capture_id, rule_id, dedup_key order by points desc, ordinal) n from x) where n=1")
 def collapse_findings(spark, d):
-    return a.collapse(a.price(findings(spark, d)), ("capture_id", "category"))
+    """Three findings of each rule, those of metadata on subjects of their own."""
+    k = F.explode(F.array(*map(F.lit, range(3)))).alias("k")
+    x = a.price(findings(spark, d)).select("*", k).withColumns({"points": F.col("points") - 0.25 * F.col("k"), "ordinal": F.col("ordinal") * 3 + F.col("k"), "dedup_key": F.when(F.col("category") == "METADATA_PRIVACY", F.concat(F.lit("spi-"), "k"))})
+    return a.collapse(x.drop("k"))
 
 
 @query(f"with {_ST} select * from st")
@@ -323,18 +340,26 @@ def evidence_tally(spark, d):
     return a.evidence_tally(findings(spark, d))
 
 
-@query(f"with {_ST} select *, row_number() over (partition by capture_id order by case status when 'FAIL' then 3 when 'WARNING' then 2 when 'PASS' then 1 else 0 end desc, points desc, rule_id)::int position from st")
+_SEV = "case when status='FAIL' and base>=20 then 'CRITICAL' when status='FAIL' then 'HIGH' when status='WARNING' and base>=6 then 'MEDIUM' when status='WARNING' then 'LOW' else 'INFO' end"
+_RANK = "case severity when 'CRITICAL' then 4 when 'HIGH' then 3 when 'MEDIUM' then 2 when 'LOW' then 1 else 0 end"
+
+
+def _titled(spark, d):
+    return _settled(spark, d).withColumns({"severity": F.expr(_SEV), "title": F.col("property_key")})
+
+
+@query(f"with {_ST}, x as (select *, {_SEV} severity, property_key title from st) select *, row_number() over (partition by capture_id order by case status when 'FAIL' then 3 when 'WARNING' then 2 when 'PASS' then 1 else 0 end desc, {_RANK} desc, title, rule_id)::int as position from x")
 def findings_ordered(spark, d):
-    return a.worst_first(_settled(spark, d))
+    return a.worst_first(_titled(spark, d))
 
 
 _ADVICE = {"CRYPTO-001": "use strong ciphers", "KEYX-003": "turn on PFS", "KEYX-004": "turn on PFS", "SA-003": "avoid UDP encapsulation", "META-002": "pad traffic", "META-003": "pad traffic"}
 _ADV = "case rule_id when 'CRYPTO-001' then 'use strong ciphers' when 'KEYX-003' then 'turn on PFS' when 'KEYX-004' then 'turn on PFS' when 'SA-003' then 'avoid UDP encapsulation' else 'pad traffic' end"
 
 
-@query(f"with {_ST}, x as (select capture_id, {_ADV} advice, max(points) points, arg_max(rule_id, {{'p':points,'o':-ordinal}}) lead_rule, string_agg(distinct rule_id, ',' order by rule_id) \"rules\" from st where status in ('FAIL','WARNING') group by 1,2) select *, row_number() over (partition by capture_id order by points desc, advice)::int priority from x")
+@query(f"with {_ST}, y as (select *, {_SEV} severity from st where status in ('FAIL','WARNING')), z as (select *, {_RANK} sr from y), x as (select capture_id, {_ADV} advice, max(points) points, max(sr) sr, arg_max(severity, sr) severity, arg_max(rule_id, {{'s':sr,'p':points,'o':-ordinal}}) lead_rule, string_agg(distinct rule_id, ',' order by rule_id) \"rules\" from z group by 1,2) select * exclude(sr), row_number() over (partition by capture_id order by sr desc, points desc, advice)::int priority from x")
 def recommendations(spark, d):
-    return a.recommendations(_settled(spark, d), _ADVICE)
+    return a.recommendations(_titled(spark, d), _ADVICE)
 
 
 _TV = ", ".join(f"('{i}','{l}','{m}',{str(u).lower()},'{r}')" for i, _, l, m, rules, u in a.THREATS for r in rules)
@@ -453,18 +478,24 @@ def policy_eval(spark, d):
     return rc.evaluate_policies(x, rules).select("o_orderkey", "rule_id", "version", "required", "reason", "result")
 
 
-_EF = "ln as (select doc_id, unnest(string_split(text, chr(10))) t, generate_subscripts(string_split(text, chr(10)),1)-1 line from documents), ef as (select doc_id, line::int as line, 'license' field, trim(substr(t, strpos(t,'License')+7), ' ') as value from ln where contains(t,'License') union all select doc_id, line::int, 'version', trim(substr(t, strpos(t,'ersion ')+7), ' ') from ln where contains(t,'ersion '))"
-_FIELDS = {"license": "License", "version": "ersion "}
+_PAGES = "pg as (select doc_id, text||chr(10)||'Bank name: '||source||' : '||lang||chr(10)||'no mark in this ifsc line'||chr(10)||'IFSC:  ab'||doc_id||' '||chr(10)||'BANK:' page from documents)"
+_EF = _PAGES + ", ln as (select doc_id, unnest(string_split(page, chr(10))) t, generate_subscripts(string_split(page, chr(10)),1)-1 line from pg), lv as (select *, lower(t) l, trim(substr(t, strpos(t,':')+1), ' ') v from ln where contains(t,':')), ef as (select doc_id, line::int as line, 'bank_name' field, v as value, v normalized from lv where contains(l,'bank') union all select doc_id, line::int, 'ifsc', v, upper(v) from lv where contains(l,'ifsc'))"
+_FIELDS = {"bank_name": ("bank", False), "ifsc": ("ifsc", True)}
+
+
+def _pages(spark, d):
+    page = F.expr("concat(text, '\\nBank name: ', source, ' : ', lang, '\\nno mark in this ifsc line\\nIFSC:  ab', doc_id, ' \\nBANK:')")
+    return table(spark, d, "documents").select("doc_id", page.alias("page"))
 
 
 @query(f"with {_EF} select * from ef")
 def extract_fields(spark, d):
-    return rc.extract_fields(table(spark, d, "documents"), "doc_id", "text", _FIELDS)
+    return rc.extract_fields(_pages(spark, d), "doc_id", "page", _FIELDS)
 
 
-@query(f"with {_EF} select doc_id, arg_max(value, line) filter (field='license') license, arg_max(value, line) filter (field='version') as version from ef group by 1")
+@query(f"with {_EF} select doc_id, arg_max(value, line) filter (field='bank_name') bank_name, arg_max(value, line) filter (field='ifsc') ifsc from ef group by 1")
 def fields_pivot(spark, d):
-    return rc.fields_pivot(rc.extract_fields(table(spark, d, "documents"), "doc_id", "text", _FIELDS), "doc_id", list(_FIELDS))
+    return rc.fields_pivot(rc.extract_fields(_pages(spark, d), "doc_id", "page", _FIELDS), "doc_id", list(_FIELDS))
 
 
 @query("select o_custkey, o_orderkey, o_orderstatus from orders qualify row_number() over (partition by o_custkey order by o_orderkey desc)=1")

@@ -51,6 +51,20 @@ def write_jsonl(rows: DataFrame, where: str, order: list[str]) -> None:
     rows.select(*order).write.json(where)
 
 
+def write_csv(rows: DataFrame, where: str, order: list[str]) -> None:
+    """The flat view of rows: a header, and columns in a fixed order; numbers as Spark writes them, null as nothing."""
+    rows.select(*order).write.option("header", True).csv(where)
+
+
+def write_summary(rows: DataFrame, where: str, split: str, label: str, key: str) -> None:
+    """One JSON document: rows, groups, and rows by split and by label. Only counts are gathered."""
+    by = rows.groupBy(split, label).agg(F.count("*").alias("n"))
+    of = lambda c: by.groupBy(F.col(c).cast("string").alias("k")).agg(F.sum("n").alias("n")).agg(F.array_sort(F.collect_list(F.struct("k", "n"))).alias(c))
+    total = rows.agg(F.count("*").alias("rows"), F.count_distinct(key).alias("groups"))
+    pairs = lambda c: F.map_from_entries(F.filter(c, lambda x: x["k"].isNotNull())).alias(f"by_{c}")
+    total.crossJoin(of(split)).crossJoin(of(label)).select("rows", "groups", pairs(split), pairs(label)).write.json(where)
+
+
 def read_jsonl(spark: SparkSession, where: str, schema: str) -> DataFrame:
     """Rows with the given schema and _corrupt, a line that does not fit it."""
     return spark.read.schema(schema + ", _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(where)
