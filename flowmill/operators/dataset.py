@@ -138,6 +138,31 @@ def coverage_checks(configs: DataFrame, a: str, b: str) -> DataFrame:
     return x.crossJoin(by_a).crossJoin(by_b).select(rows.alias("r")).select("r.name", "r.holds")
 
 
+def design_coverage(configs: DataFrame, classes: list[str], ciphers: list[str]) -> DataFrame:
+    """key and passed for each demand on a design of experiments. configs: mode (tunnel, transport), encryption, integrity,
+    dh_group, pfs, ip_version, traffic. classes of traffic and ciphers must all occur. AEAD ciphers (GCM in their names)
+    take no HMAC, others need one. Configurations and traffic must each meet several of the other. Nulls count as
+    lacking; a table without rows passes nothing."""
+    has = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    cipher, hmac = F.coalesce("encryption", F.lit("")), F.coalesce(F.col("integrity").startswith("hmac"), F.lit(False))
+    aead, pfs = cipher.contains("gcm"), F.coalesce("pfs", F.lit(False))
+    cross = lambda m, a: has((F.col("mode") == m) & (aead if a else ~aead))
+    checks = {
+        "mode_tunnel": has(F.col("mode") == "tunnel"), "mode_transport": has(F.col("mode") == "transport"), "enc_aes128": has(cipher.startswith("aes128")), "enc_aes256": has(cipher.startswith("aes256")), "enc_gcm": has(aead), "enc_cbc_hmac": has(~aead),
+        "aead_without_separate_hmac": has(aead) & ~has(aead & hmac), "cbc_requires_hmac": has(~aead) & ~has(~aead & ~hmac), "dh_groups": F.count_distinct("dh_group") >= 3, "pfs_enabled": has(pfs), "pfs_disabled": has(~pfs), "ipv4": has(F.col("ip_version") == 4), "ipv6": has(F.col("ip_version") == 6),
+        **{f"traffic_{c}": has(F.col("traffic") == c) for c in classes}, "all_encryption_algorithms": F.count_distinct(F.when(cipher.isin(*ciphers), cipher)) == len(set(ciphers)),
+        "mode_cipher_cross": cross("tunnel", True) & cross("tunnel", False) & cross("transport", True) & cross("transport", False),
+    }
+    one = configs.agg(*(v.alias(k) for k, v in checks.items()))
+    parts = ("mode", "encryption", "integrity", "dh_group", "ip_version")
+    pairs = configs.groupBy(*parts, "traffic").agg((has(pfs) & has(~pfs)).alias("x")).agg(has(F.col("x")).alias("pfs_isolated"))
+    several = lambda keys, what: configs.groupBy(*keys).agg((F.count_distinct(what) > 1).alias("x")).agg(F.coalesce(F.bool_and("x"), F.lit(False)))
+    whole = F.struct(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (*parts, "pfs")))
+    out = one.crossJoin(pairs).crossJoin(several((*parts, "pfs"), "traffic").toDF("config_traffic_cross")).crossJoin(several(("traffic",), whole).toDF("traffic_config_cross"))
+    rows = F.array(*(F.struct(F.lit(c).alias("key"), F.col(c).alias("passed")) for c in out.columns))
+    return out.select(F.explode(rows).alias("r")).select("r.*")
+
+
 def isolated_pairs(configs: DataFrame, identity: list[str], flag: str, key: str) -> DataFrame:
     """Pairs of configurations equal but for a flag: the smallest key on either side of each identity."""
     g = configs.groupBy(*identity).agg(F.min(F.when(F.col(flag), F.col(key))).alias("with_key"), F.min(F.when(~F.col(flag), F.col(key))).alias("without_key"))

@@ -135,9 +135,13 @@ def threshold_choice(sweep: DataFrame) -> DataFrame:
     return sweep.agg(F.max_by("threshold", key).alias("threshold"))
 
 
-def prediction_contract(predictions: DataFrame) -> DataFrame:
-    """predictions: row_id, predicted, confidence, p2, margin, model_id. Refusals and bits of surprise."""
-    why = first_reason((F.col("confidence").isNull() | F.isnan("confidence"), "confidence is missing"), ((F.col("confidence") < 0) | (F.col("confidence") > 1), "confidence out of range"), (F.col("predicted").isNull(), "no class"))
+def prediction_contract(predictions: DataFrame, answers: tuple[str, ...] = ("label", "truth")) -> DataFrame:
+    """predictions: row_id, predicted, confidence, p2, margin, model_id. Refusals and bits of surprise. A row that has a value
+    in a column of answers is refused: predictions must not come with what they are to be measured by."""
+    labelled = F.lit(False)
+    for c in answers:
+        labelled = labelled | (F.col(c).isNotNull() if c in predictions.columns else F.lit(False))
+    why = first_reason((labelled, "carries an answer"), (F.col("confidence").isNull() | F.isnan("confidence"), "confidence is missing"), ((F.col("confidence") < 0) | (F.col("confidence") > 1), "confidence out of range"), (F.col("predicted").isNull(), "no class"))
     bits = F.when(F.col("confidence") > 0, F.round(-F.log2("confidence"), 4))
     return predictions.select("row_id", "predicted", why.alias("refused"), bits.alias("surprise_bits"), "margin", (F.col("model_id").isNotNull() & why.isNull()).alias("complete"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowmill.operators.evaluate import macro_metrics, threshold_choice, threshold_sweep
+from flowmill.operators.flows import pad_overhead, pad_sizes
 
 
 def candidates(trees: int = 300, rounds: int = 200) -> dict:
@@ -164,6 +165,42 @@ def heldout_config(rows: DataFrame, features: list[str], key: str, held: F.Colum
     return macro_metrics(score(fit(inside.withColumn("split", F.lit("train")), features, estimator), outside, key))
 
 
+class Countermeasure:
+    """What hides traffic: a change of features, what it costs, and where its results come from. Subclasses give apply and
+    overhead; those that stand for captured traffic set measured."""
+
+    name, measured = "none", False
+
+    def apply(self, rows: DataFrame) -> DataFrame:
+        return rows
+
+    def overhead(self, rows: DataFrame) -> DataFrame:
+        raise NotImplementedError
+
+    def describe(self) -> dict:
+        return {"name": self.name, "provenance": "measured" if self.measured else "simulated", **vars(self)}
+
+    def __call__(self, rows: DataFrame) -> DataFrame:
+        return self.apply(rows)
+
+
+class Padding(Countermeasure):
+    """Sizes raised to a multiple of target, or to target."""
+
+    name = "padding"
+
+    def __init__(self, target: int, bucket: bool = True):
+        if target <= 0:
+            raise ValueError("target must be above 0")
+        self.target, self.bucket = target, bucket
+
+    def apply(self, rows: DataFrame) -> DataFrame:
+        return pad_sizes(rows, self.target, self.bucket)
+
+    def overhead(self, rows: DataFrame) -> DataFrame:
+        return pad_overhead(rows, self.apply(rows))
+
+
 def mitigation(rows: DataFrame, features: list[str], key: str, estimator, change, measured: bool = False, claim: bool = False) -> DataFrame:
     """Accuracy and macro F1 of an attacker on plain data, of the same on changed data, and of one trained on changed data;
     and how many rows the change touched. measured: change stands for what was captured, not for a computation on

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from flowmill.functions.columns import rounded
 from flowmill.operators import evaluate as ev
 from flowmill.operators import flows as fl
+from flowmill.operators.training import Padding
 from flowmill.plans.views import FLOWS, HEALTH, TOP, P, T, packets, scores, t_sql
 
 QUERIES, SQL = {}, {}
@@ -101,7 +102,7 @@ def pad_sizes(spark, d):
 @query(f"with {P}, {_V.split(', vt as')[0]}, x as (select round(vb/vn,6) b, {_PAD.format('round(vb/vn,6)')} a from v) select round(avg(b),6) mean_before, round(avg(a),6) mean_after, round(100*(avg(a)-avg(b))/avg(b),6) overhead_percent from x")
 def pad_overhead(spark, d):
     x = rounded(fl.features_volume(packets(spark, d)), "esp_avg_len").select("capture_id", "esp_avg_len")
-    return fl.pad_overhead(x, fl.pad_sizes(x, 64))
+    return Padding(64).overhead(x)
 
 
 def _predictions(spark, d):
@@ -236,7 +237,7 @@ def threshold_choice(spark, d):
     return ev.threshold_choice(ev.threshold_sweep(_labels(spark, d), _TH, _known()))
 
 
-@query(f"with {T}, {_RK} select row_id, top1 predicted, null::varchar refused, round(-log2(p1),4) surprise_bits, margin, true complete from rk")
+@query(f"with {T}, {_RK} select row_id, top1 predicted, case when row_id%3=0 and truth is not null then 'carries an answer' end refused, round(-log2(p1),4) surprise_bits, margin, row_id%3<>0 or truth is null complete from rk")
 def prediction_contract(spark, d):
-    x = ev.ranked(scores(spark, d)).select("row_id", F.col("top1").alias("predicted"), F.col("p1").alias("confidence"), "p2", "margin", F.lit("m1").alias("model_id"))
+    x = ev.ranked(scores(spark, d)).select("row_id", F.col("top1").alias("predicted"), F.col("p1").alias("confidence"), "p2", "margin", F.lit("m1").alias("model_id"), F.when(F.col("row_id") % 3 == 0, F.col("truth")).alias("label"))
     return ev.prediction_contract(x)

@@ -123,6 +123,20 @@ def confounding_check(spark, d):
     return ds.confounded(table(spark, d, "part"), "p_brand", "p_type", "p_size").withColumnsRenamed({"n_p_type": "n_types", "n_p_size": "n_sizes"})
 
 
+_CIPHERS = ("aes128gcm", "aes256gcm", "aes128cbc", "aes256cbc")
+_DESIGN = """g as (select case when p_size%2=0 then 'tunnel' else 'transport' end mode, ['aes128gcm','aes256gcm','aes128cbc','aes256cbc'][p_partkey%4+1] encryption, case when p_partkey%4>=2 or p_partkey%97=0 then 'hmac_sha256' else 'none' end integrity, p_size%7 dh_group, p_size%3=0 pfs, case when p_size%5=0 then 6 else 4 end ip_version, p_brand traffic from part)"""
+
+
+@query(f"""with {_DESIGN}, a as (select *, contains(encryption,'gcm') aead, starts_with(integrity,'hmac') h from g), o as (select bool_or(mode='tunnel') mode_tunnel, bool_or(mode='transport') mode_transport, bool_or(starts_with(encryption,'aes128')) enc_aes128, bool_or(starts_with(encryption,'aes256')) enc_aes256, bool_or(aead) enc_gcm, bool_or(not aead) enc_cbc_hmac, bool_or(aead) and not bool_or(aead and h) aead_without_separate_hmac, bool_or(not aead) and not bool_or(not aead and not h) cbc_requires_hmac, count(distinct dh_group)>=3 dh_groups, bool_or(pfs) pfs_enabled, bool_or(not pfs) pfs_disabled, bool_or(ip_version=4) ipv4, bool_or(ip_version=6) ipv6,
+bool_or(traffic='Brand#1') "traffic_Brand#1", coalesce(bool_or(traffic='absent'),false) traffic_absent, count(distinct encryption)=4 all_encryption_algorithms, count(distinct mode||aead)=4 mode_cipher_cross,
+(select bool_or(x) from (select count(distinct pfs)>1 x from g group by mode,encryption,integrity,dh_group,ip_version,traffic)) pfs_isolated, (select bool_and(x) from (select count(distinct traffic)>1 x from g group by mode,encryption,integrity,dh_group,ip_version,pfs)) config_traffic_cross, (select bool_and(x) from (select count(distinct (mode,encryption,integrity,dh_group,ip_version,pfs))>1 x from g group by traffic)) traffic_config_cross from a)
+select * from (unpivot o on * into name key value passed)""")
+def design_coverage(spark, d):
+    cipher = F.get(F.array(*map(F.lit, _CIPHERS)), (F.col("p_partkey") % 4).cast("int"))
+    g = table(spark, d, "part").select(F.expr("case when p_size%2=0 then 'tunnel' else 'transport' end mode"), cipher.alias("encryption"), F.expr("case when p_partkey%4>=2 or p_partkey%97=0 then 'hmac_sha256' else 'none' end integrity"), F.expr("p_size%7 dh_group"), F.expr("p_size%3=0 pfs"), F.expr("case when p_size%5=0 then 6 else 4 end ip_version"), F.col("p_brand").alias("traffic"))
+    return ds.design_coverage(g, ["Brand#1", "absent"], list(_CIPHERS))
+
+
 @query("select p_brand, p_type, min(case when p_size>25 then p_partkey end) with_key, min(case when p_size<=25 then p_partkey end) without_key from part group by 1,2 having count(*) filter (p_size>25)>0 and count(*) filter (p_size<=25)>0")
 def isolated_pairs(spark, d):
     x = table(spark, d, "part").withColumn("large", F.col("p_size") > 25)
@@ -307,6 +321,17 @@ def price_findings(spark, d):
     return a.price(findings(spark, d))
 
 
+@query(f"""with {P}, x as (select capture_id, count(*) filter (proto='ESP') esp, count(*) filter (proto='IKE') ike, count(distinct spi_int) filter (proto='ESP') spis from p group by 1)
+select capture_id, 'OWN-1' rule_id, 1::int as ordinal, 'SA_SECURITY' category, 'few_associations' property_key, case when spis<3 then 'FAIL' when spis<8 then 'WARNING' else 'PASS' end status, 'OBSERVED' evidence_status, case when spis<3 then 9.0::double when spis<8 then 4.0::double else 0.0::double end base, 1.0::double confidence from x
+union all select capture_id, 'OWN-2', 2::int, 'CONFIGURATION', 'signups', case when ike*5>esp then 'WARNING' else 'PASS' end, 'INFERRED', case when ike*5>esp then 2.0::double else 0.0::double end, 0.5::double from x where ike>0""")
+def custom_rules(spark, d):
+    x = packets(spark, d).groupBy("capture_id").agg(F.count_if(F.col("proto") == "ESP").alias("esp"), F.count_if(F.col("proto") == "IKE").alias("ike"), F.count_distinct(F.when(F.col("proto") == "ESP", F.col("spi_int"))).alias("spis"))
+    few = F.when(F.col("spis") < 3, "FAIL").when(F.col("spis") < 8, "WARNING").otherwise("PASS")
+    many = F.when(F.col("ike") * 5 > F.col("esp"), "WARNING").otherwise("PASS")
+    own = [ru.Rule("OWN-1", "SA_SECURITY", "few_associations", {"FAIL": 9.0, "WARNING": 4.0}, few, F.lit("OBSERVED")), ru.Rule("OWN-2", "CONFIGURATION", "signups", {"WARNING": 2.0}, many, F.lit("INFERRED"), F.col("ike") > 0, F.lit(0.5))]
+    return ru.caller_verdicts(x, own)
+
+
 @query(f"with {_PR}, x as (select pr.* replace (points-0.25*k as points, ordinal*3+k::int as ordinal), case when category='METADATA_PRIVACY' then 'spi-'||k end dedup_key from pr, range(0,3) r(k)) select * exclude(n) from (select *, row_number() over (partition by capture_id, rule_id, dedup_key order by points desc, ordinal) n from x) where n=1")
 def collapse_findings(spark, d):
     """Three findings of each rule, those of metadata on subjects of their own."""

@@ -6,7 +6,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from flowmill.operators import assess, dataset, decode, evaluate, flows, records, training
+from flowmill.operators import assess, dataset, decode, evaluate, flows, records, rules, training
 from flowmill.sources import captures
 
 FOUND = "capture_id string, rule_id string, ordinal int, status string, severity string, title string, points double, dedup_key string"
@@ -111,3 +111,35 @@ def test_mitigation_states_what_it_is(spark):
     assert set(got) == {"baseline", "frozen", "retrained"} and got["baseline"].delta == 0 and {(r.changed_rows, r.provenance) for r in got.values()} == {(29, "simulated")}
     with pytest.raises(ValueError):
         training.mitigation(*how, claim=True)
+
+
+def test_rules_of_a_caller(spark):
+    facts = spark.createDataFrame([("a", 1), ("b", None), ("c", 5)], "capture_id string, n int")
+    own = [rules.Rule("X", "C", "p", {"FAIL": 3.0}, F.when(F.col("n") < 3, "FAIL").when(F.col("n") >= 3, "PASS"), F.lit("OBSERVED")), rules.Rule("Y", "C", "q", {}, F.lit("WARNING"), F.lit(None).cast("string"), F.col("n") > 3)]
+    got = sorted((r.capture_id, r.rule_id, r.ordinal, r.status, r.evidence_status, r.base) for r in rules.caller_verdicts(facts, own).collect())
+    assert got == [("a", "X", 1, "FAIL", "OBSERVED", 3.0), ("b", "X", 1, "NOT_VERIFIABLE", "OBSERVED", 0.0), ("c", "X", 1, "PASS", "OBSERVED", 0.0), ("c", "Y", 2, "WARNING", "NOT_VERIFIABLE", 0.0)]
+    assert rules.caller_verdicts(facts, []).count() == 0
+    assert assess.price(rules.caller_verdicts(facts, own)).count() == 4
+
+
+def test_design(spark):
+    schema = "mode string, encryption string, integrity string, dh_group int, pfs boolean, ip_version int, traffic string"
+    rows = [(m, e, i, g, p, v, t) for m in ("tunnel", "transport") for e, i in (("aes128gcm", "none"), ("aes256cbc", "hmac_sha256")) for g in (14, 19, 31) for p in (True, False) for v in (4, 6) for t in ("web", "voip")]
+    failed = lambda rows: {r.key for r in dataset.design_coverage(spark.createDataFrame(rows, schema), ["web", "voip"], ["aes128gcm", "aes256cbc"]).collect() if not r.passed}
+    assert failed(rows) == set()
+    assert failed([*rows, ("tunnel", "aes128gcm", "hmac_sha256", 14, True, 4, "web"), ("tunnel", "aes128cbc", None, None, None, None, None)]) == {"aead_without_separate_hmac", "cbc_requires_hmac", "config_traffic_cross", "traffic_config_cross"}
+    assert len(failed([])) == 20
+
+
+def test_answers_are_refused(spark):
+    rows = spark.createDataFrame([(1, 0, 0.5, 0.1, 0.4, "m", None), (2, 0, 0.5, 0.1, 0.4, "m", 1)], "row_id int, predicted int, confidence double, p2 double, margin double, model_id string, label int")
+    assert {r.row_id: r.refused for r in evaluate.prediction_contract(rows).collect()} == {1: None, 2: "carries an answer"}
+
+
+def test_countermeasures(spark):
+    rows = spark.createDataFrame([("a", 100.0), ("b", 130.0)], "capture_id string, esp_avg_len double")
+    pad = training.Padding(64)
+    assert [r.esp_avg_len for r in pad(rows).orderBy("capture_id").collect()] == [128.0, 192.0] and pad.describe() == {"name": "padding", "provenance": "simulated", "target": 64, "bucket": True}
+    assert pad.overhead(rows).first()["mean_after"] == 160.0
+    with pytest.raises(ValueError):
+        training.Padding(0)
