@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from flowmill.llm import compaction, embed_dedup, mixing, packing, pii, separator_scan, simhash, token_store, topk, toxicity
+from flowmill.llm import compaction, decontaminate, embed_dedup, merkle, mixing, packing, pii, separator_scan, simhash, token_store, topk, toxicity, whitening
 from flowmill.llm.common import documents, fresh, shared_path
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -69,10 +69,32 @@ def op10_separator_scan(spark, sf_dir):
     return separator_scan.count_tokens(spark, where)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_embedding_dedup, op3_topk_search, op4_compaction, op5_best_fit_packing, op6_toxicity, op7_personal_data, op8_token_store, op9_simhash_dedup, op10_separator_scan)}
+def op11_embedding_whitening(spark, sf_dir):
+    out = whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return out.withColumn("deviation", F.col("deviation").try_cast("long"))  # the column is a long: beyond its range, null
+
+
+def op12_benchmark_decontamination(spark, sf_dir):
+    found = decontaminate.find_contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), ["doc_id"])
+    ids = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), ids.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op13_merkle_manifest(spark, sf_dir):
+    """Tampering, in documents whose decimal id's CRC 7 divides, adds 1 to n_chars."""
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    ways = merkle.verify(documents(spark, sf_dir), changed={"n_chars": F.col("n_chars") + F.when(tampered, 1).otherwise(0)})
+    return ways.select("doc_id", "leaf", "subroot", "root", F.sha2(F.lower(F.hex("siblings")).cast("binary"), 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_embedding_dedup, op3_topk_search, op4_compaction, op5_best_fit_packing, op6_toxicity, op7_personal_data, op8_token_store, op9_simhash_dedup, op10_separator_scan, op11_embedding_whitening, op12_benchmark_decontamination, op13_merkle_manifest)}
 
 _COIN = "cast('0x' || substr(md5('7:' || coalesce(cast(doc_id as varchar), '')), 1, 13) as bigint) / 4503599627370496.0"
 
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_LEAF = "sha256(" + " || ".join("case when {0} is null then '-' else strlen(cast({0} as varchar)) || ':' || cast({0} as varchar) end".format(c) for c in ("doc_id", "source", "lang", "({n})", "text")) + ")"
+_CRC = "xor(4294967295, list_reduce([cast(4294967295 as bigint)] || list_transform(string_split(cast(doc_id as varchar), ''), lambda c: cast(ascii(c) as bigint)), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))))"
+
 SQL = {
     "op1_mix_sources": f"""
 with d as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as bigint) as size from documents),
@@ -94,4 +116,27 @@ s as (select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.v, c.v) as
 select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s
 qualify row_number() over (partition by query_id order by score desc, vec_id) <= 5""",
     "op4_compaction": "select doc_id, cast(2 as bigint) as version, md5(coalesce(text, '')) as text_md5 from documents",
+    "op12_benchmark_decontamination": f"""
+with d as (select doc_id, {_WORDS} as w from documents), i as (select cast(item_id as varchar) as item, {_WORDS} as w from benchmark where item_id is not null),
+k as (select item, w, least(10, len(w)) as k from i where len(w) > 0),
+iw as (select distinct item, k, array_to_string(w[a:a + k - 1], ' ') as g from (select item, w, k, unnest(range(1, len(w) - k + 2)) as a from k)),
+dw as (select doc_id, a, k, array_to_string(w[a:a + k - 1], ' ') as g from (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) as a from d, (select distinct k from k) where len(w) >= k)),
+m as (select doc_id, a, k, item from dw join iw using (k, g)),
+h as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(a, a + k)) as p from m) group by doc_id),
+x as (select doc_id, count(distinct item) as n_items, string_agg(distinct item, ',' order by item) as items from m group by doc_id)
+select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join h using (doc_id) left join x using (doc_id)""",
+    "op13_merkle_manifest": f"""
+with recursive d as (select doc_id, lang, {_LEAF.format(n="n_chars")} as leaf, {_LEAF.format(n=f"case when {_CRC} % 7 = 0 then n_chars + 1 else n_chars end")} as found from documents),
+lv as (select lang, 0 as lvl, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as idx, leaf as h, count(*) over (partition by lang) as n, doc_id, found from d
+ union all select lang, lvl + 1, idx // 2, sha256(string_agg(h, '' order by idx)), (n + 1) // 2, null, null from lv where n > 1 group by lang, lvl, idx // 2, n),
+tv as (select 0 as lvl, row_number() over (order by lang nulls first) - 1 as idx, h, count(*) over () as n, lang, h as subroot from lv where n = 1
+ union all select lvl + 1, idx // 2, sha256(string_agg(h, '' order by idx)), (n + 1) // 2, null, null from tv where n > 1 group by lvl, idx // 2, n),
+up as (select doc_id, lang, lvl, idx, h as leaf, found as folded, '' as sibs, n from lv where lvl = 0
+ union all select u.doc_id, u.lang, u.lvl + 1, u.idx // 2, u.leaf, sha256(case when u.idx % 2 = 0 then u.folded || coalesce(s.h, '') else s.h || u.folded end), u.sibs || coalesce(s.h, ''), (u.n + 1) // 2
+ from up u left join lv s on s.lang is not distinct from u.lang and s.lvl = u.lvl and s.idx = xor(u.idx, 1) where u.n > 1),
+top as (select u.doc_id, u.leaf, t.subroot, 0 as lvl, t.idx, u.folded, u.sibs, t.n from up u join tv t on t.lvl = 0 and t.lang is not distinct from u.lang where u.n = 1
+ union all select u.doc_id, u.leaf, u.subroot, u.lvl + 1, u.idx // 2, sha256(case when u.idx % 2 = 0 then u.folded || coalesce(s.h, '') else s.h || u.folded end), u.sibs || coalesce(s.h, ''), (u.n + 1) // 2
+ from top u left join tv s on s.lvl = u.lvl and s.idx = xor(u.idx, 1) where u.n > 1)
+select doc_id, leaf, subroot, (select h from tv where n = 1) as root, sha256(sibs) as proof_sha256, folded as folded_root, folded = (select h from tv where n = 1) as verified from top where n = 1""",
 }
