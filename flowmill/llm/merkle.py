@@ -150,7 +150,7 @@ with recursive climb (leaf, step, tree, level, idx, salt, sides, folded) as (
   aggregate(n.path, c.folded, (h, p) -> unhex(sha2(cast(lower(concat(hex(p.left), hex(h), hex(p.right))) as binary), 256)))
  from climb c join {{nodes}} n on c.tree = n.tree and c.level = n.level and c.idx = n.idx and c.salt = n.salt
 )
-select leaf, step, sides, folded from climb"""
+select leaf, step, sides, case when level = {root} then folded end as folded from climb"""
 
 
 def climb(spark: SparkSession, leaves: DataFrame, nodes: DataFrame, start: str) -> DataFrame:
@@ -164,7 +164,7 @@ def climb(spark: SparkSession, leaves: DataFrame, nodes: DataFrame, start: str)
     had = spark.conf.get(limit, None)
     spark.conf.set(limit, "-1")
     try:
-        # copies of one node start at salt 0 for leaves: a leaf is a node above itself alone, or the root of a tree of one
+        # a leaf's last row is at a root, so digests of the others are not kept
         steps = cut(spark.sql(_CLIMB.format(root=ROOT, start=start), leaves=leaves, nodes=nodes), "climb")
     finally:
         spark.conf.unset(limit) if had is None else spark.conf.set(limit, had)
