@@ -61,38 +61,49 @@ def calibration_compare(before: DataFrame, after: DataFrame) -> DataFrame:
     return rows(before, "before").join(rows(after, "after"), "measure").withColumn("delta", F.round(F.col("after") - F.col("before"), 6))
 
 
+def _counted(labels: DataFrame, declared: list | None = None) -> DataFrame:
+    """One row from one pass over labels: pairs (array of truth, predicted, n: every pair of classes that occurs, and 0 for each
+    pair that may), rows and hits. Pairs of classes are few, whatever the rows."""
+    n = labels.groupBy("truth", "predicted").agg(F.count("*").alias("n"))
+    hit = F.coalesce(F.sum(F.when(F.col("truth") == F.col("predicted"), F.col("n"))), F.lit(0))
+    one = n.agg(F.collect_list(F.struct("truth", "predicted", "n")).alias("m"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), hit.alias("hits"))
+    kind = labels.schema["truth"].dataType
+    seen = F.array_distinct(F.concat(F.transform("m", lambda x: x["truth"]), F.transform("m", lambda x: x["predicted"].cast(kind))))
+    classes = F.filter(seen, lambda c: c.isNotNull()) if declared is None else F.array(*(F.lit(c).cast(kind) for c in dict.fromkeys(declared)))
+    one = one.withColumn("c", classes)
+    none = F.flatten(F.transform("c", lambda a: F.transform("c", lambda b: F.struct(a.alias("truth"), b.alias("predicted"), F.lit(0).cast("long").alias("n")))))
+    own = F.filter("m", lambda x: F.array_contains("c", x["truth"]) & F.array_contains("c", x["predicted"]))
+    return one.select(F.concat(none, own.cast(f"array<struct<truth:{kind.simpleString()},predicted:{kind.simpleString()},n:bigint>>")).alias("pairs"), "rows", "hits")
+
+
 def confusion_matrix(labels: DataFrame, declared: list | None = None) -> DataFrame:
     """labels: truth, predicted. Every pair of the declared classes (of those that occur, if none are declared), also those
-    that never meet; rows with another class are not counted. Classes are few."""
-    classes = labels.select(F.col("truth").alias("c")).union(labels.select("predicted")).distinct()
-    if declared is not None:
-        kind = labels.schema["truth"].dataType.simpleString()
-        classes = labels.sparkSession.createDataFrame([(c,) for c in dict.fromkeys(declared)], f"c {kind}")
-    grid = classes.select(F.col("c").alias("truth")).crossJoin(F.broadcast(classes.select(F.col("c").alias("predicted"))))
-    return grid.join(labels.groupBy("truth", "predicted").agg(F.count("*").alias("n")), ["truth", "predicted"], "left").fillna(0, ["n"])
+    that never meet; rows with another class or none are not counted. labels are read once."""
+    return _counted(labels, declared).select(F.explode("pairs").alias("p")).select("p.*").groupBy("truth", "predicted").agg(F.sum("n").alias("n"))
 
 
 def _per_class(labels: DataFrame, declared: list | None = None) -> DataFrame:
-    """From the counts of pairs, so labels are read once."""
-    m = confusion_matrix(labels, declared)
-    hit = F.sum(F.when(F.col("truth") == F.col("predicted"), F.col("n")).otherwise(0))
-    by_truth = m.groupBy(F.col("truth").alias("class")).agg(hit.alias("tp"), F.sum("n").alias("support"))
-    by_pred = m.groupBy(F.col("predicted").alias("class")).agg(F.sum("n").alias("called"))
-    x = by_truth.join(by_pred, "class").select("class", ratio("tp", "called").alias("p"), ratio("tp", "support").alias("r"), "support")
-    f1 = ratio(2 * F.col("p") * F.col("r"), F.col("p") + F.col("r"))
-    return x.select("class", F.col("p").alias("precision"), F.col("r").alias("recall"), f1.alias("f1"), "support")
+    """From the counts of pairs, so labels are read once; with rows and hits of all labels in each row."""
+    n = F.col("p.n")
+    hit = F.when(F.col("p.truth") == F.col("p.predicted"), n).otherwise(0)
+    sides = F.array(F.struct(F.col("p.truth").alias("class"), hit.alias("tp"), n.alias("support"), F.lit(0).cast("long").alias("called")), F.struct(F.col("p.predicted").alias("class"), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("support"), n.alias("called")))
+    x = _counted(labels, declared).select(F.explode("pairs").alias("p"), "rows", "hits").select(F.explode(sides).alias("s"), "rows", "hits")
+    x = x.groupBy("s.class").agg(*(F.sum(f"s.{c}").alias(c) for c in ("tp", "support", "called")), F.max("rows").alias("rows"), F.max("hits").alias("hits"))
+    x = x.select("class", ratio("tp", "called").alias("precision"), ratio("tp", "support").alias("recall"), "support", "rows", "hits")
+    return x.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
 def per_class_metrics(labels: DataFrame, declared: list | None = None) -> DataFrame:
     """Precision, recall, F1 and support of every declared class, else of every class that occurs; 0 where a class is never
     predicted."""
-    return rounded(_per_class(labels, declared), "precision", "recall", "f1")
+    return rounded(_per_class(labels, declared).select("class", "precision", "recall", "f1", "support"), "precision", "recall", "f1")
 
 
 def macro_metrics(labels: DataFrame, declared: list | None = None) -> DataFrame:
-    """Means over the declared classes, else over those that occur; the accuracy is over all rows."""
-    m = _per_class(labels, declared).agg(*(F.round(F.avg(c), 6).alias(f"macro_{c}") for c in ("precision", "recall", "f1")))
-    return m.crossJoin(labels.agg(F.round(F.avg((F.col("truth") == F.col("predicted")).cast("double")), 6).alias("accuracy"), F.count("*").alias("rows")))
+    """Means over the declared classes, else over those that occur; the accuracy is over all rows. labels are read once."""
+    means = [F.round(F.avg(c), 6).alias(f"macro_{c}") for c in ("precision", "recall", "f1")]
+    share = F.round(F.max("hits").cast("double") / F.max("rows"), 6)
+    return _per_class(labels, declared).agg(*means, share.alias("accuracy"), F.coalesce(F.max("rows"), F.lit(0)).alias("rows"))
 
 
 def open_world_decide(scores: DataFrame, confidence: float = 0.16, margin: float | None = 0.01, entropy: float | None = 3.2, enabled: bool = True) -> DataFrame:

@@ -2,26 +2,34 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowmill.operators.boosting import HistogramBoosting
 from flowmill.operators.evaluate import macro_metrics, threshold_choice, threshold_sweep
 from flowmill.operators.flows import pad_overhead, pad_sizes
 
 
-def candidates(trees: int = 300, rounds: int = 200) -> dict:
-    """Name to (rank of simplicity, estimator); a caller may replace any."""
+#: Strength of the logistic candidate's penalty is 1 / (this * rows); the deepest tree that MLlib grows.
+STRENGTH, DEEPEST = 1.0, 30
+
+
+def candidates(trees: int = 300, rounds: int = 200, depth: int = DEEPEST) -> dict:
+    """Name to (rank of simplicity, estimator); a caller may replace any. Weights balance the classes for all but boosting. A
+    logistic model without a penalty of its own gets its penalty from the number of rows when it is fitted."""
     how = {"featuresCol": "features", "labelCol": "label"}
     return {
-        "logistic": (0, LogisticRegression(weightCol="weight", maxIter=50, regParam=0.01, **how)),
-        "tree": (1, DecisionTreeClassifier(weightCol="weight", seed=7, **how)),
-        "forest": (2, RandomForestClassifier(numTrees=trees, weightCol="weight", seed=7, **how)),
-        "boosted": (3, OneVsRest(classifier=GBTClassifier(maxIter=rounds, seed=7), **how)),
+        "logistic": (0, LogisticRegression(weightCol="weight", maxIter=2000, **how)),
+        "tree": (1, DecisionTreeClassifier(weightCol="weight", maxDepth=depth, seed=7, **how)),
+        "forest": (2, RandomForestClassifier(numTrees=trees, weightCol="weight", maxDepth=depth, seed=7, **how)),
+        "boosted": (3, HistogramBoosting(rounds=rounds, **how)),
     }
 
 
@@ -34,8 +42,11 @@ def balanced(rows: DataFrame) -> DataFrame:
 
 
 def fit(rows: DataFrame, features: list[str], estimator) -> PipelineModel:
+    train = balanced(rows).where("split = 'train'")
+    if isinstance(estimator, LogisticRegression) and not estimator.isSet("regParam"):
+        estimator = estimator.copy({estimator.regParam: 1 / (STRENGTH * max(train.count(), 1))})
     steps = [VectorAssembler(inputCols=features, outputCol="raw", handleInvalid="error"), StandardScaler(inputCol="raw", outputCol="features", withMean=True), estimator]
-    return Pipeline(stages=steps).fit(balanced(rows).where("split = 'train'"))
+    return Pipeline(stages=steps).fit(train)
 
 
 def score(model: PipelineModel, rows: DataFrame, key: str) -> DataFrame:
@@ -45,29 +56,36 @@ def score(model: PipelineModel, rows: DataFrame, key: str) -> DataFrame:
     if lacking:
         raise ValueError(f"the model needs columns {lacking}")
     out = model.transform(rows)
-    p = vector_to_array("probability" if "probability" in out.columns else "rawPrediction")
+    p = "probability" if "probability" in out.columns else "rawPrediction"
+    p = F.col(p) if out.schema[p].dataType.typeName() == "array" else vector_to_array(p)
     if "probability" not in out.columns:
         e = F.transform(p, lambda x: F.exp(x - F.array_max(p)))
         p = F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
     return out.select(key, F.col("label").alias("truth"), F.col("prediction").cast("int").alias("predicted"), F.round(F.array_max(p), 6).alias("confidence"), F.transform(p, lambda x: F.round(x, 6)).alias("probabilities"), "split")
 
 
+def _measured(scored: DataFrame) -> dict:
+    """Macro measures of scored rows, from one pass over them."""
+    return macro_metrics(scored.select("truth", "predicted")).first().asDict()
+
+
 def compare(rows: DataFrame, features: list[str], key: str, models: dict) -> DataFrame:
-    """name, rank, score (macro F1 on the validation split); a candidate that fails is a row without a score."""
+    """name, rank, score (macro F1 on the validation split), error; a candidate that can't be fitted or scored is a row without
+    a score that says why."""
     spark, table = rows.sparkSession, []
     for name, (rank, estimator) in models.items():
+        value = error = None
         try:
-            s = score(fit(rows, features, estimator), rows.where("split = 'validation'"), key)
-            value = macro_metrics(s).first()["macro_f1"]
-        except Exception as e:  # the failure is the result
-            value, name = None, f"{name} ({type(e).__name__})"
-        table.append((name, rank, value))
-    return spark.createDataFrame(table, "name string, rank int, score double")
+            value = _measured(score(fit(rows, features, estimator), rows.where("split = 'validation'"), key))["macro_f1"]
+        except (Py4JJavaError, PySparkException, ValueError) as e:  # the failure is the result
+            error = f"{type(e).__name__}: {e}"
+        table.append((name, rank, value, error))
+    return spark.createDataFrame(table, "name string, rank int, score double, error string")
 
 
 def ablation(rows: DataFrame, sets: dict[str, list[str]], key: str, estimator) -> DataFrame:
     """Macro F1 on the validation split with each set of features alone, and its distance from the first set's."""
-    table = [(n, macro_metrics(score(fit(rows, f, estimator), rows.where("split = 'validation'"), key)).first()["macro_f1"]) for n, f in sets.items()]
+    table = [(n, _measured(score(fit(rows, f, estimator), rows.where("split = 'validation'"), key))["macro_f1"]) for n, f in sets.items()]
     return rows.sparkSession.createDataFrame([(n, v, round(v - table[0][1], 6)) for n, v in table], "features string, macro_f1 double, delta double")
 
 
@@ -213,7 +231,7 @@ def mitigation(rows: DataFrame, features: list[str], key: str, estimator, change
     plain, again = fit(rows, features, estimator), fit(changed, features, estimator)
     table = []
     for n, m, r in (("baseline", plain, rows), ("frozen", plain, changed), ("retrained", again, changed)):
-        x = macro_metrics(score(m, r.where("split = 'test'"), key)).first()
+        x = _measured(score(m, r.where("split = 'test'"), key))
         table.append((n, x["accuracy"], x["macro_f1"]))
     first = table[0]
     out = [(n, v, round(v - first[1], 6), f, round(f - first[2], 6), touched, "measured" if measured else "simulated") for n, v, f in table]

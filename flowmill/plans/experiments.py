@@ -12,6 +12,7 @@ from flowmill.operators import decode as dc
 from flowmill.operators import runs
 from flowmill.operators import training as tr
 from flowmill.operators.dataset import grouped_split
+from flowmill.functions.shared import shared_folder
 from flowmill.operators.flows import flow_summary
 from flowmill.sources import captures as src
 from flowmill.streaming import flows as sf
@@ -54,7 +55,7 @@ def _frames(spark, d):
 
 def _written(spark, x):
     """x as a table, as frames of capture files would be: its columns are read, not computed anew for each use."""
-    where = sf.shared_folder(spark)
+    where = shared_folder(spark)
     x.write.parquet(where)
     return spark.read.schema(x.schema).parquet(where)
 
@@ -139,7 +140,7 @@ def src_capture_frames(spark, d):
 
 @query("select doc_id, lang, source, n_chars from documents")
 def dataset_jsonl_roundtrip(spark, d):
-    where = sf.shared_folder(spark)
+    where = shared_folder(spark)
     src.write_jsonl(table(spark, d, "documents"), where, ["doc_id", "lang", "source", "n_chars"])
     return src.read_jsonl(spark, where, "doc_id long, lang string, source string, n_chars long").where("_corrupt is null").drop("_corrupt")
 
@@ -201,14 +202,14 @@ def bundle_summary(spark, d):
 def manifest_scan(spark, d):
     """Documents as files of JSON, one to a line, those of short texts cut short; the files are scanned again."""
     docs = table(spark, d, "documents").select("doc_id", "source", "n_chars")
-    where = sf.shared_folder(spark)
+    where = shared_folder(spark)
     docs.select(F.when(F.col("n_chars") < 20, "{broken").otherwise(F.to_json(F.struct("doc_id", "source", "n_chars")))).write.text(where)
     return runs.scan_documents(spark, where, "doc_id long, source string, n_chars long", ("source",), lines=True).select("doc_id", "reason")
 
 
 @query(f"with {P}, {FLOWS} select * from fl")
 def stream_flow_summary(spark, d):
-    return sf.stream_flow_summary(_stream(spark, d), sf.shared_folder(spark))
+    return sf.stream_flow_summary(_stream(spark, d), shared_folder(spark))
 
 
 def _stream(spark, d):
@@ -219,7 +220,7 @@ def _stream(spark, d):
 
 @query(f"with {P} select capture_id, spi_int, coalesce(sum(case when s>1 then s-1 end),0)::bigint gaps, count(*) filter (s<0) steps_back, count(seq)-count(distinct seq) repeats, count(*) packets from (select *, seq-lag(seq) over (partition by capture_id, spi_int order by frame_index) s from p where proto='ESP') group by 1,2")
 def stream_sequence_health(spark, d):
-    return sf.stream_sequence_health(_stream(spark, d), sf.shared_folder(spark))
+    return sf.stream_sequence_health(_stream(spark, d), shared_folder(spark))
 
 
 # models: all rows and components of embeddings, split by their id
@@ -242,7 +243,7 @@ def _logistic():
 
 @query()
 def train_candidates(spark, d):
-    rows = _rows(spark, d).persist()
+    rows = _written(spark, _rows(spark, d))
     return tr.compare(rows, _F, "vec_id", _models())
 
 
