@@ -1,4 +1,4 @@
-"""Packet headers by column expressions; IKE messages by an Arrow function.
+"""Packet headers by column expressions; IKE messages by an Arrow function; and packets from frames.
 
 Frames: frame (binary), linktype, with any other columns."""
 
@@ -43,18 +43,25 @@ def strip_link(frames: DataFrame) -> DataFrame:
 
 
 def _v4(at: int) -> F.Column:
-    return F.concat_ws(".", *(number("packet", at + k, 1).cast("string") for k in range(4)))
+    byte = lambda k: F.conv(F.hex(F.substring("packet", at + k, 1)), 16, 10)
+    return F.concat_ws(".", *map(byte, range(4)))
 
 
 def _v6(at: int) -> F.Column:
-    """Eight groups with the first of the longest runs of zeros left out; IPv4 behind ::ffff: in dots."""
-    text = F.concat_ws(":", *(F.lower(F.conv(number("packet", at + 2 * k, 2).cast("string"), 10, 16)) for k in range(8)))
+    """Eight groups with the first of the longest runs of zeros left out; IPv4 behind ::ffff: in dots. The text is bound to a
+    lambda's variable: each pattern names it twice, and as an expression it would be repeated in the code every time."""
+    groups = F.regexp_replace(F.lower(F.hex(F.substring("packet", at, 16))), "(.{4})(?=.)", "$1:")
+    groups = F.regexp_replace(groups, "(^|:)0{1,3}", "$1")
+
+    def short(text):
+        out = F
+        for run in range(8, 1, -1):
+            zeros = rf"^(.*?)(?:^|:)0(?::0){{{run - 1}}}(?::|$)(.*)$"
+            out = out.when(text.rlike(zeros), F.regexp_replace(text, zeros, "$1::$2"))
+        return out.otherwise(text)
+
     mapped = F.hex(F.substring("packet", at, 12)) == "0" * 20 + "F" * 4
-    out = F.when(mapped, F.concat(F.lit("::ffff:"), _v4(at + 12)))
-    for run in range(8, 1, -1):
-        zeros = rf"^(.*?)(?:^|:)0(?::0){{{run - 1}}}(?::|$)(.*)$"
-        out = out.when(text.rlike(zeros), F.regexp_replace(text, zeros, "$1::$2"))
-    return out.otherwise(text)
+    return F.when(mapped, F.concat(F.lit("::ffff:"), _v4(at + 12))).otherwise(F.transform(F.array(groups), short)[0])
 
 
 def decode_ip(packets: DataFrame) -> DataFrame:
@@ -85,7 +92,7 @@ def decode_ip(packets: DataFrame) -> DataFrame:
 
 
 def classify(packets: DataFrame) -> DataFrame:
-    """packets (protocol, payload) with kind, udp_encapsulated and body: ESP and AH by protocol; UDP from or to port 500 is
+    """packets (protocol, payload) with kind, udp_encapsulated, marked (a zero marker on port 4500) and body: ESP and AH by protocol; UDP from or to port 500 is
     IKE; else of port 4500 IKE after a zero marker, and ESP if 12 bytes follow. Everything else, with cut headers and
     nulls, is OTHER."""
     p = F.col("protocol")
@@ -95,7 +102,7 @@ def classify(packets: DataFrame) -> DataFrame:
     marked = F.coalesce(number("payload", 9, 4) == 0, F.lit(False))
     kind = F.when(p == 50, "ESP").when(p == 51, "AH").when(p.isin(1, 58), "ICMP").when(udp & port(500), "IKE").when(nat & marked, "IKE").when(nat & (F.length("payload") >= 20), "ESP").otherwise("OTHER")
     body = F.when(nat & marked, F.expr("substring(payload, 13)")).when(udp, F.expr("substring(payload, 9)")).otherwise(F.col("payload"))
-    return packets.withColumns({"kind": kind, "udp_encapsulated": nat & (kind == "ESP"), "body": body})
+    return packets.withColumns({"kind": kind, "udp_encapsulated": nat & (kind == "ESP"), "marked": nat & marked, "body": body})
 
 
 def decode_esp(packets: DataFrame) -> DataFrame:
@@ -104,52 +111,124 @@ def decode_esp(packets: DataFrame) -> DataFrame:
     return packets.withColumns({"spi": F.when(enough, number("body", 1, 4)), "sequence_number": F.when(enough, number("body", 5, 4))})
 
 
-IKE = "array<struct<number:int,protocol:int,transforms:array<struct<type:int,id:int,key_bits:int>>>>"
+#: One IKE message.
+EXCHANGE = """struct<version:int,exchange_type:int,exchange:string,initiator:boolean,response:boolean,message_id:long,initiator_spi:string,responder_spi:string,payloads:array<int>,encrypted:boolean,
+ proposals:array<struct<number:int,protocol:int,spi:string,transforms:array<struct<type:int,id:int,key_bits:int>>>>>"""
+# Exchange types of version 2 by number from 34, payload types, bytes of the header, and how many parts are read.
+EXCHANGES = ("IKE_SA_INIT", "IKE_AUTH", "CREATE_CHILD_SA", "INFORMATIONAL", "IKE_SESSION_RESUMPTION", "GSA_AUTH", "GSA_REGISTRATION", "GSA_REKEY")
+FIRST_EXCHANGE, SA, ENCRYPTED, HEADER = 34, 33, 46, 28
+PAYLOADS, PROPOSALS, TRANSFORMS = 32, 32, 64
+#: A transform's attribute that is its key's length.
+KEY_LENGTH = b"\x80\x0e"
+
+
+def _parts(data: bytes, head: int, most: int):
+    """Neighbouring parts of data, whose second pair of bytes is their length: each part, or its head alone where the length
+    is wrong, which ends them."""
+    at = 0
+    while at + head <= len(data) and most:
+        size, most = int.from_bytes(data[at + 2 : at + 4]), most - 1
+        whole = head <= size <= len(data) - at
+        yield data[at : at + (size if whole else head)], whole
+        if not whole:
+            return
+        at += size
+
+
+def _transforms(data: bytes) -> list[dict]:
+    """A transform whose length is wrong counts as one of 8 bytes, and the next is read behind it."""
+    out = []
+    while len(data) >= 8 and len(out) < TRANSFORMS:
+        size = max(int.from_bytes(data[2:4]), 8)
+        key = int.from_bytes(data[10:12]) if size >= 12 and data[8:10] == KEY_LENGTH and len(data) >= 12 else None
+        out.append({"type": data[4], "id": int.from_bytes(data[6:8]), "key_bits": key})
+        data = data[size:]
+    return out
 
 
-def _transforms(b: bytes, count: int) -> list[dict]:
-    out, at = [], 0
-    while at + 8 <= len(b) and len(out) < min(count, 64):
-        size = int.from_bytes(b[at + 2 : at + 4])
-        if size < 8:
+def _proposals(data: bytes) -> list[dict]:
+    out = []
+    for part, whole in _parts(data, 8, PROPOSALS):
+        begin = 8 + part[6]
+        if not whole or begin > len(part):
             break
-        key = b[at + 8 : at + 12]
-        out.append({"type": b[at + 4], "id": int.from_bytes(b[at + 6 : at + 8]), "key_bits": int.from_bytes(key[2:]) if size >= 12 and key[:2] == b"\x80\x0e" else None})
-        at += size
+        out.append({"number": part[4], "protocol": part[5], "spi": part[8:begin].hex(), "transforms": _transforms(part[begin:])})
     return out
 
 
-def proposals_of(message: bytes) -> list[dict] | None:
-    """Proposals of a message's security association payloads; null if it is no IKE message. At most 32 payloads and
-    proposals and 64 transforms are read."""
-    if message is None or len(message) < 28 or message[17] >> 4 not in (1, 2):
+def exchange_of(message: bytes | None) -> dict | None:
+    """What an IKE message says in clear, in the form of EXCHANGE; None if it is no message: shorter than a header, of another
+    version than 1 and 2, of version 2 with an exchange type that does not exist, or without a responder where only the
+    first exchange has none. A length in the header that can't be right means all bytes. The chain of payloads ends at one
+    that is cut, which still counts as a payload; a cut proposal ends the proposals of its payload."""
+    if message is None or len(message) < HEADER:
+        return None
+    version, kind, flags = message[17] >> 4, message[18], message[19]
+    if version == 2:
+        if not 0 <= kind - FIRST_EXCHANGE < len(EXCHANGES) or (kind > FIRST_EXCHANGE and not any(message[8:16])):
+            return None
+        name = EXCHANGES[kind - FIRST_EXCHANGE]
+    elif version == 1:
+        name = f"IKEV1_EXCHANGE_{kind}"
+    else:
         return None
-    kind, at, out = message[16], 28, []
-    for _ in range(32):
-        size = int.from_bytes(message[at + 2 : at + 4])
-        if not kind or at + 4 > len(message) or size < 4:
+    stated = int.from_bytes(message[24:28])
+    body = message[HEADER:stated] if HEADER <= stated <= len(message) else message[HEADER:]
+    payloads, proposals, following = [], [], message[16]
+    for part, whole in _parts(body, 4, PAYLOADS):
+        if not following:
             break
-        body, p = message[at + 4 : at + size], 0
-        while kind == 33 and p + 8 <= len(body) and len(out) < 32:
-            n = int.from_bytes(body[p + 2 : p + 4])
-            if n < 8:
-                break
-            out.append({"number": body[p + 4], "protocol": body[p + 5], "transforms": _transforms(body[p + 8 + body[p + 6] : p + n], body[p + 7])})
-            p += n
-        kind, at = message[at], at + size
-    return out
+        payloads.append(following)
+        if following == SA and whole:
+            proposals += _proposals(part[4:])
+        following = part[0]
+    return {
+        "version": version, "exchange_type": kind, "exchange": name, "initiator": bool(flags & 8), "response": bool(flags & 32), "message_id": int.from_bytes(message[20:24]),
+        "initiator_spi": message[:8].hex(), "responder_spi": message[8:16].hex(), "payloads": payloads, "encrypted": ENCRYPTED in payloads, "proposals": proposals,
+    }
+
+
+def ike_exchanges(packets: DataFrame) -> DataFrame:
+    """packets (kind, body, and marked where known) with ike: what the IKE message says in clear (EXCHANGE); null for other
+    packets and for bytes that are no message. Behind a zero marker the message is looked for after the marker, then, as
+    the marker may be an initiator's empty number, with it."""
+
+    @F.pandas_udf(EXCHANGE)
+    def parse(bodies: pd.Series, marked: pd.Series) -> pd.DataFrame:
+        found = []
+        for body, mark in zip(bodies, marked):
+            one = exchange_of(None if body is None else bytes(body))
+            found.append(one if one or not mark or body is None else exchange_of(bytes(4) + bytes(body)))
+        names = list(found[0] or {}) if found and found[0] else ["version", "exchange_type", "exchange", "initiator", "response", "message_id", "initiator_spi", "responder_spi", "payloads", "encrypted", "proposals"]
+        return pd.DataFrame([[f[n] for n in names] if f else [None] * len(names) for f in found], columns=names, dtype=object)
+
+    marked = F.coalesce(F.col("marked"), F.lit(False)) if "marked" in packets.columns else F.lit(False)
+    own = F.when(F.col("kind") == "IKE", F.col("body"))
+    return packets.withColumn("ike", parse(own, marked)).withColumn("ike", F.when(F.col("ike.version").isNotNull(), F.col("ike")))
 
 
 def explode_ike(packets: DataFrame) -> DataFrame:
     """packets (kind, body) of IKE, a row for each transform of each proposal; one row with nulls where there is none."""
+    rest = [c for c in packets.columns if c not in ("body", "marked")]
+    p = ike_exchanges(packets.where("kind = 'IKE'")).select(*rest, F.explode_outer("ike.proposals").alias("p"))
+    return p.select(*rest, F.col("p.number").alias("proposal"), F.col("p.protocol").alias("protocol_id"), F.explode_outer("p.transforms").alias("t")).select(*rest, "proposal", "protocol_id", F.col("t.type").alias("transform_type"), F.col("t.id").alias("transform_id"), "t.key_bits")
 
-    @F.pandas_udf(IKE)
-    def parse(bodies: pd.Series) -> pd.Series:
-        return pd.Series([proposals_of(None if b is None else bytes(b)) for b in bodies], dtype=object)
 
-    rest = [c for c in packets.columns if c != "body"]
-    p = packets.where("kind = 'IKE'").withColumn("_p", parse("body")).select(*rest, F.explode_outer("_p").alias("p"))
-    return p.select(*rest, F.col("p.number").alias("proposal"), F.col("p.protocol").alias("protocol_id"), F.explode_outer("p.transforms").alias("t")).select(*rest, "proposal", "protocol_id", F.col("t.type").alias("transform_type"), F.col("t.id").alias("transform_id"), "t.key_bits")
+def packets_of(frames: DataFrame) -> DataFrame:
+    """frames (capture_id, frame_index, ts, linktype, frame, and incl_len and orig_len where known) as the packets that flows,
+    features and facts are computed from: capture_id, frame_index, ts_s, proto, spi_int, seq, src, dst, length, ip_version,
+    udp_encapsulated, truncated, ike_parsed and ike. A row for each frame, whatever is in it; nothing is shuffled.
+
+    An ESP packet cut within its first 8 bytes has no flow and is OTHER. Lengths are those of the captured frames."""
+    x = decode_esp(classify(decode_ip(strip_link(frames))))
+    size = F.length("frame").cast("long")
+    cut = F.coalesce(F.col("incl_len") < F.col("orig_len"), F.lit(False)) if {"incl_len", "orig_len"} <= set(frames.columns) else F.lit(False)
+    proto = F.when((F.col("kind") == "ESP") & F.col("spi").isNull(), "OTHER").otherwise(F.col("kind"))
+    x = ike_exchanges(x).select(
+        "capture_id", "frame_index", F.col("ts").alias("ts_s"), proto.alias("proto"), F.col("spi").alias("spi_int"), F.col("sequence_number").alias("seq"), "src", "dst",
+        F.coalesce(size, F.lit(0).cast("long")).alias("length"), "ip_version", (F.coalesce("udp_encapsulated", F.lit(False))).alias("udp_encapsulated"), cut.alias("truncated"), "ike",
+    )
+    return x.withColumn("ike_parsed", F.col("ike").isNotNull())
 
 
 def dh_groups(transforms: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ def _h(column: str, digits: int) -> str:
 
 
 #: An SA payload with one ESP proposal of a 128-bit AES-CBC cipher and group 14, in hexadecimal.
-_SA = "00000024" + "00000020" + "01030002" + "0300000c" + "0100000c" + "800e0080" + "00000008" + "0400000e"
+_SA = "00000020" + "0000001c" + "01030002" + "0300000c" + "0100000c" + "800e0080" + "00000008" + "0400000e"
 
 
 def _frames(spark, d):
