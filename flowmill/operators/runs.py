@@ -72,10 +72,20 @@ def document_stages(documents: DataFrame, key: str, order: str, kind: str = "lon
     return documents.select(key, F.explode(s).alias("s")).select(key, "s.*")
 
 
-def config_values(rows: DataFrame, key: str, config: str, fields: dict[str, str], inner: str = "child") -> DataFrame:
-    """Fields (name: type) of a configuration in JSON, from its inner object, else from the top; null in neither."""
-    at = lambda c: F.coalesce(F.get_json_object(config, f"$.{inner}.{c}"), F.get_json_object(config, f"$.{c}"))
-    return rows.select(key, *(at(c).try_cast(kind).alias(c) for c, kind in fields.items()))
+def config_values(rows: DataFrame, key: str, config: str, fields: dict, blocks: tuple[str, ...] = ("", "identity", "ipsec")) -> DataFrame:
+    """Fields (name: type, or type and the keys that may hold it) of a configuration in JSON: the first value that is not null,
+    block by block ("" is the document itself), and in a block key by key. A value of another type is null; on, yes, 1 and
+    off, no, 0 are booleans too; blank text stays. _given: whether the document is a JSON object."""
+    def value(name: str, kind: str, keys: tuple[str, ...]) -> F.Column:
+        found = F.coalesce(*(F.get_json_object(config, f"$.{b}.{k}" if b else f"$.{k}") for b in blocks for k in keys))
+        if kind == "boolean":
+            text = F.lower(F.trim(found))
+            return F.when(text.isin("on", "true", "yes", "1"), True).when(text.isin("off", "false", "no", "0"), False).alias(name)
+        return found.try_cast(kind).alias(name)
+
+    wanted = {c: (f, (c,)) if isinstance(f, str) else f for c, f in fields.items()}
+    given = F.coalesce(F.get_json_object(config, "$").startswith("{"), F.lit(False))
+    return rows.select(key, *(value(c, kind, keys) for c, (kind, keys) in wanted.items()), given.alias("_given"))
 
 
 def by_kind(rows: DataFrame, key: str, order: str, kind: str, value: str, names: dict[str, str]) -> DataFrame:

@@ -1,3 +1,3 @@
 """Registered queries over the driver tables, with their SQL."""
 
-MODULES = ("captures", "rows", "experiments")
+MODULES = ("captures", "rows", "experiments", "wire")

@@ -176,13 +176,17 @@ def gate_status(spark, d):
     return runs.gate_state(g, "user_id")
 
 
-@query("select event_id, coalesce(case when event_id%3=0 then event_type end, event_type||'*') encryption, (props->>'$.k')::bigint dh_group from events")
+@query("select event_id, case when event_id%2=0 then event_type when event_id%3=0 then 'inner' when event_id%5=0 then 'deep' end encryption, (props->>'$.k')::bigint dh_group, case event_id%4 when 0 then true when 1 then false when 2 then true end replay_protection, case when event_id%7<>0 then user_id*60 end ike_lifetime from events")
 def config_flatten(spark, d):
-    k = F.get_json_object("props", "$.k").cast("long").alias("dh_group")
-    inner = F.to_json(F.struct(F.struct(F.col("event_type").alias("encryption"), k).alias("child"), F.lit("outer").alias("encryption")))
-    flat = F.to_json(F.struct(F.concat("event_type", F.lit("*")).alias("encryption"), k))
-    e = table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 3 == 0, inner).otherwise(flat).alias("config"))
-    return runs.config_values(e, "event_id", "config", {"encryption": "string", "dh_group": "long"})
+    """Configurations that hold a field at the top, in identity or in ipsec, under either of its names; the top comes first."""
+    e, has = table(spark, d, "events"), lambda n, v: F.when(F.col("event_id") % n == 0, v)
+    k = F.get_json_object("props", "$.k").cast("long")
+    window = F.get(F.array(F.lit("on"), F.lit("false"), F.lit("1"), F.lit("maybe")), (F.col("event_id") % 4).cast("int"))
+    identity = F.struct(has(3, F.lit("inner")).alias("encryption"), F.when(F.col("event_id") % 2 == 1, k).alias("ike_dh_group"))
+    ipsec = F.struct(has(5, F.lit("deep")).alias("encryption"), F.lit("9").alias("dh_group"), F.when(F.col("event_id") % 7 != 0, F.col("user_id") * 60).alias("ike_lifetime_s"))
+    doc = F.to_json(F.struct(has(2, F.col("event_type")).alias("encryption"), F.when(F.col("event_id") % 2 == 0, k).alias("dh_group"), window.alias("replay_window"), identity.alias("identity"), ipsec.alias("ipsec")))
+    fields = {"encryption": "string", "dh_group": ("long", ("dh_group", "ike_dh_group")), "replay_protection": ("boolean", ("replay_protection", "replay_window")), "ike_lifetime": ("long", ("ike_sa_lifetime_s", "ike_lifetime_s"))}
+    return runs.config_values(e.select("event_id", doc.alias("config")), "event_id", "config", fields).drop("_given")
 
 
 @query("select conv_id, string_agg(text, '|' order by turn) filter (role='user') user_texts, count(*) filter (role<>'user') others from conversations where text is not null group by 1")

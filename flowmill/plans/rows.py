@@ -8,7 +8,7 @@ from flowmill.operators import assess as a
 from flowmill.operators import dataset as ds
 from flowmill.operators import records as rc
 from flowmill.operators import rules as ru
-from flowmill.operators.flows import flow_summary, sequence_health
+
 from flowmill.plans.views import C, K, P, evidence, findings, packets, table
 
 QUERIES, SQL = {}, {}
@@ -275,7 +275,7 @@ def lifetime_tier(spark, d):
 
 _PR = C + ", pr as (select *, round(base * case status when 'FAIL' then 1.0::DOUBLE when 'WARNING' then 0.4::DOUBLE else 0.0::DOUBLE end * (case evidence_status when 'OBSERVED' then 1.0::DOUBLE when 'CONFIGURED' then 0.85::DOUBLE when 'INFERRED' then 0.5::DOUBLE else 0.0::DOUBLE end * case when evidence_status='INFERRED' then greatest(0.0,least(1.0,confidence)) else 1.0::DOUBLE end),2) points from c)"
 _ST = _PR + ", w as (select *, first_value(rule_id) over z win, first_value(status) over z property_status from pr window z as (partition by capture_id, property_key order by case status when 'FAIL' then 3 when 'WARNING' then 2 when 'PASS' then 1 else 0 end desc, ordinal)), st as (select capture_id, rule_id, ordinal, category, property_key, case when win<>rule_id then 'PASS' else status end status, evidence_status, base, confidence, case when win<>rule_id then 0.0 else points end points, property_status, case when win<>rule_id then win end suppressed_by from w)"
-_CS = _ST + ", cg as (select capture_id, category, round(sum(points),2) raw, count(*) filter (status='FAIL') fails, count(*) filter (status='WARNING') warnings, count(*) filter (status='NOT_VERIFIABLE') unverified, round(avg(case evidence_status when 'OBSERVED' then 1.0::DOUBLE when 'CONFIGURED' then 0.75::DOUBLE when 'INFERRED' then 0.5::DOUBLE else 0.0::DOUBLE end),4) coverage, case category when 'CRYPTOGRAPHY' then 28.0::DOUBLE when 'KEY_EXCHANGE' then 24.0::DOUBLE when 'SA_SECURITY' then 14.0::DOUBLE else 10.0::DOUBLE end cap from st group by 1,2), cs as (select * exclude(cap), round(least(raw,cap),2) deducted, round(cap-round(least(raw,cap),2),2) score from cg)"
+_CS = _ST + ", cg as (select capture_id, category, round(sum(points),2) raw, count(*) filter (status='FAIL') fails, count(*) filter (status='WARNING') warnings, count(*) filter (status='NOT_VERIFIABLE') unverified, round(avg(case evidence_status when 'OBSERVED' then 1.0::DOUBLE when 'CONFIGURED' then 0.75::DOUBLE when 'INFERRED' then 0.5::DOUBLE else 0.0::DOUBLE end),4) coverage, case category when 'CRYPTOGRAPHY' then 28.0::DOUBLE when 'KEY_EXCHANGE' then 24.0::DOUBLE when 'SA_SECURITY' then 14.0::DOUBLE when 'METADATA_PRIVACY' then 10.0::DOUBLE else 12.0::DOUBLE end cap from st group by 1,2), cs as (select * exclude(cap), round(least(raw,cap),2) deducted, round(cap-round(least(raw,cap),2),2) score from cg)"
 _BAND = "case when {0}>=85 then 'LOW' when {0}>=70 then 'MODERATE' when {0}>=50 then 'HIGH' else 'CRITICAL' end"
 _SS = _CS + f", s0 as (select capture_id, round(greatest(0.0,100.0-sum(deducted)),2) security_score from cs group by 1), s1 as (select *, {_BAND.format('security_score')} risk_level, round_even(security_score,0)::int rounded_score from s0), ss as (select *, {_BAND.format('rounded_score')} rounded_level from s1)"
 
@@ -284,38 +284,6 @@ def _settled(spark, d):
     return a.settle(a.collapse(a.price(findings(spark, d))))
 
 
-@query(f"with {C} select * from c")
-def rule_findings(spark, d):
-    return findings(spark, d)
-
-
-def _facts(spark, d):
-    """Facts of each capture of P: IKE packets stand for offers, by SPI and length; a third of the days has no config."""
-    p = packets(spark, d)
-    flows = flow_summary(p).join(sequence_health(p), ["capture_id", "spi_int"]).groupBy("capture_id")
-    flows = flows.agg(F.collect_set(F.lpad(F.lower(F.hex("spi_int")), 8, "0")).alias("spis"), F.count("*").alias("flows"), F.count_if("udp_encapsulated").alias("encapsulated"), F.sum("sequence_gaps").alias("gaps"), F.sum("sequence_replays").alias("replays"), F.count_if(~F.col("sequence_monotonic")).alias("disordered"))
-
-    def offered(names, every):
-        name = F.get(F.array(*map(F.lit, names)), (F.col("spi_int") % len(names)).cast("int"))
-        return F.collect_set(F.when((F.col("proto") == "IKE") & (F.col("length") % every == 0), name))
-
-    kinds = (list(ru.ENCRYPTION), list(ru.INTEGRITY), list(ru.PRF), list(ru.GROUPS))
-    lists = {f"ike_{n}": offered(k, 2 + i) for i, (n, k) in enumerate(zip(("encryption", "integrity", "prf", "groups"), kinds))}
-    lists |= {f"child_{n}": offered(k[::-1], 5 + i) for i, (n, k) in enumerate(zip(("encryption", "integrity", "groups"), (kinds[0], kinds[1], kinds[3])))}
-    own = p.groupBy("capture_id").agg(*(v.alias(k) for k, v in lists.items()), F.count_if(F.col("proto") == "IKE").alias("ike_packets"), F.count_if(F.col("proto") == "ESP").alias("esp_packets"))
-    return own.join(flows, "capture_id", "left").withColumn("dd", F.substring("capture_id", 9, 2).cast("int")).selectExpr(
-        "*", "ike_packets proposals", "dd%4=0 selection_observable", "get(array('OBSERVED','DISABLED','NOT_VERIFIABLE'), dd%3) pfs_status",
-        "array(named_struct('exchange','IKE_AUTH','version',1+dd%2,'payloads',array(dd%6),'encrypted',dd%5<>0)) exchanges", "array(1+dd%2) ike_versions",
-        "case when dd%3<>1 then named_struct('encryption','ENCR_3DES','integrity','AUTH_HMAC_SHA1_96','prf','PRF_HMAC_SHA1','dh_group','MODP_1024','pfs',dd%2=0,'child_group','ECP_256','ike_version',2,'replay_protection',dd%4<>0,'ike_lifetime',dd*40000L,'child_lifetime',dd*900L) end config",
-        "named_struct('confidence',flows/10D,'complete',dd%2=0,'unknown',dd%5=0) predicted",
-    )
-
-
-@query()
-def rule_catalogue(spark, d):
-    return ru.rule_verdicts(_facts(spark, d))
-
-
 @query(f"with {_PR} select * from pr")
 def price_findings(spark, d):
     return a.price(findings(spark, d))
@@ -397,13 +365,6 @@ def threat_matrix(spark, d):
     return a.threat_matrix(_settled(spark, d), a.catalogue(spark))
 
 
-@query()
-def threat_catalogue(spark, d):
-    """All 20 threats against the verdicts of all 26 rules."""
-    verdicts = ru.rule_verdicts(_facts(spark, d))
-    return a.threat_matrix(a.settle(a.collapse(a.price(verdicts))), a.catalogue(spark))
-
-
 @query(f"with {_TM} select capture_id, case max(case risk when 'CRITICAL' then 3 when 'HIGH' then 2 when 'MODERATE' then 1 else 0 end) when 3 then 'CRITICAL' when 2 then 'HIGH' when 1 then 'MODERATE' else 'LOW' end worst_risk from tm group by 1")
 def worst_risk(spark, d):
     return a.worst_risk(a.threat_matrix(_settled(spark, d), a.catalogue(spark)), "capture_id", "risk")

@@ -4,7 +4,7 @@ import pytest
 
 from flowmill.operators import assess
 from flowmill.operators.rules import FACTS, RULES, rule_verdicts
-from flowmill.plans.rows import rule_catalogue
+from flowmill.plans.wire import rule_catalogue
 
 NONE = {"config": None, "predicted": None}
 CONFIG = {"encryption": "ENCR_3DES", "integrity": "AUTH_HMAC_MD5_96", "prf": None, "dh_group": "MODP_1024", "pfs": True, "child_group": None, "ike_version": 1, "replay_protection": False, "ike_lifetime": 259200, "child_lifetime": 90000}
@@ -53,5 +53,5 @@ def test_verdicts_are_priced_and_settled(found):
 
 def test_over_a_whole_table(spark):
     rows = rule_catalogue(spark, "/root/testdata/sf0.001")
-    n = spark.read.parquet("/root/testdata/sf0.001/events.parquet").selectExpr("count(distinct date_format(ts,'yyyy-MM-dd')) n").first()[0]
+    n = spark.read.parquet("/root/testdata/sf0.001/events.parquet").selectExpr("count(distinct date_format(ts,'yyyy-MM-dd'), user_id % 4) n").first()[0]
     assert rows.count() == 26 * n and rows.where("status is null or evidence_status is null or base is null").count() == 0
