@@ -15,6 +15,7 @@ from flowmill.operators.dataset import grouped_split
 from flowmill.functions.shared import shared_folder
 from flowmill.operators.flows import flow_summary
 from flowmill.sources import captures as src
+from flowmill.sources import ranges as rg
 from flowmill.streaming import flows as sf
 from flowmill.plans.views import FLOWS, P, packets, table
 
@@ -116,28 +117,60 @@ def dh_groups_by_scope(spark, d):
     return dc.dh_groups(dc.explode_ike(dc.classify(_ip(spark, d)).select("capture_id", "kind", "body")))
 
 
+def _build(key, pdf):
+    """A capture file, of either byte order, with a cut tail."""
+    pdf = pdf.sort_values("frame_index")
+    order = "<" if len(pdf) % 2 else ">"
+    head = struct.pack(order + "IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1)
+    parts = [struct.pack(order + "4I", int(t), int(t % 1 * 1e6), len(f), len(f)) + f for t, f in zip(pdf.ts_s, map(bytes, pdf.frame))]
+    content = b"".join([head, *parts, b"cut"])
+    return pd.DataFrame([(f"{key[0]}/{key[1]}", len(content), content)], columns=["path", "length", "content"])
+
+
 #: A capture file holds frames of so many frame numbers at most, some 15 MB.
 FILE_FRAMES = 100_000
 
 
 @query(f"with {P} select capture_id path, (row_number() over (partition by capture_id order by frame_index)-1)::bigint frame_index, case when proto='IKE' then {20 + 8 + 28 + len(_SA) // 2} when udp_encapsulated then 40 else 32 end + 14 + case when frame_index%3=0 then 4 else 0 end::bigint incl_len, 1::int linktype from p")
 def src_capture_frames(spark, d):
-    def build(key, pdf):
-        pdf = pdf.sort_values("frame_index")
-        order = "<" if len(pdf) % 2 else ">"
-        head = struct.pack(order + "IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1)
-        parts = [struct.pack(order + "4I", int(t), int(t % 1 * 1e6), len(f), len(f)) + f for t, f in zip(pdf.ts_s, map(bytes, pdf.frame))]
-        content = b"".join([head, *parts, b"cut"])
-        return pd.DataFrame([(f"{key[0]}/{key[1]}", len(content), content)], columns=["path", "length", "content"])
-
     frames = _frames(spark, d).withColumn("part", F.floor(F.col("frame_index") / FILE_FRAMES))
-    files = frames.groupBy("capture_id", "part").applyInPandas(build, "path string, length long, content binary")
+    files = frames.groupBy("capture_id", "part").applyInPandas(_build, "path string, length long, content binary")
     sizes = frames.groupBy("capture_id", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("capture_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     first = sizes.select(F.concat_ws("/", "capture_id", "part").alias("path"), "capture_id", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     return src.frames(files).join(first, "path").select(F.col("capture_id").alias("path"), (F.col("frame_index") + F.col("first")).alias("frame_index"), "incl_len", "linktype")
 
 
+@query(SQL["src_capture_frames"])
+def src_capture_ranges(spark, d):
+    """The same captures as files in the shared folder, read by ranges of 16 KB."""
+    where = shared_folder(spark)
+    local = where.removeprefix("file://")
+
+    def put(batches):
+        from pyarrow import fs
+
+        for pdf in batches:
+            for path, content in zip(pdf.path, pdf.content):
+                system, at = fs.FileSystem.from_uri(local)
+                system.create_dir(at, recursive=True)
+                with system.open_output_stream(f"{at}/{path.replace('/', '_')}.pcap") as f:
+                    f.write(content)
+            yield pdf[["path"]]
+
+    frames = _frames(spark, d).withColumn("part", F.floor(F.col("frame_index") / FILE_FRAMES))
+    files = frames.groupBy("capture_id", "part").applyInPandas(_build, "path string, length long, content binary")
+    files.mapInPandas(put, "path string").count()
+    rows = rg.frames_by_range(spark, f"{where}/*.pcap", 16 << 10)
+    name = F.regexp_extract("path", "([^/_]+)_([0-9]+)[.]pcap$", 1)
+    rows = rows.withColumns({"capture": name, "part": F.regexp_extract("path", "_([0-9]+)[.]pcap$", 1).cast("long")})
+    sizes = rows.groupBy("capture", "part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("capture").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    first = sizes.select(F.col("capture").alias("c"), F.col("part").alias("p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    x = rows.join(first, (F.col("capture") == F.col("c")) & (F.col("part") == F.col("p")))
+    return x.select(F.col("capture").alias("path"), (F.col("frame_index") + F.col("first")).alias("frame_index"), "incl_len", "linktype")
+
+
 @query("select doc_id, lang, source, n_chars from documents")
 def dataset_jsonl_roundtrip(spark, d):
     where = shared_folder(spark)
