@@ -56,15 +56,40 @@ a@b is not mail, @here or mail@ are not, nor is x @ y today
 item 5-6 costs 10-12 for 3 x 4 (5) and section (2) of 7
 order 2024-555 and id 8830-12 and 44 20 of 79 in 09
 chapter 20 verse 7946 and 0958 of 1042 and 53 00
+Ating. At At At At At At At was at At at At At
+write [email:info at example dot com] or ring at four
+write to [email:kim at web dot example dot org] for more of it
+ask [email:sam at host dot net] or [email:max at home dot example dot com] at nine
+contact [email:sam [at] example [dot] com] now and at once
+email [email:rosa (at) example (dot) org] and at that
+reach [email:maria45 at uni dot org] los der and be at once
+mail [email:tom at mail dot com] sur le and dot it
+send it to [email:sales at example dot fr] von der at
+write to me at [email:li [at] mail.de] der das er at
+mail [email:anna at web dot host dot net] que les un
+in [email:x_y at web dot net] los que die of der
+of [email:j.doe at acme dot host dot fr] anha los ist
+email [email:bob at example dot web dot fr] das with von
+ask [email:anna dot b at host dot net] about it or jo
+reach [email:tim dot r at uni dot org] if the rest fails
+ask [email:peter at corp dot net] and the rest of it dot
 """
-SPAN = re.compile(r"\[(email|ip|card|phone):((?:[^\[\]]|\[at\])+)\]")
+SPAN = re.compile(r"\[(email|ip|card|phone):((?:[^\[\]]|\[at\]|\[dot\])+)\]")
+#: Forms that a decoded run must hold to be a span; what is around them is left out. An address has one sign for at, and
+#: names between signs for dots.
+_AT, _DOT = r"(?:at|@|\[at\]|\(at\))", r"(?:dot|\[dot\]|\(dot\))"
+_NAME = rf"(?!(?:at|dot)\b)[\w%+-]+"
+FORMS = {
+    "email": re.compile(rf"(?<![\w.%+-])(?!(?:at|dot)\s)[\w.%+-]+(?:\s+{_DOT}\s+{_NAME})*\s+{_AT}\s+{_NAME}(?:(?:\s+{_DOT}\s+|\.){_NAME})+", re.I), "ip": re.compile(r"[0-9]+(?:\.[0-9]+){3}"),
+    "card": re.compile(r"[0-9](?:[ -]?[0-9]){11,18}"), "phone": re.compile(r"\+?\(?[0-9][0-9 ().-]{5,}[0-9]"),
+}
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 TRIM = ".,;:!?\"'<>*|"
 SIGN = re.compile(r"[0-9@]")
 LETTERS = re.compile(r"[A-Za-z]+")
-FOR_SIGNS = ("at", "dot", "[at]", "(at)")
+FOR_SIGNS = ("at", "dot", "[at]", "(at)", "[dot]", "(dot)")
 LABELS = ["O"] + [f"{b}-{k}" for k in KINDS for b in "BI"]
-EPOCHS, RATE, PENALTY = 150, 0.3, 0.002
+EPOCHS, RATE, PENALTY = 220, 0.3, 0.002
 #: Words that are decoded at once, and how many at an edge inside the text are left to the window beside.
 WINDOW, MARGIN = 200, 25
 #: Words whose rows are kept.
@@ -268,8 +293,19 @@ def train(table: Iterable[tuple[list[str], list[int]]] | None = None) -> Crf:
     return Crf([{f: emit[base[s] + i] for f, i in names[s].items()} for s in range(3)], move, first)
 
 
+def holds(kind: str, span: str) -> bool:
+    """Whether the digits of a span can be what its kind says."""
+    digits = "".join(DIGIT.findall(span))
+    if kind == "card":
+        return luhn(digits)
+    if kind == "ip":
+        return all(len(p) < 4 and int(p) < 256 for p in span.split("."))
+    return kind == "email" or 7 <= len(digits) <= 15
+
+
 def find_all(texts: list[str | None], crf: Crf) -> list[tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]]:
-    """For each text its base spans, and those that the random field adds: spans that touch no base span. All words are
+    """For each text its base spans, and those that the random field adds: what has the form of its kind in a run that it
+    labels, and touches no base span. All words are
     decoded, in windows of up to WINDOW words; a label counts where it is MARGIN words from a window's edge at least, or
     from the text's."""
     labels: list[np.ndarray] = []
@@ -300,8 +336,9 @@ def find_all(texts: list[str | None], crf: Crf) -> list[tuple[list[tuple[int, in
                 end -= 1
             while begin < end and text[begin] in TRIM:
                 begin += 1
-            if begin < end and not any(s < end and begin < e for s, _, e in base):
-                added.append((begin, kind, end))
+            form = FORMS[KINDS[kind]].search(text, begin, end)
+            if form and not any(s < form.end() and form.start() < e for s, _, e in base) and holds(KINDS[kind], form[0]):
+                added.append((form.start(), kind, form.end()))
         out.append((base, added))
     return out
 
