@@ -11,6 +11,7 @@ from flowmill.operators import assess as a
 from flowmill.operators import decode as dc
 from flowmill.operators import facts as fa
 from flowmill.operators import flows as fl
+from flowmill.operators import history as hi
 from flowmill.operators import rules as ru
 from flowmill.plans import captures
 from flowmill.plans.rows import _SEV, _SS, _ST, _TM
@@ -299,3 +300,51 @@ def whole_assessment(spark, d):
         text("categories", lambda c: F.concat(c["category"], F.lit("="), cents(c["deducted"]))), text("threats", lambda t: F.concat(t["threat_id"], F.lit("="), t["risk"], F.lit(":"), t["evidence"])),
         text("recommendations", lambda r: F.concat(r["advice"], F.lit("="), F.replace(r["rules"], F.lit(","), F.lit("+")))).alias("advice"), "exposure.privacy_risk",
     )
+
+
+# the stored history: orders as bundle documents
+
+_BUNDLE = {
+    "source_mode": "o_orderpriority", "display_filename": "concat('c', o_custkey, '.pcap')", "capture_size": "cast(floor(o_totalprice) as bigint)", "capture_hash": "case when o_orderkey % 5 <> 0 then md5(cast(o_orderkey as varchar(20))) end",
+    "traffic_prediction": "case when o_custkey % 3 <> 0 then o_orderpriority end", "traffic_confidence": "case when o_custkey % 3 <> 0 then (o_orderkey % 100) / 128.0D end", "security_score": "case when o_custkey % 4 <> 0 then (o_orderkey % 101) / 1.0D end",
+    "risk_band": "case when o_custkey % 4 <> 0 then o_orderstatus end", "privacy_band": "case when o_custkey % 5 <> 0 then cast(o_custkey % 100 as varchar(20)) end",
+}
+
+
+def _bundles(spark, d):
+    x = table(spark, d, "orders").selectExpr("*", *(f"{v} {k}" for k, v in _BUNDLE.items()))
+    protocol = F.struct((F.col("o_custkey") % 2 == 0).alias("ipsec_detected"), (F.col("o_custkey") % 3).alias("ike_version"), (F.col("o_orderkey") % 4).alias("esp_packets"), F.sequence(F.lit(0), (F.col("o_orderkey") % 3).cast("int")).alias("esp_flows"))
+    doc = F.struct(
+        F.concat(F.lit("a"), "o_orderkey").alias("analysis_id"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"), F.lit("b/1").alias("schema_version"), F.col("o_orderstatus").alias("status"), protocol.alias("protocol"),
+        F.struct(F.col("source_mode").alias("kind"), F.col("display_filename").alias("filename"), F.col("capture_size").alias("size_bytes"), F.col("capture_hash").alias("sha256")).alias("source"),
+        F.struct(F.col("traffic_prediction").alias("predicted_class"), F.col("traffic_confidence").alias("confidence")).alias("traffic"), F.struct("security_score", F.col("risk_band").alias("risk_level")).alias("security"), F.struct(F.col("privacy_band").alias("privacy_risk")).alias("privacy"),
+    )
+    return x.select("o_orderkey", F.to_json(doc).alias("document"))
+
+
+def _history(spark, d):
+    """All bundles put, one in ten replaced by a later state (twice, which changes nothing), one in seven deleted."""
+    h = hi.new_history(spark, 16)
+    x = _kept(spark, _bundles(spark, d))
+    h.put(hi.history_rows(x))
+    later = hi.history_rows(x.where("o_orderkey % 10 = 0")).withColumns({"created_at": F.lit("2100-01-01T00:00:00Z"), "analysis_state": F.lit("again")})
+    for _ in range(2):
+        h.put(later)
+    h.delete(x.where("o_orderkey % 7 = 0").select(F.concat(F.lit("a"), "o_orderkey").alias("analysis_id")))
+    return h
+
+
+_HISTORY = f"""hr as (select 'a' || o_orderkey analysis_id, case when o_orderkey % 10 = 0 then '2100-01-01T00:00:00Z' else strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') end created_at, {', '.join(f"{_DUCK(v).replace('.0D', '.0')} {k}" for k, v in _BUNDLE.items())},
+ 'b/1' bundle_schema, null::varchar bundle_path, concat_ws(', ', case when o_custkey % 2 = 0 then 'IPsec' end, case when o_custkey % 3 > 0 then 'IKEv' || o_custkey % 3 end, case when o_orderkey % 4 > 0 then (o_orderkey % 4) || ' ESP' end, (o_orderkey % 3 + 1) || ' flow(s)') protocol_summary,
+ case when o_orderkey % 10 = 0 then 'again' else o_orderstatus end analysis_state from orders where o_orderkey % 7 <> 0)"""
+
+
+@query(f"with {_HISTORY} select * replace (traffic_confidence::double as traffic_confidence, security_score::double as security_score) from hr")
+def history_table(spark, d):
+    return _history(spark, d).rows()
+
+
+@query(f"with {_HISTORY} select analysis_id, created_at, analysis_state from hr where source_mode = '1-URGENT' and analysis_state = 'again' order by created_at desc, analysis_id desc limit 500")
+def history_page(spark, d):
+    """The newest analyses of one source and state; a limit above 500 counts as 500."""
+    return _history(spark, d).listed(900, source_mode="1-URGENT", analysis_state="again", risk_band=None).select("analysis_id", "created_at", "analysis_state")
