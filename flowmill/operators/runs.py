@@ -52,6 +52,18 @@ def gate_state(runs: DataFrame, key: str) -> DataFrame:
     return runs.select(key, *(ok.alias(name) for name, ok in met.items()), unmet.alias("unmet"), F.when(yes("failed"), "FAILED").when(unmet == "", "FINALIZED").otherwise("INCOMPLETE").alias("state"))
 
 
+def run_status(runs: DataFrame, key: str) -> DataFrame:
+    """runs: the gates, unmet and state as gate_state gives them, with blocked and esp_in_capture (null: there is no capture).
+    status: INVALID for a failed run, else BLOCKED, else VALID if all gates are met and the capture shows ESP, else
+    INCOMPLETE; refused: why a run must not be written down as it is, its gates claiming more than its capture shows, or
+    null."""
+    failed, blocked = F.col("state") == "FAILED", F.coalesce("blocked", F.lit(False))
+    every, esp = F.col("unmet") == "", F.col("esp_in_capture")
+    status = F.when(failed, "INVALID").when(blocked, "BLOCKED").when(every & F.coalesce(esp, F.lit(False)), "VALID").otherwise("INCOMPLETE")
+    why = first_reason((every & esp.isNull(), "all gates but no capture"), (F.col("esp_verified") & ~esp, "no ESP in the capture"))
+    return runs.select(key, status.alias("status"), F.when(~failed, why).alias("refused"))
+
+
 def scan_documents(spark: SparkSession, pattern: str, schema: str, required: tuple[str, ...] = (), lines: bool = False) -> DataFrame:
     """Every JSON document under pattern, one to a file or with lines one to a line, with its file and reason: broken, or
     the first required field it lacks; null if it is usable. A broken document is a row, not an error."""

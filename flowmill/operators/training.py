@@ -130,9 +130,27 @@ def feature_columns(rows: DataFrame, wanted: list[str], shortcuts: tuple[str, ..
     return [c for c in wanted if c in rows.columns and c not in shortcuts]
 
 
+# Columns that are never features, and parts of names that give an answer away.
+FORBIDDEN = (
+    "traffic_class", "label", "traffic_label", "traffic_type", "class", "class_label", "class_name", "application", "application_label", "app_label", "ground_truth", "label_basis", "experiment", "experiment_id",
+    "experiment_name", "split", "split_key", "capture", "capture_id", "capture_filename", "capture_path", "pcap", "pcap_path", "output", "output_path", "manifest",
+)
+MARKERS = ("label", "ground_truth", "truth", "class", "traffic_type", "application")
+
+
 def leakage_audit(columns: list[str], allowed: list[str], shortcuts: tuple[str, ...]) -> list[tuple[str, str]]:
-    """Columns that must not be features, each with its reason: a shortcut, or none of those allowed."""
-    return [(c, "shortcut" if c in shortcuts else "not allowed") for c in columns if c in shortcuts or c not in allowed]
+    """Columns that must not be features, each with its first reason: a shortcut, forbidden by name whatever is allowed, named
+    after the answer and not allowed, or not allowed."""
+    def reason(c: str) -> str | None:
+        if c in shortcuts:
+            return "shortcut"
+        if c in FORBIDDEN:
+            return "forbidden"
+        if c in allowed:
+            return None
+        return "named after the answer" if any(m in c.lower() for m in MARKERS) else "not allowed"
+
+    return [(c, r) for c in columns if (r := reason(c))]
 
 
 def calibrate(scores: DataFrame, key: str, classes: int, method: str = "sigmoid", applied: tuple[str, ...] = ("test",), among: list[int] | None = None) -> DataFrame:

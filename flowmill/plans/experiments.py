@@ -209,6 +209,17 @@ def gate_status(spark, d):
     return runs.gate_state(g, "user_id")
 
 
+@query(f"""with gs as ({SQL["gate_status"]}), x as (select user_id, bool_or(event_id%13=0) blocked, case when user_id%3<>0 then count(*) filter (event_type='click')>1 end esp from events group by 1)
+select user_id, case when state='FAILED' then 'INVALID' when blocked then 'BLOCKED' when unmet='' and coalesce(esp,false) then 'VALID' else 'INCOMPLETE' end status,
+case when state='FAILED' then null when unmet='' and esp is null then 'all gates but no capture' when esp_verified and not esp then 'no ESP in the capture' end refused from gs join x using(user_id)""")
+def run_status(spark, d):
+    g = gate_status(spark, d)
+    click = F.count_if(F.col("event_type") == "click") > 1
+    x = table(spark, d, "events").groupBy(F.col("user_id").alias("_u")).agg(F.bool_or(F.col("event_id") % 13 == 0).alias("blocked"), click.alias("c"))
+    x = x.withColumn("esp_in_capture", F.when(F.col("_u") % 3 != 0, F.col("c")))
+    return runs.run_status(g.join(x, F.col("user_id") == F.col("_u")), "user_id")
+
+
 @query("select event_id, case when event_id%2=0 then event_type when event_id%3=0 then 'inner' when event_id%5=0 then 'deep' end encryption, (props->>'$.k')::bigint dh_group, case event_id%4 when 0 then true when 1 then false when 2 then true end replay_protection, case when event_id%7<>0 then user_id*60 end ike_lifetime from events")
 def config_flatten(spark, d):
     """Configurations that hold a field at the top, in identity or in ipsec, under either of its names; the top comes first."""

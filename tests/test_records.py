@@ -98,3 +98,19 @@ def test_guards(spark):
         training.score(training.fit(rows, ["f"], training.candidates()["tree"][1]), rows.drop("f"), "id")
     assert training.feature_columns(rows, ["g", "f", "x"], ("g",)) == ["f"]
     assert training.leakage_audit(["f", "g", "q"], ["f", "g"], ("g",)) == [("g", "shortcut"), ("q", "not allowed")]
+
+
+def test_columns_named_after_the_answer():
+    from flowmill.operators import training
+
+    names = ["f", "label", "Traffic_Class_proxy", "capture_id", "esp_class", "x"]
+    assert training.leakage_audit(names, ["f", "label", "esp_class"], ()) == [("label", "forbidden"), ("Traffic_Class_proxy", "named after the answer"), ("capture_id", "forbidden"), ("x", "not allowed")]
+
+
+def test_status_of_runs(spark):
+    from flowmill.operators import runs
+
+    rows = [(1, "FINALIZED", "", True, False, True), (2, "FINALIZED", "", True, False, False), (3, "FINALIZED", "", True, False, None), (4, "FAILED", "", True, True, None), (5, "INCOMPLETE", "a", False, True, True), (6, "INCOMPLETE", "a", True, None, False), (7, "INCOMPLETE", "a", False, None, None)]
+    got = runs.run_status(spark.createDataFrame(rows, "run int, state string, unmet string, esp_verified boolean, blocked boolean, esp_in_capture boolean"), "run")
+    want = [("VALID", None), ("INCOMPLETE", "no ESP in the capture"), ("INCOMPLETE", "all gates but no capture"), ("INVALID", None), ("BLOCKED", None), ("INCOMPLETE", "no ESP in the capture"), ("INCOMPLETE", None)]
+    assert [(r.status, r.refused) for r in got.orderBy("run").collect()] == want
