@@ -10,6 +10,7 @@ from pyspark import StorageLevel
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
+from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -261,13 +262,51 @@ def boost(rows: DataFrame, features: str, label: str, rounds: int = 200, sample:
     return classes, edges, start, every
 
 
-class BoostedModel(Model):
-    """Adds probability (an array, in the order of classes) and prediction."""
+class _Stored(MLWriter):
+    """A model's classes and margins at the start with its metadata; a row for each feature's edges and for each tree."""
+
+    def __init__(self, model: BoostedModel):
+        super().__init__()
+        self.model = model
+
+    def saveImpl(self, path: str) -> None:
+        m, spark = self.model, self.sparkSession
+        said = {"classes": [int(c) for c in m.classes], "start": [float(v) for v in m.start], "features": m.features}
+        DefaultParamsWriter.saveMetadata(m, path, spark, extraMetadata=said)
+        spark.createDataFrame([(f, e.tolist()) for f, e in enumerate(m.edges)], "feature int, edges array<double>").write.parquet(f"{path}/edges")
+        trees = [(r, c, *(x.tolist() for x in t)) for r, every in enumerate(m.trees) for c, t in enumerate(every)]
+        spark.createDataFrame(trees, "round int, class int, feature array<long>, bin array<long>, left array<long>, value array<double>, gain array<double>").write.parquet(f"{path}/trees")
+
+
+class _Reader(MLReader):
+    def load(self, path: str) -> BoostedModel:
+        spark = self.sparkSession
+        said = DefaultParamsReader.loadMetadata(path, spark)
+        edges = [np.array(r.edges, float) for r in spark.read.parquet(f"{path}/edges").orderBy("feature").collect()]
+        trees: list[list[Tree]] = []
+        for r in spark.read.parquet(f"{path}/trees").orderBy("round", "class").collect():
+            if r["class"] == 0:
+                trees.append([])
+            trees[-1].append(Tree(*(np.array(r[n], np.int64) for n in ("feature", "bin", "left")), *(np.array(r[n], float) for n in ("value", "gain"))))
+        out = BoostedModel(said["classes"], edges, np.array(said["start"]), trees, said["features"])
+        out._resetUid(said["uid"])
+        return out
+
+
+class BoostedModel(Model, MLWritable, MLReadable):
+    """Adds probability (an array, in the order of classes) and prediction. Saved and loaded with the pipeline it is in."""
 
     def __init__(self, classes, edges, start, trees, features: str = "features"):
         super().__init__()
         self.classes, self.edges, self.start, self.trees, self.features = classes, edges, start, trees, features
 
+    def write(self) -> MLWriter:
+        return _Stored(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _Reader()
+
     @property
     def featureImportances(self):
         """Each feature's share of what all splits gained."""

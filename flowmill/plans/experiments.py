@@ -4,16 +4,21 @@ from __future__ import annotations
 
 import struct
 
+import numpy as np
 import pandas as pd
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from flowmill.operators import decode as dc
 from flowmill.operators import runs
 from flowmill.operators import training as tr
+from flowmill.operators.boosting import BoostedModel, Tree
 from flowmill.operators.dataset import grouped_split
 from flowmill.functions.shared import shared_folder
 from flowmill.operators.flows import flow_summary
+from flowmill.operators.models import new_store
 from flowmill.sources import captures as src
 from flowmill.sources import ranges as rg
 from flowmill.streaming import flows as sf
@@ -330,3 +335,56 @@ def heldout_config(spark, d):
 @query()
 def mitigation_experiment(spark, d):
     return tr.mitigation(_rows(spark, d).persist(), _F, "vec_id", _logistic(), lambda r: r.withColumns({f: F.round(F.col(f), 0) for f in _F}))
+
+
+#: A model of two trees for each of three classes: the feature and edge of each tree's only split, and what its leaves add.
+_STUMPS = [[(0, 0.0, -0.75, 0.5), (1, 0.1, 0.25, -0.5), (2, -0.1, 0.125, 0.75)], [(3, 0.0, -0.25, 1.0), (4, 0.05, 0.5, -1.0), (5, 0.0, -0.375, 0.25)]]
+_START = [0.25, -0.5, 0.0]
+
+
+def _stumps() -> PipelineModel:
+    edges = [np.array(sorted({e for r in _STUMPS for f, e, *_ in r if f == k})) for k in range(6)]
+    leaf = lambda f, e, a, b: Tree(np.array([f, 0, 0]), np.array([0, 0, 0]), np.array([1, 0, 0]), np.array([0.0, a, b]), np.array([1.0, 0.0, 0.0]))
+    trees = [[leaf(*t) for t in r] for r in _STUMPS]
+    return PipelineModel([VectorAssembler(inputCols=_F[:6], outputCol="features"), BoostedModel([0, 1, 2], edges, np.array(_START), trees)])
+
+
+_MARGINS = [" + ".join([f"{_START[c]}::double", *(f"case when embedding[{r[c][0] + 1}]::double > {r[c][1]} then {r[c][3]} else {r[c][2]} end::double" for r in _STUMPS)]) for c in range(3)]
+_SCORED = ", ".join(f"{m} m{c}" for c, m in enumerate(_MARGINS))
+
+
+@query(f"""with m as (select vec_id, label truth, {_SCORED} from embeddings), e as (select *, greatest(m0,m1,m2) top, exp(m0-greatest(m0,m1,m2)) e0, exp(m1-greatest(m0,m1,m2)) e1, exp(m2-greatest(m0,m1,m2)) e2 from m)
+select vec_id, truth, case top when m0 then 0 when m1 then 1 else 2 end::int predicted, round(1/(e0+e1+e2),6) confidence, round(e0/(e0+e1+e2),6) p0, round(e1/(e0+e1+e2),6) p1, round(e2/(e0+e1+e2),6) p2 from e""")
+def score_stored(spark, d):
+    """All embeddings scored by the newest model of a store that can be used: one of two that were kept for the schema asked for;
+    a newer one is of another schema."""
+    rows, store = _rows(spark, d), new_store(spark)
+    card = {"model_id": "stumps", "feature_schema": "f/1", "classes": [0, 1, 2], "algorithm": "boosted", "trained_at": "2024-01-02T00:00:00Z"}
+    other = tr.fit(rows, _F[:6], tr.candidates(depth=2)["tree"][1])
+    store.save("a", other, {**card, "model_id": "tree", "trained_at": "2024-01-01T00:00:00Z"}, _F)
+    store.save("b", _stumps(), card, _F)
+    store.save("c", other, {**card, "feature_schema": "f/2", "trained_at": "2024-01-03T00:00:00Z"}, _F)
+    p = lambda k: F.get("probabilities", F.lit(k)).alias(f"p{k}")
+    return store.score_latest(rows, "vec_id", "f/1").select("vec_id", "truth", "predicted", "confidence", p(0), p(1), p(2))
+
+
+@query("""with x as (select * from (values ('m0',0,2,'f/1'),('m1',1,1,'f/1'),('m2',2,0,'f/2')) v(directory, k, age, feature_schema)),
+r as (select x.*, label from x join embeddings on label is not null and vec_id%3=k), c as (select directory, any_value(feature_schema) feature_schema, string_agg(distinct label::varchar, ',' order by label::varchar) classes, count(*) "rows", any_value(age) age from r group by 1)
+select directory, feature_schema, classes, "rows", strftime((select max(ts) from events) - to_days(age), '%Y-%m-%dT%H:%M:%SZ') trained_at, case when feature_schema<>'f/1' then 'other feature schema' when directory='m1' then 'no pipeline' end problem, directory='m0' selected from c""")
+def model_cards(spark, d):
+    """Cards of models for three parts of the embeddings: one that can be used, one whose pipeline is lost, one of another schema;
+    a fourth pipeline has no card and is not found."""
+    rows, store = _rows(spark, d).where("label is not null"), new_store(spark)
+    last = table(spark, d, "events").agg(F.max("ts").alias("t"))
+    parts = rows.groupBy((F.col("vec_id") % 3).cast("int").alias("k")).agg(F.sort_array(F.collect_set(F.col("label").cast("string"))).alias("classes"), F.count("*").alias("n")).crossJoin(last)
+    made = F.date_format(F.expr("t - make_dt_interval(2 - k)"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("made")
+    for r in parts.select("k", "classes", "n", made).orderBy("k").collect():
+        card = {"model_id": "m", "feature_schema": "f/2" if r.k == 2 else "f/1", "classes": r.classes, "trained_at": r.made, "dataset": {"rows": str(r.n)}}
+        if r.k == 1:
+            store.card("m1", {**card, "feature_names": _F[:6]})
+        else:
+            store.save(f"m{r.k}", _stumps(), card, _F)
+    _stumps().save(f"{store.where}/m9/pipeline")
+    cards, best = store.cards("f/1"), store.status("f/1").select("selected")
+    out = cards.join(best, F.col("directory") == F.col("selected"), "left")
+    return out.select("directory", "feature_schema", F.array_join("classes", ",").alias("classes"), F.col("dataset")["rows"].cast("long").alias("rows"), "trained_at", "problem", F.col("selected").isNotNull().alias("selected"))
