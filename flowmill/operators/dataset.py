@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowmill.functions.columns import first_reason, reasons
+from flowmill.functions.shared import shared_folder
 
 
 def labels_join(features: DataFrame, truth: DataFrame, key: str) -> DataFrame:
@@ -47,16 +48,39 @@ def first_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.join(first, key).withColumn("verdict", F.when(F.col(order) == F.col("_first"), "accepted").otherwise("duplicate")).drop("_first")
 
 
+def numbered(rows: DataFrame, key: str, order: str, name: str) -> DataFrame:
+    """key, order and the row's number within its key in the order of order, from 1. order has no ties within a key; a null key
+    is a key like others.
+
+    Rows are parted by ranges of (key, order), so a key of many rows has many ranges and no task gets all of it. The
+    ranges are written, as another run could draw others; a row's number is its number in its range, plus the rows of
+    its key in the ranges before, of which there are as many counts as ranges and keys."""
+    spark, where = rows.sparkSession, shared_folder(rows.sparkSession)
+    ranges = rows.select(key, order).repartitionByRange(key, order).withColumn("_part", F.spark_partition_id())
+    ranges.write.parquet(where)
+    ranges = spark.read.schema(ranges.schema).parquet(where)
+    counts = ranges.groupBy(F.col("_part").alias("_p"), F.col(key).alias("_k")).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("_k").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("_p", "_k", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_part", key).orderBy(order))
+    out = ranges.withColumn("_own", own).join(counts, (F.col("_part") == F.col("_p")) & F.col(key).eqNullSafe(F.col("_k")))
+    return out.select(key, order, (F.col("_before") + F.col("_own")).alias(name))
+
+
 def content_versions(rows: DataFrame, key: str, order: str, content: str) -> DataFrame:
     """rows with content hash, whether they are refused, and their version number within the key. A row is refused if a row
     before it, of whatever key, has the same content; refused rows take no version (null). Null contents are never
-    refused. order has no ties."""
-    sha, first = "content_sha256", "_first"
+    refused. order has no ties and no nulls.
+
+    The rows that are kept are found and numbered by key, order and hash alone; whole rows move once, to be joined with
+    their numbers by order, which no two rows share."""
+    sha = "content_sha256"
     out = rows.withColumn(sha, F.sha2(F.col(content), 256))
-    known = out.where(F.col(sha).isNotNull()).groupBy(sha).agg(F.min(order).alias(first))
-    out = out.join(known, sha, "left").withColumn("refused", F.coalesce(F.col(order) > F.col(first), F.lit(False))).drop(first)
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return out.withColumn("version", F.when(~F.col("refused"), F.count_if(~F.col("refused")).over(w)))
+    slim = out.select(key, order, sha)
+    first = slim.where(F.col(sha).isNotNull()).groupBy(sha).agg(F.min_by(F.struct(key, order), order).alias("r")).select("r.*")
+    kept = numbered(first.unionByName(slim.where(F.col(sha).isNull()).select(key, order)), key, order, "version")
+    out = out.join(kept.select(F.col(order).alias("_order"), "version"), F.col(order) == F.col("_order"), "left").drop("_order")
+    return out.select(*rows.columns, sha, F.col("version").isNull().alias("refused"), "version")
 
 
 def manifest_verdict(runs: DataFrame) -> DataFrame:

@@ -17,20 +17,25 @@ def reconcile(rows: DataFrame, key: str, pairs: list[tuple[str, str]]) -> DataFr
     return rows.select(key, f.alias("f")).select(key, "f.*")
 
 
+def _findings(first: F.Column, second: F.Column, available: F.Column, conflict: F.Column, form: F.Column) -> F.Column:
+    """The findings of one row, in fixed order: from both comparisons, whether there is external evidence, whether the code
+    names something else and whether it has a code's form."""
+    found = (
+        F.when(first == "conflicting", F.struct(F.lit("amount_mismatch_declared_vs_extracted"), F.lit("high"))).when(first == "unconfirmed", F.struct(F.lit("amount_unconfirmed"), F.lit("medium"))),
+        F.when(second == "conflicting", F.struct(F.lit("amount_mismatch_extracted_vs_external"), F.lit("high"))).when(~available, F.struct(F.lit("external_evidence_unavailable"), F.lit("medium"))),
+        F.when(conflict, F.struct(F.lit("ifsc_mismatch"), F.lit("medium"))),
+        F.when(~form, F.struct(F.lit("ifsc_invalid_format"), F.lit("high"))),
+    )
+    return F.array_compact(F.array(*(f.cast("struct<finding_type:string,severity:string>") for f in found)))
+
+
 def reconcile_findings(rows: DataFrame, key: str) -> DataFrame:
     """rows: declared, extracted, external (amounts), external_available, code_format_ok, code_conflicts (booleans). A row
     for each finding: key, finding_type, severity. An amount that two sources disagree on weighs high; one that the
     document lacks or the declaration, a missing external source and a code that names something else weigh medium."""
-    first, second = compare_amounts("declared", "extracted"), compare_amounts("extracted", "external")
-    off = lambda c: ~F.coalesce(F.col(c), F.lit(False))
-    found = (
-        F.when(first == "conflicting", F.struct(F.lit("amount_mismatch_declared_vs_extracted"), F.lit("high"))).when(first == "unconfirmed", F.struct(F.lit("amount_unconfirmed"), F.lit("medium"))),
-        F.when(second == "conflicting", F.struct(F.lit("amount_mismatch_extracted_vs_external"), F.lit("high"))).when(off("external_available"), F.struct(F.lit("external_evidence_unavailable"), F.lit("medium"))),
-        F.when(~off("code_conflicts"), F.struct(F.lit("ifsc_mismatch"), F.lit("medium"))),
-        F.when(off("code_format_ok"), F.struct(F.lit("ifsc_invalid_format"), F.lit("high"))),
-    )
-    each = rows.select(key, F.explode(F.array_compact(F.array(*(f.cast("struct<finding_type:string,severity:string>") for f in found)))).alias("f"))
-    return each.select(key, "f.*")
+    on = lambda c: F.coalesce(F.col(c), F.lit(False))
+    found = _findings(compare_amounts("declared", "extracted"), compare_amounts("extracted", "external"), on("external_available"), on("code_conflicts"), on("code_format_ok"))
+    return rows.select(key, F.explode(found).alias("f")).select(key, "f.*")
 
 
 def reconcile_status(rows: DataFrame, findings: DataFrame, key: str) -> DataFrame:
@@ -42,6 +47,46 @@ def reconcile_status(rows: DataFrame, findings: DataFrame, key: str) -> DataFram
     return out.select(key, state.alias("status"), F.coalesce("_n", F.lit(0)).alias("findings"))
 
 
+#: An amount as text, as it is read: digits with a point or an exponent, without signs of a currency or of thousands.
+AMOUNT = r"^\s*[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?\s*$"
+
+
+def amount_of(text) -> F.Column:
+    """An amount from text, null where it is none or does not fit 38 digits with 6 after the point."""
+    text = F.col(text) if isinstance(text, str) else text
+    return F.when(text.rlike(AMOUNT), F.trim(text).try_cast("decimal(38,6)"))
+
+
+def reconcile_documents(declared: DataFrame, documents: DataFrame, external: DataFrame, codes: DataFrame, fields: dict[str, tuple[str, bool]], pattern: str) -> DataFrame:
+    """The reconciliation of all instruments from the pages of their documents, in one plan.
+
+    declared: instrument, amount, bank, branch, code (texts). documents: document, instrument, version (without ties
+    within an instrument), text. external: instrument, amount, one row each; an instrument without a row has no external
+    evidence. codes: code, bank, branch, one row each. fields: as extract_fields takes them; "amount" is compared. pattern:
+    the form of a code.
+
+    Of an instrument's documents the last version counts alone, and of several lines of a field in it the last one. A row
+    for each instrument: instrument, document, extracted (amount, as text), declared_vs_extracted, extracted_vs_external,
+    findings (finding_type and severity, in fixed order), status. Amounts that are no numbers count as missing. A code
+    conflicts where its bank or branch is known, declared and another (case and outer blanks aside). Which document is
+    the last is found from ids alone, and no other document's text is moved or read for fields."""
+    last = documents.groupBy("instrument").agg(F.max_by("document", "version").alias("document"))
+    pages = documents.select("document", "text").join(last.select(F.col("document").alias("_d")), F.col("document") == F.col("_d"), "left_semi")
+    named = extract_fields(pages, "document", "text", fields).where(F.col("field") == "amount")
+    read = named.groupBy("document").agg(F.max_by("normalized", "line").alias("extracted"))
+    own = last.select(F.col("instrument").alias("_i"), F.col("document")).join(read.withColumnRenamed("document", "_d"), F.col("document") == F.col("_d"), "left").drop("_d")
+    outside = external.select(F.col("instrument").alias("_e"), F.col("amount").cast("string").alias("_external"))
+    known = codes.select(F.col("code").alias("_c"), F.col("bank").alias("_bank"), F.col("branch").alias("_branch"))
+    x = declared.join(own, F.col("instrument") == F.col("_i"), "left").join(outside, F.col("instrument") == F.col("_e"), "left").join(known, F.col("code") == F.col("_c"), "left")
+    other = lambda a, b: F.coalesce((F.trim(a) != "") & (F.lower(b) != F.lower(F.trim(a))), F.lit(False))
+    x = x.select("instrument", "document", "extracted", amount_of(F.col("amount").cast("string")).alias("_declared"), amount_of("extracted").alias("_extracted"), amount_of("_external").alias("_outside"),
+        F.col("_e").isNotNull().alias("_available"), F.coalesce(F.col("code").rlike(pattern), F.lit(False)).alias("_form"), (other("bank", "_bank") | other("branch", "_branch")).alias("_conflict"))
+    x = x.withColumns({"declared_vs_extracted": compare_amounts("_declared", "_extracted"), "extracted_vs_external": compare_amounts("_extracted", "_outside")})
+    f = _findings(F.col("declared_vs_extracted"), F.col("extracted_vs_external"), F.col("_available"), F.col("_conflict"), F.col("_form"))
+    state = F.when(F.exists("findings", lambda y: y["severity"] == "high"), "conflicting").when(F.size("findings") > 0, "requires_human_review").otherwise("matched")
+    return x.withColumn("findings", f).select("instrument", "document", "extracted", "declared_vs_extracted", "extracted_vs_external", "findings", state.alias("status"))
+
+
 def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
     """The last row of each key: its columns travel as the payload of one maximum, so a key is never sorted."""
     rest = [c for c in rows.columns if c not in (key, order)]

@@ -276,6 +276,25 @@ def stream_sequence_health(spark, d):
     return sf.stream_sequence_health(_stream(spark, d), shared_folder(spark))
 
 
+#: Arrival: events come in batches of ten days, every 40th with the next batch.
+_ARRIVAL = "cast(floor((day(ts)-1)/10.0) + case when event_id%40=0 then 1 else 0 end as int)"
+
+
+@query(f"""with a as (select strftime(ts,'%Y-%m') capture_id, ts, cast(floor(value) as bigint)+64 as length, {_ARRIVAL} b from events where ts is not null), m as (select b, max(ts) t from a group by 1),
+k as (select a.*, time_bucket(interval '1 hour', ts) as start, (select max(t) from m where m.b<a.b) - interval '1 day' mark from a), c as (select *, mark is null or start + interval '1 hour' > mark as intime from k)
+select capture_id, strftime(start, '%Y-%m-%d %H:%M') as start, count(*) filter (intime) packets, coalesce(sum(length) filter (intime),0)::bigint bytes, count(*) filter (not intime) late from c where start + interval '1 hour' <= (select max(ts) from a) - interval '1 day' group by 1,2""")
+def stream_closed_windows(spark, d):
+    """Hours of events, some of which come too late. What has arrived is read again after each arrival, from where the stream had
+    ended; each time the watermark moves on to what came before."""
+    landing, where = shared_folder(spark), shared_folder(spark)
+    e = table(spark, d, "events").where("ts is not null").withColumn("ts", F.col("ts").cast("timestamp")).selectExpr("date_format(ts,'yyyy-MM') capture_id", "ts", "cast(floor(value) as bigint)+64 length", f"{_ARRIVAL} b")
+    out = None
+    for b in [r[0] for r in e.select("b").distinct().orderBy("b").collect()]:
+        e.where(F.col("b") == b).drop("b").write.mode("append").parquet(landing)
+        out = sf.closed_windows(spark.readStream.schema(e.drop("b").schema).parquet(landing), where, "1 day", "1 hour")
+    return out.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm"))
+
+
 # models: all rows and components of embeddings, split by their id
 
 _F = [f"f{k}" for k in range(64)]

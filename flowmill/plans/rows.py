@@ -440,6 +440,40 @@ def reconcile_status(spark, d):
     return rc.reconcile_status(x, rc.reconcile_findings(x, "o_orderkey"), "o_orderkey")
 
 
+_DOCS = """dx as (select doc_id, doc_id%(select greatest(1, count(*)//2) from customer) instrument, doc_id%5 version, text||chr(10)||case when doc_id%9<>0 then 'Principal AMOUNT: '||case when doc_id%7=0 then '1,000.00' when doc_id%4=0 then (n_chars/100.0)::decimal(20,2)::varchar else '~' end||' ' else 'without sum' end||case when doc_id%11=0 then chr(10)||'amount:'||chr(10)||'Amount paid: 12.5: 3' else '' end page from documents),
+cx as (select c_custkey, round(c_acctbal*100)::bigint cents, n_name, c_nationkey from customer left join nation on n_nationkey=c_nationkey)"""
+_RD = _DOCS + """, last as (select instrument, arg_max(doc_id, {'v':version,'d':doc_id}) doc_id from dx group by 1), pg as (select doc_id, replace(page, '~', (cents/100.0)::decimal(20,2)::varchar) page from dx join cx on c_custkey=instrument),
+ln as (select doc_id, unnest(string_split(page, chr(10))) t, generate_subscripts(string_split(page, chr(10)),1) line from pg join last using(doc_id)),
+am as (select doc_id, arg_max(trim(substr(t, strpos(t,':')+1), ' '), line) extracted from ln where contains(t,':') and contains(lower(t),'amount') group by 1),
+jn as (select c_custkey instrument, doc_id as document, extracted, cents::decimal(38,6)/100 dec, case when regexp_matches(extracted, '^[+-]?[0-9]+([.][0-9]*)?$') then extracted::decimal(38,6) end ext, case when c_custkey%3<>0 then (cents+case when c_custkey%6=1 then 1 else 0 end)::decimal(38,6)/100 end oth, c_custkey%13=0 mism, c_custkey%17=0 badform from cx left join last on instrument=c_custkey left join am using(doc_id)),
+cm as (select *, case when ext is null then 'unconfirmed' when dec=ext then 'matched' else 'conflicting' end r1, case when ext is null and oth is null then 'matched' when ext is null or oth is null then 'unconfirmed' when ext=oth then 'matched' else 'conflicting' end r2 from jn)"""
+
+
+@query(f"""with {_RD} select instrument, document, extracted, r1 declared_vs_extracted, r2 extracted_vs_external, concat_ws(',', case r1 when 'conflicting' then 'amount_mismatch_declared_vs_extracted' when 'unconfirmed' then 'amount_unconfirmed' end, case when r2='conflicting' then 'amount_mismatch_extracted_vs_external' when oth is null then 'external_evidence_unavailable' end, case when mism and not badform then 'ifsc_mismatch' end, case when badform then 'ifsc_invalid_format' end) findings,
+case when r1='conflicting' or r2='conflicting' or badform then 'conflicting' when r1='unconfirmed' or oth is null or mism and not badform then 'requires_human_review' else 'matched' end status from cm""")
+def reconcile_documents(spark, d):
+    """Customers as instruments: their balance is declared, documents of several versions name amounts in their text, two of three
+    have external evidence, a nation's key is the code that names it."""
+    cents = F.round(F.col("c_acctbal") * 100).cast("long")
+    c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("n_nationkey") == F.col("c_nationkey"), "left").select("c_custkey", cents.alias("cents"), "n_name", "c_nationkey")
+    money = lambda x: F.format_string("%s.%s", F.floor(x / 100), F.lpad((x % 100).cast("string"), 2, "0"))
+    shown = F.concat(F.when(F.col("cents") < 0, "-").otherwise(""), money(F.abs("cents")))
+    bank = F.when(F.col("c_custkey") % 13 == 0, "other").otherwise(F.concat(F.lit(" "), F.lower("n_name")))
+    code = F.when(F.col("c_custkey") % 17 == 0, F.lit("?")).otherwise(F.concat(F.lit("N"), F.lpad(F.col("c_nationkey").cast("string"), 2, "0")))
+    declared = c.select(F.col("c_custkey").alias("instrument"), shown.alias("amount"), bank.alias("bank"), F.lit("").alias("branch"), code.alias("code"))
+    docs = table(spark, d, "documents").crossJoin(table(spark, d, "customer").agg(F.greatest(F.lit(1), F.floor(F.count("*") / 2)).alias("m")))
+    docs = docs.withColumn("instrument", F.col("doc_id") % F.col("m")).join(c, F.col("instrument") == F.col("c_custkey"))
+    k = lambda n: F.col("doc_id") % n == 0
+    said = F.when(k(7), "1,000.00").when(k(4), money(F.col("n_chars"))).otherwise(shown)
+    line = F.when(~k(9), F.concat(F.lit("Principal AMOUNT: "), said, F.lit(" "))).otherwise("without sum")
+    page = F.concat("text", F.lit("\n"), line, F.when(k(11), "\namount:\nAmount paid: 12.5: 3").otherwise(""))
+    documents = docs.select(F.col("doc_id").alias("document"), "instrument", F.struct((F.col("doc_id") % 5).alias("v"), "doc_id").alias("version"), page.alias("text"))
+    outside = c.where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("instrument"), ((F.col("cents") + F.when(F.col("c_custkey") % 6 == 1, 1).otherwise(0)).cast("decimal(20,0)") / 100).alias("amount"))
+    codes = table(spark, d, "nation").select(F.concat(F.lit("N"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0")).alias("code"), F.col("n_name").alias("bank"), F.lit("x").alias("branch"))
+    out = rc.reconcile_documents(declared, documents, outside, codes, {"amount": ("amount", False)}, "^N[0-9]{2}$")
+    return out.withColumn("findings", F.array_join("findings.finding_type", ","))
+
+
 @query("select s_suppkey, s_nationkey, n_name, regexp_matches(s_nationkey::varchar, '^[0-9]{2}$') format_ok, n_name is not null known, coalesce(lower(trim(n_name))=lower(trim(case when s_suppkey%2=0 then ' '||lower(n_name) else 'X' end)), false) name_matches from supplier left join nation on s_nationkey=n_nationkey")
 def code_lookup(spark, d):
     n = table(spark, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")

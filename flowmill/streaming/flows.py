@@ -31,6 +31,38 @@ def windowed_volume(packets: DataFrame, delay: str = "10 minutes", width: str =
     return packets.withWatermark("ts", delay).groupBy("capture_id", F.window("ts", width)).agg(F.count("*").alias("packets"), F.sum("length").alias("bytes"))
 
 
+def closed_windows(packets: DataFrame, where: str, delay: str = "10 minutes", width: str = "1 hour") -> DataFrame:
+    """windowed_volume of a stream, in append mode, over all that has arrived: for each window that is closed capture_id, start,
+    packets, bytes and late, the packets that came when it was closed and are not counted. Windows end with the watermark,
+    the latest ts so far less delay; those after it are open and not given. A window all of whose packets were late has 0
+    packets. Packets without ts have no window.
+
+    Spark keeps the open windows as its state and no others. How many packets came is counted batch by batch beside it
+    (a batch that is run again overwrites its own), and what is missing in a closed window was late."""
+    spark = packets.sparkSession
+    counted = windowed_volume(packets, delay, width).select("capture_id", F.col("window.start").alias("start"), "packets", "bytes")
+    schema = counted.schema
+
+    def put(batch: DataFrame, number: int) -> None:
+        came = batch.where("ts is not null").groupBy("capture_id", F.window("ts", width).alias("w")).agg(F.count("*").alias("came"), F.max("ts").alias("latest"))
+        came.select("capture_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "came", "latest").write.mode("overwrite").parquet(f"{where}/came/batch={number}")
+
+    for name, q in (
+        ("closed", counted.writeStream.outputMode("append").format("parquet").option("path", f"{where}/closed")),
+        ("came", packets.writeStream.foreachBatch(put)),
+    ):
+        q.trigger(availableNow=True).option("checkpointLocation", f"{where}/checkpoint-{name}").start().awaitTermination()
+    key = f"capture_id {schema['capture_id'].dataType.simpleString()}, start timestamp"
+    came = spark.read.schema(f"{key}, end timestamp, came long, latest timestamp, batch int").parquet(f"{where}/came")
+    mark = came.agg((F.max("latest") - F.expr(f"interval {delay}")).alias("mark"))
+    all_came = came.groupBy("capture_id", "start", "end").agg(F.sum("came").alias("came"))
+    ended = all_came.join(mark, F.col("end") <= F.col("mark"))
+    closed = spark.read.schema(schema).parquet(f"{where}/closed").select(F.col("capture_id").alias("_c"), F.col("start").alias("_s"), "packets", "bytes")
+    out = ended.join(closed, F.col("capture_id").eqNullSafe(F.col("_c")) & (F.col("start") == F.col("_s")), "left")
+    n, size = F.coalesce("packets", F.lit(0)), F.coalesce("bytes", F.lit(0))
+    return out.select("capture_id", "start", n.alias("packets"), size.alias("bytes"), (F.col("came") - n).alias("late"))
+
+
 def stream_sequence_health(packets: DataFrame, where: str) -> DataFrame:
     """Gaps, steps back, repeats and packets of each ESP flow of a stream, over all that has arrived; equal to the batch
     result. Frames of a later batch come after those of the batches before it; within a batch they need no order.
