@@ -180,17 +180,23 @@ def resolve_evidence(rows: DataFrame, key: str, observed: str, configured: str)
 
 
 def set_difference(rows: DataFrame, key: str, item: str, left, right) -> DataFrame:
-    """Items of each key on the left side that are not on the right one."""
-    g = rows.groupBy(key).agg(F.collect_set(F.when(left, F.col(item))).alias("l"), F.collect_set(F.when(right, F.col(item))).alias("r"))
-    extra = F.array_sort(F.array_except("l", "r"))
-    return g.select(key, F.array_join(extra, ",").alias("extra"), F.size(extra).cast("long").alias("n"))
+    """Items of each key on the left side that are not on the right one. Each item is settled by itself, however often it comes,
+    and only those that are extra are brought together. Null items are on neither side."""
+    has = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    each = rows.groupBy(key, F.col(item).alias("_item")).agg((has(left) & ~has(right)).alias("_only"))
+    extra = F.array_sort(F.collect_list(F.when(F.col("_only"), F.col("_item"))))
+    return each.groupBy(key).agg(extra.alias("_extra")).select(key, F.array_join("_extra", ",").alias("extra"), F.size("_extra").cast("long").alias("n"))
 
 
 def drift(rows: DataFrame, key: str, configured: str, observed: str) -> DataFrame:
-    """Keys whose configured value is not among the observed ones; unknown where either side has none."""
-    g = rows.groupBy(key).agg(F.max(configured).alias("configured"), F.collect_set(observed).alias("o"))
-    state = F.when(F.col("configured").isNull() | (F.size("o") == 0), "NOT_VERIFIABLE").when(F.array_contains("o", F.col("configured")), "PASS").otherwise("WARNING")
-    return g.select(key, "configured", state.alias("status"))
+    """Keys whose configured value (the largest, of several) is not among the observed ones; unknown where either side has none.
+    A key's values are only counted, never brought together."""
+    each = rows.groupBy(key, F.col(configured).alias("_set"), F.col(observed).alias("_seen")).agg(F.lit(1).alias("_one"))
+    seen = each.select(F.col(key).alias("_k"), "_seen").where("_seen is not null").distinct()
+    wanted = each.groupBy(key).agg(F.max("_set").alias("configured"), F.count("_seen").alias("_n"))
+    hit = wanted.join(seen, F.col(key).eqNullSafe(F.col("_k")) & (F.col("configured") == F.col("_seen")), "left")
+    state = F.when(F.col("configured").isNull() | (F.col("_n") == 0), "NOT_VERIFIABLE").when(F.col("_seen").isNotNull(), "PASS").otherwise("WARNING")
+    return hit.select(key, "configured", state.alias("status"))
 
 
 def stage_rollup(stages: DataFrame, key: str) -> DataFrame:

@@ -43,9 +43,11 @@ def row_contract(rows: DataFrame, required: list[str], numeric: list[str], allow
 
 
 def first_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """rows with verdict: the first row of a key is accepted, the others are duplicates."""
-    first = rows.groupBy(key).agg(F.min(order).alias("_first"))
-    return rows.join(first, key).withColumn("verdict", F.when(F.col(order) == F.col("_first"), "accepted").otherwise("duplicate")).drop("_first")
+    """rows with verdict: the first row of a key is accepted, the others are duplicates; rows without a key are left out. Rows
+    meet the first ones by key and order together, so those of a hot key spread over all tasks."""
+    first = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.min(order).alias("_first"))
+    out = rows.where(F.col(key).isNotNull()).join(first, (F.col(key) == F.col("_key")) & (F.col(order) == F.col("_first")), "left")
+    return out.withColumn("verdict", F.when(F.col("_first").isNotNull(), "accepted").otherwise("duplicate")).drop("_key", "_first")
 
 
 def numbered(rows: DataFrame, key: str, order: str, name: str) -> DataFrame:

@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from flowmill.operators import dataset, records
+from flowmill.operators import assess, dataset, records
 from flowmill.streaming import flows as sf
 
 
@@ -67,3 +67,13 @@ def test_only_the_last_document_counts_and_its_last_line(spark):
 def test_amounts_of_text(spark):
     rows = spark.createDataFrame([("1",), (" -2.50 ",), ("1e3",), (".5",), ("1,0",), ("",), (None,), ("1" * 60,), ("NaN",)], "t string")
     assert [None if r[0] is None else float(r[0]) for r in rows.select(records.amount_of("t")).collect()] == [1.0, -2.5, 1000.0, 0.5, None, None, None, None, None]
+
+
+def test_firsts_differences_and_drift(spark):
+    rows = spark.createDataFrame([("a", 3, 1), ("a", 1, 2), ("a", 3, 3), (None, 2, 4), ("b", None, 5), ("b", None, 6), ("c", 9, 0)], "k string, i int, o long")
+    assert sorted((r.k, r.o, r.verdict) for r in dataset.first_wins(rows, "k", "o").collect()) == [("a", 1, "accepted"), ("a", 2, "duplicate"), ("a", 3, "duplicate"), ("b", 5, "accepted"), ("b", 6, "duplicate"), ("c", 0, "accepted")]
+    got = {r.k: (r.extra, r.n) for r in assess.set_difference(rows, "k", "i", F.col("o") > 0, F.col("o") == 2).collect()}
+    assert got == {"a": ("3", 1), None: ("2", 1), "b": ("", 0), "c": ("", 0)}
+    seen = spark.createDataFrame([("p", "x", "y"), ("p", "x", "x"), ("w", "x", "y"), ("w", None, "y"), ("n", "x", None), ("m", None, "x"), (None, "x", "x"), ("q", "a", "a"), ("q", "b", "c")], "k string, s string, o string")
+    assert {r.k: r.status for r in assess.drift(seen, "k", "s", "o").collect()} == {"p": "PASS", "w": "WARNING", "n": "NOT_VERIFIABLE", "m": "NOT_VERIFIABLE", None: "PASS", "q": "WARNING"}
+    assert assess.drift(seen.where("false"), "k", "s", "o").count() == 0
