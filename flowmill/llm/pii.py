@@ -361,7 +361,8 @@ def written(spans: list[tuple[int, int, str]]) -> str:
 
 def find_personal(docs: DataFrame, crf: Crf | None = None) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (base spans), n_added, base_sha256, spans for each row of docs; a null text
-    counts as empty. Positions are code points. Other columns than doc_id and text are not read."""
+    counts as empty. Positions are code points. Repeated rows and rows without doc_id have a row each, an empty table has none.
+    Other columns than doc_id and text are not read."""
     shared = docs.sparkSession.sparkContext.broadcast(crf or train())
 
     def run(frames):

@@ -15,6 +15,8 @@ from flowmill.llm.tokens import encoder, in_blocks, texts_of
 
 #: The end-of-document identifier of the files. Ids are stored plus 1, so no token has it.
 END = 0
+#: The largest id that 16 bits hold beside END.
+MOST = 65534
 #: Identifiers that are searched at once.
 BLOCK = 1 << 20
 #: Documents of a flat file, at most: a partition of many goes to several files, so that what one task reads whole does
@@ -22,6 +24,14 @@ BLOCK = 1 << 20
 FILE_DOCS = 8192
 
 
+def flat_ids(texts: list[str], path: str) -> list[bytes]:
+    """The ids of each text, plus 1, as little-endian unsigned 16-bit numbers; ValueError if one does not fit."""
+    ids = [np.frombuffer(i, "<u4") for i in encoder(path, False).encode(texts)]
+    if any(i.max(initial=0) > MOST for i in ids):
+        raise ValueError(f"an id above {MOST} does not fit a flat file of 16-bit numbers")
+    return [(i + 1).astype("<u2").tobytes() for i in ids]
+
+
 def write_flat(docs: DataFrame, where: str, path: str) -> None:
     """Writes where/flat: in each partition of docs, the ids of its texts as little-endian unsigned 16-bit numbers, each
     text followed by END, one after the other and nothing else, FILE_DOCS texts to a file; and where/keys: doc_id with
@@ -29,13 +39,13 @@ def write_flat(docs: DataFrame, where: str, path: str) -> None:
     Spark knows will do.
 
     docs are read twice, and must give the same rows in the same order each time, as a scan does; if the two readings
-    differ it is a ValueError (write docs to a table first). Null and empty texts are END alone. Vocabularies must have
-    fewer than 65,535 ids."""
+    differ it is a ValueError (write docs to a table first). Null and empty texts are END alone. Repeated rows and rows without
+    doc_id are documents like others; other columns are not read; without rows there are no documents. A text with an id
+    above MOST is a ValueError."""
 
     def run(frames):
         for pdf in in_blocks(frames):
-            ids = encoder(path, False).encode(texts_of(pdf.text))
-            yield pd.DataFrame({"value": [(np.frombuffer(i, "<u4") + 1).astype("<u2").tobytes() for i in ids]})
+            yield pd.DataFrame({"value": flat_ids(texts_of(pdf.text), path)})
 
     def seen(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
         """df with its rows' places, and a sum over them that two readings must share."""

@@ -43,7 +43,8 @@ def write_store(docs: DataFrame, where: str, path: str, end_id: int) -> None:
     """Writes where/dictionary and where/shards. Each text's ids and end_id are one zstandard frame of little-endian
     unsigned 32-bit numbers; a row of shards holds the frames of some documents one after the other (payload), with
     offsets, ids and token counts to find each, and the SHA-256 of the dictionary. Shards are in ascending order of
-    doc_id, null first, over all files. Null texts count as empty: end_id alone. Other columns are not read."""
+    doc_id, null first, over all files. Null texts count as empty: end_id alone. Repeated rows are stored each for itself; an
+    empty table leaves shards without rows. Other columns are not read."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     dictionary = train_dictionary(docs, path, end_id)
     digest = hashlib.sha256(dictionary).hexdigest()
