@@ -17,8 +17,8 @@ from flowmill.llm.tokens import in_blocks, texts_of, trim
 #: Labelled texts the model is fitted on: so many of each label at most, none longer than so many characters.
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 1500, 2500, 5000
 BITS, DIMS, EPOCHS, WHOLE, RATE = 17, 8, 45, 5, 0.3
-#: Words of a window; a text of fewer words is one window.
-WINDOW = 3
+#: Words of a window; a text of fewer words is one window. A text is scored by so many of its windows.
+WINDOW, TOP = 3, 2
 #: Lengths of the character n-grams of a word with a mark at either end.
 GRAMS = (3, 4, 5)
 THRESHOLD = 0.7
@@ -65,6 +65,24 @@ def windows(first: np.ndarray, words: int = WINDOW) -> tuple[np.ndarray, np.ndar
     return begin, np.minimum(begin + words, np.repeat(first[1:], many)), start
 
 
+def most_toxic(value: np.ndarray, begin: np.ndarray, end: np.ndarray, at: np.ndarray, top: int = TOP) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the windows that each text is scored by, and of their texts: those of the largest value that share no word, top at
+    most, of equal ones the first. at: where each text's windows begin; each has one at least."""
+    value, text = value.copy(), np.repeat(np.arange(len(at)), np.diff(np.append(at, len(value))))
+    found, owner = [], []
+    for _ in range(top):
+        peak = np.maximum.reduceat(value, at)
+        hit = np.flatnonzero((value == peak[text]) & (value > -np.inf))
+        owners, first = np.unique(text[hit], return_index=True)
+        best = hit[first]
+        found.append(best)
+        owner.append(owners)
+        lo, hi = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        lo[owners], hi[owners] = begin[best], end[best]
+        value[(begin < hi[text]) & (end > lo[text])] = -np.inf
+    return np.concatenate(found), np.concatenate(owner)
+
+
 def _before(x: np.ndarray) -> np.ndarray:
     return np.concatenate([[0.0], np.cumsum(x)])
 
@@ -76,27 +94,29 @@ class Model:
     weights: np.ndarray
     bias: float
 
-    def words(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Begins of the words, the sum of each one's n-grams' weights, and how many n-grams it has."""
+    def words(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Begins of the words and the mean weight of each one's n-grams."""
         begin, length, points, buckets, valids = words_of(text)
         at = np.zeros(len(points))
         for b, v in zip(buckets, valids):
             at[1 : len(b) + 1] += np.where(v, self.weights[b], 0)
-        return begin, np.add.reduceat(at, begin) if len(begin) else np.zeros(0), n_grams(length)
+        return begin, np.add.reduceat(at, begin) / n_grams(length) if len(begin) else np.zeros(0)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        """The probability of the softmax over the mean of a window's n-grams, for each text's most toxic window; without
-        words that of the bias alone."""
+        """The probability of the softmax over the mean of the words in each text's most toxic windows, a word being the mean
+        of its n-grams; without words that of the bias alone."""
         texts = [(t or "").lower() for t in texts]
-        begin, value, size = self.words(" ".join(texts))
+        begin, value = self.words(" ".join(texts))
         start = np.cumsum([1] + [len(t) + 1 for t in texts])
         first = np.searchsorted(begin, start)
         lo, hi, at = windows(first)
         z = np.zeros(len(texts))
         has = first[1:] > first[:-1]
         if has.any():
-            value, size = _before(value), _before(size)
-            z[has] = np.maximum.reduceat((value[hi] - value[lo]) / (size[hi] - size[lo]), at[has])
+            value, size = _before(value), hi - lo
+            value = value[hi] - value[lo]
+            best, owner = most_toxic(value / size, lo, hi, at[has])
+            z[has] = np.bincount(owner, value[best]) / np.bincount(owner, size[best])
         return 1 / (1 + np.exp(-np.clip(z + self.bias, -500, 500)))
 
 
@@ -128,9 +148,10 @@ def _by_dimension(values) -> np.ndarray:
 
 
 def train(texts: list[str], labels: Iterable[int], seed: int = 3) -> Model:
-    """Embeddings of subwords and a linear softmax over their mean, fitted together by Adagrad. In the first epochs the mean
-    is over the n-grams of a whole text; then over those of the window that the model itself finds most toxic, so that a
-    few words in 20,000 weigh as much as in ten. Texts without words are left out. Without both labels the model says
+    """Embeddings of subwords and a linear softmax over their mean, fitted together by Adagrad. A word is the mean of its
+    n-grams, so that a short word weighs as much as its long neighbours. In the first epochs the mean is over the words of
+    a whole text; then over those of the windows that the model itself finds most toxic, so that a few words in 20,000 weigh
+    as much as in ten. A chance likeness that stands once in a clean text is held against its second window. Texts without words are left out. Without both labels the model says
     0.5 to everything."""
     y = np.asarray(list(labels), np.int64)
     stream, first, grams, start, size = _bags(texts)
@@ -144,21 +165,19 @@ def train(texts: list[str], labels: Iterable[int], seed: int = 3) -> Model:
     e = rng.uniform(-1 / DIMS, 1 / DIMS, (1 << BITS, DIMS))
     w, bias = np.zeros((DIMS, 2)), np.zeros(2)
     held = [np.full(x.shape, 1e-6) for x in (e, w, bias)]
-    count = _before(size[stream])
-    of_window = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(np.append(at, len(lo))))
     pairs, times = np.unique(np.repeat(np.arange(len(y)), np.diff(first)) * len(size) + stream[first[0] :], return_counts=True)
     for epoch in range(EPOCHS):
         if epoch < WHOLE:
-            begin, end = first[:-1], first[1:]
             doc, word, of = pairs // len(size), pairs % len(size), times
+            share = 1 / np.diff(first)
         else:
-            value = _before(np.add.reduceat((e @ (w[:, 1] - w[:, 0]))[grams], start)[stream])
-            value = (value[hi] - value[lo]) / (count[hi] - count[lo])
-            hit = np.flatnonzero(value == np.maximum.reduceat(value, at)[of_window])
-            best = hit[np.searchsorted(of_window[hit], np.arange(len(y)))]
+            value = _before((np.add.reduceat((e @ (w[:, 1] - w[:, 0]))[grams], start) / size)[stream])
+            value = (value[hi] - value[lo]) / (hi - lo)
+            best, owner = most_toxic(value, lo, hi, at)
             begin, end = lo[best], hi[best]
             many = end - begin
-            doc, of = np.repeat(np.arange(len(y)), many), 1
+            doc, of = np.repeat(owner, many), 1
+            share = 1 / np.bincount(owner, many)
             word = stream[np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(begin, many)]
         if epoch < WHOLE:
             n, own, gram = size, start, grams
@@ -167,14 +186,13 @@ def train(texts: list[str], labels: Iterable[int], seed: int = 3) -> Model:
             n = size[used]
             own = np.cumsum(n) - n
             gram = grams[np.arange(n.sum()) - np.repeat(own - start[used], n)]
-        share = 1 / (count[end] - count[begin])
-        bag = _by_dimension(lambda k: np.add.reduceat(e[gram, k], own))
+        bag = _by_dimension(lambda k: np.add.reduceat(e[gram, k], own) / n)
         mean = _by_dimension(lambda k: np.bincount(doc, bag[word, k] * of, len(y))) * share[:, None]
         z = mean @ w + bias
         p = np.exp(z - z.max(1, keepdims=True))
         d = (p / p.sum(1, keepdims=True) - np.eye(2)[y]) * cost[:, None]
         back = d @ w.T * share[:, None]
-        by_word = _by_dimension(lambda k: np.bincount(word, back[doc, k] * of, len(n)))
+        by_word = _by_dimension(lambda k: np.bincount(word, back[doc, k] * of, len(n)) / n)
         of_gram = np.repeat(np.arange(len(n), dtype=np.int32), n)
         de = _by_dimension(lambda k: np.bincount(gram, by_word[of_gram, k], len(e)))
         for x, grad, sums in zip((e, w, bias), (de, mean.T @ d, d.sum(0)), held):
@@ -199,7 +217,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def toxicity_score(spark, model: Model, text) -> F.Column:
-    """The score of a column of texts: that of each text's most toxic window; of null and empty texts, the bias alone."""
+    """The score of a column of texts: that of each text's most toxic windows; of null and empty texts, the bias alone."""
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

@@ -335,21 +335,29 @@ def test_toxicity():
 
 
 def plain_score(model, text):
-    """The softmax over the mean weight of all n-grams of each window of three words; the highest."""
-    best = None
+    """The softmax over the words, each the mean weight of its n-grams, of the windows of three words whose means are
+    highest, each without a word of those before."""
+    found = []
     words = [f" {w} " for w in re.findall(r"[^\W_]+", (text or "").lower())]
     for i in range(max(1, len(words) - toxicity.WINDOW + 1)):
         weights = []
         for w in words[i : i + toxicity.WINDOW]:
+            grams = []
             for n in toxicity.GRAMS:
                 for k in range(len(w) - n + 1):
                     h = 0
                     for c in w[k : k + n]:
                         h = (h * 0x01000193 + ord(c)) % 2**32
-                    weights.append(float(model.weights[((h ^ (n - 1)) * 0x9E3779B1 % 2**32) >> (32 - toxicity.BITS)]))
-        z = sum(weights) / len(weights) if weights else 0.0
-        best = z if best is None else max(best, z)
-    return 1 / (1 + math.exp(-(best + model.bias)))
+                    grams.append(float(model.weights[((h ^ (n - 1)) * 0x9E3779B1 % 2**32) >> (32 - toxicity.BITS)]))
+            weights.append(sum(grams) / len(grams))
+        if weights:
+            found.append((-sum(weights) / len(weights), i, weights))
+    taken = []
+    for _, i, weights in sorted(found):
+        if len(taken) < toxicity.TOP and all(abs(i - j) >= toxicity.WINDOW for j, _ in taken):
+            taken.append((i, weights))
+    every = [x for _, weights in taken for x in weights]
+    return 1 / (1 + math.exp(-(sum(every) / max(len(every), 1) + model.bias)))
 
 
 def test_toxicity_scores_equal_a_plain_version():
@@ -363,6 +371,20 @@ def test_toxicity_scores_equal_a_plain_version():
     assert list(zip(lo.tolist(), hi.tolist())) == [(0, 2), (2, 5), (3, 6), (4, 7)] and at.tolist() == [0, 1, 1]
 
 
+def test_most_toxic_windows_share_no_word():
+    value, begin, end = np.array([5.0, 5.0, 4.0, 1.0, 7.0]), np.array([0, 1, 2, 3, 6]), np.array([3, 4, 5, 6, 8])
+    best, owner = toxicity.most_toxic(value, begin, end, np.array([0, 4]), 3)
+    assert list(zip(owner.tolist(), best.tolist())) == [(0, 0), (1, 4), (0, 3)]
+
+
+def test_a_short_insult_among_long_words():
+    rng = np.random.default_rng(2)
+    clean = ["".join(rng.choice(list("abcdefgh"), 10)) for _ in range(300)]
+    texts = [" ".join([*rng.choice(clean, 20), *(["scum", str(rng.choice(clean)), str(rng.choice(clean)), "scum"] if i % 3 == 0 else [])]) for i in range(300)]
+    score = toxicity.train(texts[:200], [int(i % 3 == 0) for i in range(200)]).scores(texts[200:])
+    assert ((score >= 0.7) == np.array([i % 3 == 0 for i in range(200, 300)])).all()
+
+
 def test_toxicity_is_learnt_from_more_than_one_word():
     """Labels that depend on two words side by side, each of which is harmless alone."""
     rng = np.random.default_rng(9)
