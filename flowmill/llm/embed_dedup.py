@@ -115,6 +115,26 @@ def _linked(pairs, pdf: pd.DataFrame, table: int, bits: int, tables: int, thresh
         yield p[yes], q[yes]
 
 
+def farthest(total: int, threshold: float) -> int:
+    """Bits of total in which codes of a pair that reaches the threshold differ at most: each differs with probability
+    angle / pi, and WIDTH standard deviations are allowed."""
+    p = math.acos(threshold) / math.pi
+    return math.ceil(total * p + WIDTH * math.sqrt(total * p * (1 - p)))
+
+
+def _open_rows(pairs, pdf: pd.DataFrame, table: int, bits: int, tables: int, threshold: float) -> np.ndarray:
+    """Which rows have a pair that shares no earlier table's key and that the codes alone do not reject."""
+    packed = np.frombuffer(b"".join(pdf.code), np.uint8).reshape(len(pdf), -1)
+    keys = np.unpackbits(packed, axis=1)[:, : bits * tables].reshape(len(pdf), tables, bits)[:, :table] @ (1 << np.arange(bits, dtype=np.int64))
+    most, has = farthest(8 * packed.shape[1], threshold), np.zeros(len(pdf), bool)
+    for p, q in _in_lots(pairs):
+        near = np.bitwise_count(packed[p] ^ packed[q]).sum(1, dtype=np.int64) <= most
+        p, q = p[near], q[near]
+        new = ~(keys[p] == keys[q]).any(1)
+        has[p[new]] = has[q[new]] = True
+    return has
+
+
 def _roots(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """The smallest position that links reach, for each of n positions."""
     root = np.arange(n)
@@ -133,8 +153,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, seed: int = 11, id
     """One row per vector: vec_id, n_links, component_id, kept. Other columns are not read.
 
     Equal vectors become one node that stands for all its ids, so groups of copies are never paired. Each node's code
-    gives it a key in each table; nodes that share a key are compared in blocks: the estimate's upper bound rejects, and
-    what it cannot reject is computed exactly in double precision. A key with more nodes than a block holds is dealt
+    gives it a key in each table; nodes that share a key are compared in blocks, at first by their codes alone, which is
+    all that travels once for each table. Nodes with pairs whose codes are near enough are then met again with their
+    vectors: the estimate's upper bound rejects, and what it cannot reject is computed exactly in double precision. A key with more nodes than a block holds is dealt
     over pairs of blocks. A group passes on counts and one edge for each vector, never its pairs. A pair at the
     threshold is missed with probability MISS; no pair below it is linked.
 
@@ -162,24 +183,33 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, seed: int = 11, id
 
     schema = "node long, m long, dims int, raw binary, code binary, factor double, keys array<long>"
     coded = cut(usable.mapInPandas(code, schema), "codes")
-    keyed = coded.select("node", "m", "dims", "raw", "code", "factor", F.posexplode("keys").alias("t", "key"))
+    keyed = coded.select("node", "dims", "code", F.posexplode("keys").alias("t", "key"))
     sizes = coded.select("dims", F.posexplode("keys").alias("t", "key")).groupBy("dims", "t", "key").agg(F.count("*").alias("n"))
     big = sizes.where(F.col("n") > GROUP).select(F.col("dims").alias("_d"), F.col("t").alias("_t"), F.col("key").alias("_k"), F.ceil(F.col("n") / GROUP).cast("int").alias("blocks"))
-    keyed = keyed.join(big, (F.col("dims") == F.col("_d")) & (F.col("t") == F.col("_t")) & (F.col("key") == F.col("_k")), "left").drop("_d", "_t", "_k")
+    keyed = keyed.join(cut(big, "big"), (F.col("dims") == F.col("_d")) & (F.col("t") == F.col("_t")) & (F.col("key") == F.col("_k")), "left").drop("_d", "_t", "_k")
     bins = max(1, math.ceil(n / BIN))
     own = F.pmod(F.xxhash64("node", F.lit(seed)), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j"), (own > j).alias("second"), F.col("key").alias("bin")))
     alone = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(False).alias("second"), (-1 - F.pmod(F.xxhash64("key"), F.lit(bins))).alias("bin")))
     dealt = keyed.withColumn("at", F.explode(F.when(F.col("blocks").isNull(), alone).otherwise(pairs)))
-    dealt = dealt.select("dims", "t", "at.bin", "at.i", "at.j", "at.second", "key", "node", "m", "raw", "code", "factor")
+    dealt = dealt.select("dims", "t", "at.bin", "at.i", "at.j", "at.second", "key", "node", "code")
+    group = ["dims", "t", "bin", "i", "j"]
+
+    def pairs_of(key, pdf):
+        if key[3] < key[4]:
+            return _crossed(np.flatnonzero(~pdf.second), np.flatnonzero(pdf.second))
+        return _equal_keys(pdf.key.to_numpy())
+
+    def sift(key, pdf):
+        pdf = pdf.reset_index(drop=True)
+        return pdf.loc[_open_rows(pairs_of(key, pdf), pdf, int(key[1]), bits, tables, threshold), [*group, "second", "key", "node"]]
+
+    left = dealt.groupBy(*group).applyInPandas(sift, dealt.select(*group, "second", "key", "node").schema)
+    left = cut(left, "open").join(coded.select("node", "m", "raw", "code", "factor"), "node")
 
     def compare(key, pdf):
         pdf = pdf.reset_index(drop=True)
-        if key[3] < key[4]:
-            pairs = _crossed(np.flatnonzero(~pdf.second), np.flatnonzero(pdf.second))
-        else:
-            pairs = _equal_keys(pdf.key.to_numpy())
-        lots = list(_linked(pairs, pdf, int(key[1]), bits, tables, threshold, seed))
+        lots = list(_linked(pairs_of(key, pdf), pdf, int(key[1]), bits, tables, threshold, seed))
         p, q = (np.concatenate([x[k] for x in lots] or [np.zeros(0, np.int64)]) for k in (0, 1))
         node, m, n = pdf.node.to_numpy(), pdf.m.to_numpy(), np.zeros(len(pdf), np.int64)
         np.add.at(n, p, m[q])
@@ -191,7 +221,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, seed: int = 11, id
         has = n > 0
         return pd.DataFrame({"node": node[has], "n": n[has], "root": root[has]})
 
-    found = cut(dealt.groupBy("dims", "t", "bin", "i", "j").applyInPandas(compare, "node long, n long, root long"), "links")
+    found = cut(left.groupBy(*group).applyInPandas(compare, "node long, n long, root long"), "links")
     roots = components(found.select("node", "root"))
     counts = found.groupBy("node").agg(F.sum("n").alias("n"))
     # each node's component, then its ids: the node of an id is the smallest id of its vector

@@ -371,6 +371,18 @@ def test_toxicity_scores_equal_a_plain_version():
     assert list(zip(lo.tolist(), hi.tolist())) == [(0, 2), (2, 5), (3, 6), (4, 7)] and at.tolist() == [0, 1, 1]
 
 
+def test_codes_of_linked_vectors_differ_in_few_bits():
+    """Pairs at the threshold itself, which differ most: none in 20,000 is rejected by its codes, unlike nearly all random ones."""
+    rng = np.random.default_rng(21)
+    a, b = (embed_dedup._unit(rng.standard_normal((20000, 16))) for _ in range(2))
+    b = embed_dedup._unit(b - (a * b).sum(1)[:, None] * a)
+    near = 0.95 * a + math.sqrt(1 - 0.95**2) * b
+    x, y, z = (np.packbits(embed_dedup.Codes(u, 11, 27, 3).signs, axis=1) for u in (a, near, b))
+    most = embed_dedup.farthest(8 * x.shape[1], 0.95)
+    assert (np.bitwise_count(x ^ y).sum(1, dtype=int) <= most).all()
+    assert (np.bitwise_count(x ^ z).sum(1, dtype=int) <= most).mean() < 0.001
+
+
 def test_most_toxic_windows_share_no_word():
     value, begin, end = np.array([5.0, 5.0, 4.0, 1.0, 7.0]), np.array([0, 1, 2, 3, 6]), np.array([3, 4, 5, 6, 8])
     best, owner = toxicity.most_toxic(value, begin, end, np.array([0, 4]), 3)
