@@ -23,6 +23,8 @@ BINS, DEPTH, LEAVES, LEAF_ROWS, LEAF_WEIGHT, STEP = 255, 5, 31, 20, 1e-3, 0.1
 BLOCK, FEATURES = 32_768, 32
 #: Bytes of rows (bins and margins) in a partition.
 PART = 64 << 20
+#: Rows whose quantiles are the ends of bins.
+SAMPLE = 200_000
 #: Rounds after which the state is written and its lineage ends.
 WRITTEN = 25
 
@@ -207,7 +209,18 @@ def _moved(block, trees: list[Tree]):
     return x, y, m + np.stack([t.value[t.leaf_of(x)] for t in trees], 1)
 
 
-def boost(rows: DataFrame, features: str, label: str, rounds: int = 200, sample: int = 200_000):
+def feature_edges(flat: DataFrame, total: int, bins: int = BINS, sample: int = SAMPLE) -> list[np.ndarray]:
+    """The ends of each feature's bins, from flat (x, y) of total rows: of all or, beyond sample rows, of about so many chosen by
+    hash."""
+    chosen = flat if total <= sample else flat.where(F.pmod(F.xxhash64("x", "y"), F.lit(1 << 20)) < (sample << 20) // total)
+    some = chosen.select(F.posexplode("x").alias("k", "v")).groupBy("k").agg(F.sort_array(F.collect_list("v")).alias("v"))
+    edges = [np.zeros(0)] * len(flat.first()["x"])
+    for r in some.rdd.map(lambda r: (r["k"], edges_of(np.array(r["v"]), bins))).collect():
+        edges[r[0]] = r[1]
+    return edges
+
+
+def boost(rows: DataFrame, features: str, label: str, rounds: int = 200, sample: int = SAMPLE):
     """(classes, edges, start, trees by round and class) from rows with a vector and a label.
 
     Features are cut into bins at quantiles, of all rows or, beyond sample rows, of about so many chosen by hash. Each round
@@ -225,13 +238,8 @@ def boost(rows: DataFrame, features: str, label: str, rounds: int = 200, sample:
     total = sum(n for _, n in counts)
     if not total:
         raise ValueError("no rows to train on")
-    chosen = flat if total <= sample else flat.where(F.pmod(F.xxhash64("x", "y"), F.lit(1 << 20)) < (sample << 20) // total)
-    width = len(flat.first()["x"])
-    some = chosen.select(F.posexplode("x").alias("k", "v")).groupBy("k").agg(F.sort_array(F.collect_list("v")).alias("v"))
-    edges = [np.zeros(0)] * width
-    for r in some.rdd.map(lambda r: (r["k"], edges_of(np.array(r["v"])))).collect():
-        edges[r[0]] = r[1]
-    bins = max(len(e) for e in edges) + 1
+    edges = feature_edges(flat, total, sample=sample)
+    width, bins = len(edges), max(len(e) for e in edges) + 1
     classes = [c for c, _ in counts]
     start = np.log(np.array([n for _, n in counts]) / total)
     parts = max(1, -(-total * (width + 8 * len(classes)) // PART))
