@@ -17,13 +17,25 @@ COLUMNS = """analysis_id string, created_at string, source_mode string, display_
 NAMES = [c.split()[0] for c in COLUMNS.split(",")]
 #: What a list can be filtered by, how many rows it gives at most, and buckets of a new table.
 FILTERS, MOST, BUCKETS = ("source_mode", "risk_band", "traffic_prediction", "analysis_state"), 500, 64
+#: The fields of a bundle document and of its parts that a row needs.
+READ = ("analysis_id", "created_at", "schema_version", "status", "protocol", "source", "traffic", "security", "privacy")
+PARTS = {
+    "protocol": ("ipsec_detected", "ike_version", "esp_packets", "esp_flows"), "source": ("kind", "filename", "size_bytes", "sha256"),
+    "traffic": ("predicted_class", "confidence"), "security": ("security_score", "risk_level"), "privacy": ("privacy_risk",),
+}
+#: Rows of a bucket that one task writes, about.
+FILE_ROWS = 250_000
 
 
 def history_rows(bundles: DataFrame, document: str = "document", path: str | None = None) -> DataFrame:
     """A history row for each bundle document (JSON): each column is read out of the document, so what an analysis did not give
     is null; source mode and file name are blank and the size 0 where it does not name them. path: the column with the
     bundle's place. Documents without an id are left out."""
-    at = lambda p: F.get_json_object(document, f"$.{p}")
+    # a document is parsed once, and each of its parts once
+    flat = bundles.select(F.col(path).alias("_path") if path else F.lit(None).cast("string").alias("_path"), F.json_tuple(document, *READ).alias(*(f"_{k}" for k in READ)))
+    for part, fields in PARTS.items():
+        flat = flat.select("*", F.json_tuple(f"_{part}", *fields).alias(*(f"_{part}.{f}" for f in fields))).drop(f"_{part}")
+    at = lambda p: F.col(f"`_{p}`")
     text = lambda p: F.nullif(at(p), F.lit(""))
     true = lambda p: F.coalesce(at(p), F.lit("")).isin("true", "1")
     version, packets = text("protocol.ike_version"), at("protocol.esp_packets").try_cast("long")
@@ -34,11 +46,11 @@ def history_rows(bundles: DataFrame, document: str = "document", path: str | Non
     ))
     values = {
         "analysis_id": text("analysis_id"), "created_at": at("created_at"), "source_mode": F.coalesce(at("source.kind"), F.lit("")), "display_filename": F.coalesce(at("source.filename"), F.lit("")),
-        "capture_size": F.coalesce(at("source.size_bytes").try_cast("long"), F.lit(0).cast("long")), "capture_hash": text("source.sha256"), "bundle_schema": at("schema_version"), "bundle_path": F.col(path) if path else F.lit(None).cast("string"),
+        "capture_size": F.coalesce(at("source.size_bytes").try_cast("long"), F.lit(0).cast("long")), "capture_hash": text("source.sha256"), "bundle_schema": at("schema_version"), "bundle_path": F.col("_path"),
         "protocol_summary": F.nullif(F.array_join(parts, ", "), F.lit("")), "traffic_prediction": text("traffic.predicted_class"), "traffic_confidence": at("traffic.confidence").try_cast("double"),
         "security_score": at("security.security_score").try_cast("double"), "risk_band": text("security.risk_level"), "privacy_band": at("privacy.privacy_risk"), "analysis_state": at("status"),
     }
-    return bundles.select(*(v.alias(n) for n, v in values.items())).where("analysis_id is not null")
+    return flat.select(*(v.alias(n) for n, v in values.items())).where("analysis_id is not null")
 
 
 class History:
@@ -58,28 +70,34 @@ class History:
         except AnalysisException:
             return self.spark.createDataFrame([], f"{COLUMNS}, bucket int")
 
+    def _kept(self, rows: DataFrame) -> DataFrame:
+        """rows, written beside the table: what several steps read is computed once."""
+        where = f"{self.where}/staged-{uuid.uuid4().hex}"
+        rows.write.parquet(where)
+        return self.spark.read.schema(rows.schema).parquet(where)
+
     def _rewrite(self, named: DataFrame, change) -> None:
         """The buckets of the ids in named become what change makes of their rows. Every bucket keeps a row without an id, so
-        that one from which all rows went is rewritten too."""
+        that one from which all rows went is rewritten too. Large buckets are written by several tasks."""
         touched = [r[0] for r in named.select(self._bucket()).distinct().collect()]
         if not touched:
             return
         old = self._stored().where(F.col("bucket").isin(touched) & F.col("analysis_id").isNotNull()).select(*NAMES)
         rows = change(old).withColumn("bucket", self._bucket())
         empty = self.spark.createDataFrame([(*[None] * len(NAMES), b) for b in touched], f"{COLUMNS}, bucket int")
-        staged = f"{self.where}/staged-{uuid.uuid4().hex}"
-        rows.unionByName(empty).write.parquet(staged)
-        made = self.spark.read.schema(f"{COLUMNS}, bucket int").parquet(staged)
-        made.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.where}/rows")
+        made = self._kept(rows.unionByName(empty))
+        files = max(1, -(-made.count() // (len(touched) * FILE_ROWS)))
+        dealt = made.repartition(len(touched) * files, "bucket", F.pmod(F.xxhash64("analysis_id", F.lit(1)), F.lit(files)))
+        dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.where}/rows")
 
     def put(self, rows: DataFrame) -> None:
         """Inserts rows, or replaces those that share their id; of rows with the same id the newest counts."""
-        new = latest(rows.where("analysis_id is not null").select(*NAMES), "analysis_id", "created_at").select(*NAMES)
+        new = self._kept(latest(rows.where("analysis_id is not null").select(*NAMES), "analysis_id", "created_at").select(*NAMES))
         self._rewrite(new, lambda old: old.join(new.select("analysis_id"), "analysis_id", "left_anti").select(*NAMES).unionByName(new))
 
     def delete(self, ids: DataFrame) -> None:
         """ids: analysis_id. Unknown ids change nothing."""
-        gone = ids.select("analysis_id").where("analysis_id is not null").distinct()
+        gone = self._kept(ids.select("analysis_id").where("analysis_id is not null").distinct())
         self._rewrite(gone, lambda old: old.join(gone, "analysis_id", "left_anti").select(*NAMES))
 
     def rows(self) -> DataFrame:

@@ -4,6 +4,7 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from flowmill.operators import history as hi
 
@@ -43,6 +44,23 @@ def test_put_replace_and_delete(spark):
     assert h.count() == 0
 
 
+def test_rows_are_computed_once_and_large_buckets_written_by_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(hi, "FILE_ROWS", 10, raising=False)
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def read(i):
+        seen.add(1)
+        return i
+
+    h = hi.new_history(spark, 2)
+    h.put(rows_of(spark, *((f"a{k}", "t", "ok", "x") for k in range(100))).withColumn("bundle_path", read("analysis_id")))
+    assert seen.value == 100 and h.count() == 100 and len(files(h)) > 4
+    h.put(rows_of(spark, ("a5", "u", "again", "x")))
+    h.delete(rows_of(spark, ("a6", "", "", "")))
+    assert h.count() == 99 and [r for r in state(h) if r[2] == "again"] == [("a5", "u", "again")]
+
+
 def test_lists(spark):
     h = hi.new_history(spark, 4)
     h.put(rows_of(spark, *((f"a{k}", f"t{k % 3}", "ok" if k % 4 else "bad", "x" if k % 2 else "y") for k in range(12))))
