@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from typing import NamedTuple
 
 import numpy as np
@@ -25,8 +26,8 @@ BLOCK, FEATURES = 32_768, 32
 PART = 64 << 20
 #: Rows whose quantiles are the ends of bins.
 SAMPLE = 200_000
-#: Rounds after which the state is written and its lineage ends.
-WRITTEN = 25
+#: States after which one is written and its lineage ends; rows from which margins become a new state in each round.
+WRITTEN, FEW = 25, 300_000
 
 
 class Tree(NamedTuple):
@@ -79,15 +80,17 @@ def slopes(margins: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def histogram(x, g, h, leaves, open_nodes, bins: int) -> np.ndarray:
     """Sums of (g, h, rows) by open node, feature and bin: 3 x nodes x features x bins, for one class. Rows in other nodes do not
     count."""
-    features = x.shape[1]
     place = np.full(max(int(leaves.max(initial=0)), max(open_nodes)) + 1, -1)
     place[open_nodes] = np.arange(len(open_nodes))
     node = place[leaves]
     own = np.flatnonzero(node >= 0)
-    cells = x[own] + (np.arange(features) * bins + (node[own] * (features * bins))[:, None])
-    cells, n = cells.ravel(), len(open_nodes) * features * bins
-    sums = [np.bincount(cells, np.repeat(v[own], features), n) for v in (g, h)]
-    return np.stack([*sums, np.bincount(cells, minlength=n)]).reshape(3, len(open_nodes), features, bins)
+    first, g, h = node[own] * bins, g[own], h[own]
+    out = np.empty((3, len(open_nodes), x.shape[1], bins))
+    for f in range(x.shape[1]):
+        cells = first + x[:, f][own]
+        for s, v in enumerate((g, h, None)):
+            out[s, :, f] = np.bincount(cells, v, len(open_nodes) * bins).reshape(-1, bins)
+    return out
 
 
 def best_splits(sums: np.ndarray, first: int = 0) -> list[tuple]:
@@ -152,7 +155,7 @@ def _blocks(rows, classes: list, edges: list[np.ndarray], start: np.ndarray):
     x, y = [], []
 
     def block():
-        b = binned(np.array(x), edges)
+        b = np.asfortranarray(binned(np.array(x), edges))  # a feature's bins lie together
         return b, np.array(y), np.tile(start, (len(y), 1))
 
     for features, label in rows:
@@ -188,6 +191,16 @@ def _added(state, trees: list[Tree], opens: list[list[int]], bins: int) -> list[
     return whole.map(lambda x: (x[0], best_splits(x[1], x[0][1]))).collect()
 
 
+def _own_tree(blocks: list, k: int, bins: int) -> Tree:
+    """The tree of class k in one round, from blocks of all rows."""
+    own = [(x, *(np.ascontiguousarray(v[:, k]) for v in slopes(m, y))) for x, y, m in blocks]
+
+    def splits(trees: list[Tree], opens: list[list[int]]) -> list[tuple]:
+        return [((0, 0), best_splits(sum(histogram(x, g, h, trees[0].leaf_of(x), opens[0], bins) for x, g, h in own)))]
+
+    return _round(1, splits)[0]
+
+
 def _round(classes: int, splits_of) -> list[Tree]:
     """A tree for each class, grown level by level. splits_of: from the trees so far and their open nodes to the best splits
     by class and block of features."""
@@ -204,9 +217,12 @@ def _round(classes: int, splits_of) -> list[Tree]:
     return [t.tree() for t in growing]
 
 
-def _moved(block, trees: list[Tree]):
+def _moved(block, *added: list[Tree]):
+    """The block with the trees of so many rounds added to its margins."""
     x, y, m = block
-    return x, y, m + np.stack([t.value[t.leaf_of(x)] for t in trees], 1)
+    for trees in added:
+        m = m + np.stack([t.value[t.leaf_of(x)] for t in trees], 1)
+    return x, y, m
 
 
 def feature_edges(flat: DataFrame, total: int, bins: int = BINS, sample: int = SAMPLE) -> list[np.ndarray]:
@@ -227,11 +243,11 @@ def boost(rows: DataFrame, features: str, label: str, rounds: int = 200, sample:
     grows a tree for every class on the derivatives of the softmax loss, level by level: one pass over the rows adds up
     histograms for all classes at once, and the driver gets the best split of each node. What a task holds is a block of
     rows and the histograms of the open nodes; rows are never gathered. The margins are the state: each round adds its
-    trees to them, and every WRITTEN rounds they are written to the shared folder, so lost executors cost that many rounds
+    trees to them, and every WRITTEN states they are written to the shared folder, so lost executors cost that many
     at most. Bins and sums, and so the trees, do not depend on the order of partitions.
 
-    Rows of PART bytes at most are one partition, whose sums are all there is to add; its rounds follow each other in its
-    task, with the same trees and without a job for each level."""
+    Rows of PART bytes at most are copied to a task for each class, which grows its class's tree of a round by itself, with
+    the same result and one job for each round."""
     spark = rows.sparkSession
     flat = rows.select(vector_to_array(features).alias("x"), F.col(label).alias("y")).where("y is not null")
     counts = sorted((r["y"], r["n"]) for r in flat.groupBy("y").agg(F.count("*").alias("n")).collect())
@@ -245,28 +261,30 @@ def boost(rows: DataFrame, features: str, label: str, rounds: int = 200, sample:
     parts = max(1, -(-total * (width + 8 * len(classes)) // PART))
     made = flat.repartition(parts, "x") if parts > 1 else flat.coalesce(1)
     state = made.sortWithinPartitions("y", "x").rdd.map(lambda r: (r["x"], r["y"])).mapPartitions(lambda it: _blocks(it, classes, edges, start))
-    if parts == 1:
-
-        def all_rounds(blocks):
-            own = list(blocks)
-            for _ in range(rounds):
-                trees = _round(len(classes), lambda t, o: [(key, best_splits(v)) for key, v in _sums(own, t, o, bins, width).items()])
-                own = [_moved(b, trees) for b in own]
-                yield trees
-
-        return classes, edges, start, state.mapPartitions(all_rounds).collect()
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    state, every = state.persist(StorageLevel.MEMORY_AND_DISK), []
+    if parts == 1:
+        state = state.flatMap(lambda b: [(k, b) for k in range(len(classes))]).partitionBy(len(classes), lambda k: k).values()
+    # trees are added to the margins after every so many rounds, which for few rows costs less than a state for each round
+    often = max(1, math.isqrt(FEW // total)) if parts == 1 else 1
+    state, before, every, new = state.persist(StorageLevel.MEMORY_AND_DISK), None, [], []
     for k in range(rounds):
-        every.append(_round(len(classes), lambda t, o, now=state: _added(now, t, o, bins)))
-        before, state = state, state.map(lambda b, trees=every[-1]: _moved(b, trees)).persist(StorageLevel.MEMORY_AND_DISK)
-        if k % WRITTEN == WRITTEN - 1:
-            state.checkpoint()
-        if k + 1 < rounds:
-            state.foreachPartition(lambda blocks: sum(1 for _ in blocks))
-        before.unpersist()
-    state.unpersist()
+        if parts == 1:
+            every.append(state.mapPartitionsWithIndex(lambda c, b, add=tuple(new): [_own_tree([_moved(x, *add) for x in b], c, bins)]).collect())
+        else:
+            every.append(_round(len(classes), lambda t, o, now=state: _added(now, t, o, bins)))
+        # the first job on a state has made it
+        if before is not None:
+            before.unpersist()
+            before = None
+        new.append(every[-1])
+        if len(new) == often:
+            before, state, new = state, state.map(lambda b, add=tuple(new): _moved(b, *add)).persist(StorageLevel.MEMORY_AND_DISK), []
+            if (k + 1) // often % WRITTEN == 0:
+                state.checkpoint()
+    for last in (before, state):
+        if last is not None:
+            last.unpersist()
     return classes, edges, start, every
 
 

@@ -61,6 +61,20 @@ def test_partitions_and_blocks_do_not_change_the_trees(spark, monkeypatch):
     assert all(np.array_equal(a.value, b.value) for r, s in zip(made[3], again[3]) for a, b in zip(r, s))
 
 
+def test_classes_grow_in_tasks_of_their_own(spark, monkeypatch):
+    """A round of few rows is one job with a task for each class; how often trees join the margins changes nothing."""
+    sc, (x, _, rows) = spark.sparkContext, table(spark)
+    sc.setJobGroup("boost-few", "")
+    one = bo.boost(rows, "features", "label", 5)
+    sc.setJobGroup("", "")
+    status = sc.statusTracker()
+    tasks = [status.getStageInfo(max(status.getJobInfo(j).stageIds)).numTasks for j in status.getJobIdsForGroup("boost-few")]
+    assert tasks.count(3) >= 5
+    monkeypatch.setattr(bo, "FEW", 1, raising=False)
+    monkeypatch.setattr(bo, "WRITTEN", 2)
+    assert all(np.array_equal(a.value, b.value) for r, s in zip(one[3], bo.boost(rows, "features", "label", 5)[3]) for a, b in zip(r, s))
+
+
 def test_scores_are_probabilities(spark):
     x, y, rows = table(spark)
     out = bo.HistogramBoosting(rounds=20).fit(rows).transform(rows).select("label", "probability", "prediction").collect()
