@@ -31,11 +31,11 @@ def history_rows(bundles: DataFrame, document: str = "document", path: str | Non
     """A history row for each bundle document (JSON): each column is read out of the document, so what an analysis did not give
     is null; source mode and file name are blank and the size 0 where it does not name them. path: the column with the
     bundle's place. Documents without an id are left out."""
-    # a document is parsed once, and each of its parts once
-    flat = bundles.select(F.col(path).alias("_path") if path else F.lit(None).cast("string").alias("_path"), F.json_tuple(document, *READ).alias(*(f"_{k}" for k in READ)))
-    for part, fields in PARTS.items():
-        flat = flat.select("*", F.json_tuple(f"_{part}", *fields).alias(*(f"_{part}.{f}" for f in fields))).drop(f"_{part}")
-    at = lambda p: F.col(f"`_{p}`")
+    # one parse gives the fields of a document and of its parts; a list of documents is none
+    kinds = ", ".join(f"{k}: struct<{', '.join(f'{c}: string' for c in PARTS[k])}>" if k in PARTS else f"{k}: string" for k in READ)
+    one = F.when(~F.ltrim(document).startswith("["), F.col(document))
+    flat = bundles.select(F.col(path).alias("_path") if path else F.lit(None).cast("string").alias("_path"), F.from_json(one, f"struct<{kinds}>").alias("_d"))
+    at = lambda p: F.col(f"_d.{p}")
     text = lambda p: F.nullif(at(p), F.lit(""))
     true = lambda p: F.coalesce(at(p), F.lit("")).isin("true", "1")
     version, packets = text("protocol.ike_version"), at("protocol.esp_packets").try_cast("long")
@@ -62,7 +62,8 @@ class History:
         self.spark, self.where, self.buckets = spark, where.rstrip("/"), buckets
 
     def _bucket(self) -> F.Column:
-        return F.pmod(F.xxhash64("analysis_id"), F.lit(self.buckets)).cast("int")
+        # as repartition() deals ids to a number of tasks that the buckets divide, so a task has rows of one bucket
+        return F.pmod(F.hash("analysis_id"), F.lit(self.buckets)).cast("int")
 
     def _stored(self) -> DataFrame:
         try:
@@ -76,29 +77,37 @@ class History:
         rows.write.parquet(where)
         return self.spark.read.schema(rows.schema).parquet(where)
 
-    def _rewrite(self, named: DataFrame, change) -> None:
-        """The buckets of the ids in named become what change makes of their rows. Every bucket keeps a row without an id, so
-        that one from which all rows went is rewritten too. Large buckets are written by several tasks."""
+    def _rewrite(self, named: DataFrame, new: DataFrame | None = None) -> None:
+        """In the buckets of the ids in named, rows of these ids give way to the newest of each id in new. Both are written
+        tables. Rows move once, to the tasks that write them: several for a large bucket."""
         touched = [r[0] for r in named.select(self._bucket()).distinct().collect()]
         if not touched:
             return
-        old = self._stored().where(F.col("bucket").isin(touched) & F.col("analysis_id").isNotNull()).select(*NAMES)
-        rows = change(old).withColumn("bucket", self._bucket())
-        empty = self.spark.createDataFrame([(*[None] * len(NAMES), b) for b in touched], f"{COLUMNS}, bucket int")
-        made = self._kept(rows.unionByName(empty))
-        files = max(1, -(-made.count() // (len(touched) * FILE_ROWS)))
-        dealt = made.repartition(len(touched) * files, "bucket", F.pmod(F.xxhash64("analysis_id", F.lit(1)), F.lit(files)))
-        dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.where}/rows")
+        old = self._stored().where(F.col("bucket").isin(touched))
+        n = old.count()
+        files = max(1, -(-(n + (new.count() if new is not None else 0)) // (len(touched) * FILE_ROWS)))
+        dealt = lambda rows: rows.repartition(self.buckets * files, "analysis_id")
+        parts = []
+        if n:
+            gone = dealt(named.select("analysis_id")).hint("shuffle_hash")
+            parts.append(dealt(old.where("analysis_id is not null").select(*NAMES)).join(gone, "analysis_id", "left_anti").select(*NAMES))
+        if new is not None:
+            parts.append(latest(dealt(new), "analysis_id", "created_at").select(*NAMES))
+        rows = [p.withColumn("bucket", self._bucket()) for p in parts]
+        if new is None:
+            # a row without an id, so that a bucket from which all rows go is rewritten too
+            rows.append(self.spark.createDataFrame([(*[None] * len(NAMES), b) for b in touched], f"{COLUMNS}, bucket int").coalesce(1))
+        made = rows[0] if len(rows) == 1 else rows[0].unionByName(rows[1])
+        made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.where}/rows")
 
     def put(self, rows: DataFrame) -> None:
         """Inserts rows, or replaces those that share their id; of rows with the same id the newest counts."""
-        new = self._kept(latest(rows.where("analysis_id is not null").select(*NAMES), "analysis_id", "created_at").select(*NAMES))
-        self._rewrite(new, lambda old: old.join(new.select("analysis_id"), "analysis_id", "left_anti").select(*NAMES).unionByName(new))
+        new = self._kept(rows.where("analysis_id is not null").select(*NAMES))
+        self._rewrite(new, new)
 
     def delete(self, ids: DataFrame) -> None:
         """ids: analysis_id. Unknown ids change nothing."""
-        gone = self._kept(ids.select("analysis_id").where("analysis_id is not null").distinct())
-        self._rewrite(gone, lambda old: old.join(gone, "analysis_id", "left_anti").select(*NAMES))
+        self._rewrite(self._kept(ids.select("analysis_id").where("analysis_id is not null")))
 
     def rows(self) -> DataFrame:
         return self._stored().where("analysis_id is not null").select(*NAMES)

@@ -78,3 +78,22 @@ def test_lists(spark):
 def test_rows_of_documents(spark, document, want):
     r = hi.history_rows(spark.createDataFrame([(json.dumps(document),), ("broken",), (None,)], "document string")).collect()
     assert [(x.protocol_summary, x.capture_size, x.source_mode, x.traffic_prediction) for x in r] == [want] and r[0].asDict().keys() == set(hi.NAMES)
+
+
+def test_a_document_is_parsed_once_and_odd_parts_are_null(spark):
+    odd = ['[{"analysis_id": "a"}]', '{"analysis_id": "b", "protocol": "x", "traffic": [1], "security": {"security_score": 7.50}}', '{"analysis_id": "c", "status": ', '{"analysis_id": 5, "source": {"size_bytes": "9"}}']
+    rows = hi.history_rows(spark.createDataFrame([(d,) for d in odd], "document string"))
+    assert sorted((r.analysis_id, r.protocol_summary, r.security_score, r.capture_size) for r in rows.collect()) == [("5", None, None, 9), ("b", None, 7.5, 0)]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "json_tuple" not in plan
+
+
+def test_a_change_writes_the_table_once(spark):
+    """Only what is put is written beside the table, not the table's rows."""
+    h = hi.new_history(spark, 4)
+    h.put(rows_of(spark, *((f"a{k}", "t", "ok", "x") for k in range(20))))
+    h.put(rows_of(spark, ("a1", "u", "again", "x"), ("b", "u", "new", "x")))
+    h.delete(rows_of(spark, ("a2", "", "", "")))
+    root = h.where.removeprefix("file://")
+    staged = sum(spark.read.parquet(f"{root}/{d}").count() for d in os.listdir(root) if d.startswith("staged"))
+    assert staged == 20 + 2 + 1 and h.count() == 20
