@@ -1,4 +1,5 @@
-"""Near copies by Jaccard similarity of sets of word shingles: MinHash buckets name the pairs, exact sets decide."""
+"""Near copies by Jaccard similarity of sets of word shingles: SimHash fingerprints within a Hamming distance name pairs first,
+MinHash buckets name what is still apart, exact sets decide."""
 
 from __future__ import annotations
 
@@ -12,11 +13,13 @@ from pyspark.sql import functions as F
 
 from flowmill.llm.common import cut, join_split, one_of_each
 from flowmill.llm.components import components
-from flowmill.llm.simhash import BLOCK, NO_ID
+from flowmill.llm.simhash import BLOCK, NO_ID, group_links, simhash_of
 
 WIDTH = 5
 #: Two sets are near from a similarity of LEAST / OF.
 LEAST, OF = 4, 5
+#: Bits that fingerprints of a named pair differ in at most, and segments of the table that finds them.
+DISTANCE, SEGMENTS = 5, 3
 #: A pair shares a bucket if all ROWS minima of one of BANDS bands agree: at 0.8 all but (1 - 0.8**5)**24 = 7.4e-5 do.
 BANDS, ROWS = 24, 5
 _RNG = np.random.default_rng(42)
@@ -53,13 +56,13 @@ def buckets(s: np.ndarray) -> np.ndarray:
 
 
 def _sketches(texts: pd.Series) -> pd.DataFrame:
-    """fp names the set of shingles: 0 if it is empty."""
+    """fp names the set of shingles: 0 if it is empty; print is its SimHash."""
     out = []
     for t in texts:
         s = shingles(t)
         keys = buckets(s).view(np.int64) if len(s) else np.zeros(0, np.int64)
-        out.append((np.uint64(xxhash.xxh64_intdigest(s.tobytes())).view(np.int64) if len(s) else 0, len(s), keys))
-    return pd.DataFrame(out, columns=["fp", "size", "keys"])
+        out.append((np.uint64(xxhash.xxh64_intdigest(s.tobytes())).view(np.int64) if len(s) else 0, len(s), simhash_of(s), keys))
+    return pd.DataFrame(out, columns=["fp", "size", "print", "keys"])
 
 
 def _sets(texts: pd.Series) -> pd.Series:
@@ -85,16 +88,36 @@ def _pairs(pairs: DataFrame) -> DataFrame:
     return pairs.where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_links(sets: DataFrame, members: DataFrame) -> DataFrame:
-    """Links (a, b) whose components are those of all pairs that share a bucket and are near. sets: fp, s for each fp
-    in members; members: key, fp, size and lead (fp, size), the least member, of buckets with two members at least.
+def simhash_pairs(nodes: DataFrame) -> DataFrame:
+    """nodes: fp, size, print. Pairs (a, b) of sets that admit the similarity and whose fingerprints are the same or linked by
+    at most DISTANCE bits: a fingerprint's least set stands for it in its links, its other sets are paired with that one.
+    Fingerprints of a hot key of the table are linked as group_links does, by one link for each at most."""
+    lead = cut(nodes.groupBy("print").agg(F.min(F.struct("fp", "size")).alias("lead"), F.count("*").alias("n")), "prints")
+    n = lead.agg(F.sum("n")).first()[0] or 0
+    same = join_split(nodes, lead.where("n > 1"), "print", "n", n, listed=True).where("fp <> lead.fp")
+    same = same.select(F.col("fp").alias("a"), F.col("size").alias("na"), F.col("lead.fp").alias("b"), F.col("lead.size").alias("nb"))
+    linked = cut(group_links(lead.select(F.col("print").alias("fp")), DISTANCE, SEGMENTS), "print_links")
+    for end in ("a", "b"):
+        uses = linked.groupBy(F.col(end).alias("print")).agg(F.count("*").alias("uses"))
+        named = lead.join(uses, "print").select(F.col("print").alias(end), F.col("lead").alias(f"l{end}"), "uses")
+        linked = join_split(linked, named, end, "uses", linked.count())
+        if end == "a":
+            linked = cut(linked, "half_links")
+    return _pairs(same.union(linked.select(F.col("la.fp").alias("a"), F.col("la.size").alias("na"), F.col("lb.fp").alias("b"), F.col("lb.size").alias("nb"))))
+
+
+def near_links(sets: DataFrame, members: DataFrame, named: DataFrame) -> DataFrame:
+    """Links (a, b) whose components are those of all near pairs in named and of all that share a bucket. sets: fp, s for each
+    fp in members and named; members: key, fp, size and lead (fp, size), the least member, of buckets with two members
+    at least; named: pairs (a, b), the first to be tested.
 
-    Every member is tested against its bucket's least one first. Then all pairs of a bucket whose ends are still apart
-    are: pairs that are linked already, directly or not, cannot change a component. Those of large buckets are compared
-    in blocks."""
+    Then every member is tested against its bucket's least one, and then all pairs of a bucket whose ends are still apart:
+    pairs that are linked already, directly or not, cannot change a component. Those of large buckets are compared in
+    blocks."""
+    first = cut(_near(named, sets), "first_links")
     star = members.where("fp <> lead.fp")
-    star = cut(_pairs(star.select(F.col("fp").alias("a"), F.col("size").alias("na"), F.col("lead.fp").alias("b"), F.col("lead.size").alias("nb"))), "star_pairs")
-    links = cut(_near(star, sets), "links")
+    star = cut(_pairs(star.select(F.col("fp").alias("a"), F.col("size").alias("na"), F.col("lead.fp").alias("b"), F.col("lead.size").alias("nb"))).join(named, ["a", "b"], "left_anti"), "star_pairs")
+    links = cut(first.union(_near(star, sets)), "links")
     roots = components(links)
     rooted = members.join(roots, members.fp == roots.node, "left").select("key", "fp", "size", F.coalesce("root", "fp").alias("root"))
     rooted = cut(rooted, "rooted")
@@ -153,19 +176,22 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     their names. The row with the smallest id stays (null ids last), of rows that repeat an id the one with the smallest
     hash of its text. Equal sets of shingles are one node; null and empty texts have the empty set."""
     who = F.struct(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(F.col(text_col)).alias("h"))
-    sketch, shingle_set = F.pandas_udf(_sketches, "fp long, size int, keys array<long>"), F.pandas_udf(_sets, "array<long>")
+    sketch, shingle_set = F.pandas_udf(_sketches, "fp long, size int, print long, keys array<long>"), F.pandas_udf(_sets, "array<long>")
     rows = cut(docs.select(who.alias("who"), sketch(F.col(text_col)).alias("k")).select("who", "k.*"), "sketches")
-    nodes = cut(rows.groupBy("fp").agg(F.min("who").alias("least"), F.any_value("size").alias("size"), F.any_value("keys").alias("keys")), "nodes")
+    nodes = cut(rows.groupBy("fp").agg(F.min("who").alias("least"), F.any_value("size").alias("size"), F.any_value("print").alias("print"), F.any_value("keys").alias("keys")), "nodes")
     filed = nodes.select("fp", "size", F.explode("keys").alias("key"))
     # a bucket of one node names no pair
     leads = cut(filed.groupBy("key").agg(F.min(F.struct("fp", "size")).alias("lead"), F.count("*").alias("m")).where("m > 1"), "leads")
     n_filed = nodes.agg(F.sum(F.size("keys"))).first()[0] or 0
     members = cut(join_split(filed, leads, "key", "m", n_filed, listed=True), "members")
-    asked = nodes.join(members.select("fp").distinct(), "fp", "left_semi").select("fp", F.col("least").alias("_least"))
+    # the empty set has no near one
+    pairs = cut(simhash_pairs(nodes.where("size > 0").select("fp", "size", "print")), "simhash_pairs")
+    ends = members.select("fp").union(pairs.select("a")).union(pairs.select("b")).distinct()
+    asked = nodes.join(ends, "fp", "left_semi").select("fp", F.col("least").alias("_least"))
     texts = docs.select(who.alias("_who"), F.col(text_col).alias("_text"))
     # rows that repeat both id and text are one row here
     sets = texts.join(asked, F.col("_who") == F.col("_least")).select("fp", shingle_set("_text").alias("s")).dropDuplicates(["fp"])
-    roots = components(near_links(cut(sets, "shingle_sets"), members))
+    roots = components(near_links(cut(sets, "shingle_sets"), members, pairs))
     groups = nodes.join(roots, nodes.fp == roots.node, "left").select("least", F.coalesce("root", "fp").alias("root"))
     keep = groups.groupBy("root").agg(F.min("least").alias("_keep")).select("_keep")
     return one_of_each(docs, who, keep)

@@ -37,6 +37,14 @@ def simhash(text: str | None, width: int = 3, seed: int = 42) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.int64)[0])
 
 
+def simhash_of(values: np.ndarray) -> int:
+    """The fingerprint of a set of hashes, each counted once; of none 0. As a signed long."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(values), BLOCK):
+        ones += np.unpackbits(values[at : at + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(values), bitorder="little").view(np.int64)[0])
+
+
 def fingerprint(text, width: int = 3, seed: int = 42):
     """The column of fingerprints of a column of texts."""
 

@@ -87,6 +87,21 @@ def test_near_copies_by_five_word_similarity(spark, monkeypatch, small, members,
     assert {(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, nulls, "").collect()} == {(None, None), (7, "x y z")}
 
 
+def test_near_copies_are_named_by_simhash_first(spark):
+    """Pairs of fingerprints within the distance are named and linked without any bucket; equal fingerprints too."""
+    words = [f"w{i * i % 997}" for i in range(400)]
+    texts = [" ".join(words), " ".join([*words, "more"]), " ".join([*words[:-1], "other"]), " ".join(words[:20]), "a b c d e f"]
+    k = shingle_dedup._sketches(texts)
+    rows = list(zip(k["fp"].astype(int).tolist(), k["size"].tolist(), k["print"].tolist()))
+    nodes = spark.createDataFrame(rows, "fp long, size int, print long")
+    want = {(min(a, b), max(a, b)) for a, _, p in rows[:3] for b, _, q in rows[:3] if a != b and (p ^ q).bit_count() <= shingle_dedup.DISTANCE}
+    found = shingle_dedup.simhash_pairs(nodes)
+    assert len(want) >= 2 and {(r.a, r.b) for r in found.collect()} == want
+    sets = spark.createDataFrame([(r[0], shingle_dedup.shingles(t).view(np.int64).tolist()) for r, t in zip(rows, texts)], "fp long, s array<long>")
+    none = spark.createDataFrame([], "key long, fp long, size int, lead struct<fp: long, size: int>")
+    assert {(r.a, r.b) for r in shingle_dedup.near_links(sets, none, found).collect()} == want
+
+
 def test_similar_sets():
     rng = np.random.default_rng(2)
     base = rng.choice(10_000, 300, replace=False)
