@@ -91,12 +91,13 @@ def _pairs(pairs: DataFrame) -> DataFrame:
 def simhash_pairs(nodes: DataFrame) -> DataFrame:
     """nodes: fp, size, print. Pairs (a, b) of sets that admit the similarity and whose fingerprints are the same or linked by
     at most DISTANCE bits: a fingerprint's least set stands for it in its links, its other sets are paired with that one.
-    Fingerprints of a hot key of the table are linked as group_links does, by one link for each at most."""
+    Fingerprints of a hot key of the table are linked as group_links does, by fewer links than there are fingerprints."""
     lead = cut(nodes.groupBy("print").agg(F.min(F.struct("fp", "size")).alias("lead"), F.count("*").alias("n")), "prints")
     n = lead.agg(F.sum("n")).first()[0] or 0
     same = join_split(nodes, lead.where("n > 1"), "print", "n", n, listed=True).where("fp <> lead.fp")
     same = same.select(F.col("fp").alias("a"), F.col("size").alias("na"), F.col("lead.fp").alias("b"), F.col("lead.size").alias("nb"))
-    linked = cut(group_links(lead.select(F.col("print").alias("fp")), DISTANCE, SEGMENTS), "print_links")
+    linked = group_links(lead.select(F.col("print").alias("fp")), DISTANCE, SEGMENTS)
+    linked = cut(linked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "print_links")
     for end in ("a", "b"):
         uses = linked.groupBy(F.col(end).alias("print")).agg(F.count("*").alias("uses"))
         named = lead.join(uses, "print").select(F.col("print").alias(end), F.col("lead").alias(f"l{end}"), "uses")

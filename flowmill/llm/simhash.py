@@ -15,8 +15,10 @@ from flowmill.llm.components import components
 
 #: Takes the place of a null id while the smallest id is looked for.
 NO_ID = (1 << 63) - 1
-#: Fingerprints of a key of the table that may be paired by a plain join; also of a block.
-HOT = 512
+#: Fingerprints of a key of the table that may be paired by a plain join, so a look-up makes so many rows at most.
+HOT = 16
+#: Fingerprints of a block.
+BLOCK_PRINTS = 512
 #: Shingles that are in memory at once, whatever the length of the text.
 BLOCK = 1 << 16
 
@@ -99,51 +101,87 @@ def _filed(prints: DataFrame, distance: int, segments: int) -> tuple[DataFrame,
     return probe, table, f"bit_count(a ^ b) <= {distance} and a <> b and ({first}) = 0 and (a < b or not {same})"
 
 
-def _forest(a: np.ndarray, b: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Links that join all of a and b that pairs (one of a, one of b) within the distance join, fewer than there are
-    fingerprints. Rounds of minima: every node takes the smallest label among its neighbours and its own."""
-    nodes = np.unique(np.concatenate([a, b]))
-    x, y = np.searchsorted(nodes, np.unique(a)), np.searchsorted(nodes, np.unique(b))
-    near = np.bitwise_count(nodes.view(np.uint64)[x][:, None] ^ nodes.view(np.uint64)[y][None, :]) <= distance
-    label, far = np.arange(len(nodes)), len(nodes)
+def _forest(a: np.ndarray, b: np.ndarray, ra: np.ndarray, rb: np.ndarray, distance: int) -> np.ndarray:
+    """Of the pairs (one of a, one of b) within the distance those few that join all that these pairs join, where what has
+    the same root (ra, rb) is joined already: fewer than there are roots. Rounds of minima: every root takes the smallest label
+    among its neighbours and its own, and keeps the pair that brought it."""
+    roots = np.unique(np.concatenate([ra, rb]))
+    x, y = np.searchsorted(roots, ra), np.searchsorted(roots, rb)
+    near = np.bitwise_count(a.view(np.uint64)[:, None] ^ b.view(np.uint64)[None, :]) <= distance
+    label, far = np.arange(len(roots)), len(roots)
+    via = np.zeros((len(roots), 2), np.int64)
+    if not near.size:
+        return via[:0]
     while True:
         now = label.copy()
-        np.minimum.at(now, x, np.where(near, label[y][None, :], far).min(1))
-        np.minimum.at(now, y, np.where(near, label[x][:, None], far).min(0))
-        now = now[now]
+        for own, other, close, one, two in ((x, y, near, a, b), (y, x, near.T, b, a)):
+            seen = np.where(close, label[other][None, :], far)
+            at = seen.argmin(1)
+            least = seen[np.arange(len(own)), at]
+            k = np.flatnonzero(least < now[own])
+            k = k[np.argsort(-least[k])]  # the smallest is assigned last
+            now[own[k]] = least[k]
+            via[own[k]] = np.stack([one[k], two[at[k]]], 1)
         if np.array_equal(now, label):
-            break
+            return via[label != np.arange(far)]
         label = now
-    return [(int(nodes[k]), int(nodes[r])) for k, r in enumerate(label) if k != r]
+
+
+def _block_links(filed: DataFrame, asked: DataFrame, distance: int) -> DataFrame:
+    """filed, asked: at, fp, root. Links (a, b) within the distance that join, together with what has the same root, all that
+    pairs of a filed and an asked fingerprint of a key join. Both are dealt over blocks, each pair of blocks is compared
+    by itself, and passes on fewer links than it has roots; its pairs are not rows."""
+    n = filed.groupBy("at").agg(F.count("*").alias("n")).join(asked.groupBy("at").agg(F.count("*").alias("p")), "at")
+    size = cut(n.select("at", *(F.ceil(F.col(c) / BLOCK_PRINTS).cast("int").alias(k) for c, k in (("n", "i"), ("p", "j"))), (F.col("n") + F.col("p")).alias("w")), "hot_sizes")
+    total = size.agg(F.sum("w")).first()[0] or 0
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = join_split(filed, size, "at", "w", total, listed=True).select("at", F.lit(True).alias("filed"), "fp", "root", _block("i").alias("x"), every("j").alias("y"))
+    right = join_split(asked, size, "at", "w", total, listed=True).select("at", F.lit(False), "fp", "root", every("i").alias("x"), _block("j").alias("y"))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf.filed.to_numpy(bool)
+        fp, root = pdf.fp.to_numpy(np.int64), pdf.root.to_numpy(np.int64)
+        return pd.DataFrame(_forest(fp[own], fp[~own], root[own], root[~own], distance), columns=["a", "b"])
+
+    return left.union(right).groupBy("at", "x", "y").applyInPandas(compare, "a long, b long")
+
+
+def _block(n: str):
+    return F.pmod(F.xxhash64("fp", F.lit(5)), F.col(n)).cast("int")
 
 
 def group_links(prints: DataFrame, distance: int = 3, segments: int = 2) -> DataFrame:
     """prints: distinct longs in fp. Links (a, b) whose components are those of all links of hamming_links. Where a key of
     the table has over HOT fingerprints, their pairs are not emitted: its fingerprints, and those that look it up, are
-    dealt over blocks, each pair of blocks is compared by itself, and passes on one link for each fingerprint at most."""
+    compared in blocks (_block_links). Where that is several blocks, what looks the key up is compared with the first one,
+    and then only what that left apart: pairs without those of the key's largest component, each component one root. So
+    the links grow with the members of a group, not with its pairs."""
     if segments < 2:
         raise ValueError("at least two segments are needed")
     probe, table, close = _filed(prints, distance, segments)
-    at = F.concat_ws(":", "seg", "key")
-    big = cut(table.groupBy(at.alias("at")).agg(F.count("*").alias("n")).where(F.col("n") > HOT), "hot_keys")
+    at = F.concat_ws(":", "seg", "key").alias("at")
+    big = cut(table.groupBy(at).agg(F.count("*").alias("n")).where(F.col("n") > HOT), "hot_keys")
     if big.isEmpty():
         return probe.join(table, ["seg", "key"]).where(close).select("a", "b")
-    rest = table.withColumn("at", at).join(big.select("at"), "at", "left_anti").drop("at")
+    rest = table.select("*", at).join(big.select("at"), "at", "left_anti").drop("at")
     usual = probe.join(rest, ["seg", "key"]).where(close).select("a", "b")
-    asked = probe.withColumn("at", at)
-    asks = cut(asked.join(big.select("at"), "at", "left_semi").groupBy("at").agg(F.count("*").alias("p")), "hot_asked")
-    size = cut(big.join(asks, "at").select("at", F.ceil(F.col("n") / HOT).cast("int").alias("i"), F.ceil(F.col("p") / HOT).cast("int").alias("j"), (F.col("n") + F.col("p")).alias("w")), "hot_sizes")
-    total = size.agg(F.sum("w")).first()[0] or 0
-    block = lambda fp, n: F.pmod(F.xxhash64(fp, F.lit(5)), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = join_split(table.withColumn("at", at).select("at", "b"), size, "at", "w", total, listed=True).select("at", F.lit(True).alias("filed"), F.col("b").alias("fp"), block("b", "i").alias("x"), every("j").alias("y"))
-    right = join_split(asked.select("at", "a"), size, "at", "w", total, listed=True).select("at", F.lit(False), F.col("a"), every("i").alias("x"), block("a", "j").alias("y"))
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        fp = pdf.fp.to_numpy(np.int64)
-        return pd.DataFrame(_forest(fp[pdf.filed.to_numpy(bool)], fp[~pdf.filed.to_numpy(bool)], distance), columns=["a", "b"])
-
-    return usual.union(left.union(right).groupBy("at", "x", "y").applyInPandas(compare, "a long, b long"))
+    filed, asked = (cut(t.select(at, F.col(c).alias("fp"), F.col(c).alias("root")).join(big.select("at"), "at", "left_semi"), name) for t, c, name in ((table, "b", "hot_filed"), (probe, "a", "hot_asked")))
+    wide = big.where(F.col("n") > BLOCK_PRINTS).select("at", F.ceil(F.col("n") / BLOCK_PRINTS).alias("i"), "n")
+    if wide.isEmpty():
+        return usual.union(_block_links(filed, asked, distance))
+    total = big.agg(F.sum("n")).first()[0]
+    more = cut(join_split(filed, wide, "at", "n", total, listed=True).where(_block("i") > 0).drop("i"), "hot_more")
+    first = cut(_block_links(filed.join(more.select("at", "fp"), ["at", "fp"], "left_anti"), asked, distance), "hot_links")
+    roots = components(first)
+    rooted = lambda t: t.drop("root").join(roots, F.col("fp") == F.col("node"), "left").select("at", "fp", F.coalesce("root", "fp").alias("root"))
+    named = cut(rooted(asked.join(wide, "at", "left_semi")), "hot_rooted")
+    main = named.groupBy("at", "root").agg(F.count("*").alias("n")).groupBy("at").agg(F.max_by("root", "n").alias("main"), F.sum("n").alias("n"))
+    main = cut(main, "hot_main")
+    total = main.agg(F.sum("n")).first()[0]
+    more, named = (cut(join_split(t, main, "at", "n", total, listed=True), "hot_parted") for t in (rooted(more), named))
+    apart, inside = F.col("root") != F.col("main"), F.col("root") == F.col("main")
+    left = _block_links(more.where(apart), named, distance).union(_block_links(more.where(inside), named.where(apart), distance))
+    return usual.union(first).union(left)
 
 
 def near_groups(docs: DataFrame, distance: int = 3, segments: int = 2, width: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

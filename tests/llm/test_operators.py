@@ -544,6 +544,25 @@ def test_hot_keys_are_compared_in_blocks(spark, monkeypatch):
     assert links_to_roots(prints, got) == links_to_roots(prints, pairs)
 
 
+@pytest.mark.parametrize("distance,segments,block", [(3, 2, 8), (5, 3, 16), (5, 3, 512)])
+def test_a_group_does_not_give_all_its_pairs(spark, monkeypatch, distance, segments, block):
+    """240 near fingerprints give links within the distance, fewer than pairs and HOT for each at most; what hangs on one of
+    them, or makes a group of its own under the same key, is linked as by all pairs."""
+    monkeypatch.setattr(simhash, "BLOCK_PRINTS", block)
+    rng = np.random.default_rng(7)
+    core = int(rng.integers(1, 1 << 62))
+    near = {core}
+    while len(near) < 240:
+        near.add(core ^ sum(1 << int(b) for b in rng.choice(10, 2, replace=False)) ^ (1 << int(rng.integers(10, 63))))
+    tail = {core ^ 0b11111 << 15 ^ 0b111 << 20, core ^ 0b11111 << 15 ^ 0b111 << 20 ^ 0b11 << 30}
+    second = {core ^ 0x7F << 24 ^ 1 << int(k) ^ 1 << int(j) for k, j in rng.integers(40, 60, (20, 2))}
+    prints = near | tail | second | {int(x) for x in rng.integers(1, 1 << 62, 30)}
+    pairs = {(a, b) for a in prints for b in prints if a < b and (a ^ b).bit_count() <= distance}
+    got = {(min(r.a, r.b), max(r.a, r.b)) for r in simhash.group_links(spark.createDataFrame([(p,) for p in prints], "fp long"), distance, segments).collect()}
+    assert got <= pairs and links_to_roots(prints, got) == links_to_roots(prints, pairs)
+    assert len(got) < min(len(pairs), simhash.HOT * len(prints))
+
+
 def test_columns_of_any_name_stay(spark):
     texts = ["a b c d e f", "a b c d e f", "q r s t u v", None, ""]
     docs = spark.createDataFrame([(i, t, i * 2, "h", 1.5, "k") for i, t in enumerate(texts)], "doc_id long, text string, _hash2 long, _who string, _keep double, _id string")
