@@ -1,7 +1,9 @@
 """The forest against plain versions: splits, whole trees, nodes split on histograms, and how many jobs a fit starts."""
 
+import pickle
+
 import numpy as np
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 
 from flowmill.operators import forest as fo
 
@@ -82,3 +84,19 @@ def test_jobs_do_not_grow_with_trees_and_depth(spark):
         assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("forest")) <= 10
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_large_forests_stay_in_the_shared_folder(spark, monkeypatch, tmp_path):
+    """The driver holds where the trees are, not the trees; they score, count and are stored as those that it holds."""
+    x, y, df = data(spark)
+    held = fo.RandomForest(20, 30).fit(df)
+    monkeypatch.setattr(fo, "KEPT", 0, raising=False)
+    model = fo.RandomForest(20, 30).fit(df)
+    assert len(pickle.dumps(model.trees)) < 500 < len(pickle.dumps(held.trees[0])) and len(model.trees) == 20
+    assert all(np.array_equal(a, b) for s, t in zip(held.trees, model.trees) for a, b in zip(s, t))
+    assert np.array_equal(model.featureImportances.toArray(), held.featureImportances.toArray())
+    model.save(f"file://{tmp_path}/m")
+    rows = df.withColumn("x", vector_to_array("features"))
+    told = [sorted((r.x, r.probability, r.prediction) for r in m.transform(rows).collect()) for m in (held, model, fo.ForestModel.load(f"file://{tmp_path}/m"))]
+    assert told[0] == told[1] == told[2] and len(told[0]) == len(y)
+    assert np.array_equal(model.trees[-1].feature, held.trees[-1].feature) and [len(t.left) for t in model.trees[2:4]] == [len(t.left) for t in held.trees[2:4]]
