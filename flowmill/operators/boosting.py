@@ -22,8 +22,8 @@ from flowmill.functions.shared import shared_folder
 BINS, DEPTH, LEAVES, LEAF_ROWS, LEAF_WEIGHT, STEP = 255, 5, 31, 20, 1e-3, 0.1
 #: Rows in a block of arrays, and blocks of features whose histograms are summed up apart from each other.
 BLOCK, FEATURES = 32_768, 32
-#: Bytes of rows (bins and margins) in a partition.
-PART = 64 << 20
+#: Bytes of rows (bins and margins) in a partition; so many partitions' rows at most are held by a task for each class.
+PART, ONE = 64 << 20, 2
 #: Rows whose quantiles are the ends of bins.
 SAMPLE = 200_000
 #: States after which one is written and its lineage ends; rows from which margins become a new state in each round.
@@ -42,6 +42,13 @@ class Tree(NamedTuple):
 
     def leaf_of(self, x: np.ndarray) -> np.ndarray:
         """The node that each row of bins ends in."""
+        if len(self.left) < 256 and x.flags.f_contiguous:
+            # node by node, parents first: comparisons of whole columns cost less than looking up each row's own
+            at = np.zeros(len(x), np.uint8)
+            for node in np.flatnonzero(self.left).tolist():
+                right = (x[:, self.feature[node]] > self.bin[node]).view(np.uint8)
+                at += (at == node).view(np.uint8) * (right + np.uint8(self.left[node] - node))
+            return at
         at = np.zeros(len(x), np.int64)
         while True:
             left = self.left[at]
@@ -77,19 +84,21 @@ def slopes(margins: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return p - hit, p * (1 - p)
 
 
-def histogram(x, g, h, leaves, open_nodes, bins: int) -> np.ndarray:
+def histogram(x, g, h, leaves, open_nodes, bins: int, out: np.ndarray | None = None) -> np.ndarray:
     """Sums of (g, h, rows) by open node, feature and bin: 3 x nodes x features x bins, for one class. Rows in other nodes do not
-    count."""
+    count. out: sums of other rows, which these are added to."""
     place = np.full(max(int(leaves.max(initial=0)), max(open_nodes)) + 1, -1)
     place[open_nodes] = np.arange(len(open_nodes))
     node = place[leaves]
     own = np.flatnonzero(node >= 0)
-    first, g, h = node[own] * bins, g[own], h[own]
-    out = np.empty((3, len(open_nodes), x.shape[1], bins))
+    every = len(own) == len(x)
+    first, g, h = (node * bins, g, h) if every else (node[own] * bins, g[own], h[own])
+    if out is None:
+        out = np.zeros((3, len(open_nodes), x.shape[1], bins))
     for f in range(x.shape[1]):
-        cells = first + x[:, f][own]
+        cells = first + (x[:, f] if every else x[:, f][own])
         for s, v in enumerate((g, h, None)):
-            out[s, :, f] = np.bincount(cells, v, len(open_nodes) * bins).reshape(-1, bins)
+            out[s, :, f] += np.bincount(cells, v, len(open_nodes) * bins).reshape(-1, bins)
     return out
 
 
@@ -156,7 +165,7 @@ def _blocks(rows, classes: list, edges: list[np.ndarray], start: np.ndarray):
 
     def block():
         b = np.asfortranarray(binned(np.array(x), edges))  # a feature's bins lie together
-        return b, np.array(y), np.tile(start, (len(y), 1))
+        return b, np.array(y), np.asfortranarray(np.tile(start, (len(y), 1)))
 
     for features, label in rows:
         x.append(features)
@@ -191,12 +200,36 @@ def _added(state, trees: list[Tree], opens: list[list[int]], bins: int) -> list[
     return whole.map(lambda x: (x[0], best_splits(x[1], x[0][1]))).collect()
 
 
+def _own_slopes(margins: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """slopes() of one class."""
+    e = np.exp(margins - margins.max(1)[:, None])
+    p = e[:, k] / e.sum(1)
+    return p - (y == k), p * (1 - p)
+
+
 def _own_tree(blocks: list, k: int, bins: int) -> Tree:
-    """The tree of class k in one round, from blocks of all rows."""
-    own = [(x, *(np.ascontiguousarray(v[:, k]) for v in slopes(m, y))) for x, y, m in blocks]
+    """The tree of class k in one round, from blocks of all rows. Of two children the rows of the smaller one are added up; the
+    other's sums are what that leaves of their parent's."""
+    own = [(x, *_own_slopes(m, y, k)) for x, y, m in blocks]
+    held: dict[int, np.ndarray] = {}
 
     def splits(trees: list[Tree], opens: list[list[int]]) -> list[tuple]:
-        return [((0, 0), best_splits(sum(histogram(x, g, h, trees[0].leaf_of(x), opens[0], bins) for x, g, h in own)))]
+        (tree,), (nodes,) = trees, opens
+        pairs = [(p, int(left)) for p, left in enumerate(tree.left) if left and p in held and {left, left + 1} & set(nodes)]
+        less = {left: left + int(2 * held[p][2, 0, tree.feature[p], : tree.bin[p] + 1].sum() > held[p][2, 0, 0].sum()) for p, left in pairs}
+        # a node that may not be split needs no sums, unless they are those of the larger one
+        wanted = sorted(less.values()) or nodes
+        sums = None
+        for x, g, h in own:
+            sums = histogram(x, g, h, tree.leaf_of(x), wanted, bins, sums)
+        new = {n: sums[:, i : i + 1] for i, n in enumerate(wanted)}
+        for p, left in pairs:
+            rest = held.pop(p) - new[less[left]]
+            # bins without rows hold exactly 0
+            rest[:2, rest[2] == 0] = 0
+            new[2 * left + 1 - less[left]] = rest
+        held.update({n: v for n, v in new.items() if n in nodes})
+        return [((0, 0), [best_splits(held[n])[0] for n in nodes])]
 
     return _round(1, splits)[0]
 
@@ -220,8 +253,10 @@ def _round(classes: int, splits_of) -> list[Tree]:
 def _moved(block, *added: list[Tree]):
     """The block with the trees of so many rounds added to its margins."""
     x, y, m = block
+    m = m.copy("K")
     for trees in added:
-        m = m + np.stack([t.value[t.leaf_of(x)] for t in trees], 1)
+        for k, t in enumerate(trees):
+            m[:, k] += t.value[t.leaf_of(x)]
     return x, y, m
 
 
@@ -229,10 +264,14 @@ def feature_edges(flat: DataFrame, total: int, bins: int = BINS, sample: int = S
     """The ends of each feature's bins, from flat (x, y) of total rows: of all or, beyond sample rows, of about so many chosen by
     hash."""
     chosen = flat if total <= sample else flat.where(F.pmod(F.xxhash64("x", "y"), F.lit(1 << 20)) < (sample << 20) // total)
-    some = chosen.select(F.posexplode("x").alias("k", "v")).groupBy("k").agg(F.sort_array(F.collect_list("v")).alias("v"))
+
+    def columns(rows):
+        own = np.array([r["x"] for r in rows])
+        return [(f, own[:, f].copy()) for f in range(own.shape[1])] if len(own) else []
+
     edges = [np.zeros(0)] * len(flat.first()["x"])
-    for r in some.rdd.map(lambda r: (r["k"], edges_of(np.array(r["v"]), bins))).collect():
-        edges[r[0]] = r[1]
+    for f, own in chosen.select("x").rdd.mapPartitions(columns).groupByKey().mapValues(lambda v: edges_of(np.concatenate(list(v)), bins)).collect():
+        edges[f] = own
     return edges
 
 
@@ -246,7 +285,7 @@ def boost(rows: DataFrame, features: str, label: str, rounds: int = 200, sample:
     trees to them, and every WRITTEN states they are written to the shared folder, so lost executors cost that many
     at most. Bins and sums, and so the trees, do not depend on the order of partitions.
 
-    Rows of PART bytes at most are copied to a task for each class, which grows its class's tree of a round by itself, with
+    Rows of ONE partitions at most are copied to a task for each class, which grows its class's tree of a round by itself, with
     the same result and one job for each round."""
     spark = rows.sparkSession
     flat = rows.select(vector_to_array(features).alias("x"), F.col(label).alias("y")).where("y is not null")
@@ -258,7 +297,8 @@ def boost(rows: DataFrame, features: str, label: str, rounds: int = 200, sample:
     width, bins = len(edges), max(len(e) for e in edges) + 1
     classes = [c for c, _ in counts]
     start = np.log(np.array([n for _, n in counts]) / total)
-    parts = max(1, -(-total * (width + 8 * len(classes)) // PART))
+    taken = total * (width + 8 * len(classes))
+    parts = 1 if taken <= ONE * PART else -(-taken // PART)
     made = flat.repartition(parts, "x") if parts > 1 else flat.coalesce(1)
     state = made.sortWithinPartitions("y", "x").rdd.map(lambda r: (r["x"], r["y"])).mapPartitions(lambda it: _blocks(it, classes, edges, start))
     if spark.sparkContext.getCheckpointDir() is None:
@@ -343,7 +383,7 @@ class BoostedModel(Model, MLWritable, MLReadable):
         return Vectors.dense(out / out.sum() if out.sum() else out)
 
     def margins(self, x: np.ndarray) -> np.ndarray:
-        b = binned(x, self.edges)
+        b = np.asfortranarray(binned(x, self.edges))
         out = np.tile(self.start, (len(x), 1))
         for trees in self.trees:
             out += np.stack([t.value[t.leaf_of(b)] for t in trees], 1)

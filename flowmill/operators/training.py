@@ -5,7 +5,7 @@ from __future__ import annotations
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowmill.operators.boosting import HistogramBoosting
-from flowmill.operators.forest import RandomForest
+from flowmill.operators.forest import DecisionTree, RandomForest
 from flowmill.operators.evaluate import macro_metrics, threshold_choice, threshold_sweep
 from flowmill.operators.flows import pad_overhead, pad_sizes
 
@@ -28,7 +28,7 @@ def candidates(trees: int = 300, rounds: int = 200, depth: int = DEEPEST) -> dic
     how = {"featuresCol": "features", "labelCol": "label"}
     return {
         "logistic": (0, LogisticRegression(weightCol="weight", maxIter=2000, **how)),
-        "tree": (1, DecisionTreeClassifier(weightCol="weight", maxDepth=depth, seed=7, **how)),
+        "tree": (1, DecisionTree(depth, seed=7, weightCol="weight", **how)),
         "forest": (2, RandomForest(trees, depth, seed=7, weightCol="weight", **how)),
         "boosted": (3, HistogramBoosting(rounds=rounds, **how)),
     }

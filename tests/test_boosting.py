@@ -90,3 +90,18 @@ def test_bins():
     many = bo.edges_of(np.arange(10_000.0))
     assert len(many) == 254 and bo.binned(np.array([[-1.0], [1e9]]), [many]).ravel().tolist() == [0, 254]
     assert bo.edges_of(np.ones(5)).tolist() == []
+
+
+def test_of_two_children_the_smaller_is_added_up(monkeypatch):
+    rng = np.random.default_rng(3)
+    n = 4000
+    x, y = np.asfortranarray(rng.integers(0, 50, (n, 4)).astype(np.uint8)), rng.integers(0, 3, n)
+    counted, plain = [], bo.histogram
+    monkeypatch.setattr(bo, "histogram", lambda x, g, h, leaves, nodes, *more: counted.append(int(np.isin(leaves, nodes).sum())) or plain(x, g, h, leaves, nodes, *more))
+    tree = bo._own_tree([(x, y, np.asfortranarray(np.zeros((n, 3))))], 1, 50)
+    assert counted[0] == n and len(counted) == bo.DEPTH and all(c <= n / 2 for c in counted[1:])
+    g, h = (v[:, 1] for v in bo.slopes(np.zeros((n, 3)), y))
+    whole = bo._round(1, lambda t, o: [((0, 0), bo.best_splits(plain(x, g, h, t[0].leaf_of(x), o[0], 50)))])[0]
+    assert all(np.array_equal(a, b) for a, b in zip(tree[:3], whole[:3])) and np.allclose(tree.value, whole.value, atol=1e-12)
+    slow = tree.leaf_of(np.ascontiguousarray(x))
+    assert np.array_equal(tree.leaf_of(x), slow)

@@ -100,3 +100,25 @@ def test_large_forests_stay_in_the_shared_folder(spark, monkeypatch, tmp_path):
     told = [sorted((r.x, r.probability, r.prediction) for r in m.transform(rows).collect()) for m in (held, model, fo.ForestModel.load(f"file://{tmp_path}/m"))]
     assert told[0] == told[1] == told[2] and len(told[0]) == len(y)
     assert np.array_equal(model.trees[-1].feature, held.trees[-1].feature) and [len(t.left) for t in model.trees[2:4]] == [len(t.left) for t in held.trees[2:4]]
+
+
+def test_a_tree_alone_is_grown_by_many_tasks_and_few_jobs(spark, monkeypatch):
+    """One tree of all rows: its top split on histograms or not, it tells all rows apart; the tree before took jobs for each level."""
+    from flowmill.operators import training as tr
+
+    x, y, df = data(spark)
+    sc = spark.sparkContext
+    sc.setJobGroup("tree", "tree")
+    try:
+        one = tr.candidates()["tree"][1].fit(df)
+        assert len(sc.statusTracker().getJobIdsForGroup("tree")) <= 10
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    monkeypatch.setattr(fo, "PART", 4096)
+    monkeypatch.setattr(fo, "OWN", 100)
+    many = tr.candidates()["tree"][1].fit(df)
+    for model in (one, many):
+        p = model.probabilities(x)
+        assert len(model.trees) == 1 and (p.argmax(1) == y).all() and (p.max(1) == 1).all()
+    first, again = (m.trees[0] for m in (one, many))
+    assert (first.feature[0], first.bin[0]) == (again.feature[0], again.bin[0]) and np.isclose(first.gain[0], again.gain[0])
